@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, mixing
+from . import exact, minhash, mixing, pieces
 
 QUERIES = {
+    "op1_near_dedup": minhash.op1_near_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 ORACLE_SQL = {
