@@ -44,13 +44,14 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words of many texts at once, with prefix sums over their joined bytes."""
 
-    def __init__(self) -> None:
+    def __init__(self, spaces: bytes = b" \t\n\x0b\f\r") -> None:
+        """spaces: the bytes that stand between words."""
         self._letters = splitmix(np.arange(256, dtype=U64) + U64(1 << 20))
         lower = np.arange(256)
         lower[65:91] += 32
         self._letters = self._letters[lower]
         self._space = np.zeros(256, dtype=bool)
-        self._space[[9, 10, 11, 12, 13, 32]] = True
+        self._space[np.frombuffer(spaces, dtype=np.uint8)] = True
         self._powers(1 << 16)
 
     def _powers(self, n: int) -> None:
@@ -61,8 +62,11 @@ class WordHasher:
         np.multiply.accumulate(self._up, out=self._up)
         np.multiply.accumulate(self._down, out=self._down)
 
-    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each word of the texts in order, and the number of words of each text."""
+    def words(self, texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple:
+        """The hash of each word of the texts in order, and the number of words of each text.
+
+        With prefixes, also an array per length of the hashes of the words' first bytes and whether more bytes follow.
+        """
         data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         if len(data) > len(self._up):
             self._powers(2 * len(data))
@@ -75,7 +79,11 @@ class WordHasher:
         hashes = splitmix((sums[ends] - sums[starts]) * self._down[starts])
         bounds = np.cumsum([len(t) + 1 for t in texts])
         upto = np.searchsorted(starts, bounds)
-        return hashes, np.diff(upto, prepend=0)
+        counts = np.diff(upto, prepend=0)
+        if not prefixes:
+            return hashes, counts
+        cut = [splitmix((sums[np.minimum(starts + k, ends)] - sums[starts]) * self._down[starts] + (starts + k < ends) + U64(2 * k)) for k in prefixes]
+        return hashes, counts, cut
 
 
 def slices(texts: list, limit: int = 2_000_000):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, mixing, pieces
+from . import exact, lines, minhash, mixing, pieces, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 ORACLE_SQL = {
+    "op3_line_dedup": lines.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
 }
