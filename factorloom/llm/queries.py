@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact, lines, minhash, mixing, pieces, toxicity
+from . import exact, html, lines, minhash, mixing, pieces, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
+    "op2_html_extraction": html.op2_html_extraction,
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op8_sentencepiece": pieces.op8_sentencepiece,
