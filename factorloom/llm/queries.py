@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, html, lines, minhash, mixing, pieces, toxicity
+from . import exact, html, lines, lm, minhash, mixing, pieces, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
     "op2_html_extraction": html.op2_html_extraction,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_mixing": mixing.op5_mixing,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
