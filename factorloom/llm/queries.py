@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, html, lines, lm, minhash, mixing, neighbours, pieces, toxicity
+from . import exact, html, lines, lm, minhash, mixing, neighbours, pieces, pii, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_mixing": mixing.op5_mixing,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_embedding_dedup": neighbours.op7_embedding_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
