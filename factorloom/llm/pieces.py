@@ -21,8 +21,8 @@ from .common import table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Words kept per Python worker; the cache starts anew beyond that.
-CACHE = 400_000
+#: Words that a Python worker keeps at hand, twice: those it met lately, and those it met before.
+CACHE = 300_000
 
 
 class PieceModel:
@@ -55,13 +55,15 @@ class PieceModel:
             raise ValueError(f"{path} has pieces with inner spaces or equal scores")
         self.automaton = ahocorasick.Automaton()
         for p in self.rank:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.units = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self._beside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self._spines: dict[str, tuple | None] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[str, dict[str, bool]] = {}
         self._known: dict[str, tuple[int, bytes, bytes]] = {}
+        self._older: dict[str, tuple[int, bytes, bytes]] = {}
 
     def _spine(self, token: str) -> tuple | None:
         """How merging builds the token: the parts along its right and its left border, as (part, built, used up).
@@ -91,13 +93,6 @@ class PieceModel:
         self._spines[token] = spine
         return spine
 
-    def compatible(self, first: str, second: str) -> bool:
-        key = (first, second)
-        known = self._pairs.get(key)
-        if known is None:
-            known = self._pairs[key] = self._compatible(first, second)
-        return known
-
     def _compatible(self, first: str, second: str) -> bool:
         before, after = self._spine(first), self._spine(second)
         if before is None or after is None:
@@ -113,18 +108,25 @@ class PieceModel:
     def tokens(self, word: str) -> list[str]:
         """The tokens of a text that has a space mark at most in front."""
         last: list[str | None] = [None] * (len(word) + 1)
-        for end, token in self.automaton.iter(word):
+        pairs, spines = self._pairs, self._spines
+        for end, (token, size) in self.automaton.iter(word):
             end += 1
-            if last[end] is None:
-                start = end - len(token)
-                if start == 0:
-                    if self._spine(token) is not None:
-                        last[end] = token
-                else:
-                    if last[start] is None:
-                        last[start] = word[start - 1]
-                    if self.compatible(last[start], token):
-                        last[end] = token
+            if last[end] is not None:
+                continue
+            start = end - size
+            if not start:
+                if token in spines and spines[token] or self._spine(token):
+                    last[end] = token
+                continue
+            before = last[start]
+            if before is None:
+                before = last[start] = word[start - 1]
+            try:
+                fits = pairs[before][token]
+            except KeyError:
+                fits = pairs.setdefault(before, {})[token] = self._compatible(before, token)
+            if fits:
+                last[end] = token
         out, at = [], len(word)
         while at:
             token = last[at] or word[at - 1]
@@ -144,36 +146,48 @@ class PieceModel:
     def unit(self, text: str) -> list[int]:
         core = text.lstrip(SPACE)
         spaces = len(text) - len(core)
+        if core and spaces < 2:
+            return self._numbers(self.tokens(text))
         tokens = self.tokens(SPACE * (spaces > 0) + core) if core else []
         if tokens and spaces and tokens[0] != SPACE:
             spaces -= 1
         elif tokens and spaces:
             tokens = tokens[1:]
-        ids: list[int] = []
-        for t in self.run(spaces) + tokens:
-            i = self.ids.get(t)
-            ids += [self.byte_ids[b] for b in t.encode()] if i is None else [i]
+        return self._numbers(self.run(spaces) + tokens)
+
+    def _numbers(self, tokens: list[str]) -> list[int]:
+        """The tokens' ids; a character without a token gets those of its bytes."""
+        ids = [self.ids.get(t) for t in tokens]
+        if None in ids:
+            ids = [i for t in tokens for i in ([self.ids[t]] if t in self.ids else [self.byte_ids[b] for b in t.encode()])]
         return ids
 
     def _unit(self, text: str) -> tuple[int, bytes, bytes]:
-        known = self._known.get(text)
+        """The entry of a text that is not at hand: kept from before, put together where no piece can span two of its
+        characters, or encoded."""
+        known = self._older.get(text)
         if known is None:
-            ids = self.unit(text)
-            known = (len(ids), ",".join(map(str, ids)).encode(), b"".join(self.raw[i] for i in ids))
-            if len(self._known) >= CACHE:
-                self._known.clear()
-            if len(self._pairs) >= 4 * CACHE:
-                self._pairs.clear()
-            if len(text) < 100:
-                self._known[text] = known
+            cuts = None if text.strip(SPACE).isalpha() else [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self._beside and text[i - 1] != SPACE]
+            if cuts:
+                parts = [self._known.get(u) or self._unit(u) for u in map(text.__getitem__, map(slice, [0, *cuts], [*cuts, None]))]
+                known = (sum([u[0] for u in parts]), b",".join([u[1] for u in parts]), b"".join([u[2] for u in parts]))
+            else:
+                ids = self.unit(text)
+                known = (len(ids), ",".join(map(str, ids)).encode(), b"".join([self.raw[i] for i in ids]))
+        if len(self._known) >= CACHE:
+            self._known, self._older = {}, self._known
+        if len(self._spines) + len(self._pairs) >= CACHE:
+            self._spines, self._pairs = {}, {}
+        if len(text) < 100:
+            self._known[text] = known
         return known
 
     def parts(self, text: str) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, ids as decimal text, their bytes) of each piece of text between which nothing merges."""
         if not text:
             return []
-        get, slow = self._known.get, self._unit
-        return [get(u) or slow(u) for u in self.units.findall(SPACE + text.replace(" ", SPACE))]
+        slow = self._unit
+        return [self._known.get(u) or slow(u) for u in self.units.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(b",")]
