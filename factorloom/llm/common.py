@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 U64 = np.uint64
+#: Tables of keys of up to this many rows are broadcast, larger ones are joined with a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The checkpointed df, with a broadcast hint if its counted size allows that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that every bit of a key depends on every bit of the input."""
     x = x + U64(0x9E3779B97F4A7C15)

@@ -12,20 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, small, table
 
 SEGMENT = 32
 SHORTEST = 20
-#: Tables of keys up to this many rows are broadcast, larger ones are joined with a shuffle.
-BROADCAST_ROWS = 400_000
 SOLID = r"[^\x20\x09-\x0D]"
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The checkpointed df, with a broadcast hint if its counted size allows that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def half(length: Column) -> Column:
     """At most half of the length, in steps of 8, so that neighbouring lengths mostly agree on it."""
     return F.floor(length / 16).cast("int") * 8
@@ -120,7 +113,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = groups.join(later, "h", "left").where("copies > 1 OR later")
     dropped = small(checkpoint(dropped.select("h", "g", "n", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "later")))
     gone = narrow.join(dropped, ["h", "g", "n"]).where("later OR id <> first_id OR pos <> first_pos")
-    gone = small(checkpoint(gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))), BROADCAST_ROWS // 4)
+    gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
     split = F.split(text_col, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(split, i))))
