@@ -1,0 +1,68 @@
+"""Reading and writing panels: column-pruned scans, filtered archives, CSV and JSON sinks."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from factorloom.functions import symbol
+
+
+def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df, or KeyError naming the columns it lacks; a check of the schema, not a job."""
+    if missing := sorted(set(columns) - set(df.columns)):
+        raise KeyError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
+    """A Parquet or CSV table; a CSV has a header and an explicit schema, its types are never inferred."""
+    if kind == "csv":
+        if schema is None:
+            raise ValueError("a CSV needs a schema")
+        return spark.read.option("header", True).schema(schema).csv(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def read_panel(spark: SparkSession, path: str, required: Sequence[str], optional: Sequence[str] = (), kind: str = "parquet", schema=None) -> DataFrame:
+    """Only the wanted columns of a panel; optional ones where they exist."""
+    df = require(read_table(spark, path, kind, schema), required)
+    return df.select(*required, *[c for c in optional if c in df.columns and c not in required])
+
+
+def filter_archive(df: DataFrame, universe: DataFrame, start: str, end: str, dimension: str | None = None) -> DataFrame:
+    """Rows of the universe's tickers between two days (and of one dimension): the predicates reach the scan."""
+    kept = df.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    if dimension is not None:
+        kept = kept.where(F.col("dimension") == dimension)
+    names = universe.select(symbol("ticker").alias("ticker")).where("ticker <> ''").distinct()
+    return kept.withColumn("ticker", symbol("ticker")).join(names, "ticker", "left_semi")
+
+
+def archive_counts(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """(rows_in, rows_out) as a one-row table."""
+    return df.agg(F.count("*").alias("rows_in")).crossJoin(kept.agg(F.count("*").alias("rows_out")))
+
+
+def recent_slice(df: DataFrame, universe: DataFrame, start: str, end: str) -> DataFrame:
+    """(rows, tickers, last_date) of the recent part of an archive; one row, also when it is empty."""
+    kept = filter_archive(df, universe, start, end)
+    return kept.agg(F.count("*").alias("n_rows"), F.countDistinct("ticker").alias("tickers"), F.max("date").alias("last_date"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Overwrites the folder; Spark's commit publishes it as a whole."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_panel(df: DataFrame, path: str) -> None:
+    """Parquet in folders by year, so that a window of years prunes files."""
+    df.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """A one-row summary as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
