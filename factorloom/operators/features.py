@@ -7,27 +7,30 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import average_percent_rank, clip, ratio
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
 DECISION_COLUMNS = (
     "close history_days momentum_12m_ex_1m momentum_6m momentum_3m trend_quality price_vs_200d_ma volatility_30d "
     "downside_volatility_90d drawdown_252d median_dollar_volume_60d market_cap market_cap_rank"
 ).split()
 
 
+def by_ticker():
+    return Window.partitionBy("ticker").orderBy("date")
+
+
 def trailing(aggregate, value: Column, n: int) -> Column:
     """The aggregate over the last n rows; NULL until there are n values."""
-    frame = BY_TICKER.rowsBetween(1 - n, 0)
+    frame = by_ticker().rowsBetween(1 - n, 0)
     return F.when(F.count(value).over(frame) == n, aggregate(value).over(frame))
 
 
 def change(column: str, n: int, skip: int = 0) -> Column:
     """Relative change over n rows, ending ``skip`` rows ago."""
-    now = F.lag(column, skip).over(BY_TICKER) if skip else F.col(column)
-    return ratio(now, F.lag(column, n).over(BY_TICKER)) - 1
+    now = F.lag(column, skip).over(by_ticker()) if skip else F.col(column)
+    return ratio(now, F.lag(column, n).over(by_ticker())) - 1
 
 
 def history_days(df: DataFrame) -> DataFrame:
-    return df.withColumn("history_days", F.row_number().over(BY_TICKER))
+    return df.withColumn("history_days", F.row_number().over(by_ticker()))
 
 
 def momentum(df: DataFrame) -> DataFrame:
@@ -73,19 +76,19 @@ def decision_lag(df: DataFrame, columns: list[str], days: int) -> DataFrame:
     """decision_<column>: the value known ``days`` sessions of the ticker before."""
     if days < 0:
         raise ValueError("decision_lag_days cannot be negative")
-    return df.withColumns({f"decision_{c}": F.lag(c, days).over(BY_TICKER) if days else F.col(c) for c in columns})
+    return df.withColumns({f"decision_{c}": F.lag(c, days).over(by_ticker()) if days else F.col(c) for c in columns})
 
 
 def rsi(df: DataFrame, lag_days: int = 1, period: int = 14, name: str = "decision_rsi14") -> DataFrame:
     """RSI by simple averages. 100 where no loss is known, then 0 where no gain is known: so 0 while warming up."""
-    df = df.withColumn("__delta", F.col("close") - F.lag("close", 1).over(BY_TICKER))
+    df = df.withColumn("__delta", F.col("close") - F.lag("close", 1).over(by_ticker()))
     gain = trailing(F.avg, clip(F.col("__delta"), low=0.0), period)
     loss = trailing(F.avg, -clip(F.col("__delta"), high=0.0), period)
     df = df.withColumns({"__gain": gain, "__loss": loss})
     value = 100 - 100 / (1 + F.try_divide("__gain", "__loss"))
     value = F.when(F.coalesce(F.col("__loss") > 0, F.lit(False)), value).otherwise(100.0)
     df = df.withColumn("__rsi", F.when(F.coalesce(F.col("__gain") > 0, F.lit(False)), value).otherwise(0.0))
-    lagged = F.lag("__rsi", lag_days).over(BY_TICKER) if lag_days else F.col("__rsi")
+    lagged = F.lag("__rsi", lag_days).over(by_ticker()) if lag_days else F.col("__rsi")
     return df.withColumn(name, lagged).drop("__delta", "__gain", "__loss", "__rsi")
 
 
