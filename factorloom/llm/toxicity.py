@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import U64, WordHasher, checkpoint, slices, table
 
 #: Labelled rows that the models are fitted on, at most; features that each category may choose; folds.
-SAMPLE, FEATURES, FOLDS = 20_000, 2048, 3
+SAMPLE, FEATURES, FOLDS = 20_000, 1024, 3
 PREFIXES = (4, 5, 6, 7, 8)
 BETWEEN = bytes(b for b in range(128) if not chr(b).isalnum())
 #: Log-likelihood gain that a feature must bring; by chance one in twenty thousand does.
@@ -138,20 +138,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
             texts = as_bytes(batch.column(1))
             for a, b in slices(texts):
                 owner, feature = matching(texts[a:b], every)
-                ends = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, *(batch.column(2 + i).slice(a, b - a) for i in range(len(categories)))], ["id", "features", *categories])
-
-    kinds = dict(part.dtypes)
-    schema = f"id {kinds['id']}, features array<long>, " + ", ".join(f"`{c}` {kinds[c]}" for c in categories)
-    rows_ = sorted(part.mapInArrow(present, schema).collect(), key=lambda r: str(r["id"]))
-    n = len(rows_)
-    owner = np.repeat(np.arange(n), [len(r["features"]) for r in rows_])
-    feature = np.array([f for r in rows_ for f in r["features"]], dtype=np.int64).view(U64)
+                places = np.searchsorted(every, feature).astype("<u2")
+                ends = np.searchsorted(owner, np.arange(b - a + 1))
+                rows = [places[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.string()), pa.array(rows, pa.binary()), *(batch.column(2 + i).slice(a, b - a).cast(pa.int32()) for i in range(len(categories)))], ["id", "places", *categories])
+
+    schema = "id string, places binary, " + ", ".join(f"`{c}` int" for c in categories)
+    found = part.mapInArrow(present, schema).toArrow().sort_by("id")
+    n = found.num_rows
+    places = found.column("places").to_pylist()
+    owner = np.repeat(np.arange(n), [len(p) // 2 for p in places])
+    feature = every[np.frombuffer(b"".join(places), dtype="<u2")]
     fold = np.random.default_rng(0).permutation(n) % folds
     earlier, models = np.zeros((n, 0)), []
     for i, category in enumerate(categories):
-        y = np.array([float(r[category]) for r in rows_])
+        y = found.column(category).to_numpy().astype(float)
         at = np.minimum(np.searchsorted(known[i], feature), max(len(known[i]) - 1, 0))
         hit = known[i][at] == feature if len(known[i]) else np.zeros(len(feature), dtype=bool)
         o, f = owner[hit], at[hit]
@@ -170,10 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
 def matching(texts: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (text, feature) pairs whose feature is known, in order of the texts."""
     owner, feature = features(texts)
+    if not len(known):
+        return owner[:0], feature[:0]
     table_ = np.zeros(1 << 20, dtype=bool)
     table_[(known & U64((1 << 20) - 1)).astype(np.int64)] = True
     maybe = table_[(feature & U64((1 << 20) - 1)).astype(np.int64)]
-    return distinct(owner[maybe], feature[maybe])
+    owner, feature = owner[maybe], feature[maybe]
+    hit = known[np.minimum(np.searchsorted(known, feature), len(known) - 1)] == feature
+    return distinct(owner[hit], feature[hit])
 
 
 def score(docs: DataFrame, models: list[Linear], names: Sequence[str]) -> DataFrame:
