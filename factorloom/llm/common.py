@@ -116,9 +116,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("l"))
     while True:
         labels = checkpoint(labels)
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        down = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
-        jump = down.select(F.col("u").alias("m"), F.col("m").alias("j"))
+        near = both.join(small(labels).withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
+        down = checkpoint(labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m")))
+        jump = small(down).select(F.col("u").alias("m"), F.col("m").alias("j"))
         new = checkpoint(down.join(jump, "m").select("u", "l", F.col("j").alias("new")))
         moved = new.where("new < l").limit(1).count()
         labels = new.select("u", F.col("new").alias("l"))

@@ -3,8 +3,8 @@
 Documents with one shingle set are collapsed first. The others get BANDS * ROWS minima from a single pass over their
 shingle hashes; an empty bin takes the minimum of a full bin that its own fixed random order names. Documents that
 agree on a band share a bucket. A bucket never yields its pairs: all members meet one centre, the member that shares
-the most buckets; those that are not near it form the next star, until none are left. Links are confirmed on the
-full sets.
+the most buckets; those that are not near it form the next stars, of a few centres, until none are left. Links are
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, checkpoint, components, slices, splitmix, table
+from .common import U64, WordHasher, checkpoint, components, slices, small, splitmix, table
 
 BANDS, ROWS = 40, 6
+#: Centres that the members of a bucket meet in one round, at most.
+CENTRES = 64
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 _hasher: list[WordHasher] = []
@@ -85,7 +87,7 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 np.add.at(d1, owner, splitmix(flat ^ U64(0x5555555555555555)))
                 np.add.at(d2, owner, splitmix(flat + U64(0x1234567)))
                 minima = signatures(flat, owner, b - a, bands * rows, orders).reshape(b - a, bands, rows)
-                keys = np.zeros((b - a, bands), dtype=U64)
+                keys = np.tile(splitmix(np.arange(bands, dtype=U64)), (b - a, 1))
                 for r in range(rows):
                     keys = splitmix(keys * U64(0x100000001B3) + minima[:, :, r])
                 offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * bands)
@@ -129,36 +131,38 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(apply, "a long, b long, ok boolean")
+    edges = small(edges)
+    left = sets.join(edges, F.col("id") == F.col("a")).select("a", "b", F.col("set").alias("x"))
+    right = sets.join(edges, F.col("id") == F.col("b")).select("a", "b", F.col("set").alias("y"))
+    return left.join(right, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(apply, "a long, b long, ok boolean")
 
 
 def near_links(docs: DataFrame, sketches: DataFrame, words: int, percent: int, bands: int) -> DataFrame:
     """Confirmed links (a, b) between the rows of sketches; docs has the texts as (id, text)."""
-    n = sketches.select("id", "n_shingles", F.posexplode("keys").alias("band", "key"))
-    shared = n.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    members = checkpoint(n.join(shared, ["band", "key"]).select("band", "key", "id", "n_shingles", "members"))
-    degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
-    members = checkpoint(members.join(degree, "id").select("band", "key", "id", "n_shingles", "degree"))
-    known = sets = None
+    n = sketches.select("id", "n_shingles", F.explode("keys").alias("bucket"))
+    shared = n.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    members = checkpoint(n.join(shared, "bucket").select("bucket", "id", "n_shingles", "members"))
+    degree = checkpoint(members.groupBy("id").agg(F.sum("members").alias("degree")))
+    members = members.join(small(degree), "id").select("bucket", "id", "n_shingles", "degree")
+    wanted = small(degree.select("id"))
+    sets = checkpoint(shingle_sets(docs.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]))
+    links, centres = None, 1
     while True:
-        centre = F.max_by(F.struct("id", "n_shingles"), F.struct("degree", -F.col("id"))).alias("c")
-        stars = members.groupBy("band", "key").agg(centre, F.count("*").alias("members")).where("members > 1")
-        rays = members.join(stars.select("band", "key", "c"), ["band", "key"]).where("id <> c.id")
-        rays = checkpoint(rays.select("band", "key", "id", "n_shingles", "degree", F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"),
-            (F.least("n_shingles", "c.n_shingles") * 100 >= percent * F.greatest("n_shingles", "c.n_shingles")).alias("sized")))
-        new = rays.where("sized").select("a", "b").distinct()
-        if known is not None:
-            new = new.join(known, ["a", "b"], "left_anti")
-        new = checkpoint(new)
-        wanted = new.select(F.col("a").alias("id")).union(new.select("b")).distinct()
-        found = confirm(new, shingle_sets(docs.join(wanted, "id", "left_semi"), words), percent)
-        known = checkpoint(found if known is None else known.union(found))
-        failed = rays.join(known, ["a", "b"], "left").where("NOT coalesce(ok, false)")
-        members = checkpoint(failed.select("band", "key", "id", "n_shingles", "degree"))
+        best = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
+        heads = members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= centres)
+        heads = heads.select("bucket", F.col("id").alias("head"), F.col("n_shingles").alias("head_size"))
+        pair = [F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")]
+        sized = F.least("n_shingles", "head_size") * 100 >= percent * F.greatest("n_shingles", "head_size")
+        rays = checkpoint(members.join(heads, "bucket").select(*members.columns, *pair, sized.alias("sized"), (F.col("id") == F.col("head")).alias("self")))
+        pairs = checkpoint(rays.where("sized AND NOT self").select("a", "b").distinct())
+        near = checkpoint(confirm(pairs, sets, percent).where("ok").select("a", "b"))
+        links = near if links is None else links.union(near)
+        done = F.max(F.col("self") | F.coalesce("ok", F.lit(False)))
+        left = rays.join(small(near).withColumn("ok", F.lit(True)), ["a", "b"], "left").groupBy(*members.columns).agg(done.alias("done"))
+        members = checkpoint(left.where("NOT done").drop("done"))
         if not members.limit(1).count():
-            return known.where("ok").select("a", "b")
+            return links.distinct()
+        centres = min(8 * centres, CENTRES)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
