@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import U64, WordHasher, checkpoint, slices, table
 
 ORDER = 5
-BLOCK_CHARS = 16_000_000
-LEAST_BLOCKS = 24
+BLOCK_CHARS = 20_000_000
+#: Characters that are worked on at a time.
+SLICE = 2_000_000
+LEAST_BLOCKS = 12
 #: UTF-8 has neither of these bytes: what stands before a text, and its end.
 START, END = b"\xfe", b"\xff"
 #: The key of the end token among the words.
@@ -35,11 +37,12 @@ _hasher: list[WordHasher] = []
 def entries(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The (context, byte) key of every predicted byte in order, the byte lowest, and their number per text."""
     data = [b" ".join((t or "").encode().lower().split()) + END for t in texts]
-    joined = np.frombuffer(START * ORDER + (START * ORDER).join(data), dtype=np.uint8).astype(U64)
-    keys = joined[ORDER:].copy()
-    for k in range(1, ORDER + 1):
-        keys |= joined[ORDER - k : len(joined) - k] << U64(8 * k)
-    return keys[joined[ORDER:] != START[0]], np.array([len(d) for d in data])
+    joined = START * ORDER + (START * ORDER).join(data) + bytes(7)
+    n = len(joined) - 7 - ORDER
+    last = np.frombuffer(joined, dtype=np.uint8)[ORDER : ORDER + n]
+    eight = np.ndarray((n,), dtype=">u8", buffer=joined, strides=(1,))  # the eight bytes from each place on
+    keys = eight[last != START[0]].astype(U64) >> U64(8 * (7 - ORDER))
+    return keys, np.array([len(d) for d in data])
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +57,14 @@ KINDS = ((ENTRY, entries), (TOKEN, tokens))
 
 
 def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, keys = pd.factorize(np.concatenate([p[0] for p in parts]))
-    return keys, np.bincount(codes, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+    """One row per key of several tallies."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(n[order], starts)
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -70,16 +79,18 @@ def count(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            train = ~np.array(batch.column(1).to_pylist(), dtype=bool)
-            for a, b in slices([t or "" for t in texts]):
-                for kind, keyed in KINDS:
-                    keys, number = keyed(texts[a:b])
-                    kept[kind].append(_tally([(keys, np.repeat(train[a:b], number))]))
-                    if sum(len(k) for k, _ in kept[kind]) > 2_000_000:
-                        kept[kind] = [_tally(kept[kind])]
-                        if len(kept[kind][0][0]) > 1_000_000:
-                            yield rows(kind)
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            held = np.array(batch.column(1).to_pylist(), dtype=bool)
+            for learn in (True, False):
+                own = [t for t, h in zip(texts, held) if h != learn]
+                for a, b in slices(own, SLICE):
+                    for kind, keyed in KINDS:
+                        keys, n = np.unique(keyed(own[a:b])[0], return_counts=True)
+                        kept[kind].append((keys, n if learn else np.zeros(len(n), dtype=np.int64)))
+                        if sum(len(k) for k, _ in kept[kind]) > 4_000_000:
+                            kept[kind] = [_tally(kept[kind])]
+                            if len(kept[kind][0][0]) > 3_000_000:
+                                yield rows(kind)
         for kind in kept:
             if kept[kind]:
                 yield rows(kind)
@@ -89,8 +100,10 @@ def count(docs: DataFrame) -> DataFrame:
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(key, value): log10 of the probability of each entry (key, n), n = 0 for entries that training has not seen."""
-    counts = checkpoint(counts)
+    """(key, value): log10 of the probability of each entry (key, n), n = 0 for entries that training has not seen.
+
+    counts is read several times: it should be a checkpoint.
+    """
     seen = {ORDER: counts.where("n > 0").select("key", "n")}
     for k in range(ORDER - 1, -1, -1):
         seen[k] = checkpoint(seen[k + 1].groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")))
@@ -131,18 +144,20 @@ def _block_keys(docs: DataFrame) -> DataFrame:
     """(block, kind, key): the distinct entries and tokens of each block; docs is dealt by block."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], np.ndarray] = {}
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             texts = np.array([t or "" for t in batch.column(1).to_pylist()], dtype=object)
             blocks = batch.column(3).to_numpy()
             for block in np.unique(blocks):
                 own = texts[blocks == block].tolist()
-                for a, b in slices(own):
+                for a, b in slices(own, SLICE):
                     for kind, keyed in KINDS:
-                        keys = pd.unique(keyed(own[a:b])[0])
-                        at = (int(block), kind)
-                        found[at] = pd.unique(np.concatenate([found[at], keys])) if at in found else keys
-        for (block, kind), keys in found.items():
+                        parts = found.setdefault((int(block), kind), [])
+                        parts.append(np.unique(keyed(own[a:b])[0]))
+                        if sum(map(len, parts)) > 4_000_000:
+                            parts[:] = [np.unique(np.concatenate(parts))]
+        for (block, kind), parts in found.items():
+            keys = np.unique(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), block, dtype=np.int32)), pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64))], ["block", "kind", "key"]
             )
@@ -163,13 +178,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     read = docs.select(F.col(id_col).alias("id"), text.alias("text"), (F.crc32(name) % 5 == 1).alias("held_out"))
     size = read.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_CHARS))
-    counts = checkpoint(count(read.select("text", "held_out")))
+    counts = checkpoint(count(read.select("text", "held_out").coalesce(blocks)))
     words = counts.where(F.col("kind") == TOKEN)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     trie = log_probabilities(counts.where(F.col("kind") == ENTRY).select("key", "n"))
     base = F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1)))
     model = trie.select(F.lit(ENTRY).alias("kind"), "key", "value", F.lit(True).alias("known"))
-    model = checkpoint(model.union(words.select("kind", "key", base, F.col("n") > 0)))
+    model = model.union(words.select("kind", "key", base, F.col("n") > 0))
     dealt = read.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     values = _block_keys(dealt).join(model, ["kind", "key"]).select("block", "kind", "key", "value", "known")
     kinds = dict(read.dtypes)
@@ -184,7 +199,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             found[which] = keys[mine], value[mine], known[mine]
         texts = own.column("text").to_pylist()
         columns: list[list] = [[], [], [], []]
-        for a, b in slices([t or "" for t in texts]):
+        for a, b in slices([t or "" for t in texts], SLICE):
             for which, keyed in KINDS:
                 seen, number = keyed(texts[a:b])
                 codes, distinct_ = pd.factorize(seen)
