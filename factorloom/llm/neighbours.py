@@ -1,7 +1,8 @@
 """Embedding near-dedup by NN-descent.
 
 Equal vectors are collapsed. Random-hyperplane trees of bounded leaves give a first neighbour graph; NN-descent then
-joins neighbours of neighbours until no list changes, and enlarges the lists of vectors whose list is full of links.
+joins neighbours of neighbours until hardly a list changes, and enlarges the lists of vectors whose list is full of
+links.
 Lists only keep what can lead to a link: two neighbours of one vector at cosine t are at 2 * t * t - 1 at least. A
 fixed block of query vectors is compared with all vectors to audit the recall; more trees follow while it is short.
 Links of one component are last counted exactly, in blocks, so that large groups need no pairs.
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, small, table
 
 LINK = 0.9
-TREES, LEAF = 12, 512
-LIST, LARGEST = 10, 80
-ROUNDS, AUDIT, RECALL, MOST_TREES = 6, 128, 0.995, 48
+TREES, LEAF = 8, 512
+LIST, LARGEST = 10, 20
+#: A round that changes less than this share of the list entries is the last.
+LAST_CHANGE = 0.01
+ROUNDS, AUDIT, RECALL, MOST_TREES = 5, 128, 0.995, 40
 #: Vectors of one component that are compared at a time.
 BLOCK = 1024
 
@@ -130,13 +133,15 @@ def similarities(pairs: DataFrame, unit: DataFrame, floor: float) -> DataFrame:
             s = np.array([np.frombuffer(x) @ np.frombuffer(y) if ok else -2.0 for x, y, ok in zip(left, right, same)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["a", "b", "s"])
 
-    x, y = unit.select(F.col("id").alias("a"), F.col("vec").alias("x")), unit.select(F.col("id").alias("b"), F.col("vec").alias("y"))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(apply, "a long, b long, s double")
+    pairs = small(checkpoint(pairs))
+    x = unit.join(pairs, F.col("id") == F.col("a")).select("a", "b", F.col("vec").alias("x"))
+    y = unit.join(pairs, F.col("id") == F.col("b")).select("a", "b", F.col("vec").alias("y"))
+    found = x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(apply, "a long, b long, s double")
     return found.where(F.col("s") >= floor)
 
 
 def descend(graph: DataFrame, unit: DataFrame, link: float, floor: float) -> DataFrame:
-    """Refine the graph (a, b, s) by neighbours of neighbours until no list changes."""
+    """Refine the graph (a, b, s) by neighbours of neighbours until hardly a list changes."""
     sizes, room = None, LIST
     graph = checkpoint(shortened(graph.union(graph.select("b", "a", "s")), None, LIST))
     for _ in range(ROUNDS):
@@ -151,7 +156,7 @@ def descend(graph: DataFrame, unit: DataFrame, link: float, floor: float) -> Dat
         sizes = checkpoint(full.select("a", F.lit(room).alias("k")))
         old = graph
         graph = checkpoint(shortened(old.union(new).union(new.select("b", "a", "s")), sizes, LIST))
-        if not graph.join(old, ["a", "b"], "left_anti").limit(1).count():
+        if graph.join(old, ["a", "b"], "left_anti").count() <= LAST_CHANGE * graph.count():
             break
     return graph
 
