@@ -21,6 +21,8 @@ from .common import U64, WordHasher, checkpoint, slices, table
 #: Labelled rows that the models are fitted on, at most; features that each category may choose; folds.
 SAMPLE, FEATURES, FOLDS = 20_000, 1024, 3
 PREFIXES = (4, 5, 6, 7, 8)
+#: Rows that are scored at a time.
+ROWS_AT_ONCE = 500
 BETWEEN = bytes(b for b in range(128) if not chr(b).isalnum())
 #: Log-likelihood gain that a feature must bring; by chance one in twenty thousand does.
 LEAST_GAIN = 9.0
@@ -187,18 +189,19 @@ def score(docs: DataFrame, models: list[Linear], names: Sequence[str]) -> DataFr
     kinds = [f.dataType.simpleString() for f in docs.schema.fields]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column(batch.schema.get_field_index("__text")))
-            found = np.zeros((len(texts), 0))
-            parts = []
-            for a, b in slices(texts):
-                owner, feature = matching(texts[a:b], every)
-                found = np.zeros((b - a, 0))
-                for m in models:
-                    found = np.column_stack([found, m.score(owner, feature, b - a, found)])
-                parts.append(found)
-            found = np.concatenate(parts) if parts else np.zeros((0, len(models)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(len(models)))], [*batch.schema.names, *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                texts = as_bytes(batch.column(batch.schema.get_field_index("__text")))
+                parts = []
+                for a, b in slices(texts):
+                    owner, feature = matching(texts[a:b], every)
+                    found = np.zeros((b - a, 0))
+                    for m in models:
+                        found = np.column_stack([found, m.score(owner, feature, b - a, found)])
+                    parts.append(found)
+                found = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(len(models)))], [*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f}` {k}" for f, k in zip(docs.columns, kinds)) + "".join(f", `{c}` double" for c in names)
     return docs.mapInArrow(apply, schema)
