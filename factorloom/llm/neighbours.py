@@ -2,7 +2,8 @@
 
 Equal vectors are collapsed. Random-hyperplane trees of bounded leaves give a first neighbour graph; NN-descent then
 joins neighbours of neighbours until hardly a list changes, and enlarges the lists of vectors whose list is full of
-links.
+links. The lists only steer the search: every link that a leaf or a round verifies goes to a table of its own, from
+which the components come. Vectors whose list stays full of links at its largest size meet all vectors in blocks.
 Lists only keep what can lead to a link: two neighbours of one vector at cosine t are at 2 * t * t - 1 at least. A
 fixed block of query vectors is compared with all vectors to audit the recall; more trees follow while it is short.
 Links of one component are last counted exactly, in blocks, so that large groups need no pairs.
@@ -28,6 +29,8 @@ LAST_CHANGE = 0.01
 ROUNDS, AUDIT, RECALL, MOST_TREES = 5, 128, 0.995, 40
 #: Vectors of one component that are compared at a time.
 BLOCK = 1024
+#: Vectors of one block, at most, where all vectors are compared.
+STRIP = 32768
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -96,21 +99,78 @@ def tree_leaves(unit: DataFrame, rows: int, trees: range, leaf: int) -> DataFram
     return split.select("tree", "leaf", part.alias("part"), "id", "vec")
 
 
-def leaf_neighbours(leaves: DataFrame, k: int, floor: float) -> DataFrame:
-    """(a, b, s) with s >= floor: the k nearest of each vector in its leaf."""
+def _join(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """roots, where each place names the smallest place that it is linked with, after the links a - b."""
+    while True:
+        low, high = np.minimum(roots[a], roots[b]), np.maximum(roots[a], roots[b])
+        new = low < high
+        if not new.any():
+            return roots
+        a, b = a[new], b[new]
+        np.minimum.at(roots, high[new], low[new])
+        while (roots[roots] != roots).any():
+            roots = roots[roots]
+
+
+def _stars(ids: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One edge from each place to its root: the same components as all the links behind roots."""
+    at = np.flatnonzero(roots != np.arange(len(roots)))
+    return ids[roots[at]], ids[at]
+
+
+def leaf_neighbours(leaves: DataFrame, k: int, floor: float, link: float) -> DataFrame:
+    """(a, b, s) with s >= floor: the k nearest of each vector in its leaf; with s null: edges that join what is linked.
+
+    The edges stand for all links of the leaf, however many.
+    """
 
     def apply(group: pd.DataFrame) -> pd.DataFrame:
         x, ids = matrix(group["vec"]), group["id"].to_numpy()
-        out = []
+        out, roots = [], np.arange(len(ids))
         for i in range(0, len(ids), BLOCK):
             s = x[i : i + BLOCK] @ x.T
             r, c = np.nonzero(s >= floor)
-            other = ids[r + i] != ids[c]
-            out.append(_top(ids[r + i][other], ids[c][other], s[r, c][other], k))
+            near, other = s[r, c], ids[r + i] != ids[c]
+            roots = _join(roots, r[near >= link] + i, c[near >= link])
+            out.append(_top(ids[r + i][other], ids[c][other], near[other], k))
+        a, b = _stars(ids, roots)
+        out.append((a, b, np.full(len(a), np.nan)))
         a, b, s = (np.concatenate([o[j] for o in out]) for j in range(3))
         return pd.DataFrame({"a": a, "b": b, "s": s})
 
-    return leaves.groupBy("tree", "leaf", "part").applyInPandas(apply, "a long, b long, s double")
+    found = leaves.groupBy("tree", "leaf", "part").applyInPandas(apply, "a long, b long, s double")
+    return found.withColumn("s", F.nanvl("s", F.lit(None).cast("double")))
+
+
+def block_edges(left: DataFrame, right: DataFrame | None, link: float) -> DataFrame:
+    """(a, b): edges with the components of all links between left and right (id, vec), or within left; all pairs in blocks."""
+    whole = right is None
+    right = left if whole else right
+    strip = F.least(F.lit(STRIP), F.greatest(F.lit(BLOCK), F.ceil(F.count("*") / 8.0)))
+    m, n = (frame.groupBy(F.length("vec").alias("bytes")).agg(F.ceil(F.count("*") / strip).cast("int").alias(c)) for frame, c in ((left, "m"), (right, "n")))
+    parts = checkpoint(m.join(n, "bytes"))
+
+    def dealt(frame: DataFrame, mine: str, block: str, other: str, others: str) -> DataFrame:
+        own = frame.withColumn("bytes", F.length("vec")).join(F.broadcast(parts), "bytes").withColumn(block, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
+        return own.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(*(F.col(c).alias(c) for c in ("bytes", "i", "j", "id", "vec")))
+
+    x, y = dealt(left, "m", "i", "j", "n"), dealt(right, "n", "j", "i", "m")
+    if whole:
+        x, y = x.where("i <= j"), y.where("i <= j")
+
+    def apply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+        u, v, ids = matrix(a["vec"]), matrix(b["vec"]), np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])
+        roots = np.arange(len(ids))
+        for k in range(0, len(u), BLOCK):
+            r, c = np.nonzero(u[k : k + BLOCK] @ v.T >= link)
+            roots = _join(roots, r + k, c + len(u))
+        first, second = _stars(ids, roots)
+        return pd.DataFrame({"a": first, "b": second})
+
+    keys = ["bytes", "i", "j"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(apply, "a long, b long").where("a <> b")
 
 
 def shortened(graph: DataFrame, sizes: DataFrame | None, k: int) -> DataFrame:
@@ -140,25 +200,35 @@ def similarities(pairs: DataFrame, unit: DataFrame, floor: float) -> DataFrame:
     return found.where(F.col("s") >= floor)
 
 
-def descend(graph: DataFrame, unit: DataFrame, link: float, floor: float) -> DataFrame:
-    """Refine the graph (a, b, s) by neighbours of neighbours until hardly a list changes."""
-    sizes, room = None, LIST
-    graph = checkpoint(shortened(graph.union(graph.select("b", "a", "s")), None, LIST))
+def descend(graph: DataFrame, unit: DataFrame, link: float, floor: float, sizes: DataFrame | None) -> tuple[DataFrame, ...]:
+    """Refine the graph (a, b, s) by neighbours of neighbours until hardly a list changes.
+
+    sizes (a, k) are the enlarged lists so far, which stay so. Returns the graph, the sizes, the links (a, b) that the
+    rounds verified, and the vectors (id) whose list is full of links at its largest size.
+    """
+    graph = checkpoint(shortened(graph.union(graph.select("b", "a", "s")), sizes, LIST))
+    links = graph.where(F.col("s") >= link).select("a", "b")
     for _ in range(ROUNDS):
         step = graph.select(F.col("a").alias("m"), F.col("b").alias("b"))
         two = graph.select("a", F.col("b").alias("m")).join(step, "m").where("a < b").select("a", "b").distinct()
         have = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = similarities(two.join(have, ["a", "b"], "left_anti"), unit, floor)
-        new = checkpoint(new)
-        #: A list is saturated when it is full and every entry is a link: it may hide more of them.
-        full = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("worst")).where((F.col("n") >= room) & (F.col("worst") >= link))
-        room = min(2 * room, LARGEST)
-        sizes = checkpoint(full.select("a", F.lit(room).alias("k")))
+        new = checkpoint(similarities(two.join(have, ["a", "b"], "left_anti"), unit, floor))
+        links = links.union(new.where(F.col("s") >= link).select("a", "b"))
+        full = saturated(graph, sizes, link)
+        grown = full.select("a", F.least(2 * F.col("k"), F.lit(LARGEST)).alias("k"))
+        sizes = checkpoint(grown if sizes is None else sizes.union(grown).groupBy("a").agg(F.max("k").alias("k")))
         old = graph
         graph = checkpoint(shortened(old.union(new).union(new.select("b", "a", "s")), sizes, LIST))
         if graph.join(old, ["a", "b"], "left_anti").count() <= LAST_CHANGE * graph.count():
             break
-    return graph
+    return graph, sizes, links, saturated(graph, sizes, link).select(F.col("a").alias("id"))
+
+
+def saturated(graph: DataFrame, sizes: DataFrame | None, link: float) -> DataFrame:
+    """(a, k): the lists that are full, by their own size k, of nothing but links: they may hide more of them."""
+    lists = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("worst")).where(F.col("worst") >= link)
+    lists = lists.withColumn("k", F.lit(LIST)) if sizes is None else lists.join(sizes, "a", "left").withColumn("k", F.coalesce("k", F.lit(LIST)))
+    return lists.where("n >= k").select("a", "k")
 
 
 def audit(unit: DataFrame, links: DataFrame, link: float, queries: int = AUDIT) -> tuple[int, int]:
@@ -231,13 +301,16 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     unit = valid.join(classes, ["d", "e"]).where("id = lead").dropDuplicates(["id"]).select("id", "vec", "copies")
     unit = checkpoint(unit)
     n, floor = unit.count(), max(0.0, 2 * link * link - 1)
-    graph, trees = None, 0
+    graph, sizes, edges, trees = None, None, None, 0
     while True:
         leaves = tree_leaves(unit.select("id", "vec"), n, range(trees, trees + TREES), LEAF)
-        more = leaf_neighbours(leaves, LIST, floor)
-        graph = descend(more if graph is None else graph.union(more), unit, link, floor)
+        found = checkpoint(leaf_neighbours(leaves, LIST, floor, link))
+        more = found.where("s IS NOT NULL")
+        graph, sizes, verified, full = descend(more if graph is None else graph.union(more), unit, link, floor, sizes)
         trees += TREES
-        links = checkpoint(graph.where(F.col("s") >= link).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        verified = verified.union(found.where("s IS NULL").select("a", "b")).union(block_edges(unit.join(full, "id", "left_semi").select("id", "vec"), unit.select("id", "vec"), link))
+        edges = verified if edges is None else edges.union(verified)
+        edges = links = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         total, found = audit(unit, links, link)
         if found >= RECALL * total or trees >= MOST_TREES:
             break

@@ -54,6 +54,46 @@ def test_embedding_dedup_matches_all_pairs(spark):
     assert neighbours.embedding_dedup(df.limit(0)).count() == 0
 
 
+def bridged(groups, size, seed=11):
+    """Pairs of tight groups of distinct vectors; one vector of each group is linked with one of the other, no others are."""
+    rng, rows = np.random.default_rng(seed), []
+    angle = np.arccos(0.905)
+    for _ in range(groups):
+        q = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+        ends = [q[0], np.cos(angle) * q[0] + np.sin(angle) * q[1]]
+        for end, away in zip(ends, (-q[1], q[1])):
+            side = away - (away @ end) * end
+            rows.append(end)
+            for _ in range(size - 1):
+                noise = rng.standard_normal(16) * 0.01
+                v = end + 0.12 * side / np.linalg.norm(side) + noise
+                rows.append(v / np.linalg.norm(v))
+    return np.array(rows)
+
+
+def split_groups(spark, x):
+    """The component and the number of links of each vector by embedding_dedup, and by all pairs."""
+    near = x @ x.T >= 0.9
+    want = np.arange(len(x))
+    while True:
+        new = np.array([want[near[i]].min() for i in range(len(x))])
+        if (new == want).all():
+            break
+        want = new
+    order = np.random.default_rng(5).permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.component_id, r.n_links) for r in neighbours.embedding_dedup(df).collect()}
+    return [out[i] for i in range(len(x))], list(zip(want.tolist(), (near.sum(axis=1) - 1).tolist()))
+
+
+def test_embedding_dedup_keeps_the_one_link_between_tight_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "EXACT", 0, raising=False)
+    x = bridged(2, 60)
+    got, want = split_groups(spark, x)
+    assert len({c for c, _ in want}) == 2
+    assert got == want
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     rng = random.Random(5)
     line = lambda: " ".join("w%d" % rng.randrange(3000) for _ in range(30))
