@@ -1,11 +1,13 @@
-"""Embedding near-dedup by NN-descent.
+"""Embedding near-dedup: all pairs in blocks, or NN-descent where there are too many vectors for that.
 
-Equal vectors are collapsed. Random-hyperplane trees of bounded leaves give a first neighbour graph; NN-descent then
-joins neighbours of neighbours until hardly a list changes, and enlarges the lists of vectors whose list is full of
-links. The lists only steer the search: every link that a leaf or a round verifies goes to a table of its own, from
-which the components come. Vectors whose list stays full of links at its largest size meet all vectors in blocks.
+Equal vectors are collapsed. Up to EXACT vectors are all compared, block by block. For more, random-hyperplane trees of
+bounded leaves give a first neighbour graph; NN-descent then joins neighbours of neighbours until no list changes, and
+enlarges the lists of vectors whose list is full of links. The lists only steer the search: every link that a leaf or
+a round verifies goes to a table of its own, from which the components come. Vectors whose list stays full of links at
+its largest size meet all vectors in blocks.
 Lists only keep what can lead to a link: two neighbours of one vector at cosine t are at 2 * t * t - 1 at least. A
-fixed block of query vectors is compared with all vectors to audit the recall; more trees follow while it is short.
+block of query vectors, more of them in larger tables, is compared with all vectors to audit the recall; more trees
+follow while it is short, and if the last of them leave it short, all vectors are compared after all.
 Links of one component are last counted exactly, in blocks, so that large groups need no pairs.
 """
 
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, small, table
 
 LINK = 0.9
-TREES, LEAF = 8, 512
-LIST, LARGEST = 10, 20
-#: A round that changes less than this share of the list entries is the last.
-LAST_CHANGE = 0.01
-ROUNDS, AUDIT, RECALL, MOST_TREES = 5, 128, 0.995, 40
+#: Up to this many distinct vectors are compared with each other, all of them.
+EXACT = 200_000
+TREES, LEAF = 12, 512
+LIST, LARGEST = 10, 80
+ROUNDS, AUDIT, RECALL, MOST_TREES = 6, 128, 0.995, 48
 #: Vectors of one component that are compared at a time.
 BLOCK = 1024
 #: Vectors of one block, at most, where all vectors are compared.
@@ -201,7 +203,7 @@ def similarities(pairs: DataFrame, unit: DataFrame, floor: float) -> DataFrame:
 
 
 def descend(graph: DataFrame, unit: DataFrame, link: float, floor: float, sizes: DataFrame | None) -> tuple[DataFrame, ...]:
-    """Refine the graph (a, b, s) by neighbours of neighbours until hardly a list changes.
+    """Refine the graph (a, b, s) by neighbours of neighbours until no list changes.
 
     sizes (a, k) are the enlarged lists so far, which stay so. Returns the graph, the sizes, the links (a, b) that the
     rounds verified, and the vectors (id) whose list is full of links at its largest size.
@@ -219,7 +221,7 @@ def descend(graph: DataFrame, unit: DataFrame, link: float, floor: float, sizes:
         sizes = checkpoint(grown if sizes is None else sizes.union(grown).groupBy("a").agg(F.max("k").alias("k")))
         old = graph
         graph = checkpoint(shortened(old.union(new).union(new.select("b", "a", "s")), sizes, LIST))
-        if graph.join(old, ["a", "b"], "left_anti").count() <= LAST_CHANGE * graph.count():
+        if not graph.join(old, ["a", "b"], "left_anti").limit(1).count():
             break
     return graph, sizes, links, saturated(graph, sizes, link).select(F.col("a").alias("id"))
 
@@ -286,6 +288,24 @@ def counted_links(unit: DataFrame, members: DataFrame, link: float) -> DataFrame
     return found.groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
+def searched_edges(unit: DataFrame, n: int, link: float, floor: float) -> DataFrame:
+    """(a, b): edges that join the linked vectors of unit (id, vec), found by the search or, if the audit stays short, by all pairs."""
+    graph, sizes, links, trees = None, None, None, 0
+    while trees < MOST_TREES:
+        leaves = tree_leaves(unit.select("id", "vec"), n, range(trees, trees + TREES), LEAF)
+        found = checkpoint(leaf_neighbours(leaves, LIST, floor, link))
+        more = found.where("s IS NOT NULL")
+        graph, sizes, verified, full = descend(more if graph is None else graph.union(more), unit, link, floor, sizes)
+        trees += TREES
+        verified = verified.union(found.where("s IS NULL").select("a", "b")).union(block_edges(unit.join(full, "id", "left_semi").select("id", "vec"), unit.select("id", "vec"), link))
+        links = verified if links is None else links.union(verified)
+        links = checkpoint(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        total, seen = audit(unit, links, link, max(AUDIT, int(np.ceil(np.sqrt(n)))))
+        if seen >= RECALL * total:
+            return links
+    return block_edges(unit.select("id", "vec"), None, link)
+
+
 def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", link: float = LINK) -> DataFrame:
     """One row per row of rows: its id, n_links, component_id, kept.
 
@@ -301,19 +321,7 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     unit = valid.join(classes, ["d", "e"]).where("id = lead").dropDuplicates(["id"]).select("id", "vec", "copies")
     unit = checkpoint(unit)
     n, floor = unit.count(), max(0.0, 2 * link * link - 1)
-    graph, sizes, edges, trees = None, None, None, 0
-    while True:
-        leaves = tree_leaves(unit.select("id", "vec"), n, range(trees, trees + TREES), LEAF)
-        found = checkpoint(leaf_neighbours(leaves, LIST, floor, link))
-        more = found.where("s IS NOT NULL")
-        graph, sizes, verified, full = descend(more if graph is None else graph.union(more), unit, link, floor, sizes)
-        trees += TREES
-        verified = verified.union(found.where("s IS NULL").select("a", "b")).union(block_edges(unit.join(full, "id", "left_semi").select("id", "vec"), unit.select("id", "vec"), link))
-        edges = verified if edges is None else edges.union(verified)
-        edges = links = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        total, found = audit(unit, links, link)
-        if found >= RECALL * total or trees >= MOST_TREES:
-            break
+    links = checkpoint(block_edges(unit.select("id", "vec"), None, link) if n <= EXACT else searched_edges(unit, n, link, floor))
     of = components(links)
     inner = counted_links(unit, of, link)
     known = classes.join(of.withColumnRenamed("id", "lead"), "lead", "left").join(inner.withColumnRenamed("id", "lead"), "lead", "left")

@@ -94,6 +94,28 @@ def test_embedding_dedup_keeps_the_one_link_between_tight_groups(spark, monkeypa
     assert got == want
 
 
+def test_embedding_dedup_does_not_settle_for_a_short_audit(spark, monkeypatch):
+    """Vectors by twos in leaves of two: one batch of trees and no rounds leave pairs out, which the audit sees."""
+    for name, value in (("EXACT", 0), ("LEAF", 2), ("TREES", 1), ("MOST_TREES", 1), ("ROUNDS", 0)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base, base + 0.3 * rng.standard_normal(base.shape)])
+    got, want = split_groups(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert got == want
+
+
+def test_embedding_dedup_sees_every_pair_of_a_table_that_fits(spark, monkeypatch):
+    """A pair that neither its leaves nor the audited vectors can show."""
+    for name, value in (("LEAF", 2), ("TREES", 1), ("MOST_TREES", 1), ("ROUNDS", 0), ("AUDIT", 1)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base, base + 0.3 * rng.standard_normal(base.shape)])
+    got, want = split_groups(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert got == want
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     rng = random.Random(5)
     line = lambda: " ".join("w%d" % rng.randrange(3000) for _ in range(30))
