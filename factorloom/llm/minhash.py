@@ -3,8 +3,9 @@
 Documents with one shingle set are collapsed first. The others get BANDS * ROWS minima from a single pass over their
 shingle hashes; an empty bin takes the minimum of a full bin that its own fixed random order names. Documents that
 agree on a band share a bucket. A bucket never yields its pairs: all members meet one centre, the member that shares
-the most buckets; those that are not near it form the next stars, of a few centres, until none are left. Links are
-confirmed on the full sets.
+the most buckets; those that are not near it form the next stars, of a few centres, until none are left. Then the
+members of a bucket that are in different components and have not met are compared: no link between two members of a
+bucket goes missing, and pairs within a component are never made. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -137,16 +138,16 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(apply, "a long, b long, ok boolean")
 
 
-def near_links(docs: DataFrame, sketches: DataFrame, words: int, percent: int, bands: int) -> DataFrame:
-    """Confirmed links (a, b) between the rows of sketches; docs has the texts as (id, text)."""
+def near_components(docs: DataFrame, sketches: DataFrame, same: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component_id) of the rows of sketches that are linked; docs has the texts as (id, text), same further links."""
     n = sketches.select("id", "n_shingles", F.explode("keys").alias("bucket"))
     shared = n.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = checkpoint(n.join(shared, "bucket").select("bucket", "id", "n_shingles", "members"))
     degree = checkpoint(members.groupBy("id").agg(F.sum("members").alias("degree")))
-    members = members.join(small(degree), "id").select("bucket", "id", "n_shingles", "degree")
+    everyone, members = members, members.join(small(degree), "id").select("bucket", "id", "n_shingles", "degree")
     wanted = small(degree.select("id"))
     sets = checkpoint(shingle_sets(docs.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]))
-    links, centres = None, 1
+    links, tested, leaves, centres = same, None, None, 1
     while True:
         best = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
         heads = members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= centres)
@@ -156,13 +157,45 @@ def near_links(docs: DataFrame, sketches: DataFrame, words: int, percent: int, b
         rays = checkpoint(members.join(heads, "bucket").select(*members.columns, *pair, sized.alias("sized"), (F.col("id") == F.col("head")).alias("self")))
         pairs = checkpoint(rays.where("sized AND NOT self").select("a", "b").distinct())
         near = checkpoint(confirm(pairs, sets, percent).where("ok").select("a", "b"))
-        links = near if links is None else links.union(near)
+        links = links.union(near)
+        tested = pairs if tested is None else tested.union(pairs)
         done = F.max(F.col("self") | F.coalesce("ok", F.lit(False)))
-        left = rays.join(small(near).withColumn("ok", F.lit(True)), ["a", "b"], "left").groupBy(*members.columns).agg(done.alias("done"))
-        members = checkpoint(left.where("NOT done").drop("done"))
+        left = rays.join(small(near).withColumn("ok", F.lit(True)), ["a", "b"], "left").groupBy(*members.columns).agg(done.alias("done"), F.max("self").alias("head"))
+        left = checkpoint(left)
+        members, own = left.where("NOT done").select(*members.columns), left.where("done AND NOT head").select("bucket", "id")
+        leaves = own if leaves is None else leaves.union(own)
         if not members.limit(1).count():
-            return links.distinct()
+            break
         centres = min(8 * centres, CENTRES)
+    found = checkpoint(components(links))
+    pairs = checkpoint(unmet(everyone, leaves, found, percent).join(tested, ["a", "b"], "left_anti"))
+    near = checkpoint(confirm(pairs, sets, percent).where("ok").select("a", "b"))
+    if not near.limit(1).count():
+        return found
+    #: No broadcasts here: several copies of found at once are more than the driver holds.
+    for end in ("a", "b"):
+        near = near.join(found.withColumnRenamed("id", end).hint("merge"), end, "left").withColumn(end, F.coalesce("component_id", end)).select("a", "b")
+    merged = checkpoint(components(checkpoint(near.where("a <> b").distinct()))).withColumnRenamed("component_id", "to")
+    alone = merged.join(found, "id", "left_anti").select("id", F.col("to").alias("component_id"))
+    kept = found.join(merged.withColumnRenamed("id", "component_id"), "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
+    return kept.union(alone)
+
+
+def unmet(everyone: DataFrame, leaves: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components of which one at least is a leaf: near a centre, none itself.
+
+    Centres have met each other, and all members of a bucket that were left in their round.
+    """
+    own = everyone.join(found, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component_id", "id").alias("c"))
+    mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    own = checkpoint(own.join(mixed, "bucket", "left_semi"))
+    leaf = checkpoint(own.join(leaves, ["bucket", "id"], "left_semi"))
+    left, right = leaf.select("bucket", "c").distinct(), own.select("bucket", F.col("c").alias("other")).distinct()
+    meet = left.join(right, "bucket").where("c <> other")
+    x = leaf.select("bucket", "c", F.col("id").alias("x"), F.col("n_shingles").alias("m"))
+    y = own.select("bucket", F.col("c").alias("other"), F.col("id").alias("y"), F.col("n_shingles").alias("n"))
+    pairs = meet.join(x, ["bucket", "c"]).join(y, ["bucket", "other"]).where(F.least("m", "n") * 100 >= percent * F.greatest("m", "n"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -179,8 +212,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("lead"))
     same = checkpoint(filled.drop("keys").join(classes, ["n_shingles", "d1", "d2"]).select("id", "lead").distinct())
     leads = same.where("id = lead").select("id").distinct()
-    links = near_links(texts, sketches.where("n_shingles > 0").join(leads, "id", "left_semi").dropDuplicates(["id"]), words, percent, bands)
-    found = components(links.union(same.where("id <> lead").select("id", "lead")))
+    ones = sketches.where("n_shingles > 0").join(leads, "id", "left_semi").dropDuplicates(["id"])
+    found = near_components(texts, ones, same.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), words, percent)
     return sketches.select("id", "n_shingles").join(found, "id", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",

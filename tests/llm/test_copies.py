@@ -97,6 +97,27 @@ def test_near_dedup_finds_a_star_whose_leaves_are_not_near(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_dedup_links_leaves_of_a_star_with_what_is_not_near_its_centre(spark):
+    """Chains hub - x - y in one bucket: x is taken by the hub, y is near x only, and so on."""
+    rng = random.Random(4)
+    rows = []
+    for family in range(8):
+        chain = [words(rng, 200).split()]
+        for step in range(4):
+            copy = list(chain[-1])
+            for k in range(step + 1, 200, 22):
+                copy[k] = f"f{family}s{step}k{k}"
+            chain.append(copy)
+        rows += [(100 * family + i, " ".join(c)) for i, c in enumerate(chain)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(table(spark, rows), words=2, bands=2, rows=1).collect()}
+    want = brute_components(rows, 2, 80)
+    sketches = minhash.sketch(spark.createDataFrame(rows, "id long, text string"), 2, 2, 1).collect()
+    keys = {r.id: set(r["keys"]) for r in sketches}
+    joined = [f for f in range(8) if all(keys[100 * f + i] & keys[100 * f + i + 1] for i in range(4))]
+    assert len(joined) > 3 and all(want[100 * f + i][1] == 100 * f for f in joined for i in range(5))
+    assert all(got[100 * f + i] == want[100 * f + i] for f in joined for i in range(5))
+
+
 def test_near_dedup_of_nothing_and_null_ids(spark):
     assert minhash.near_dedup(table(spark, []).limit(0)).count() == 0
     got = minhash.near_dedup(spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c")], "doc_id long, text string")).collect()
