@@ -41,12 +41,19 @@ VARIANTS = (
 )
 
 
+#: The methods that orderings() knows; the others of VARIANTS are not built.
+ORDERED = ("composite", "momentum", "trend", "mean_reversion", "regime_adaptive")
+
+
 def orderings(ranked: DataFrame, regime: DataFrame, variants: tuple[Variant, ...]) -> DataFrame:
     """(strategy, date, ticker, selection_rank, exposure): every variant's own order of each date.
 
     ranked needs selection_score, decision_momentum_12m_ex_1m, decision_price_vs_200d_ma, rsi14_decision and the two
     adaptive scores. Trend wants a risk-on day; a regime variant keeps part of its money in cash on the others.
+    Raises on a variant of another method.
     """
+    if unknown := [v.name for v in variants if v.method not in ORDERED]:
+        raise ValueError(f"no ordering for {', '.join(unknown)}")
     spark = ranked.sparkSession
     table = spark.createDataFrame([(v.name, v.method, v.parameter) for v in variants], "strategy string, method string, parameter double")
     on = F.coalesce(F.col("risk_on_for_open"), F.lit(False))

@@ -14,7 +14,7 @@ import __spark_entry__
 from factorloom import sources
 from factorloom.functions import average_percent_rank, clip, lenient_date, lenient_double, mean_of_present, symbol, symbol_key
 from factorloom.operators import backtest, features, joins, metrics, panel, tuning
-from factorloom.plans import dataset, selectors
+from factorloom.plans import dataset, selectors, strategies
 
 DAYS = pd.bdate_range("2023-01-02", periods=320)
 
@@ -238,3 +238,11 @@ def test_query_matches_its_twin(spark, name):
 
 def test_the_flagship_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("method", ["rank_persistence", "risk_overlay", "performance_adaptive"])
+def test_orderings_refuse_methods_that_are_not_built(spark, method):
+    own = tuple(v for v in strategies.VARIANTS if v.method == method)
+    columns = "date date, ticker string, selection_score double, decision_momentum_12m_ex_1m double, decision_price_vs_200d_ma double, rsi14_decision double, adaptive_risk_on_score double, adaptive_risk_off_score double"
+    with pytest.raises(ValueError, match=own[0].name):
+        strategies.orderings(spark.createDataFrame([], columns), spark.createDataFrame([], "date date, risk_on_for_open boolean"), own)
