@@ -172,7 +172,7 @@ def near_components(docs: DataFrame, sketches: DataFrame, same: DataFrame, words
     near = checkpoint(confirm(pairs, sets, percent).where("ok").select("a", "b"))
     if not near.limit(1).count():
         return found
-    #: No broadcasts here: several copies of found at once are more than the driver holds.
+    #: found is as long as the linked documents: merged, not broadcast.
     for end in ("a", "b"):
         near = near.join(found.withColumnRenamed("id", end).hint("merge"), end, "left").withColumn(end, F.coalesce("component_id", end)).select("a", "b")
     merged = checkpoint(components(checkpoint(near.where("a <> b").distinct()))).withColumnRenamed("component_id", "to")
