@@ -7,36 +7,61 @@ UTF-8 bytes of a text.
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 U64 = np.uint64
-#: Tables of keys of up to this many rows are broadcast, larger ones are joined with a shuffle.
-BROADCAST_ROWS = 400_000
+#: Tables of keys of up to this many bytes are broadcast, larger ones are joined with a shuffle.
+BROADCAST_BYTES = 4_000_000
+#: Edges that one task joins at the end of a search for components, at most.
+FEW_EDGES = 1000
+#: Rows and characters of texts that a task works on at a time, and bytes of which words are hashed at a time.
+ROWS_AT_ONCE, CHARS_AT_ONCE, BYTES_AT_ONCE = 500, 250_000, 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder that the cluster names (spark.checkpoint.dir).
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names (spark.checkpoint.dir).
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own; a cluster without it is refused.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df as a table that is written to the shared folder and read again.
+
+    A table is smaller than the rows of df.checkpoint(), its size is known when joins are planned, and the plan after it
+    starts without the filters and constraints of the plan before it, which grow in loops.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The checkpointed df, with a broadcast hint if its counted size allows that."""
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The checkpointed df, with a broadcast hint if it is proven small: columns of fixed width, times the counted rows."""
+    if not all(isinstance(f.dataType, (NumericType, BooleanType, DateType)) for f in df.schema.fields):
+        return df
+    rows = limit // (16 + 8 * len(df.columns))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -73,8 +98,25 @@ class WordHasher:
         """The hash of each word of the texts in order, and the number of words of each text.
 
         With prefixes, also an array per length of the hashes of the words' first bytes and whether more bytes follow.
+        Long texts are worked on in parts that end between words.
         """
         data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        gaps = np.flatnonzero(self._space[data]) if len(data) > BYTES_AT_ONCE else None
+        parts, at = [], 0
+        while at < len(data):
+            end = len(data)
+            if end - at > BYTES_AT_ONCE:
+                k = np.searchsorted(gaps, at + BYTES_AT_ONCE)
+                end = int(gaps[k - 1 if k and gaps[k - 1] > at else k]) + 1
+            parts.append(self._part(data[at:end], at, prefixes))
+            at = end
+        starts, hashes, *cut = (np.concatenate(p) for p in zip(*parts))
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
+        return (hashes, counts, cut) if prefixes else (hashes, counts)
+
+    def _part(self, data: np.ndarray, offset: int, prefixes: tuple[int, ...]) -> list[np.ndarray]:
+        """Places and hashes of the words of data, which ends with a space, and the hashes of their prefixes."""
         if len(data) > len(self._up):
             self._powers(2 * len(data))
         gap = self._space[data]
@@ -83,17 +125,13 @@ class WordHasher:
         ends = np.flatnonzero(gap & ~before)
         sums = np.zeros(len(data) + 1, dtype=U64)
         np.cumsum(self._letters[data] * self._up[: len(data)], out=sums[1:])
-        hashes = splitmix((sums[ends] - sums[starts]) * self._down[starts])
-        bounds = np.cumsum([len(t) + 1 for t in texts])
-        upto = np.searchsorted(starts, bounds)
-        counts = np.diff(upto, prepend=0)
-        if not prefixes:
-            return hashes, counts
-        cut = [splitmix((sums[np.minimum(starts + k, ends)] - sums[starts]) * self._down[starts] + (starts + k < ends) + U64(2 * k)) for k in prefixes]
-        return hashes, counts, cut
+        down = self._down[starts]
+        whole = splitmix((sums[ends] - sums[starts]) * down)
+        cut = [splitmix((sums[np.minimum(starts + k, ends)] - sums[starts]) * down + (starts + k < ends) + U64(2 * k)) for k in prefixes]
+        return [starts + offset, whole, *cut]
 
 
-def slices(texts: list, limit: int = 2_000_000):
+def slices(texts: list, limit: int = CHARS_AT_ONCE):
     """(from, to) runs of texts of about limit characters; a longer text is a run of its own."""
     start = total = 0
     for i, t in enumerate(texts):
@@ -105,22 +143,60 @@ def slices(texts: list, limit: int = 2_000_000):
         yield start, len(texts)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch of ROWS_AT_ONCE rows and about CHARS_AT_ONCE characters, each with the texts of a column (null as empty)."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        part = batch.slice(at, ROWS_AT_ONCE)
+        texts = [t or "" for t in part.column(column).to_pylist()]
+        for a, b in slices(texts):
+            yield part.slice(a, b - a), texts[a:b]
+
+
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, p): each vertex of a few edges with one vertex of its component."""
+    root: dict[int, int] = {}
+    for frame in frames:
+        for pair in zip(frame["a"].tolist(), frame["b"].tolist()):
+            ends = []
+            for v in pair:
+                while root.setdefault(v, v) != v:
+                    root[v] = v = root[root[v]]
+                ends.append(v)
+            root[max(ends)] = min(ends)
+    out = {}
+    for v in root:
+        p = v
+        while root[p] != p:
+            p = root[p]
+        out[v] = p
+    yield pd.DataFrame({"u": list(out), "p": list(out.values())}, dtype=np.int64)
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(id, component_id) for every vertex of edges (a, b): component_id is the smallest id reachable.
 
-    Labels fall to the smallest label among the neighbours, then each vertex takes its label's label, until
-    nothing changes. Only counts come to the driver; each round cuts its lineage.
+    The graph is contracted: in each round every vertex moves to the neighbour, or that neighbour's choice, with the
+    smallest hash under a seed of the round, and edges move along. At least half of the vertices are expected to go
+    in a round, whatever the graph looks like, so a chain takes a logarithmic number of rounds. Neighbours are
+    aggregated before they are shuffled. The last ``few`` edges are joined in one task. Only counts come to the driver;
+    each round cuts its lineage.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = checkpoint(both.union(both.select("v", "u")).distinct())
-    labels = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("l"))
-    while True:
-        labels = checkpoint(labels)
-        near = both.join(small(labels).withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        down = checkpoint(labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m")))
-        jump = small(down).select(F.col("u").alias("m"), F.col("m").alias("j"))
-        new = checkpoint(down.join(jump, "m").select("u", "l", F.col("j").alias("new")))
-        moved = new.where("new < l").limit(1).count()
-        labels = new.select("u", F.col("new").alias("l"))
-        if not moved:
-            return labels.select(F.col("u").alias("id"), F.col("l").alias("component_id"))
+    left = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moves: list[DataFrame] = []
+    while left.limit(few + 1).count() > few:
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("v"))
+        both = left.select(F.col("a").alias("u"), rank("b").alias("v")).union(left.select(F.col("b"), rank("a")))
+        best = both.groupBy("u").agg(F.min("v").alias("v"))
+        one = checkpoint(best.select("u", F.least("v", rank("u"))["v"].alias("p")))
+        moves.append(checkpoint(one.join(small(one).select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p"))))
+        to = small(moves[-1])
+        for end in ("a", "b"):
+            left = left.join(to.withColumnRenamed("u", end), end).withColumn(end, F.col("p")).drop("p")
+        left = checkpoint(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moves.append(checkpoint(left.coalesce(1).mapInPandas(_joined, "u long, p long")))
+    found = moves.pop()
+    while moves:
+        found = moves.pop().join(small(found).select(F.col("u").alias("p"), F.col("p").alias("q")), "p", "left").select("u", F.coalesce("q", "p").alias("p"))
+        found = checkpoint(found)
+    least = checkpoint(found.groupBy("p").agg(F.min("u").alias("component_id")))
+    return found.join(small(least), "p").select(F.col("u").alias("id"), "component_id")

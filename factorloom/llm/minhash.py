@@ -2,10 +2,11 @@
 
 Documents with one shingle set are collapsed first. The others get BANDS * ROWS minima from a single pass over their
 shingle hashes; an empty bin takes the minimum of a full bin that its own fixed random order names. Documents that
-agree on a band share a bucket. A bucket never yields its pairs: all members meet one centre, the member that shares
-the most buckets; those that are not near it form the next stars, of a few centres, until none are left. Then the
-members of a bucket that are in different components and have not met are compared: no link between two members of a
-bucket goes missing, and pairs within a component are never made. Links are confirmed on the full sets.
+agree on a band share a bucket, and buckets with the same members are one. A bucket does not yield its pairs: all
+members meet one centre, the member that shares the most buckets, and the links that hold on the full sets make
+components. Where a bucket still has more than one component, the members outside the centre's component meet the
+members of other components by their signatures, block by block inside tasks; only pairs that can be near leave a
+task, and are confirmed on the full sets as well.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, checkpoint, components, slices, small, splitmix, table
+from .common import U64, WordHasher, checkpoint, components, portions, small, splitmix, table
 
 BANDS, ROWS = 40, 6
-#: Centres that the members of a bucket meet in one round, at most.
-CENTRES = 64
+#: Members of a bucket that meet the same number of others in one task.
+BLOCK = 1024
+#: Standard deviations by which a pair's signatures may fall short of the wanted similarity: one link in a billion is further off.
+MARGIN = 6.0
+#: A set of which one in HEAVY rows or more are copies is joined by broadcast; there are HEAVY of them at most.
+HEAVY = 500
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 _hasher: list[WordHasher] = []
@@ -70,36 +75,34 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, bins: int, orders:
     return out
 
 
+def sets_of(texts: list[str], words: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    hashes, number = shingles([t.encode(errors="surrogatepass").lower() for t in texts], words)
+    return [np.unique(hashes[e - k : e]) for e, k in zip(np.cumsum(number), number)]
+
+
+def minima(sets: list[np.ndarray], bins: int, orders: np.ndarray) -> np.ndarray:
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return signatures(np.concatenate(sets) if sets else np.zeros(0, dtype=U64), owner, len(sets), bins, orders)
+
+
 def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(id, n_shingles, d1, d2, keys): d1, d2 tell the shingle set, keys are the hashes of the bands."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = fill_orders(bands * rows)
         for batch in batches:
-            texts = [(t or "").encode(errors="surrogatepass").lower() for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                hashes, number = shingles(texts[a:b], words)
-                ends = np.cumsum(number)
-                sets = [np.unique(hashes[e - k : e]) for e, k in zip(ends, number)]
-                sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                owner = np.repeat(np.arange(b - a), sizes)
-                flat = np.concatenate(sets) if sets else hashes
-                d1, d2 = np.zeros(b - a, dtype=U64), np.zeros(b - a, dtype=U64)
-                np.add.at(d1, owner, splitmix(flat ^ U64(0x5555555555555555)))
-                np.add.at(d2, owner, splitmix(flat + U64(0x1234567)))
-                minima = signatures(flat, owner, b - a, bands * rows, orders).reshape(b - a, bands, rows)
-                keys = np.tile(splitmix(np.arange(bands, dtype=U64)), (b - a, 1))
+            for part, texts in portions(batch, 1):
+                sets, n = sets_of(texts, words), len(texts)
+                d1, d2 = (np.array([splitmix(mix(s)).sum(dtype=U64) for s in sets], dtype=U64) for mix in (lambda s: s ^ U64(0x5555555555555555), lambda s: s + U64(0x1234567)))
+                least = minima(sets, bands * rows, orders).reshape(n, bands, rows)
+                keys = np.tile(splitmix(np.arange(bands, dtype=U64)), (n, 1))
                 for r in range(rows):
-                    keys = splitmix(keys * U64(0x100000001B3) + minima[:, :, r])
-                offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * bands)
+                    keys = splitmix(keys * U64(0x100000001B3) + least[:, :, r])
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * bands)
+                sizes = pa.array(np.array([len(s) for s in sets], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(sizes),
-                        pa.array(d1.view(np.int64)),
-                        pa.array(d2.view(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))),
-                    ],
+                    [part.column(0), sizes, pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))],
                     ["id", "n_shingles", "d1", "d2", "keys"],
                 )
 
@@ -111,15 +114,27 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode(errors="surrogatepass").lower() for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                hashes, number = shingles(texts[a:b], words)
-                sets = [np.unique(hashes[e - k : e]).tobytes() for e, k in zip(np.cumsum(number), number)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "set"])
+            for part, texts in portions(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets_of(texts, words)], pa.binary())], ["id", "set"])
 
     return docs.mapInArrow(apply, "id long, set binary")
 
 
+def signed(sets: DataFrame, bins: int) -> DataFrame:
+    """(id, n, signature): the minima of each set, shortened to 16 bits each, as bytes."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = fill_orders(bins)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                own = [np.frombuffer(x, dtype=U64) for x in part.column(1).to_pylist()]
+                short = (splitmix(minima(own, bins, orders)) >> U64(48)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([row.tobytes() for row in short], pa.binary())], ["id", "n", "signature"])
+
+    return sets.mapInArrow(apply, "id long, n long, signature binary")
+
+
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """edges (a, b) with ok: 100 * intersection >= percent * union on the full sets."""
 
@@ -138,64 +153,91 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(apply, "a long, b long, ok boolean")
 
 
-def near_components(docs: DataFrame, sketches: DataFrame, same: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, component_id) of the rows of sketches that are linked; docs has the texts as (id, text), same further links."""
+def buckets(sketches: DataFrame) -> DataFrame:
+    """(bucket, id, n_shingles, members) of the buckets with several members; of buckets with the same members one."""
     n = sketches.select("id", "n_shingles", F.explode("keys").alias("bucket"))
-    shared = n.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = checkpoint(n.join(shared, "bucket").select("bucket", "id", "n_shingles", "members"))
-    degree = checkpoint(members.groupBy("id").agg(F.sum("members").alias("degree")))
-    everyone, members = members, members.join(small(degree), "id").select("bucket", "id", "n_shingles", "degree")
-    wanted = small(degree.select("id"))
-    sets = checkpoint(shingle_sets(docs.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]))
-    links, tested, leaves, centres = same, None, None, 1
-    while True:
-        best = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
-        heads = members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= centres)
-        heads = heads.select("bucket", F.col("id").alias("head"), F.col("n_shingles").alias("head_size"))
-        pair = [F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")]
-        sized = F.least("n_shingles", "head_size") * 100 >= percent * F.greatest("n_shingles", "head_size")
-        rays = checkpoint(members.join(heads, "bucket").select(*members.columns, *pair, sized.alias("sized"), (F.col("id") == F.col("head")).alias("self")))
-        pairs = checkpoint(rays.where("sized AND NOT self").select("a", "b").distinct())
-        near = checkpoint(confirm(pairs, sets, percent).where("ok").select("a", "b"))
-        links = links.union(near)
-        tested = pairs if tested is None else tested.union(pairs)
-        done = F.max(F.col("self") | F.coalesce("ok", F.lit(False)))
-        left = rays.join(small(near).withColumn("ok", F.lit(True)), ["a", "b"], "left").groupBy(*members.columns).agg(done.alias("done"), F.max("self").alias("head"))
-        left = checkpoint(left)
-        members, own = left.where("NOT done").select(*members.columns), left.where("done AND NOT head").select("bucket", "id")
-        leaves = own if leaves is None else leaves.union(own)
-        if not members.limit(1).count():
-            break
-        centres = min(8 * centres, CENTRES)
-    found = checkpoint(components(links))
-    pairs = checkpoint(unmet(everyone, leaves, found, percent).join(tested, ["a", "b"], "left_anti"))
-    near = checkpoint(confirm(pairs, sets, percent).where("ok").select("a", "b"))
-    if not near.limit(1).count():
-        return found
-    #: found is as long as the linked documents: merged, not broadcast.
-    for end in ("a", "b"):
-        near = near.join(found.withColumnRenamed("id", end).hint("merge"), end, "left").withColumn(end, F.coalesce("component_id", end)).select("a", "b")
-    merged = checkpoint(components(checkpoint(near.where("a <> b").distinct()))).withColumnRenamed("component_id", "to")
-    alone = merged.join(found, "id", "left_anti").select("id", F.col("to").alias("component_id"))
-    kept = found.join(merged.withColumnRenamed("id", "component_id"), "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
-    return kept.union(alone)
-
-
-def unmet(everyone: DataFrame, leaves: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components of which one at least is a leaf: near a centre, none itself.
-
-    Centres have met each other, and all members of a bucket that were left in their round.
+    alike = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"), F.max("id").alias("last")]
+    shared = n.groupBy("bucket").agg(*alike).where("members > 1 AND first < last")
+    one = checkpoint(shared.groupBy("members", "x", "first", "last").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight")))
+    return checkpoint(n.join(small(one.select("bucket", "members", "weight")), "bucket"))
+
+
+def unmet(members: DataFrame, centres: DataFrame, found: DataFrame, sets: DataFrame, percent: int, bins: int) -> DataFrame:
+    """(a, b): members of one bucket and different components whose signatures don't rule out a link.
+
+    In buckets with more than one component, the members outside the component of the centre meet all members, in
+    blocks of BLOCK times BLOCK.
     """
-    own = everyone.join(found, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component_id", "id").alias("c"))
-    mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    own = checkpoint(own.join(mixed, "bucket", "left_semi"))
-    leaf = checkpoint(own.join(leaves, ["bucket", "id"], "left_semi"))
-    left, right = leaf.select("bucket", "c").distinct(), own.select("bucket", F.col("c").alias("other")).distinct()
-    meet = left.join(right, "bucket").where("c <> other")
-    x = leaf.select("bucket", "c", F.col("id").alias("x"), F.col("n_shingles").alias("m"))
-    y = own.select("bucket", F.col("c").alias("other"), F.col("id").alias("y"), F.col("n_shingles").alias("n"))
-    pairs = meet.join(x, ["bucket", "c"]).join(y, ["bucket", "other"]).where(F.least("m", "n") * 100 >= percent * F.greatest("m", "n"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    own = members.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
+    main = centres.join(found, F.col("centre") == F.col("id"), "left").select("bucket", F.coalesce("component_id", "centre").alias("main"))
+    own = own.join(main, "bucket").withColumn("other", F.col("c") != F.col("main"))
+    block = lambda n: F.ceil(n / float(BLOCK)).cast("int")
+    mixed = own.groupBy("bucket").agg(block(F.count_if("other")).alias("i"), block(F.count("*")).alias("j")).where("i > 0")
+    own = checkpoint(own.join(small(checkpoint(mixed)), "bucket").select("bucket", "id", "c", "other", "i", "j"))
+    wanted = checkpoint(signed(sets.join(small(checkpoint(own.select("id").distinct())), "id", "left_semi"), bins))
+    own = own.join(wanted, "id")
+    #: so many buckets go to a task together that they have about 4 * BLOCK rows
+    deal = F.pmod(F.xxhash64("bucket", F.lit(5)), F.lit(own.count() // (4 * BLOCK) + 1)).cast("int")
+    spread = lambda side: F.pmod(F.xxhash64("id", F.lit(side)), F.col(side)).cast("int")
+    each = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    keys = ["deal", "i", "j"]
+    columns = lambda i, j: [c.alias(k) for k, c in zip([*keys, "bucket", "id", "c", "n", "signature"], [deal, i, j, *map(F.col, ("bucket", "id", "c", "n", "signature"))])]
+    left = own.where("other").withColumn("at", each("j")).select(*columns(spread("i"), F.col("at")))
+    right = own.withColumn("at", each("i")).select(*columns(F.col("at"), spread("j")))
+
+    def side(table_: pa.Table) -> tuple[np.ndarray, ...]:
+        bucket, id_, c, n = (table_.column(k).to_numpy() for k in ("bucket", "id", "c", "n"))
+        order = np.argsort(bucket, kind="stable")
+        signature = np.frombuffer(b"".join(table_.column("signature").to_pylist()), dtype=np.uint16).reshape(len(bucket), bins)
+        return tuple(v[order] for v in (bucket, id_, c, n, signature))
+
+    def apply(x: pa.Table, y: pa.Table) -> pa.Table:
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
+        if x.num_rows and y.num_rows:
+            xb, xi, xc, xn, xs = side(x)
+            yb, yi, yc, yn, ys = side(y)
+            want = percent / 100
+            for bucket in np.unique(xb):
+                (a, z), (start, end) = (np.searchsorted(v, [bucket, bucket], side="left") + [0, np.count_nonzero(v == bucket)] for v in (xb, yb))
+                step = max(1, 16384 // max(end - start, 1))
+                for k in range(a, z, step):
+                    m = slice(k, min(k + step, z))
+                    size, other = xn[m, None], yn[None, start:end]
+                    r, t = np.nonzero((xc[m, None] != yc[None, start:end]) & (np.minimum(size, other) * 100 >= percent * np.maximum(size, other)))
+                    r, t = r + k, t + start
+                    same = (xs[r] == ys[t]).mean(axis=1)
+                    near = same >= want - MARGIN * np.sqrt(want * (1 - want) / np.minimum(bins, np.minimum(xn[r], yn[t])))
+                    ends = xi[r[near]], yi[t[near]]
+                    pairs.append(np.column_stack([np.minimum(*ends), np.maximum(*ends)]))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(apply, "a long, b long").distinct()
+
+
+def near_components(docs: DataFrame, sketches: DataFrame, same: DataFrame, words: int, percent: int, bins: int) -> DataFrame:
+    """(id, component_id) of the rows of sketches that are linked; docs has the texts as (id, text), same further links."""
+    members = buckets(sketches)
+    degree = members.groupBy("id").agg(F.sum(F.col("members") * F.col("weight")).alias("degree"))
+    degree = checkpoint(degree)
+    sets = checkpoint(shingle_sets(docs.join(small(degree.select("id")), "id", "left_semi"), words).dropDuplicates(["id", "set"]))
+    best = F.max(F.struct("degree", "id", "n_shingles")).alias("best")
+    centres = checkpoint(members.join(small(degree), "id").groupBy("bucket").agg(best).select("bucket", F.col("best.id").alias("centre"), F.col("best.n_shingles").alias("size")))
+    rays = members.join(small(centres), "bucket").where((F.col("id") != F.col("centre")) & (F.least("n_shingles", "size") * 100 >= percent * F.greatest("n_shingles", "size")))
+    pairs = checkpoint(rays.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+    links = checkpoint(confirm(pairs, sets, percent).where("ok").select("a", "b").union(same))
+    found = checkpoint(components(links))
+    more = checkpoint(unmet(members, centres.select("bucket", "centre"), found, sets, percent, bins).join(pairs, ["a", "b"], "left_anti"))
+    more = checkpoint(confirm(more, sets, percent).where("ok").select("a", "b"))
+    return checkpoint(components(links.union(more))) if more.limit(1).count() else found
+
+
+def with_leads(rows: DataFrame, classes: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the lead of their class (keys, lead, copies): the few large classes by broadcast, the others by a shuffle."""
+    heavy = classes.where(F.col("copies") * HEAVY >= max(total, HEAVY)).select(*keys, F.col("lead").alias("large"))
+    dealt = rows.join(F.broadcast(heavy), keys, "left")
+    rest = dealt.where("large IS NULL").drop("large").join(classes.select(*keys, "lead"), keys)
+    return dealt.where("large IS NOT NULL").withColumnRenamed("large", "lead").select(*rest.columns).union(rest)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -204,22 +246,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The set of a document is its distinct runs of ``words`` words (all of its words where there are fewer). Sets whose
     overlap is at least ``percent`` of their union are linked; component_id is the smallest id reachable. A null or
     blank text has an empty set, size 0, and stays alone. A null id is not linked: it gets component_id null and is
-    kept. Rows that repeat an id are one vertex. Other columns are not read; empty tables give no rows.
+    kept. Rows that repeat an id are one vertex with the links of all their texts, n_shingles is each row's own. Other
+    columns are not read; empty tables give no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = checkpoint(sketch(texts, words, bands, rows))
+    own = ["n_shingles", "d1", "d2"]
     filled = sketches.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("lead"))
-    same = checkpoint(filled.drop("keys").join(classes, ["n_shingles", "d1", "d2"]).select("id", "lead").distinct())
-    leads = same.where("id = lead").select("id").distinct()
-    ones = sketches.where("n_shingles > 0").join(leads, "id", "left_semi").dropDuplicates(["id"])
-    found = near_components(texts, ones, same.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), words, percent)
-    return sketches.select("id", "n_shingles").join(found, "id", "left").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    classes = checkpoint(filled.groupBy(*own).agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    led = checkpoint(with_leads(filled.select("id", *own), classes, own, total).select("id", *own, "lead"))
+    #: Only an id that is repeated with other texts joins classes.
+    several = led.groupBy("id").agg(F.min("lead").alias("a"), F.max("lead").alias("z")).where("a < z").select("id", "a")
+    same = led.join(several, "id").select("a", F.col("lead").alias("b")).where("a <> b").distinct()
+    ones = filled.join(classes, own).where("id = lead").dropDuplicates(["id", *own]).select("id", "n_shingles", "keys")
+    found = near_components(texts, ones, checkpoint(same), words, percent, bands * rows)
+    linked = led.join(found.withColumnRenamed("id", "lead"), "lead", "left").select("id", "n_shingles", F.coalesce("component_id", "lead").alias("c"))
+    out = linked.union(sketches.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("c").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
