@@ -7,6 +7,7 @@ has; a page with none of them, or of a host without votes, falls back to its own
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -22,9 +23,11 @@ from .common import checkpoint, table
 SHARE = 0.1
 BROADCAST_HOSTS = 100_000
 
+#: One step of the scanner. Nothing is tried again from a later place: what is not closed reaches to the end of the page.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|svg|math|iframe|textarea|select|object|title)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?:svg|math)\b[^>]*+(?<=/)>"
+    r"|<(script|style|noscript|template|svg|math|iframe|textarea|select|object|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -45,42 +48,70 @@ AGAINST = frozenset(
 )
 FOR = frozenset("article articlebody body content entry main page post story text".split())
 ROLES = frozenset("banner complementary contentinfo dialog form menu menubar navigation search alert".split())
+#: Words that say nothing about whose part it is; inside an article, a class is against it only if it has no other words.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons container content form group inline inner item items left link links list main mobile post posts right section "
+    "signup site slot small text title top unit wrap wrapper".split()
+)
 CLOSED_BY_ITSELF = {"li": {"ul", "ol", "menu"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
 
+def words_of(name: str) -> list[str]:
+    """The lower-case words of a class or id; camelCase counts as two."""
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+
+
+def against(names: list[list[str]], inside: bool) -> bool:
+    """Whether one of the classes marks what is no part of the article. Inside one, all words of the class have to."""
+    if not inside:
+        return any(not AGAINST.isdisjoint(words) for words in names)
+    return any(not AGAINST.isdisjoint(words) and all(w in AGAINST or w in NEUTRAL for w in words) for words in names)
+
+
 class Element:
-    __slots__ = ("tag", "path", "outside", "good", "semantic", "parent", "blocks")
+    """An open tag. key tells its generalised path: that of the container around it, its tag and its classes."""
+
+    __slots__ = ("tag", "key", "outside", "good", "semantic", "up", "depth", "own")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
-        self.tag, self.parent, self.blocks = tag, parent, []
-        names, words, role, hidden = [], set(), "", False
+        self.tag, self.own = tag, 0
+        names, words, role, hidden = [], [], "", False
         if attributes:
             for key, a, b, c in ATTRIBUTE.findall(attributes):
-                key, value = key.lower(), html.unescape(a or b or c).lower()
+                key, raw = key.lower(), html.unescape(a or b or c)
+                value = raw.lower()
                 if key in ("class", "id"):
                     names += [re.sub(r"[^a-z]+", "-", v).strip("-") for v in value.split()] if key == "class" else ["#" + re.sub(r"[^a-z]+", "-", value).strip("-")]
-                    words |= set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()))
+                    words += [words_of(v) for v in raw.split()]
                 elif key == "role":
                     role = value
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     hidden = True
         inside = parent is not None and parent.semantic
-        self.good = bool(words & FOR)
-        out = hidden or tag in OUTSIDE or role in ROLES or (bool(words & AGAINST) and tag not in ("html", "body", "article", "main"))
-        out = out or (tag == "article" and bool(words & {"comment", "comments", "reply"})) or (tag == "header" and not inside)
+        self.good = any(not FOR.isdisjoint(w) for w in words)
+        out = hidden or tag in OUTSIDE or role in ROLES or (tag not in ("html", "body", "article", "main") and against(words, inside))
+        out = out or (tag == "article" and any(w in ("comment", "comments", "reply") for own in words for w in own)) or (tag == "header" and not inside)
         self.outside = out or (parent is not None and parent.outside)
         self.semantic = tag in ("article", "main") or role == "main" or inside
+        #: the container that its text belongs to, as a place in Page.containers
+        self.up = parent.up if parent else -1
+        self.depth = parent.depth + 1 if parent else 0
         own = tag + "".join(("" if n[:1] == "#" else ".") + n for n in sorted(set(names)) if n not in ("", "#"))
-        self.path = f"{parent.path}>{own}" if parent else own
+        self.key = hashlib.blake2b(own.encode(errors="replace"), key=parent.key if parent else b"", digest_size=8).digest()
 
 
 class Page:
-    """The blocks of a page in order: (container, text, characters of it in links)."""
+    """The blocks of a page in order, (container, text, characters of it in links), and its containers, outer ones first."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[Element, str, int]] = []
-        self.containers: dict[str, list[Element]] = {}
-        stack = [Element("#", "", None)]
+        self.blocks: list[tuple[int, str, int]] = []
+        root = Element("#", "", None)
+        root.up = 0
+        #: (element, place of the container around it)
+        self.containers: list[tuple[Element, int]] = [(root, -1)]
+        stack = [root]
+        places: dict[str, list[int]] = {}  # of the open tags on the stack, by name
+        blocks = [0]  # places of the open block tags
         text: list[str] = []
         linked = links = 0
 
@@ -88,28 +119,32 @@ class Page:
             nonlocal linked
             if text:
                 words = " ".join(html.unescape("".join(text)).split())
-                if words:
-                    at = stack[-1]
-                    while at.parent is not None and at.tag not in CONTAINER:
-                        at = at.parent
-                    outside = stack[-1].outside
-                    if not outside:
-                        self.blocks.append((at, words, min(linked, len(words))))
+                if words and not stack[-1].outside:
+                    self.blocks.append((stack[-1].up, words, min(linked, len(words))))
                 text.clear()
             linked = 0
 
         def close(k: int) -> None:
-            del stack[k:]
+            while len(stack) > k:
+                tag = stack.pop().tag
+                places[tag].pop()
+                if tag in BLOCK:
+                    blocks.pop()
+
+        def last(*tags: str) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
         at = 0
         for m in TOKEN.finditer(source):
+            tag = m.group(3)
+            if tag is not None and not m.group(5):
+                break  # the page ends inside a tag
             if m.start() > at:
                 piece = source[at : m.start()]
                 text.append(piece)
                 if links:
                     linked += len(piece)
             at = m.end()
-            tag = m.group(3)
             if tag is None:
                 continue
             tag = tag.lower()
@@ -120,81 +155,61 @@ class Page:
             if m.group(2):
                 if tag == "a":
                     links = max(0, links - 1)
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
-                    if tag not in BLOCK and stack[k].tag in BLOCK:
-                        break
+                k = last(tag)
+                if k and (tag in BLOCK or k > blocks[-1]):
+                    close(k)
                 continue
             if tag in VOID:
                 continue
             if tag == "a":
                 links += 1
             if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
+                if stack[blocks[-1]].tag == "p":
+                    close(blocks[-1])
+                if limits := CLOSED_BY_ITSELF.get(tag):
+                    k = last(*(("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else (tag,)))
+                    if k > last(*limits):
                         close(k)
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
-                limits = CLOSED_BY_ITSELF.get(tag)
-                if limits:
-                    same = {"td", "th"} if tag in ("td", "th") else {"dt", "dd"} if tag in ("dt", "dd") else {tag}
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag in same:
-                            close(k)
-                            break
-                        if stack[k].tag in limits:
-                            break
-                if tag in ("body", "html") and any(e.tag == tag for e in stack):
+                if tag in ("body", "html") and places.get(tag):
                     continue
-            if tag in BLOCK or m.group(4):
-                element = Element(tag, m.group(4), stack[-1])
-            else:
-                element = Element(tag, "", stack[-1])
+            element = Element(tag, m.group(4), stack[-1])
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
             stack.append(element)
             if tag in CONTAINER and not element.outside:
-                self.containers.setdefault(element.path, []).append(element)
+                self.containers.append((element, element.up))
+                element.up = len(self.containers) - 1
         if at < len(source):
             text.append(source[at:])
         flush()
 
-    def best(self) -> str | None:
-        """The path of the container with the most text outside of links; text counts less the deeper it lies, but fully in an article."""
-        scores: Counter = Counter()
+    def best(self) -> bytes | None:
+        """The key of the container with the most text outside of links; text counts less the deeper it lies, but fully in an article."""
+        worth = [0.0] * len(self.containers)
         for owner, words, linked in self.blocks:
-            worth = len(words) - linked
-            if not worth:
+            worth[owner] += len(words) - linked
+        scores: dict[bytes, list] = {}
+        for k in range(len(self.containers) - 1, -1, -1):
+            e, up = self.containers[k]
+            if not worth[k]:
                 continue
-            at: Element | None = owner
-            weight = 1.0
-            while at is not None:
-                if at.tag in CONTAINER or at.parent is None:
-                    scores[at.path] += worth * weight * (1.3 if at.tag in ("article", "main") else 1.15 if at.good and at.tag != "body" else 1.0)
-                if at.tag in CONTAINER and not at.semantic:
-                    weight *= 0.6
-                elif at.tag in ("article", "main"):
-                    weight *= 0.7
-                at = at.parent
-        return max(scores, key=lambda p: (scores[p], -len(p), p)) if scores else None
-
-    def under(self, path: str) -> str:
-        """The blocks under the elements with this path, one line each."""
-        found = set(map(id, self.containers.get(path, ())))
-        root = path == "#"
-        out = []
-        for owner, words, _ in self.blocks:
-            at: Element | None = owner
-            while at is not None and id(at) not in found:
-                at = at.parent
-            if at is not None or root:
-                out.append(words)
-        return "\n".join(out)
-
-    def text(self, paths: list[str]) -> str:
-        for path in paths:
-            if path in self.containers and (found := self.under(path)):
+            entry = scores.setdefault(e.key, [0.0, -e.depth, e.key])
+            entry[0] += worth[k] * (1.3 if e.tag in ("article", "main") else 1.15 if e.good and e.tag != "body" else 1.0)
+            if up >= 0:
+                worth[up] += worth[k] * (0.7 if e.tag in ("article", "main") else 1.0 if e.semantic or e.tag == "#" else 0.6)
+        return max(scores.values())[2] if scores else None
+
+    def under(self, key: bytes) -> str:
+        """The blocks under the elements with this key, one line each."""
+        inside = []
+        for e, up in self.containers:
+            inside.append(e.key == key or (up >= 0 and inside[up]))
+        return "\n".join(words for owner, words, _ in self.blocks if inside[owner])
+
+    def text(self, keys: list[bytes]) -> str:
+        for key in keys:
+            if found := self.under(key):
                 return found
         own = self.best()
         return self.under(own) if own else ""
@@ -206,13 +221,13 @@ def host(url: str) -> F.Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes) from pages (host, html); each partition adds up its own votes first."""
+    """(host, path, votes) from pages (host, html); each partition adds up its own votes first. A path is the key of a container."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "path", "votes"])
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["host", "path", "votes"])
             seen.clear()
             return batch
 
@@ -224,7 +239,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 yield rows()
         yield rows()
 
-    found = pages.mapInArrow(apply, "host string, path string, votes long")
+    found = pages.mapInArrow(apply, "host string, path binary, votes long")
     return found.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
