@@ -1,14 +1,14 @@
-"""Embedding near-dedup: all pairs in blocks, or NN-descent where there are too many vectors for that.
+"""Embedding near-dedup by NN-descent, with audited recall.
 
-Equal vectors are collapsed. Up to EXACT vectors are all compared, block by block. For more, random-hyperplane trees of
-bounded leaves give a first neighbour graph; NN-descent then joins neighbours of neighbours until no list changes, and
-enlarges the lists of vectors whose list is full of links. The lists only steer the search: every link that a leaf or
-a round verifies goes to a table of its own, from which the components come. Vectors whose list stays full of links at
-its largest size meet all vectors in blocks.
+Equal vectors are collapsed. Random-hyperplane trees of bounded leaves give a first neighbour graph; as many trees
+grow as a pair right at the threshold needs to share a leaf in one of them, but for MISS. NN-descent then joins
+neighbours of neighbours until no list changes, and enlarges the lists of vectors whose list is full of links. The lists
+only steer the search: every link that a leaf or a round verifies goes to a table of its own, from which the components
+come. Vectors whose list stays full of links at its largest size meet all others in blocks.
 Lists only keep what can lead to a link: two neighbours of one vector at cosine t are at 2 * t * t - 1 at least. A
 block of query vectors, more of them in larger tables, is compared with all vectors to audit the recall; more trees
 follow while it is short, and if the last of them leave it short, all vectors are compared after all.
-Links of one component are last counted exactly, in blocks, so that large groups need no pairs.
+Links of one component are last counted exactly, in blocks, so that a link is found when its ends share a component.
 """
 
 from __future__ import annotations
@@ -24,14 +24,17 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, small, table
 
 LINK = 0.9
-#: Up to this many distinct vectors are compared with each other, all of them.
-EXACT = 200_000
+#: Trees that are worked on at a time, and vectors of a leaf.
 TREES, LEAF = 12, 512
+#: Share of the pairs right at the threshold that may be in no leaf together, before the descent.
+MISS = 0.005
 LIST, LARGEST = 10, 80
-ROUNDS, AUDIT, RECALL, MOST_TREES = 6, 128, 0.995, 48
-#: Vectors of one component that are compared at a time.
+ROUNDS, AUDIT, RECALL = 6, 128, 0.995
+#: More batches of trees that may follow a short audit.
+MORE = 3
+#: Vectors that are compared at a time.
 BLOCK = 1024
-#: Vectors of one block, at most, where all vectors are compared.
+#: Vectors of one block, at most, where all vectors are compared, or all of one component.
 STRIP = 32768
 
 
@@ -67,13 +70,23 @@ def _top(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarra
     return a[place < k], b[place < k], s[place < k]
 
 
+def trees_for(n: int, link: float) -> int:
+    """The trees in which a pair at cosine link shares a leaf at least once, with a chance of 1 - MISS."""
+    together = (1 - np.arccos(min(1.0, link)) / np.pi) ** _depth(n, LEAF)
+    return 1 if together >= 1 - MISS else int(np.ceil(np.log(MISS) / np.log1p(-together)))
+
+
+def _depth(rows: int, leaf: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(rows, 1) / leaf))))
+
+
 def tree_leaves(unit: DataFrame, rows: int, trees: range, leaf: int) -> DataFrame:
     """(tree, leaf, part, id, vec): leaves of about ``leaf`` vectors by the signs of random projections.
 
     part splits what falls together by chance into pieces of about that size, by another hash in every tree, so that
     a leaf that holds a third of all vectors is worked on in many places.
     """
-    depth = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf))))
+    depth = _depth(rows, leaf)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,12 +246,15 @@ def saturated(graph: DataFrame, sizes: DataFrame | None, link: float) -> DataFra
     return lists.where("n >= k").select("a", "k")
 
 
-def audit(unit: DataFrame, links: DataFrame, link: float, queries: int = AUDIT) -> tuple[int, int]:
-    """(links of the query vectors in truth, those whose two ends are in one component): brute force over all vectors.
+def audit(unit: DataFrame, near: DataFrame, links: DataFrame, link: float, queries: int = AUDIT) -> tuple[int, int]:
+    """(links of the query vectors in truth, those that are found): brute force over all vectors.
 
-    The queries are at most ``queries`` vectors, chosen by a hash of their id.
+    Links inside a component are all counted later, so a link is found when its ends are in one. The queries are at
+    most ``queries`` vectors, half of them from near (id), the vectors that have neighbours at all, by a hash of their id.
     """
-    chosen = unit.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(queries).collect()
+    pick = lambda frame, k: frame.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(k)
+    ids = pick(near.select("id"), queries // 2).union(pick(unit.select("id"), queries - queries // 2)).distinct()
+    chosen = unit.join(F.broadcast(ids), "id", "left_semi").select("id", "vec").collect()
     if not chosen:
         return 0, 0
     ids = np.array([r["id"] for r in chosen])
@@ -255,55 +271,66 @@ def audit(unit: DataFrame, links: DataFrame, link: float, queries: int = AUDIT)
                     a, b = ids[np.array(at)[r]], own[np.array(here)[c]]
                     yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
-    truth = unit.mapInArrow(apply, "a long, b long")
-    of = components(links)
+    truth = unit.select("id", "vec").mapInArrow(apply, "a long, b long")
+    of = checkpoint(components(links))
     pairs = truth.join(of.select(F.col("id").alias("a"), F.col("component_id").alias("x")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("y")), "b", "left")
-    total, found = pairs.agg(F.count("*"), F.count_if(F.col("x") == F.col("y"))).first()
-    return total, found
+    return tuple(pairs.agg(F.count("*"), F.count_if(F.col("x") == F.col("y"))).first())
 
 
 def counted_links(unit: DataFrame, members: DataFrame, link: float) -> DataFrame:
     """(id, linked): how many other rows each vector is linked with, comparing all vectors of a component in blocks.
 
-    unit: (id, vec, copies); members: (id, component_id). Each block of a component meets each other block once.
+    unit: (id, vec, copies); members: (id, component_id). Small components go to a task together; a large one is dealt
+    into strips, and each strip meets each other strip once.
     """
-    own = unit.join(members, "id").withColumn("block", F.col("component_id"))
-    sizes = members.groupBy("component_id").agg(F.ceil(F.count("*") / float(BLOCK)).cast("int").alias("blocks"))
-    own = own.join(small(checkpoint(sizes)), "component_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    own = checkpoint(own.select("component_id", "blocks", "block", "id", "vec", "copies"))
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = own.withColumn("other", each).select("component_id", "block", "other", "id", "vec")
-    right = own.withColumn("to", each).select("component_id", F.col("to").alias("block"), F.col("block").alias("other"), "id", "vec", "copies")
+    strips = checkpoint(members.groupBy("component_id").agg(F.ceil(F.count("*") / F.lit(float(STRIP // 8))).cast("int").alias("strips")))
+    deal = F.when(F.col("strips") > 1, F.col("component_id")).otherwise(-1 - F.pmod(F.xxhash64("component_id"), F.lit(members.count() // BLOCK + 1)))
+    own = members.join(small(strips), "component_id").withColumn("deal", deal).join(unit, "id")
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("strips")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("strips") - 1))
+    names = ["deal", "block", "other", "c", "id", "vec", "copies"]
+    left = own.withColumn("to", each).select(*(F.col(k).alias(n) for n, k in zip(names, ["deal", "block", "to", "component_id", "id", "vec", "copies"])))
+    right = own.withColumn("to", each).select(*(F.col(k).alias(n) for n, k in zip(names, ["deal", "to", "block", "component_id", "id", "vec", "copies"])))
 
     def apply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": np.zeros(0, dtype=np.int64), "linked": np.zeros(0, dtype=np.int64)})
-        x, y, copies = matrix(a["vec"]), matrix(b["vec"]), b["copies"].to_numpy()
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        linked = np.concatenate([((x[i : i + BLOCK] @ y.T >= link) & (ids[i : i + BLOCK, None] != others)) @ copies for i in range(0, len(ids), BLOCK)])
-        return pd.DataFrame({"id": ids, "linked": linked.astype(np.int64)})
-
-    keys = ["component_id", "block", "other"]
+        ids, linked = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        others = dict(list(b.groupby("c")))
+        for c, own in a.groupby("c"):
+            if (other := others.get(c)) is not None:
+                x, y, copies, mine = matrix(own["vec"]), matrix(other["vec"]), other["copies"].to_numpy(), own["id"].to_numpy()
+                ids.append(mine)
+                linked += [((x[i : i + BLOCK] @ y.T >= link) & (mine[i : i + BLOCK, None] != other["id"].to_numpy())) @ copies for i in range(0, len(mine), BLOCK)]
+        return pd.DataFrame({"id": np.concatenate(ids), "linked": np.concatenate(linked).astype(np.int64)})
+
+    keys = ["deal", "block", "other"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(apply, "id long, linked long")
     return found.groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
-def searched_edges(unit: DataFrame, n: int, link: float, floor: float) -> DataFrame:
+def searched_edges(unit: DataFrame, n: int, link: float) -> DataFrame:
     """(a, b): edges that join the linked vectors of unit (id, vec), found by the search or, if the audit stays short, by all pairs."""
-    graph, sizes, links, trees = None, None, None, 0
-    while trees < MOST_TREES:
-        leaves = tree_leaves(unit.select("id", "vec"), n, range(trees, trees + TREES), LEAF)
-        found = checkpoint(leaf_neighbours(leaves, LIST, floor, link))
-        more = found.where("s IS NOT NULL")
-        graph, sizes, verified, full = descend(more if graph is None else graph.union(more), unit, link, floor, sizes)
-        trees += TREES
-        verified = verified.union(found.where("s IS NULL").select("a", "b")).union(block_edges(unit.join(full, "id", "left_semi").select("id", "vec"), unit.select("id", "vec"), link))
-        links = verified if links is None else links.union(verified)
+    floor, links, graph, sizes = max(0.0, 2 * link * link - 1), None, None, None
+    planned = trees_for(n, link)
+    ends = [planned + TREES * k for k in range(MORE + 1)]
+    start = 0
+    for end in ends:
+        for at in range(start, end, TREES):
+            leaves = tree_leaves(unit, n, range(at, min(at + TREES, end)), LEAF)
+            found = checkpoint(leaf_neighbours(leaves, LIST, floor, link))
+            stars, more = found.where("s IS NULL").select("a", "b"), found.where("s IS NOT NULL")
+            links = stars if links is None else links.union(stars)
+            graph = checkpoint(shortened((more if graph is None else graph.union(more)), sizes, LIST))
+        start = end
+        graph, sizes, verified, full = descend(graph, unit, link, floor, sizes)
+        full = checkpoint(full)
+        if full.limit(1).count():
+            verified = verified.union(block_edges(unit.join(full, "id", "left_semi"), unit, link))
+        links = links.union(verified)
         links = checkpoint(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        total, seen = audit(unit, links, link, max(AUDIT, int(np.ceil(np.sqrt(n)))))
+        total, seen = audit(unit, graph.select(F.col("a").alias("id")).distinct(), links, link, max(AUDIT, int(np.ceil(np.sqrt(n)))))
         if seen >= RECALL * total:
             return links
-    return block_edges(unit.select("id", "vec"), None, link)
+    return block_edges(unit, None, link)
 
 
 def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", link: float = LINK) -> DataFrame:
@@ -320,9 +347,7 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = checkpoint(valid.groupBy("d", "e").agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
     unit = valid.join(classes, ["d", "e"]).where("id = lead").dropDuplicates(["id"]).select("id", "vec", "copies")
     unit = checkpoint(unit)
-    n, floor = unit.count(), max(0.0, 2 * link * link - 1)
-    links = checkpoint(block_edges(unit.select("id", "vec"), None, link) if n <= EXACT else searched_edges(unit, n, link, floor))
-    of = components(links)
+    of = checkpoint(components(searched_edges(unit.select("id", "vec"), unit.count(), link)))
     inner = counted_links(unit, of, link)
     known = classes.join(of.withColumnRenamed("id", "lead"), "lead", "left").join(inner.withColumnRenamed("id", "lead"), "lead", "left")
     known = known.select("d", "e", F.coalesce("component_id", "lead").alias("c"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n"))
