@@ -16,13 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, checkpoint, slices, table
+from .common import U64, WordHasher, checkpoint, portions, table
 
 #: Labelled rows that the models are fitted on, at most; features that each category may choose; folds.
 SAMPLE, FEATURES, FOLDS = 20_000, 1024, 3
 PREFIXES = (4, 5, 6, 7, 8)
-#: Rows that are scored at a time.
-ROWS_AT_ONCE = 500
 BETWEEN = bytes(b for b in range(128) if not chr(b).isalnum())
 #: Log-likelihood gain that a feature must bring; by chance one in twenty thousand does.
 LEAST_GAIN = 9.0
@@ -47,8 +45,8 @@ def distinct(owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.nda
     return owner[new], feature[new]
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode(errors="surrogatepass") for t in column.to_pylist()]
+def as_bytes(texts: list[str]) -> list[bytes]:
+    return [t.encode(errors="surrogatepass") for t in texts]
 
 
 @dataclass
@@ -94,12 +92,11 @@ def _counted(sample: DataFrame, categories: Sequence[str]) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            flags = [np.array(batch.column(1 + i).to_pylist(), dtype=float) == 1 for i in range(len(categories))]
-            for a, b in slices(texts):
-                owner, feature = distinct(*features(texts[a:b]))
+            for part, texts in portions(batch, 0):
+                flags = [np.array(part.column(1 + i).to_pylist(), dtype=float) == 1 for i in range(len(categories))]
+                owner, feature = distinct(*features(as_bytes(texts)))
                 values, at = np.unique(feature, return_inverse=True)
-                counts = [np.bincount(at, minlength=len(values))] + [np.bincount(at, f[a:b][owner], minlength=len(values)) for f in flags]
+                counts = [np.bincount(at, minlength=len(values))] + [np.bincount(at, f[owner], minlength=len(values)) for f in flags]
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)], names)
 
     names = ["feature", "n", *(f"y{i}" for i in range(len(categories)))]
@@ -123,12 +120,11 @@ def _chosen(counted: DataFrame, i: int, positive: int, total: int, limit: int) -
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE, limit: int = FEATURES, folds: int = FOLDS) -> list[Linear]:
     """One model per category, in order. docs: (id, text); labels: (id, categories of 0 or 1).
 
-    Fitted on at most ``sample`` labelled rows, chosen by a hash of their id. Rows without all labels don't count.
+    Fitted on at most ``sample`` labelled rows, those with the smallest hash of their id. Rows without all labels don't
+    count; an id with several labels takes the largest of each category.
     """
-    labels = labels.na.drop().dropDuplicates(["id"])
-    rows = labels.count()
-    share = min(1.0, sample / max(rows, 1))
-    chosen = labels.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample)
+    labels = labels.na.drop().groupBy("id").agg(*(F.max(c).alias(c) for c in categories))
+    chosen = labels.orderBy(F.xxhash64("id"), "id").limit(sample)
     part = checkpoint(docs.join(F.broadcast(chosen), "id").select("id", "text", *categories))
     counted = checkpoint(_counted(part, categories))
     sums = part.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
@@ -137,13 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for a, b in slices(texts):
-                owner, feature = matching(texts[a:b], every)
+            for part, texts in portions(batch, 1):
+                owner, feature = matching(as_bytes(texts), every)
                 places = np.searchsorted(every, feature).astype("<u2")
-                ends = np.searchsorted(owner, np.arange(b - a + 1))
+                ends = np.searchsorted(owner, np.arange(len(texts) + 1))
                 rows = [places[i:j].tobytes() for i, j in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.string()), pa.array(rows, pa.binary()), *(batch.column(2 + i).slice(a, b - a).cast(pa.int32()) for i in range(len(categories)))], ["id", "places", *categories])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(rows, pa.binary()), *(part.column(2 + i).cast(pa.int32()) for i in range(len(categories)))], ["id", "places", *categories])
 
     schema = "id string, places binary, " + ", ".join(f"`{c}` int" for c in categories)
     found = part.mapInArrow(present, schema).toArrow().sort_by("id")
@@ -189,19 +184,13 @@ def score(docs: DataFrame, models: list[Linear], names: Sequence[str]) -> DataFr
     kinds = [f.dataType.simpleString() for f in docs.schema.fields]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                texts = as_bytes(batch.column(batch.schema.get_field_index("__text")))
-                parts = []
-                for a, b in slices(texts):
-                    owner, feature = matching(texts[a:b], every)
-                    found = np.zeros((b - a, 0))
-                    for m in models:
-                        found = np.column_stack([found, m.score(owner, feature, b - a, found)])
-                    parts.append(found)
-                found = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(len(models)))], [*batch.schema.names, *names])
+        for batch in batches:
+            for part, texts in portions(batch, batch.schema.get_field_index("__text")):
+                owner, feature = matching(as_bytes(texts), every)
+                found = np.zeros((len(texts), 0))
+                for m in models:
+                    found = np.column_stack([found, m.score(owner, feature, len(texts), found)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[:, i]) for i in range(len(models)))], [*part.schema.names, *names])
 
     schema = ", ".join(f"`{f}` {k}" for f, k in zip(docs.columns, kinds)) + "".join(f", `{c}` double" for c in names)
     return docs.mapInArrow(apply, schema)
