@@ -1,7 +1,6 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
-The model predicts the words of a text (A-Z lower-cased, one space between them) byte by byte, then an end mark, from
-the last ORDER bytes. A trie of contexts counts which bytes followed; a byte that a context has not seen is escaped
+The model predicts a text (A-Z lower-cased) byte by byte, then an end mark, from the last ORDER bytes. A trie of contexts counts which bytes followed; a byte that a context has not seen is escaped
 to the context one byte shorter, without the bytes that the longer one has seen (symbol exclusion, escape
 estimate of method C). The trie is a table of counts over the whole corpus, and every log probability is worked out
 once per distinct (context, byte). Documents are dealt into blocks of BLOCK_CHARS characters; a block's distinct
@@ -36,7 +35,7 @@ _hasher: list[WordHasher] = []
 
 def entries(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The (context, byte) key of every predicted byte in order, the byte lowest, and their number per text."""
-    data = [b" ".join((t or "").encode().lower().split()) + END for t in texts]
+    data = [(t or "").encode().lower() + END for t in texts]
     joined = START * ORDER + (START * ORDER).join(data) + bytes(7)
     n = len(joined) - 7 - ORDER
     last = np.frombuffer(joined, dtype=np.uint8)[ORDER : ORDER + n]
@@ -169,7 +168,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """One row per row of docs: its id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out rows (crc32 of the id as text, modulo 5, is 1) are scored like the others but not learned from. score is
-    the PPM model's log10 probability of the text's words; base_score that of the same words by smoothed counts. A
+    the PPM model's log10 probability of the text, white space and end included; base_score that of its words and end by
+    smoothed counts. A
     null or blank text is just its end. A null id counts as an empty id. With nothing to learn from, bytes are
     uniform and the base score is 0. Rows may repeat; other columns are not read.
     """
