@@ -61,11 +61,14 @@ def thresholds(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = state.withColumn("base", base).withColumn("left", F.col("target") - F.col("base") * F.col("source_size"))
     state = checkpoint(state.withColumn("low", F.lit(0).cast("long")).withColumn("open", F.col("left") > 0))
+    few = state.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     shift = BITS
     while shift > 0:
         shift -= STEP
+        #: joined by its bucket alone, a whole source would go to one task
+        wanted = state.where("open").select(F.col("source").alias("s"), "low")
         inside = sized.alias("d").join(
-            state.where("open").select(F.col("source").alias("s"), "low"),
+            F.broadcast(wanted) if few else wanted,
             F.expr(f"source <=> s AND shiftright(hash, {shift + STEP}) = shiftright(low, {shift + STEP})"),
         )
         buckets = inside.groupBy("s", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
