@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, small, table
 
 SEGMENT = 32
-SHORTEST = 20
+#: Characters of a line, at least, of which one may be edited: a share of 5 %. Shorter lines would lose list marks and numbers.
+PER_EDIT = 20
 SOLID = r"[^\x20\x09-\x0D]"
 
 
@@ -29,14 +30,14 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(SOLID)).select("id", "pos", "line", F.xxhash64("line").alias("h"))
 
 
-def _half_keys() -> Column:
+def _half_keys(per_edit: int) -> Column:
     n = F.length("line")
 
     def both(m: Column) -> Column:
         return F.array(F.xxhash64(m, F.lit(0), F.substring("line", F.lit(1), m)), F.xxhash64(m, F.lit(1), F.substring("line", n - m + 1, m)))
 
     m, less = half(n), half(n - 1)
-    return F.when(n >= SHORTEST, F.when(m == less, both(m)).otherwise(F.concat(both(m), both(less)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= per_edit, F.when(m == less, both(m)).otherwise(F.concat(both(m), both(less)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -85,11 +86,11 @@ def _later(texts: DataFrame) -> DataFrame:
     return pairs.join(left, "h").join(right, "g").where(F.levenshtein("x", "y", 1) == 1).select("h").distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, per_edit: int = PER_EDIT) -> DataFrame:
     """docs with text_col without its repeated lines, plus n_lines and n_dropped (columns by these names give way).
 
-    Lines end at \\n. Blank lines always stay and are no copies of each other. Texts of under SHORTEST characters, and
-    all with edits=0, go only for equal text; edits is 0 or 1. A null text stays null with 0 lines. Documents with a
+    Lines end at \\n. Blank lines always stay and are no copies of each other. The edit bound is
+    one edit in a line of ``per_edit`` characters or more (any length with 1), none in shorter ones, and none at all with edits=0. A null text stays null with 0 lines. Documents with a
     null id keep all lines and are nobody's earlier copy; rows that repeat an id count as one document. A document
     whose lines all stand earlier keeps its row, with an empty text.
     """
@@ -98,7 +99,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(*[c for c in ("n_lines", "n_dropped") if c not in (id_col, text_col)])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = _exploded(texts)
-    keys = _half_keys() if edits else F.array().cast("array<bigint>")
+    keys = _half_keys(per_edit) if edits else F.array().cast("array<bigint>")
     narrow = checkpoint(lines.select("id", "pos", "h", F.hash("line").alias("g"), F.length("line").alias("n"), keys.alias("keys")))
     shared = narrow.select("h", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"))
     shared = small(checkpoint(shared.where("x <> y").select("key")))
