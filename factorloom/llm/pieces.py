@@ -62,6 +62,7 @@ class PieceModel:
         self._beside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self._spines: dict[str, tuple | None] = {}
         self._pairs: dict[str, dict[str, bool]] = {}
+        self._tested = 0
         self._known: dict[str, tuple[int, bytes, bytes]] = {}
         self._older: dict[str, tuple[int, bytes, bytes]] = {}
 
@@ -125,6 +126,7 @@ class PieceModel:
                 fits = pairs[before][token]
             except KeyError:
                 fits = pairs.setdefault(before, {})[token] = self._compatible(before, token)
+                self._tested += 1
             if fits:
                 last[end] = token
         out, at = [], len(word)
@@ -176,8 +178,8 @@ class PieceModel:
                 known = (len(ids), ",".join(map(str, ids)).encode(), b"".join([self.raw[i] for i in ids]))
         if len(self._known) >= CACHE:
             self._known, self._older = {}, self._known
-        if len(self._spines) + len(self._pairs) >= CACHE:
-            self._spines, self._pairs = {}, {}
+        if len(self._spines) + self._tested >= CACHE:
+            self._spines, self._pairs, self._tested = {}, {}, 0
         if len(text) < 100:
             self._known[text] = known
         return known
