@@ -6,10 +6,13 @@ held name without a bar on the rebalance day leaves at its last mark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.operators.panel import last_seen, sessions
+from factorloom.operators.joins import asof_backward
+from factorloom.operators.panel import sessions
 
 
 def cohorts(prices: DataFrame, holding_days: int) -> DataFrame:
@@ -41,12 +44,12 @@ def positions(chosen: DataFrame, prices: DataFrame, slippage: float, drop_then_w
     held = F.count("*").over(Window.partitionBy("strategy", "cohort")) if drop_then_weigh else F.col("targets")
     bought = bought.withColumn("weight", F.col("exposure") / held)
     ends = px.select("ticker", F.col("date").alias("stop"), F.col("execution_open").alias("__exit"))
-    bought = bought.join(ends, ["ticker", "stop"], "left").join(last_seen(prices), "ticker")
-    days = px.select(F.col("ticker").alias("t"), F.col("date").alias("d"), F.col("mark_close").alias("m"))
-    until = (F.col("t") == F.col("ticker")) & (F.col("d") >= F.col("start")) & (F.col("stop").isNull() | (F.col("d") < F.col("stop")))
+    bought = bought.join(ends, ["ticker", "stop"], "left")
+    #: the last mark before the stop; the bar of the start day is one at least
+    bought = bought.withColumn("__until", F.coalesce(F.date_sub("stop", 1), F.lit("9999-12-31").cast("date")))
+    marks = px.select("ticker", F.col("date").alias("last_mark_date"), F.col("mark_close").alias("last_mark"))
+    bought = asof_backward(bought, marks, ["ticker"], "__until", "last_mark_date")
     keys = ["strategy", "cohort", "ticker"]
-    marks = bought.join(days, until).groupBy(*keys).agg(F.max_by("m", "d").alias("last_mark"), F.max("d").alias("last_mark_date"))
-    bought = bought.join(marks, keys)
     sold = F.col("__exit").isNotNull()
     gone = F.col("stop").isNotNull() & ~sold
     return bought.select(
@@ -58,29 +61,52 @@ def positions(chosen: DataFrame, prices: DataFrame, slippage: float, drop_then_w
     )
 
 
+def gain(weight: Column, price: Column, entry: Column, commission: float) -> Column:
+    """What a position adds to its cohort's growth at a price, both commissions paid where it is net of its own."""
+    return weight * (price / entry * (1 - commission) - 1)
+
+
+def _gains(commission: float) -> Column:
+    """The sum of what a cohort's positions added in the end."""
+    return F.sum(gain(F.col("weight"), F.coalesce(F.col("exit") * (1 - commission), F.col("last_mark")), F.col("entry"), commission))
+
+
 def cohort_growth(held: DataFrame, commission: float) -> DataFrame:
     """(strategy, cohort, factor, start_growth): growth of each cohort and the running product before it."""
-    value = F.coalesce(F.col("exit") * (1 - commission), F.col("last_mark")) / F.col("entry") * (1 - commission)
-    factors = held.groupBy("strategy", "cohort").agg((1 + F.sum(F.col("weight") * (value - 1))).alias("factor"))
+    factors = held.groupBy("strategy", "cohort").agg((1 + _gains(commission)).alias("factor"))
     before = Window.partitionBy("strategy").orderBy("cohort").rowsBetween(Window.unboundedPreceding, -1)
     return factors.withColumn("start_growth", F.exp(F.coalesce(F.sum(F.log("factor")).over(before), F.lit(0.0))))
 
 
-def daily_equity(held: DataFrame, prices: DataFrame, plan: DataFrame, commission: float, initial: float) -> DataFrame:
-    """(strategy, date, equity): marks carried forward inside a cohort; a forced exit's proceeds stay as cash until the next rebalance."""
-    grown = cohort_growth(held, commission)
-    days = prices.select("date").distinct()
-    span = (F.col("date") >= F.col("start")) & (F.col("stop").isNull() | (F.col("date") < F.col("stop")))
-    grid = days.join(F.broadcast(plan), span).select("date", "cohort")
-    rows = held.join(grid, "cohort").join(prices.select("ticker", "date", "mark_close"), ["ticker", "date"], "left")
+def calendar(prices: DataFrame, spans: DataFrame) -> DataFrame:
+    """(date, cohort): the cohort of each session; a day lies in one of spans (cohort, start, stop) at most."""
+    inside = (F.col("date") >= F.col("start")) & (F.col("stop").isNull() | (F.col("date") < F.col("stop")))
+    return prices.select("date").distinct().join(F.broadcast(spans), inside).select("date", "cohort")
+
+
+def daily_equity(held: DataFrame, prices: DataFrame, plan: DataFrame, commission: float, initial: float, names: Sequence[str] = ()) -> DataFrame:
+    """(strategy, date, equity): marks carried forward inside a cohort; what is sold early stays as cash until the next rebalance.
+
+    held is read once: each cohort's factor travels with its days, and the running product adds it on first days. With
+    names, these strategies have a row for every session; where they hold nothing, all is cash.
+    """
+    held = held.withColumn("__factor", 1 + _gains(commission).over(Window.partitionBy("strategy", "cohort")))
+    rows = held.join(F.broadcast(calendar(prices, plan)), "cohort").join(prices.select("ticker", "date", "mark_close"), ["ticker", "date"], "left")
     upto = Window.partitionBy("strategy", "cohort", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.last("mark_close", ignorenulls=True).over(upto)
-    out_of_market = (F.col("action") == "FORCED_EXIT") & (F.col("date") > F.col("exit_date"))
-    value = F.when(out_of_market, F.col("exit") * (1 - commission)).otherwise(F.col("__mark")) / F.col("entry") * (1 - commission)
-    rows = rows.withColumn("__mark", mark).withColumn("__gain", F.col("weight") * (value - 1))
-    daily = rows.groupBy("strategy", "cohort", "date").agg((1 + F.sum("__gain")).alias("growth"), F.sum("weight").alias("invested"))
-    joined = daily.join(grown, ["strategy", "cohort"])
-    return joined.select("strategy", "date", (initial * F.col("start_growth") * F.col("growth")).alias("equity"), (100 * (1 - F.col("invested"))).alias("cash_pct"))
+    #: sold at the open, or by force at the last close
+    cash = (F.col("date") > F.col("exit_date")) | ((F.col("action") == "SELL") & (F.col("date") == F.col("exit_date")))
+    rows = rows.withColumn("__mark", mark)
+    value = F.when(cash, F.col("exit") * (1 - commission)).otherwise(F.col("__mark"))
+    rows = rows.withColumn("__gain", gain(F.col("weight"), value, F.col("entry"), commission))
+    daily = rows.groupBy("strategy", "cohort", "start", "date", "__factor").agg((1 + F.sum("__gain")).alias("growth"), F.sum("weight").alias("invested"))
+    if names:
+        every = calendar(prices, plan).join(F.broadcast(plan.select("cohort", "start")), "cohort").withColumn("strategy", F.explode(F.array(*map(F.lit, names))))
+        daily = every.join(daily.drop("start"), ["strategy", "cohort", "date"], "left").na.fill({"__factor": 1.0, "growth": 1.0, "invested": 0.0})
+    first = F.when(F.col("date") == F.col("start"), F.log("__factor")).otherwise(0.0)
+    before = F.sum(first).over(Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - F.log("__factor")
+    daily = daily.withColumn("__before", F.exp(before))
+    return daily.select("strategy", "date", (initial * F.col("__before") * F.col("growth")).alias("equity"), (100 * (1 - F.col("invested"))).alias("cash_pct"))
 
 
 def ledger(held: DataFrame, commission: float) -> DataFrame:
@@ -99,23 +125,49 @@ def rebalances(held: DataFrame) -> DataFrame:
     return held.groupBy("strategy", "cohort", "start").agg(F.count("*").alias("names"), names.alias("tickers"))
 
 
-def hold_backtest(ranked: DataFrame, prices: DataFrame, holding_days: int, top_n: int, slippage: float, commission: float, initial: float, drop_then_weigh: bool = True) -> dict[str, DataFrame]:
-    """Equity, trades and rebalances of holding the top names from one rebalance to the next."""
+def hold_backtest(
+    ranked: DataFrame | Callable[[DataFrame], DataFrame], prices: DataFrame, holding_days: int, top_n: int, slippage: float, commission: float, initial: float, drop_then_weigh: bool = True
+) -> dict[str, DataFrame]:
+    """Equity, trades and rebalances of holding the top names from one rebalance to the next.
+
+    ranked is a ranking, or a function that makes one for the rebalance days (date), so that no other day is ranked.
+    """
     plan = cohorts(prices, holding_days)
+    if callable(ranked):
+        ranked = ranked(plan.select(F.col("start").alias("date")))
     held = positions(picks(ranked, plan, top_n), prices, slippage, drop_then_weigh)
     return {"positions": held, "equity": daily_equity(held, prices, plan, commission, initial), "trades": ledger(held, commission), "rebalances": rebalances(held)}
 
 
-def trailing_stops(held: DataFrame, prices: DataFrame, stop: float) -> DataFrame:
-    """held with stop_date: the first session of a position whose previous close was at most (1 - stop) of the peak close since entry."""
-    px = prices.select("ticker", "date", "close")
-    inside = (F.col("date") >= F.col("start")) & (F.col("stop").isNull() | (F.col("date") < F.col("stop")))
-    rows = held.join(px, "ticker").where(inside)
-    order = Window.partitionBy("strategy", "cohort", "ticker").orderBy("date")
+def trailing_stops(held: DataFrame, prices: DataFrame, stop: float | str) -> DataFrame:
+    """held with stop_date: the first session of a position whose previous close was at most (1 - stop) of the peak close since entry.
+
+    stop is a number, or the column of held that has it; NULL there is no stop.
+    """
+    share = F.col(stop) if isinstance(stop, str) else F.lit(stop)
+    spans = held.select("cohort", "start", "stop").distinct()
+    px = prices.join(F.broadcast(calendar(prices, spans)), "date").select("ticker", "date", "close", "cohort")
+    keys = ["strategy", "cohort", "ticker"]
+    order = Window.partitionBy(*keys).orderBy("date")
     peak = F.max("close").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    broken = F.lag("close").over(order) <= peak * (1 - stop)
-    hits = rows.withColumn("__broken", broken).where("__broken").groupBy("strategy", "cohort", "ticker").agg(F.min("date").alias("stop_date"))
-    return held.join(hits, ["strategy", "cohort", "ticker"], "left")
+    days = held.where(share.isNotNull()).select(*keys, share.alias("__share")).join(px, ["cohort", "ticker"])
+    broken = F.lag("close").over(order) <= peak * (1 - F.col("__share"))
+    hits = days.withColumn("__broken", broken).where("__broken").groupBy(*keys).agg(F.min("date").alias("stop_date"))
+    return held.join(hits, keys, "left")
+
+
+def sold_at_stops(held: DataFrame, prices: DataFrame, slippage: float) -> DataFrame:
+    """held (with stop_date) as it is when stopped positions are sold at the open of that session; the money waits for the next rebalance."""
+    opens = prices.select("ticker", F.col("date").alias("stop_date"), F.col("execution_open").alias("__at_stop"))
+    rows = held.join(opens, ["ticker", "stop_date"], "left")
+    stopped = F.col("stop_date").isNotNull()
+    return rows.withColumns(
+        {
+            "exit": F.when(stopped, F.col("__at_stop") * (1 - slippage)).otherwise(F.col("exit")),
+            "exit_date": F.when(stopped, F.col("stop_date")).otherwise(F.col("exit_date")),
+            "action": F.when(stopped, "SELL").otherwise(F.col("action")),
+        }
+    ).select(*held.columns)
 
 
 def rank_hysteresis(ranked: DataFrame, enter: int, stay: int) -> DataFrame:

@@ -75,7 +75,7 @@ def market_cap_rank(df: DataFrame) -> DataFrame:
 def decision_lag(df: DataFrame, columns: list[str], days: int) -> DataFrame:
     """decision_<column>: the value known ``days`` sessions of the ticker before."""
     if days < 0:
-        raise ValueError("decision_lag_days cannot be negative")
+        raise ValueError("a decision can't look ahead: the lag must be 0 or more sessions")
     return df.withColumns({f"decision_{c}": F.lag(c, days).over(by_ticker()) if days else F.col(c) for c in columns})
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions import dot
-from factorloom.operators.joins import series_asof
+from factorloom.operators.joins import asof_backward, series_asof
 from factorloom.operators.metrics import active_log_return
 from factorloom.operators.panel import sessions
 
+#: More candidates than this are not broadcast.
+BROADCAST_CANDIDATES = 100_000
+
 
 def normalised_candidates(long: DataFrame, features: Sequence[str]) -> DataFrame:
     """(candidate_id, weights): long rows aligned to the features and divided by their sum; sums that aren't positive go."""
@@ -41,12 +44,10 @@ def build_periods(ranked: DataFrame, prices: DataFrame, benchmark: DataFrame, fe
     spans = spans.select("period", "start", "stop", (F.col("bench_stop") / F.col("bench_start") - 1).alias("benchmark_return"))
     px = prices.select("ticker", "date", "execution_open", "mark_close")
     names = ranked.join(F.broadcast(spans), ranked["date"] == spans["start"]).join(px.select("ticker", "date", F.col("execution_open").alias("entry")), ["ticker", "date"]).where("entry > 0")
-    days_ = px.select(F.col("ticker").alias("t"), F.col("date").alias("d"), "execution_open", "mark_close")
-    inside = (F.col("t") == F.col("ticker")) & (F.col("d") >= F.col("start")) & (F.col("d") <= F.col("stop"))
-    exits = names.select("ticker", "period", "start", "stop").join(days_, inside)
-    price = F.when(F.col("d") == F.col("stop"), F.col("execution_open")).otherwise(F.col("mark_close"))
-    exits = exits.groupBy("ticker", "period").agg(F.max_by(price, "d").alias("exit")).where("exit > 0")
-    rows = names.join(exits, ["ticker", "period"])
+    #: the bar of the start day is one at least
+    ends = px.select("ticker", F.col("date").alias("__last"), F.col("execution_open").alias("__open"), F.col("mark_close").alias("__mark"))
+    rows = asof_backward(names, ends, ["ticker"], "stop", "__last")
+    rows = rows.withColumn("exit", F.when(F.col("__last") == F.col("stop"), F.col("__open")).otherwise(F.col("__mark"))).where("exit > 0")
     rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy("period"))).where(F.col("__n") >= least)
     values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.5)) for f in features])
     return rows.select("period", "start", "stop", "ticker", values.alias("features"), (F.col("exit") / F.col("entry") - 1).alias("forward_return"), "benchmark_return")
@@ -55,14 +56,22 @@ def build_periods(ranked: DataFrame, prices: DataFrame, benchmark: DataFrame, fe
 def evaluate(periods: DataFrame, candidates: DataFrame, top_n: int, width: int) -> DataFrame:
     """(candidate_id, period, strategy_return): mean forward return of the top names under each candidate's weights.
 
-    Every candidate has to meet every row; the candidates (a bounded table of weights) are what is sent around. The
-    dot product is unrolled into ``width`` multiplications, so that it compiles; ties go by ticker.
+    Every candidate has to meet every period. A period's names are one array (as long as the universe), so that scores,
+    order and mean are worked out inside a row and no (candidate, period, name) is ever shuffled. The candidates are
+    sent around if their counted number allows that. The dot product is unrolled into ``width`` multiplications; ties
+    go by ticker.
     """
-    every = periods.join(candidates)
-    score = sum((F.col("features")[i] * F.col("weights")[i] for i in range(1, width)), F.col("features")[0] * F.col("weights")[0])
-    best = Window.partitionBy("candidate_id", "period").orderBy(F.desc("score"), "ticker")
-    top = every.select("candidate_id", "period", "ticker", "forward_return", score.alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= top_n)
-    return top.groupBy("candidate_id", "period").agg(F.avg("forward_return").alias("strategy_return"))
+    names = periods.groupBy("period").agg(F.collect_list(F.struct("ticker", "forward_return", "features")).alias("names"))
+    few = candidates.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+    every = names.crossJoin(F.broadcast(candidates) if few else candidates)
+
+    def scored(n: Column) -> Column:
+        score = sum((n["features"][i] * F.col("weights")[i] for i in range(1, width)), n["features"][0] * F.col("weights")[0])
+        return F.struct((-score).alias("s"), n["ticker"].alias("ticker"), n["forward_return"].alias("r"))
+
+    top = F.slice(F.array_sort(F.transform("names", scored)), 1, top_n)
+    mean = F.aggregate(top, F.lit(0.0), lambda total, n: total + n["r"]) / F.size(top)
+    return every.select("candidate_id", "period", mean.alias("strategy_return"))
 
 
 def split_periods(periods: DataFrame, audit_years: int) -> DataFrame:

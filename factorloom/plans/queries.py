@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from factorloom.functions import average_percent_rank, clip, dot, lenient_date, lenient_double, mean_of_present, ratio, symbol, symbol_key, truthy
 from factorloom.operators import backtest, features, joins, metrics, panel, tuning
 from factorloom.plans import dataset, selectors, strategies
-from factorloom.plans.catalog import query
+from factorloom.plans.catalog import RELATIONS, query
 from factorloom.plans.fixtures import Tables
-from factorloom.plans.relations import ANCHOR, CAPITAL, FEE, GATES, HOLD, MIN_PRICE, MIN_VOLUME, SLIP, TOP, TUNE_HOLD, TUNE_TOP, TUNED, metrics_of, percent_rank
-from factorloom.sources import archive_counts, filter_archive, recent_slice, require
+from factorloom.plans.relations import ANCHOR, CAPITAL, FEE, GATES, HOLD, MIN_PRICE, MIN_VOLUME, SLIP, TOP, TUNE_HOLD, TUNE_TOP, TUNED, curve_of, metrics_of, percent_rank
+from factorloom.sources import archive_counts, filter_archive, read_table, recent_slice, require, rewritten, write_csv, write_panel, write_summary
 
 PRICE = selectors.PriceConfig(min_price=MIN_PRICE, min_median_dollar_volume_60d=MIN_VOLUME)
 COMPOSITE = selectors.CompositeConfig(min_price=MIN_PRICE, min_median_dollar_volume_60d=MIN_VOLUME)
@@ -254,7 +254,9 @@ def _(t: Tables) -> DataFrame:
     return joins.membership_panel(days(t), t.index_events)
 
 
-@query("j8_rsi_join", "ticker date #selection_rank ~rsi14_decision", "SELECT r.ticker, r.date, r.selection_rank, f.decision_rsi14 AS rsi14_decision FROM price_ranked AS r LEFT JOIN feat AS f ON f.ticker = r.ticker AND f.date = r.date")
+@query("j8_rsi_join", "ticker date #selection_rank ~rsi14_decision", f"""SELECT r.ticker, r.date, r.selection_rank, f.rsi14_decision FROM price_ranked AS r LEFT JOIN (SELECT ticker, date, lag(CASE WHEN coalesce(g > 0, false) THEN CASE WHEN coalesce(l > 0, false) THEN 100 - 100 / (1 + g / l) ELSE 100e0 END ELSE 0e0 END) OVER (PARTITION BY ticker ORDER BY date) AS rsi14_decision FROM
+    (SELECT ticker, date, CASE WHEN count(d) OVER w = 14 THEN avg(greatest(d, 0)) OVER w END AS g, CASE WHEN count(d) OVER w = 14 THEN avg(-least(d, 0)) OVER w END AS l FROM (SELECT ticker, date, close - lag(close) OVER (PARTITION BY ticker ORDER BY date) AS d FROM bars) AS x
+     WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) AS y) AS f ON f.ticker = r.ticker AND f.date = r.date""")
 def _(t: Tables) -> DataFrame:
     events = features.rsi(t.bars, name="rsi14_decision").select("date", "ticker", "rsi14_decision")
     return ranked(t).join(events, ["date", "ticker"], "left")
@@ -540,7 +542,14 @@ def _(t: Tables) -> DataFrame:
 ON = "coalesce(r.momentum_12m_ex_1m_rank, 0.5) * 0.35e0 + coalesce(r.momentum_6m_rank, 0.5) * 0.25e0 + coalesce(r.momentum_3m_rank, 0.5) * 0.15e0 + coalesce(r.quality_rank, 0.5) * 0.1e0 + coalesce(r.financial_strength_rank, 0.5) * 0.05e0 + coalesce(r.value_rank, 0.5) * 0.05e0 + coalesce(r.liquidity_rank, 0.5) * 0.05e0"
 OFF = "coalesce(r.quality_rank, 0.5) * 0.25e0 + coalesce(r.financial_strength_rank, 0.5) * 0.25e0 + coalesce(r.downside_risk_rank, 0.5) * 0.2e0 + coalesce(r.value_rank, 0.5) * 0.15e0 + coalesce(r.liquidity_rank, 0.5) * 0.1e0 + coalesce(r.momentum_12m_ex_1m_rank, 0.5) * 0.05e0"
 ADAPTIVE = f"SELECT r.*, coalesce(g.risk_on_for_open, false) AS rs, {ON} AS on_score, {OFF} AS off_score FROM p_ranked AS r LEFT JOIN regimes AS g ON g.date = r.date"
-COMPARED = tuple(v for v in strategies.VARIANTS if v.method in ("composite", "momentum", "trend", "mean_reversion", "regime_adaptive") and v.rebalance_days == 21)
+#: The strategies in terms of the twin: method, parameter, sessions of a period.
+METHODS = {
+    "baseline_6m": ("composite", 0.0, 126), "monthly_composite": ("composite", 0.0, 21), "momentum_12_1": ("momentum", 0.0, 21), "trend_filter": ("trend", 0.0, 21),
+    **{f"mean_reversion_rsi{k}": ("mean_reversion", float(k), 21) for k in (30, 35, 40)}, **{f"rank_persistence_{k}": ("rank_persistence", float(k), 21) for k in (30, 50, 75)},
+    **{f"risk_overlay_{k}pct": ("risk_overlay", k / 100, 126) for k in (15, 20, 25)}, **{f"regime_adaptive_{k}pct": ("regime_adaptive", k / 100, 21) for k in (40, 65, 100)},
+    "performance_adaptive_252d": ("performance_adaptive", 252.0, 21),
+}
+COMPARED = tuple(s for s in strategies.STRATEGIES if s.every == 21 and s.stay is None and not s.among)
 
 
 def variant_input(t: Tables) -> DataFrame:
@@ -548,7 +557,7 @@ def variant_input(t: Tables) -> DataFrame:
     return rows.join(features.rsi(t.bars, name="rsi14_decision").select("ticker", "date", "rsi14_decision"), ["ticker", "date"], "left")
 
 
-VARIANT_ROWS = ", ".join(f"('{v.name}', '{v.method}', {v.parameter}e0)" for v in COMPARED)
+VARIANT_ROWS = ", ".join(f"('{s.name}', '{METHODS[s.name][0]}', {METHODS[s.name][1]}e0)" for s in COMPARED)
 ORDERED = f"""SELECT strategy, date, ticker, row_number() OVER (PARTITION BY strategy, date ORDER BY k DESC NULLS LAST, selection_score DESC, ticker) AS selection_rank, exposure FROM
     (SELECT v.strategy, a.date, a.ticker, a.selection_score, CASE v.method WHEN 'momentum' THEN a.decision_momentum_12m_ex_1m WHEN 'regime_adaptive' THEN CASE WHEN a.rs THEN a.on_score ELSE a.off_score END ELSE a.selection_score END AS k,
      CASE WHEN v.method = 'regime_adaptive' AND NOT a.rs THEN v.parameter ELSE 1 END AS exposure FROM ({ADAPTIVE}) AS a CROSS JOIN (VALUES {VARIANT_ROWS}) AS v(strategy, method, parameter)
@@ -589,6 +598,25 @@ def _(t: Tables) -> DataFrame:
     return t.bars.select("ticker", "date", clip(v / 20 - 1, -1, 2).alias("clipped"), (v * F.sqrt(F.lit(252))).alias("scaled"), F.log1p(v).alias("logged"), ratio(F.lit(1.0), v).alias("yield"), (F.floor(F.col("close") / 7 * 1e4) / 1e4).alias("floored"))
 
 
+# Sinks: what was written, read again.
+@query("s7_csv_sink", "ticker date ~close ~dollar_volume", "SELECT * FROM bars")
+def _(t: Tables) -> DataFrame:
+    rows = t.bars.select("ticker", "date", "close", "dollar_volume")
+    return rewritten(rows, lambda path: write_csv(rows, path), lambda path: read_table(t.spark, path, "csv", rows.schema))
+
+
+@query("s7_panel_sink", "ticker date ~close #year", "SELECT ticker, date, close, year(date) AS year FROM bars")
+def _(t: Tables) -> DataFrame:
+    rows = t.bars.select("ticker", "date", "close")
+    return rewritten(rows, lambda path: write_panel(rows, path), lambda path: read_table(t.spark, path))
+
+
+@query("s8_summary_sink", "#n_rows #tickers #member_rows", "SELECT count(*) AS n_rows, count(DISTINCT ticker) AS tickers, count(*) FILTER (close > 50000) AS member_rows FROM bars")
+def _(t: Tables) -> DataFrame:
+    summary = panel.audit(t.bars.withColumn("is_member", F.col("close") > 50000))
+    return rewritten(summary, lambda path: write_summary(summary, path), lambda path: t.spark.read.schema(summary.schema).json(path))
+
+
 # Composites.
 @query("p2_rank_stocks", RANKED + " ~momentum_6m_rank ~trend_quality_rank ~downside_risk_rank ~liquidity_rank", "SELECT * FROM price_ranked")
 def _(t: Tables) -> DataFrame:
@@ -646,6 +674,75 @@ def _(t: Tables) -> DataFrame:
     return grown.withColumn("log_start_growth", F.log("start_growth"))
 
 
+# All strategies: orders and positions on the days of their own period, sales at stops, curves with cash, the switch.
+RELATIONS["v_ranked"] = ADAPTIVE
+RELATIONS["v_plan"] = "SELECT every, session // every AS cohort, date AS start, lead(date) OVER (PARTITION BY every ORDER BY date) AS stop FROM numbered JOIN (SELECT unnest([21, 126]) AS every) AS e ON session % every = 0"
+RELATIONS["v_rows"] = "SELECT p.every, p.cohort, p.start, p.stop, dense_rank() OVER (PARTITION BY p.every ORDER BY p.start) AS decision, a.* FROM v_ranked AS a JOIN v_plan AS p ON p.start = a.date"
+RELATIONS["v_list"] = "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{method}', {parameter}e0, {every})" for name, (method, parameter, every) in METHODS.items()) + ") AS v(strategy, method, parameter, every)"
+RELATIONS["v_stays"] = f"""SELECT *, lag(held) OVER w AND lag(decision) OVER w = decision - 1 AS before FROM (SELECT v.strategy, r.*, coalesce(last_value(CASE WHEN r.selection_rank <= {TOP} THEN 1 WHEN r.selection_rank > v.parameter THEN 0 END IGNORE NULLS)
+    OVER (PARTITION BY v.strategy, r.ticker ORDER BY r.date), 0) = 1 AS held FROM v_rows AS r JOIN v_list AS v ON v.every = r.every AND v.method = 'rank_persistence') AS h WINDOW w AS (PARTITION BY strategy, ticker ORDER BY date)"""
+RELATIONS["v_orders"] = """SELECT strategy, every, cohort, start, stop, ticker, exposure, row_number() OVER (PARTITION BY strategy, cohort ORDER BY k DESC NULLS LAST, selection_score DESC, ticker) AS place FROM
+    (SELECT v.strategy, a.*, CASE v.method WHEN 'momentum' THEN a.decision_momentum_12m_ex_1m WHEN 'regime_adaptive' THEN CASE WHEN a.rs THEN a.on_score ELSE a.off_score END ELSE a.selection_score END AS k,
+     CASE WHEN v.method = 'regime_adaptive' AND NOT a.rs THEN v.parameter ELSE 1 END AS exposure FROM v_rows AS a JOIN v_list AS v ON v.every = a.every AND v.method NOT IN ('rank_persistence', 'performance_adaptive')
+     WHERE CASE v.method WHEN 'trend' THEN a.rs AND a.decision_price_vs_200d_ma > 0 WHEN 'mean_reversion' THEN a.decision_rsi14 <= v.parameter ELSE true END) AS o
+    UNION ALL SELECT strategy, every, cohort, start, stop, ticker, 1e0, row_number() OVER (PARTITION BY strategy, cohort ORDER BY coalesce(before, false) DESC, selection_rank, ticker) FROM v_stays WHERE held"""
+
+
+def curves_of(orders: str, name: str, strategies_sql: str) -> None:
+    """Relations <name>_held, <name>_daily and <name>_equity of a relation of orders."""
+    RELATIONS[f"{name}_bought"] = f"""SELECT o.*, o.exposure / o.n AS weight, x.execution_open * (1 + {SLIP}e0) AS entry FROM (SELECT *, count(*) OVER (PARTITION BY strategy, cohort) AS n FROM {orders} WHERE place <= {TOP}) AS o JOIN px AS x ON x.ticker = o.ticker AND x.date = o.start"""
+    RELATIONS[f"{name}_days"] = f"SELECT b.strategy, b.cohort, b.ticker, x.date, x.execution_open, x.mark_close, x.close FROM {name}_bought AS b JOIN px AS x ON x.ticker = b.ticker AND x.date >= b.start AND (b.stop IS NULL OR x.date < b.stop)"
+    RELATIONS[f"{name}_marks"] = f"SELECT strategy, cohort, ticker, arg_max(mark_close, date) AS last_mark, max(date) AS last_day FROM {name}_days GROUP BY ALL"
+    RELATIONS[f"{name}_stops"] = f"""SELECT strategy, cohort, ticker, min(date) AS stop_day, arg_min(execution_open, date) AS stop_open FROM (SELECT d.*, v.parameter, lag(d.close) OVER w AS prev, max(d.close) OVER (PARTITION BY d.strategy, d.cohort, d.ticker ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak
+        FROM {name}_days AS d JOIN v_list AS v ON v.strategy = d.strategy AND v.method = 'risk_overlay' WINDOW w AS (PARTITION BY d.strategy, d.cohort, d.ticker ORDER BY d.date)) AS x WHERE prev <= peak * (1 - parameter) GROUP BY ALL"""
+    RELATIONS[f"{name}_held"] = f"""SELECT b.*, m.last_mark, CASE WHEN s.stop_day IS NOT NULL THEN s.stop_open * (1 - {SLIP}e0) WHEN e.ticker IS NOT NULL THEN e.execution_open * (1 - {SLIP}e0) WHEN b.stop IS NOT NULL THEN m.last_mark * (1 - {SLIP}e0) END AS exit,
+        CASE WHEN s.stop_day IS NOT NULL THEN s.stop_day WHEN e.ticker IS NULL AND b.stop IS NOT NULL THEN CAST(m.last_day + 1 AS DATE) END AS cash_from
+        FROM {name}_bought AS b JOIN {name}_marks AS m USING (strategy, cohort, ticker) LEFT JOIN {name}_stops AS s USING (strategy, cohort, ticker) LEFT JOIN px AS e ON e.ticker = b.ticker AND e.date = b.stop"""
+    RELATIONS[f"{name}_factors"] = f"""SELECT s.strategy, p.cohort, p.every, p.start, p.stop, coalesce(f.factor, 1) AS factor FROM ({strategies_sql}) AS s JOIN v_plan AS p ON p.every = s.every LEFT JOIN
+        (SELECT strategy, cohort, 1 + sum(weight * (coalesce(exit * (1 - {FEE}e0), last_mark) / entry * (1 - {FEE}e0) - 1)) AS factor FROM {name}_held GROUP BY ALL) AS f ON f.strategy = s.strategy AND f.cohort = p.cohort"""
+    RELATIONS[f"{name}_chain"] = f"SELECT *, exp(coalesce(sum(ln(factor)) OVER (PARTITION BY strategy ORDER BY cohort ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS grown FROM {name}_factors"
+    RELATIONS[f"{name}_grid"] = f"SELECT c.strategy, c.cohort, c.grown, d.date FROM {name}_chain AS c JOIN days AS d ON d.date >= c.start AND (c.stop IS NULL OR d.date < c.stop)"
+    RELATIONS[f"{name}_values"] = f"""SELECT g.strategy, g.cohort, g.date, h.weight, h.entry, h.exit, h.cash_from, last_value(x.mark_close IGNORE NULLS) OVER (PARTITION BY g.strategy, g.cohort, h.ticker ORDER BY g.date) AS mark
+        FROM {name}_grid AS g JOIN {name}_held AS h ON h.strategy = g.strategy AND h.cohort = g.cohort LEFT JOIN px AS x ON x.ticker = h.ticker AND x.date = g.date"""
+    RELATIONS[f"{name}_equity"] = f"""SELECT g.strategy, g.date, {CAPITAL} * g.grown * coalesce(v.growth, 1) AS equity FROM {name}_grid AS g LEFT JOIN
+        (SELECT strategy, date, 1 + sum(weight * (CASE WHEN date >= cash_from THEN exit * (1 - {FEE}e0) ELSE mark END / entry * (1 - {FEE}e0) - 1)) AS growth FROM {name}_values GROUP BY ALL) AS v ON v.strategy = g.strategy AND v.date = g.date"""
+
+
+curves_of("v_orders", "v", "SELECT strategy, every FROM v_list WHERE method <> 'performance_adaptive'")
+SWITCHED = ["baseline_6m", "monthly_composite", "momentum_12_1", "trend_filter", "mean_reversion_rsi35"]
+RELATIONS["v_returns"] = f"""SELECT strategy, date, list_position({SWITCHED}, strategy) AS place, equity / lag(equity) OVER (PARTITION BY strategy ORDER BY date) - 1 AS r FROM v_equity WHERE list_contains({SWITCHED}, strategy)"""
+RELATIONS["v_choices"] = """SELECT date, strategy FROM (SELECT strategy, date, place, CASE WHEN n >= 63 THEN CASE WHEN dev > 0 THEN mean / dev * sqrt(252) ELSE CAST('-inf' AS DOUBLE) END END AS s FROM
+    (SELECT strategy, date, place, avg(r) OVER w AS mean, stddev_pop(r) OVER w AS dev, count(r) OVER w AS n FROM v_returns WINDOW w AS (PARTITION BY strategy ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)) AS b) AS c
+    QUALIFY row_number() OVER (PARTITION BY date ORDER BY s DESC NULLS LAST, place) = 1"""
+RELATIONS["a_orders"] = "SELECT 'performance_adaptive_252d' AS strategy, o.* EXCLUDE (strategy) FROM v_orders AS o JOIN v_choices AS c ON c.date = o.start AND o.strategy = CASE c.strategy WHEN 'baseline_6m' THEN 'monthly_composite' ELSE c.strategy END"
+curves_of("a_orders", "a", "SELECT strategy, every FROM v_list WHERE method = 'performance_adaptive'")
+RELATIONS["s_equity"] = "SELECT * FROM v_equity UNION ALL SELECT * FROM a_equity"
+RELATIONS["s_curves"] = curve_of("s_equity")
+RELATIONS["s_recent"] = "SELECT strategy, date, equity / first_value(equity) OVER (PARTITION BY strategy ORDER BY date) AS equity FROM s_equity WHERE date >= (SELECT CAST(max(date) - INTERVAL 2 YEAR AS DATE) FROM days)"
+RELATIONS["s_recent_curves"] = curve_of("s_recent")
+RELATIONS["s_metrics"] = metrics_of("s_curves")
+RELATIONS["s_recent_metrics"] = metrics_of("s_recent_curves", 1)
+RELATIONS["s_states"] = """SELECT strategy, coalesce(max(x) FILTER (risk_on), 0) AS risk_on_sharpe, coalesce(max(x) FILTER (NOT risk_on), 0) AS risk_off_sharpe FROM
+    (SELECT c.strategy, coalesce(r.risk_on_for_open, false) AS risk_on, CASE WHEN stddev_pop(c.daily_return) > 0 THEN avg(c.daily_return) / stddev_pop(c.daily_return) * sqrt(252) ELSE 0 END AS x FROM s_curves AS c LEFT JOIN regimes AS r ON r.date = c.date GROUP BY ALL) AS a GROUP BY strategy"""
+FULL = "strategy !final_equity ~total_return_pct ~cagr_pct ~annual_volatility_pct ~sharpe_ratio ~max_drawdown_pct"
+RECENT = " ".join(f"~recent_{c}" for c in ("total_return_pct", "cagr_pct", "annual_volatility_pct", "sharpe_ratio", "max_drawdown_pct"))
+
+
+def compared(t: Tables) -> dict[str, DataFrame]:
+    return strategies.compare(variant_input(t), metrics.market_regime(t.bench_px), prices(t), strategies.STRATEGIES, TOP, SLIP, FEE, CAPITAL)
+
+
+@query("p7_compare", f"{FULL} {RECENT} ~risk_on_sharpe ~risk_off_sharpe", f"""SELECT m.*, {', '.join(f'r.{c[8:]} AS {c[1:]}' for c in RECENT.split())}, s.risk_on_sharpe, s.risk_off_sharpe
+    FROM s_metrics AS m JOIN s_recent_metrics AS r ON r.strategy = m.strategy JOIN s_states AS s ON s.strategy = m.strategy""")
+def _(t: Tables) -> DataFrame:
+    return compared(t)["comparison"]
+
+
+@query("p7_choice_log", "date selected_strategy #lookback_days", "SELECT c.date, c.strategy AS selected_strategy, 252 AS lookback_days FROM v_choices AS c JOIN numbered AS n ON n.date = c.date WHERE n.session % 21 = 0")
+def _(t: Tables) -> DataFrame:
+    return strategies.choice_log(compared(t)["choices"], panel.sessions(t.bars))
+
+
 @query("p8_periods", "#period start stop ticker ~forward_return ~benchmark_return ~f0 ~f1 ~f2", "SELECT * FROM period_rows")
 def _(t: Tables) -> DataFrame:
     return periods(t).withColumns({f"f{i}": F.col("features")[i] for i in range(len(TUNED))})

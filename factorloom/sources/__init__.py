@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,27 @@ def recent_slice(df: DataFrame, universe: DataFrame, start: str, end: str) -> Da
     return kept.agg(F.count("*").alias("n_rows"), F.countDistinct("ticker").alias("tickers"), F.max("date").alias("last_date"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table that is written to the shared folder (spark.checkpoint.dir) and read again: worked out once, its plan cut.
+
+    A local session without that setting gets a folder of its own; a cluster without it is refused.
+    """
+    return rewritten(df, lambda path: df.write.parquet(path))
+
+
+def rewritten(df: DataFrame, write: Callable[[str], None], read: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """What a sink has written to a new path in the shared folder, read again (as Parquet, with df's schema)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    write(path)
+    return read(path) if read else spark.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrites the folder; Spark's commit publishes it as a whole."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -214,7 +214,7 @@ def test_sources_round_trip(spark, tmp_path):
         sources.read_table(spark, f"{tmp_path}/csv", "csv")
 
 
-TWINS = "n8_keep_last j3_asof_filings j7_membership_panel j10_unambiguous_map a6_metrics_against_benchmark w14_rsi w17_market_regime w18_strategy_switch p2_rank_stocks p5_point_in_time_panel p8_periods p16_candidate_table".split()
+TWINS = "n8_keep_last j3_asof_filings j7_membership_panel j10_unambiguous_map a6_metrics_against_benchmark w14_rsi w17_market_regime w18_strategy_switch p2_rank_stocks p5_point_in_time_panel p6_hold_equity p8_periods p9_evaluate p16_candidate_table j8_rsi_join p7_compare s7_csv_sink s7_panel_sink s8_summary_sink w21_trailing_stop".split()
 
 
 @pytest.mark.parametrize("name", TWINS)
@@ -240,9 +240,64 @@ def test_the_flagship_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("method", ["rank_persistence", "risk_overlay", "performance_adaptive"])
-def test_orderings_refuse_methods_that_are_not_built(spark, method):
-    own = tuple(v for v in strategies.VARIANTS if v.method == method)
+def prices_of(spark, closes):
+    """Prices of each ticker on the first days, opens like closes."""
+    rows = [(DAYS[i].date(), t, c, c, c) for t, line in closes.items() for i, c in enumerate(line)]
+    return panel.execution_prices(spark.createDataFrame(rows, "date date, ticker string, open double, close double, adj_close double"))
+
+
+def test_a_stop_sells_at_the_next_open_and_waits_in_cash(spark):
+    prices = prices_of(spark, {"A": [10.0, 12.0, 10.0, 5.0, 9.0, 9.0, 9.0], "B": [10.0] * 7})
+    ranked = prices.select("date", "ticker", F.lit(1).alias("selection_rank"))
+    plan = backtest.cohorts(prices, 5)
+    held = backtest.positions(backtest.picks(ranked, plan, 2), prices, 0.0)
+    stopped = backtest.sold_at_stops(backtest.trailing_stops(held, prices, 0.15), prices, 0.0)
+    got = {(r.cohort, r.ticker): (r.exit, r.exit_date, r.action) for r in stopped.collect()}
+    assert got[0, "A"] == (5.0, DAYS[3].date(), "SELL") and got[0, "B"] == (10.0, DAYS[5].date(), "SELL")
+    equity = [r.equity for r in backtest.daily_equity(stopped, prices, plan, 0.0, 100.0).orderBy("date").collect()]
+    assert equity == pytest.approx([100, 110, 100, 75, 75, 75, 75])
+
+
+def test_sessions_without_positions_are_cash(spark):
+    prices = prices_of(spark, {"A": [10.0, 10.0, 20.0, 20.0, 30.0, 30.0]})
+    ranked = prices.where(F.col("date") == DAYS[2].date()).select("date", "ticker", F.lit(1).alias("selection_rank"))
+    plan = backtest.cohorts(prices, 2)
+    held = backtest.positions(backtest.picks(ranked, plan, 1), prices, 0.0)
+    equity = backtest.daily_equity(held, prices, plan, 0.0, 100.0, ["hold", "none"]).orderBy("strategy", "date").collect()
+    assert [r.equity for r in equity] == pytest.approx([100, 100, 100, 100, 150, 150] + [100] * 6)
+    assert [r.cash_pct for r in equity] == pytest.approx([100, 100, 0, 0, 100, 100] + [100] * 6)
+
+
+def test_a_ranking_may_be_a_function_of_the_rebalance_days(spark):
+    prices = prices_of(spark, {"A": [10.0, 11.0, 12.0, 13.0], "B": [10.0, 9.0, 8.0, 7.0]})
+    rank = lambda days: days.select("date", F.lit("B").alias("ticker"), F.lit(1).alias("selection_rank"))
+    out = backtest.hold_backtest(rank, prices, 2, 1, 0.0, 0.0, 100.0)
+    assert [r.tickers for r in out["rebalances"].orderBy("cohort").collect()] == ["B", "B"]
+    assert [r.equity for r in out["equity"].orderBy("date").collect()] == pytest.approx([100, 90, 80, 70])
+
+
+def test_persistent_names_stay_before_new_ones(spark):
+    order = [["A", "B", "C", "D"], ["B", "C", "A", "D"], ["C", "D", "B", "A"]]
+    rows = [(DAYS[i].date(), t, k + 1) for i, names_ in enumerate(order) for k, t in enumerate(names_)]
+    ranked = spark.createDataFrame(rows, "date date, ticker string, selection_rank int")
+    got = {}
+    for r in strategies.persistent(ranked, 3, 2).orderBy("date", "selection_rank").collect():
+        got.setdefault(r.date, []).append(r.ticker)
+    #: A stays at rank 3 and goes at 4; C comes in on the second day, after those that were in before
+    assert list(got.values()) == [["A", "B"], ["B", "A", "C"], ["C", "B", "D"]]
+
+
+def test_orderings_refuse_strategies_that_choose_among_others(spark):
     columns = "date date, ticker string, selection_score double, decision_momentum_12m_ex_1m double, decision_price_vs_200d_ma double, rsi14_decision double, adaptive_risk_on_score double, adaptive_risk_off_score double"
+    own = tuple(s for s in strategies.STRATEGIES if s.among)
     with pytest.raises(ValueError, match=own[0].name):
         strategies.orderings(spark.createDataFrame([], columns), spark.createDataFrame([], "date date, risk_on_for_open boolean"), own)
+
+
+def test_scoring_candidates_shuffles_no_triples(spark, tmp_path):
+    periods = spark.createDataFrame([(p, f"T{k}", [k / 9.0, p / 3.0], float(k)) for p in range(3) for k in range(9)], "period int, ticker string, features array<double>, forward_return double")
+    candidates = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 1.0])], "candidate_id int, weights array<double>")
+    out = tuning.evaluate(periods, candidates, 2, 2)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.candidate_id, r.period): r.strategy_return for r in out.collect()}
+    assert got == {(c, p): v for p in range(3) for c, v in ((1, 7.5), (2, 0.5), (3, 0.5))}
