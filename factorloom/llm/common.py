@@ -150,6 +150,8 @@ def portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatc
         texts = [t or "" for t in part.column(column).to_pylist()]
         for a, b in slices(texts):
             yield part.slice(a, b - a), texts[a:b]
+    #: a worker waits for its next task without the buffers of this one
+    pa.default_memory_pool().release_unused()
 
 
 def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,8 +5,7 @@ shingle hashes; an empty bin takes the minimum of a full bin that its own fixed
 agree on a band share a bucket, and buckets with the same members are one. A bucket does not yield its pairs: all
 members meet one centre, the member that shares the most buckets, and the links that hold on the full sets make
 components. Where a bucket still has more than one component, the members outside the centre's component meet the
-members of other components by their signatures, block by block inside tasks; only pairs that can be near leave a
-task, and are confirmed on the full sets as well.
+members of other components by their sets, block by block inside tasks; only pairs that are near leave a task.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from .common import U64, WordHasher, checkpoint, components, portions, small, splitmix, table
 
 BANDS, ROWS = 40, 6
-#: Members of a bucket that meet the same number of others in one task.
-BLOCK = 1024
-#: Standard deviations by which a pair's signatures may fall short of the wanted similarity: one link in a billion is further off.
-MARGIN = 6.0
+#: Bytes of the sets of a bucket's members that meet as many others in one task, about.
+BLOCK = 4_000_000
 #: A set of which one in HEAVY rows or more are copies is joined by broadcast; there are HEAVY of them at most.
 HEAVY = 500
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -120,19 +118,18 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(apply, "id long, set binary")
 
 
-def signed(sets: DataFrame, bins: int) -> DataFrame:
-    """(id, n, signature): the minima of each set, shortened to 16 bits each, as bytes."""
+def shortened(sets: DataFrame) -> DataFrame:
+    """(id, n, set): the upper halves of the sorted hashes as bytes. They may agree by chance, but none that agrees is lost."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = fill_orders(bins)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 own = [np.frombuffer(x, dtype=U64) for x in part.column(1).to_pylist()]
-                short = (splitmix(minima(own, bins, orders)) >> U64(48)).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([row.tobytes() for row in short], pa.binary())], ["id", "n", "signature"])
+                short = [(s >> U64(32)).astype(np.uint32).tobytes() for s in own]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(short, pa.binary())], ["id", "n", "set"])
 
-    return sets.mapInArrow(apply, "id long, n long, signature binary")
+    return sets.mapInArrow(apply, "id long, n long, set binary")
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,66 +153,79 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def buckets(sketches: DataFrame) -> DataFrame:
     """(bucket, id, n_shingles, members) of the buckets with several members; of buckets with the same members one."""
     n = sketches.select("id", "n_shingles", F.explode("keys").alias("bucket"))
-    alike = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first"), F.max("id").alias("last")]
-    shared = n.groupBy("bucket").agg(*alike).where("members > 1 AND first < last")
-    one = checkpoint(shared.groupBy("members", "x", "first", "last").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight")))
+    alike = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first")]
+    shared = n.groupBy("bucket").agg(*alike).where("members > 1")
+    one = checkpoint(shared.groupBy("members", "x", "first").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight")))
     return checkpoint(n.join(small(one.select("bucket", "members", "weight")), "bucket"))
 
 
-def unmet(members: DataFrame, centres: DataFrame, found: DataFrame, sets: DataFrame, percent: int, bins: int) -> DataFrame:
-    """(a, b): members of one bucket and different components whose signatures don't rule out a link.
+def unmet(members: DataFrame, centres: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of one bucket and different components whose shortened sets are near.
 
     In buckets with more than one component, the members outside the component of the centre meet all members, in
-    blocks of BLOCK times BLOCK.
+    blocks of about BLOCK bytes times BLOCK bytes.
     """
-    own = members.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
+    own = members.select("bucket", "id", "n_shingles").join(found, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component_id", "id").alias("c"))
     main = centres.join(found, F.col("centre") == F.col("id"), "left").select("bucket", F.coalesce("component_id", "centre").alias("main"))
     own = own.join(main, "bucket").withColumn("other", F.col("c") != F.col("main"))
-    block = lambda n: F.ceil(n / float(BLOCK)).cast("int")
-    mixed = own.groupBy("bucket").agg(block(F.count_if("other")).alias("i"), block(F.count("*")).alias("j")).where("i > 0")
-    own = checkpoint(own.join(small(checkpoint(mixed)), "bucket").select("bucket", "id", "c", "other", "i", "j"))
-    wanted = checkpoint(signed(sets.join(small(checkpoint(own.select("id").distinct())), "id", "left_semi"), bins))
-    own = own.join(wanted, "id")
-    #: so many buckets go to a task together that they have about 4 * BLOCK rows
-    deal = F.pmod(F.xxhash64("bucket", F.lit(5)), F.lit(own.count() // (4 * BLOCK) + 1)).cast("int")
+    size = 4 * F.col("n_shingles")
+    blocks = lambda n: F.ceil(n / float(BLOCK)).cast("int")
+    mixed = own.groupBy("bucket").agg(blocks(F.sum(F.when(F.col("other"), size))).alias("i"), blocks(F.sum(size)).alias("j")).where("i > 0")
+    own = checkpoint(own.join(small(checkpoint(mixed)), "bucket").select("bucket", "id", "n_shingles", "c", "other", "i", "j"))
+    wanted = shortened(sets.join(small(checkpoint(own.select("id").distinct())), "id", "left_semi"))
+    #: so many buckets go to a task together that they have about 4 * BLOCK bytes
+    deals = (own.agg(F.sum(size)).first()[0] or 0) // (4 * BLOCK) + 1
+    own = own.join(checkpoint(wanted), "id")
+    deal = F.pmod(F.xxhash64("bucket", F.lit(5)), F.lit(deals)).cast("int")
     spread = lambda side: F.pmod(F.xxhash64("id", F.lit(side)), F.col(side)).cast("int")
     each = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
-    keys = ["deal", "i", "j"]
-    columns = lambda i, j: [c.alias(k) for k, c in zip([*keys, "bucket", "id", "c", "n", "signature"], [deal, i, j, *map(F.col, ("bucket", "id", "c", "n", "signature"))])]
+    keys, values = ["deal", "i", "j"], ["bucket", "id", "c", "n", "set"]
+    columns = lambda i, j: [c.alias(k) for k, c in zip([*keys, *values], [deal, i, j, *map(F.col, values)])]
     left = own.where("other").withColumn("at", each("j")).select(*columns(spread("i"), F.col("at")))
     right = own.withColumn("at", each("i")).select(*columns(F.col("at"), spread("j")))
 
-    def side(table_: pa.Table) -> tuple[np.ndarray, ...]:
-        bucket, id_, c, n = (table_.column(k).to_numpy() for k in ("bucket", "id", "c", "n"))
-        order = np.argsort(bucket, kind="stable")
-        signature = np.frombuffer(b"".join(table_.column("signature").to_pylist()), dtype=np.uint16).reshape(len(bucket), bins)
-        return tuple(v[order] for v in (bucket, id_, c, n, signature))
+    def by_size(table_: pa.Table) -> pd.DataFrame:
+        rows = pd.DataFrame({k: table_.column(k).to_numpy() for k in values[:-1]})
+        rows["set"] = [np.frombuffer(x, dtype=np.uint32) for x in table_.column("set").to_pylist()]
+        return rows.sort_values(["bucket", "n"], kind="stable")
 
     def apply(x: pa.Table, y: pa.Table) -> pa.Table:
         pairs = [np.zeros((0, 2), dtype=np.int64)]
         if x.num_rows and y.num_rows:
-            xb, xi, xc, xn, xs = side(x)
-            yb, yi, yc, yn, ys = side(y)
-            want = percent / 100
-            for bucket in np.unique(xb):
-                (a, z), (start, end) = (np.searchsorted(v, [bucket, bucket], side="left") + [0, np.count_nonzero(v == bucket)] for v in (xb, yb))
-                step = max(1, 16384 // max(end - start, 1))
-                for k in range(a, z, step):
-                    m = slice(k, min(k + step, z))
-                    size, other = xn[m, None], yn[None, start:end]
-                    r, t = np.nonzero((xc[m, None] != yc[None, start:end]) & (np.minimum(size, other) * 100 >= percent * np.maximum(size, other)))
-                    r, t = r + k, t + start
-                    same = (xs[r] == ys[t]).mean(axis=1)
-                    near = same >= want - MARGIN * np.sqrt(want * (1 - want) / np.minimum(bins, np.minimum(xn[r], yn[t])))
-                    ends = xi[r[near]], yi[t[near]]
-                    pairs.append(np.column_stack([np.minimum(*ends), np.maximum(*ends)]))
+            theirs = dict(list(by_size(y).groupby("bucket")))
+            for bucket, mine in by_size(x).groupby("bucket"):
+                if bucket in theirs:
+                    pairs += near_pairs(mine, theirs[bucket], percent)
         found = np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(apply, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, sketches: DataFrame, same: DataFrame, words: int, percent: int, bins: int) -> DataFrame:
+def near_pairs(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of ids of x and y (id, c, n, set; y by rising n) with different c whose sets are near."""
+    ids, c, n = (y[k].to_numpy() for k in ("id", "c", "n"))
+    known, codes = np.unique(np.concatenate(y["set"].to_list()), return_inverse=True)
+    starts = np.cumsum(n) - n
+    marked = np.zeros(len(known), dtype=np.int32)
+    for id_, own, size, mine in zip(x["id"], x["c"], x["n"], x["set"]):
+        #: only sizes that can be near
+        low, high = np.searchsorted(n, [-(-percent * size // 100), 100 * size // percent + 1])
+        if low == high:
+            continue
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        at = at[known[at] == mine]
+        marked[at] = 1
+        end = starts[high] if high < len(starts) else len(codes)
+        both = np.add.reduceat(marked[codes[starts[low] : end]], starts[low:high] - starts[low])
+        marked[at] = 0
+        near = (c[low:high] != own) & (100 * both >= percent * (n[low:high] + size - both))
+        if near.any():
+            hit = ids[low:high][near]
+            yield np.column_stack([np.minimum(hit, id_), np.maximum(hit, id_)])
+
+
+def near_components(docs: DataFrame, sketches: DataFrame, same: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, component_id) of the rows of sketches that are linked; docs has the texts as (id, text), same further links."""
     members = buckets(sketches)
     degree = members.groupBy("id").agg(F.sum(F.col("members") * F.col("weight")).alias("degree"))
@@ -227,7 +237,7 @@ def near_components(docs: DataFrame, sketches: DataFrame, same: DataFrame, words
     pairs = checkpoint(rays.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
     links = checkpoint(confirm(pairs, sets, percent).where("ok").select("a", "b").union(same))
     found = checkpoint(components(links))
-    more = checkpoint(unmet(members, centres.select("bucket", "centre"), found, sets, percent, bins).join(pairs, ["a", "b"], "left_anti"))
+    more = checkpoint(unmet(members, centres.select("bucket", "centre"), found, sets, percent).join(pairs, ["a", "b"], "left_anti"))
     more = checkpoint(confirm(more, sets, percent).where("ok").select("a", "b"))
     return checkpoint(components(links.union(more))) if more.limit(1).count() else found
 
@@ -260,7 +270,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = led.groupBy("id").agg(F.min("lead").alias("a"), F.max("lead").alias("z")).where("a < z").select("id", "a")
     same = led.join(several, "id").select("a", F.col("lead").alias("b")).where("a <> b").distinct()
     ones = filled.join(classes, own).where("id = lead").dropDuplicates(["id", *own]).select("id", "n_shingles", "keys")
-    found = near_components(texts, ones, checkpoint(same), words, percent, bands * rows)
+    found = near_components(texts, ones, checkpoint(same), words, percent)
     linked = led.join(found.withColumnRenamed("id", "lead"), "lead", "left").select("id", "n_shingles", F.coalesce("component_id", "lead").alias("c"))
     out = linked.union(sketches.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", F.col("c").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"))
