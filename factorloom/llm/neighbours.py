@@ -2,9 +2,11 @@
 
 Equal vectors are collapsed. Random-hyperplane trees of bounded leaves give a first neighbour graph; as many trees
 grow as a pair right at the threshold needs to share a leaf in one of them, but for MISS. NN-descent then joins
-neighbours of neighbours until no list changes, and enlarges the lists of vectors whose list is full of links. The lists
-only steer the search: every link that a leaf or a round verifies goes to a table of its own, from which the components
-come. Vectors whose list stays full of links at its largest size meet all others in blocks.
+neighbours of neighbours until no list changes. The lists only steer the search: every link that a leaf or a round
+verifies goes to a table of its own, from which the components come. A vector has one list for its own component and
+one for others, so that a tight group does not hide what lies beside it; only pairs of different components are
+compared. A list of others that fills up with links is enlarged, and where it stays full at its largest size, the
+search goes on with the components that its links have made, until no such list is left.
 Lists only keep what can lead to a link: two neighbours of one vector at cosine t are at 2 * t * t - 1 at least. A
 block of query vectors, more of them in larger tables, is compared with all vectors to audit the recall; more trees
 follow while it is short, and if the last of them leave it short, all vectors are compared after all.
@@ -134,20 +136,23 @@ def _stars(ids: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def leaf_neighbours(leaves: DataFrame, k: int, floor: float, link: float) -> DataFrame:
-    """(a, b, s) with s >= floor: the k nearest of each vector in its leaf; with s null: edges that join what is linked.
-
-    The edges stand for all links of the leaf, however many.
+    """(a, b, s) with s >= floor: the k nearest of each vector in its leaf, among those that the leaf's links join with it
+    and among the others; with s null: edges that join what is linked. The edges stand for all links, however many.
     """
 
     def apply(group: pd.DataFrame) -> pd.DataFrame:
         x, ids = matrix(group["vec"]), group["id"].to_numpy()
-        out, roots = [], np.arange(len(ids))
+        near, roots = [], np.arange(len(ids))
         for i in range(0, len(ids), BLOCK):
             s = x[i : i + BLOCK] @ x.T
             r, c = np.nonzero(s >= floor)
-            near, other = s[r, c], ids[r + i] != ids[c]
-            roots = _join(roots, r[near >= link] + i, c[near >= link])
-            out.append(_top(ids[r + i][other], ids[c][other], near[other], k))
+            s, r = s[r, c], r + i
+            roots = _join(roots, r[s >= link], c[s >= link])
+            near.append((r[r != c], c[r != c], s[r != c]))
+        out = []
+        for r, c, s in near:
+            same = roots[r] == roots[c]
+            out += [_top(ids[r[part]], ids[c[part]], s[part], k) for part in (same, ~same)]
         a, b = _stars(ids, roots)
         out.append((a, b, np.full(len(a), np.nan)))
         a, b, s = (np.concatenate([o[j] for o in out]) for j in range(3))
@@ -189,13 +194,13 @@ def block_edges(left: DataFrame, right: DataFrame | None, link: float) -> DataFr
 
 
 def shortened(graph: DataFrame, sizes: DataFrame | None, k: int) -> DataFrame:
-    """The best entries of each list: k of them, or as many as sizes (a, k) says."""
-    best = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    graph = graph.groupBy("a", "b").agg(F.max("s").alias("s"))
-    if sizes is None:
-        return graph.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    room = F.coalesce("k", F.lit(k))
-    return graph.join(sizes, "a", "left").withColumn("r", F.row_number().over(best)).where(F.col("r") <= room).select("a", "b", "s")
+    """The best entries of each list of graph (a, b, same, s): k of them, or of a list of others as many as sizes (a, k) says."""
+    best = Window.partitionBy("a", "same").orderBy(F.desc("s"), "b")
+    graph = graph.groupBy("a", "b", "same").agg(F.max("s").alias("s"))
+    room = F.lit(k)
+    if sizes is not None:
+        graph, room = graph.join(sizes, "a", "left"), F.when(F.col("same"), k).otherwise(F.coalesce("k", F.lit(k)))
+    return graph.withColumn("r", F.row_number().over(best)).where(F.col("r") <= room).select("a", "b", "same", "s")
 
 
 def similarities(pairs: DataFrame, unit: DataFrame, floor: float) -> DataFrame:
@@ -215,38 +220,56 @@ def similarities(pairs: DataFrame, unit: DataFrame, floor: float) -> DataFrame:
     return found.where(F.col("s") >= floor)
 
 
-def descend(graph: DataFrame, unit: DataFrame, link: float, floor: float, sizes: DataFrame | None) -> tuple[DataFrame, ...]:
-    """Refine the graph (a, b, s) by neighbours of neighbours until no list changes.
+def told_apart(graph: DataFrame, of: DataFrame) -> DataFrame:
+    """graph (a, b, s) with same: whether a and b are in one component of (id, component_id)."""
+    for end in ("a", "b"):
+        graph = graph.join(of.select(F.col("id").alias(end), F.col("component_id").alias(f"{end}c")), end, "left")
+    same = F.coalesce("ac", "a") == F.coalesce("bc", "b")
+    return graph.select("a", "b", same.alias("same"), "s")
+
 
-    sizes (a, k) are the enlarged lists so far, which stay so. Returns the graph, the sizes, the links (a, b) that the
-    rounds verified, and the vectors (id) whose list is full of links at its largest size.
+def descend(graph: DataFrame, unit: DataFrame, links: DataFrame, link: float, floor: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Refine the graph (a, b, s) by neighbours of neighbours in other components until no list changes.
+
+    links (a, b) are those known. Returns the graph, the links and their components (id, component_id).
     """
-    graph = checkpoint(shortened(graph.union(graph.select("b", "a", "s")), sizes, LIST))
-    links = graph.where(F.col("s") >= link).select("a", "b")
-    for _ in range(ROUNDS):
-        step = graph.select(F.col("a").alias("m"), F.col("b").alias("b"))
-        two = graph.select("a", F.col("b").alias("m")).join(step, "m").where("a < b").select("a", "b").distinct()
-        have = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = checkpoint(similarities(two.join(have, ["a", "b"], "left_anti"), unit, floor))
-        links = links.union(new.where(F.col("s") >= link).select("a", "b"))
-        full = saturated(graph, sizes, link)
-        grown = full.select("a", F.least(2 * F.col("k"), F.lit(LARGEST)).alias("k"))
-        sizes = checkpoint(grown if sizes is None else sizes.union(grown).groupBy("a").agg(F.max("k").alias("k")))
-        old = graph
-        graph = checkpoint(shortened(old.union(new).union(new.select("b", "a", "s")), sizes, LIST))
-        if not graph.join(old, ["a", "b"], "left_anti").limit(1).count():
-            break
-    return graph, sizes, links, saturated(graph, sizes, link).select(F.col("a").alias("id"))
-
-
-def saturated(graph: DataFrame, sizes: DataFrame | None, link: float) -> DataFrame:
-    """(a, k): the lists that are full, by their own size k, of nothing but links: they may hide more of them."""
-    lists = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("worst")).where(F.col("worst") >= link)
+    of, sizes = checkpoint(components(links)), None
+    graph = checkpoint(shortened(told_apart(graph.union(graph.select("b", "a", "s")), of), None, LIST))
+    while True:
+        before, full = links, None
+        for _ in range(ROUNDS):
+            two = graph.select("a", F.col("b").alias("m")).join(graph.select(F.col("a").alias("m"), "b"), "m").where("a < b").select("a", "b").distinct()
+            two = two.join(graph.select("a", "b"), ["a", "b"], "left_anti")
+            new = told_apart(two.withColumn("s", F.lit(0.0)), of).where("NOT same").select("a", "b")
+            new = checkpoint(similarities(new, unit, floor).withColumn("same", F.lit(False)))
+            if not new.limit(1).count():
+                break
+            links = links.union(new.where(F.col("s") >= link).select("a", "b"))
+            old, graph = graph, checkpoint(shortened(graph.union(new).union(new.select(F.col("b").alias("a"), F.col("a").alias("b"), "same", "s")), sizes, LIST))
+            full = saturated(graph, sizes, link)
+            if full is not None:
+                grown = full.select("a", F.least(2 * F.col("k"), F.lit(LARGEST)).alias("k"))
+                sizes = checkpoint(grown if sizes is None else sizes.union(grown).groupBy("a").agg(F.max("k").alias("k")))
+            elif not graph.join(old, ["a", "b"], "left_anti").limit(1).count():
+                break
+        if links is before:
+            return graph.select("a", "b", "s"), links, of
+        links = checkpoint(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        of = checkpoint(components(links))
+        if full is None:
+            return graph.select("a", "b", "s"), links, of
+        graph, sizes = checkpoint(told_apart(graph.select("a", "b", "s"), of)), None
+
+
+def saturated(graph: DataFrame, sizes: DataFrame | None, link: float) -> DataFrame | None:
+    """(a, k): the lists of others that are full, by their own size k, of nothing but links: they may hide more of them."""
+    lists = graph.where("NOT same").groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("worst")).where((F.col("worst") >= link) & (F.col("n") >= LIST))
     lists = lists.withColumn("k", F.lit(LIST)) if sizes is None else lists.join(sizes, "a", "left").withColumn("k", F.coalesce("k", F.lit(LIST)))
-    return lists.where("n >= k").select("a", "k")
+    full = lists.where("n >= k").select("a", "k")
+    return full if full.limit(1).count() else None
 
 
-def audit(unit: DataFrame, near: DataFrame, links: DataFrame, link: float, queries: int = AUDIT) -> tuple[int, int]:
+def audit(unit: DataFrame, near: DataFrame, of: DataFrame, link: float, queries: int = AUDIT) -> tuple[int, int]:
     """(links of the query vectors in truth, those that are found): brute force over all vectors.
 
     Links inside a component are all counted later, so a link is found when its ends are in one. The queries are at
@@ -272,7 +295,6 @@ def audit(unit: DataFrame, near: DataFrame, links: DataFrame, link: float, queri
                     yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     truth = unit.select("id", "vec").mapInArrow(apply, "a long, b long")
-    of = checkpoint(components(links))
     pairs = truth.join(of.select(F.col("id").alias("a"), F.col("component_id").alias("x")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("y")), "b", "left")
     return tuple(pairs.agg(F.count("*"), F.count_if(F.col("x") == F.col("y"))).first())
 
@@ -307,30 +329,23 @@ def counted_links(unit: DataFrame, members: DataFrame, link: float) -> DataFrame
     return found.groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
-def searched_edges(unit: DataFrame, n: int, link: float) -> DataFrame:
-    """(a, b): edges that join the linked vectors of unit (id, vec), found by the search or, if the audit stays short, by all pairs."""
-    floor, links, graph, sizes = max(0.0, 2 * link * link - 1), None, None, None
+def searched(unit: DataFrame, n: int, link: float) -> DataFrame:
+    """(id, component_id) of the linked vectors of unit (id, vec), found by the search or, if the audit stays short, by all pairs."""
+    floor, links, graph, start = max(0.0, 2 * link * link - 1), None, None, 0
     planned = trees_for(n, link)
-    ends = [planned + TREES * k for k in range(MORE + 1)]
-    start = 0
-    for end in ends:
+    for end in (planned + TREES * k for k in range(MORE + 1)):
         for at in range(start, end, TREES):
             leaves = tree_leaves(unit, n, range(at, min(at + TREES, end)), LEAF)
             found = checkpoint(leaf_neighbours(leaves, LIST, floor, link))
             stars, more = found.where("s IS NULL").select("a", "b"), found.where("s IS NOT NULL")
             links = stars if links is None else links.union(stars)
-            graph = checkpoint(shortened((more if graph is None else graph.union(more)), sizes, LIST))
+            graph = more if graph is None else graph.union(more)
         start = end
-        graph, sizes, verified, full = descend(graph, unit, link, floor, sizes)
-        full = checkpoint(full)
-        if full.limit(1).count():
-            verified = verified.union(block_edges(unit.join(full, "id", "left_semi"), unit, link))
-        links = links.union(verified)
-        links = checkpoint(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        total, seen = audit(unit, graph.select(F.col("a").alias("id")).distinct(), links, link, max(AUDIT, int(np.ceil(np.sqrt(n)))))
+        graph, links, of = descend(graph, unit, links, link, floor)
+        total, seen = audit(unit, graph.select(F.col("a").alias("id")).distinct(), of, link, max(AUDIT, int(np.ceil(np.sqrt(n)))))
         if seen >= RECALL * total:
-            return links
-    return block_edges(unit, None, link)
+            return of
+    return components(block_edges(unit, None, link))
 
 
 def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", link: float = LINK) -> DataFrame:
@@ -347,7 +362,7 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = checkpoint(valid.groupBy("d", "e").agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
     unit = valid.join(classes, ["d", "e"]).where("id = lead").dropDuplicates(["id"]).select("id", "vec", "copies")
     unit = checkpoint(unit)
-    of = checkpoint(components(searched_edges(unit.select("id", "vec"), unit.count(), link)))
+    of = checkpoint(searched(unit.select("id", "vec"), unit.count(), link))
     inner = counted_links(unit, of, link)
     known = classes.join(of.withColumnRenamed("id", "lead"), "lead", "left").join(inner.withColumnRenamed("id", "lead"), "lead", "left")
     known = known.select("d", "e", F.coalesce("component_id", "lead").alias("c"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n"))
