@@ -30,6 +30,8 @@ BASE = {
 }
 WIDE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:[\[(](?:\.|dot|DOT)[\])]|\x20\.\x20)\x20?[0-9]{1,3}){3}(?![0-9.])",
+    "card": r"(?<![0-9./_-])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9./_-])",
     "phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
 #: A text without a match of this has none of the kind.
@@ -47,11 +49,12 @@ HINTS = {
 COUNTER_HINTS = r"\b(?:order|invoice|isbn|issn|version|release|serial|sku|ref|part no)\b"
 SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$",
-    "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$",
-    "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
+    "ip": r"^(?:0|[1-9][0-9]*)(?:[^0-9]+(?:0|[1-9][0-9]*)){3}$",
+    "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ ./_-][0-9]{4}){3})$",
     "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$",
 }
 CONTEXT = 40
+RUN = 128
 LABELERS = ("shape", "check", "gazetteer", "context", "edge")
 FEATURES = ("shape", "check", "listed", "hint", "counter", "edge", "gaps", "long")
 _SPAN = "struct<start:int,end:int,value:string,left:string,right:string>"
@@ -65,17 +68,21 @@ def _text_sql(text: str) -> str:
 def found(text: str, pattern: str) -> Column:
     """All matches of pattern in the column text, as an array of spans in code points with their contexts.
 
-    The matches and the text between them tell all places.
+    The matches and the text between them tell all places. Places are summed up by runs of RUN matches, so that the
+    work grows with their number and not with its square.
     """
     p = _text_sql(pattern)
     return F.expr(f"""
         transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))), z ->
-            aggregate(sequence(1, size(z.m)), named_struct('at', 0, 'out', CAST(array() AS array<{_SPAN}>)), (acc, i) -> named_struct(
+        transform(array(aggregate(sequence(1, CAST(ceil(size(z.m) / {RUN}D) AS INT)), array(0), (acc, c) -> array_append(acc, element_at(acc, -1)
+            + aggregate(slice(z.m, (c - 1) * {RUN} + 1, {RUN}), 0, (n, x) -> n + length(x)) + aggregate(slice(z.g, (c - 1) * {RUN} + 1, {RUN}), 0, (n, x) -> n + length(x))))), starts ->
+        flatten(transform(sequence(1, CAST(ceil(size(z.m) / {RUN}D) AS INT)), c ->
+            aggregate(sequence((c - 1) * {RUN} + 1, least(c * {RUN}, size(z.m))), named_struct('at', element_at(starts, c), 'out', CAST(array() AS array<{_SPAN}>)), (acc, i) -> named_struct(
                 'at', acc.at + length(element_at(z.g, i)) + length(element_at(z.m, i)),
                 'out', array_append(acc.out, named_struct(
                     'start', acc.at + length(element_at(z.g, i)), 'end', acc.at + length(element_at(z.g, i)) + length(element_at(z.m, i)),
                     'value', element_at(z.m, i), 'left', right(element_at(z.g, i), {CONTEXT}), 'right', left(element_at(z.g, i + 1), {CONTEXT})))
-            ), acc -> acc.out))[0]""")
+            ), acc -> acc.out))))[0])[0]""")
 
 
 def _none() -> Column:
@@ -94,7 +101,7 @@ def luhn(number: Column) -> Column:
 
 
 def octets_fit(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(256)) <= 255)
+    return F.forall(F.split(F.regexp_replace(value, r"[^0-9]+", "."), r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(256)) <= 255)
 
 
 def holds(kind: str, value: Column) -> Column:
@@ -139,7 +146,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     for kind, pattern in WIDE.items():
         free = lambda s: ~F.exists("__every", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         wide = F.when(F.col("__text").rlike(pattern), found("__text", pattern)).otherwise(_none())
-        docs = docs.withColumn("__every", every).withColumn(f"wide_{kind}", wide).withColumn(f"wide_{kind}", F.filter(f"wide_{kind}", free))
+        docs = docs.withColumn("__every", every).withColumn(f"wide_{kind}", wide).withColumn(f"wide_{kind}", F.filter(F.filter(f"wide_{kind}", _kept(kind)), free))
     return docs.drop("__every")
 
 
@@ -149,7 +156,7 @@ def observed(kind: str, span: Column) -> dict[str, Column]:
     near = F.lower(F.concat(span["left"], F.lit(" "), span["right"]))
     listed = {
         "email": F.element_at(F.split(F.lower(value), r"\."), -1).isin(DOMAINS),
-        "ip": ~F.split(value, r"\.")[0].isin("0", "10", "127", "255"),
+        "ip": ~F.split(value, r"[^0-9]")[0].isin("0", "10", "127", "255"),
         "card": number.rlike(ISSUERS),
         "phone": F.concat(F.lit("+"), number).rlike(COUNTRIES),
     }[kind]
