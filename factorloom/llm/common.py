@@ -50,11 +50,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: df as a table that is written to the shared folder and read again.
 
     A table is smaller than the rows of df.checkpoint(), its size is known when joins are planned, and the plan after it
-    starts without the filters and constraints of the plan before it, which grow in loops.
+    starts without the filters and constraints of the plan before it, which grow in loops. Once it is written, the
+    shuffle files behind it are of no more use and go, instead of waiting for the driver's garbage collector.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, cleanup = f"{shared_folder(spark)}/{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

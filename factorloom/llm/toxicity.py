@@ -178,14 +178,14 @@ def matching(texts: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct(owner[hit], feature[hit])
 
 
-def score(docs: DataFrame, models: list[Linear], names: Sequence[str]) -> DataFrame:
-    """docs plus one probability column per model; docs has its text in the column __text."""
+def score(docs: DataFrame, text_col: str, models: list[Linear], names: Sequence[str]) -> DataFrame:
+    """docs plus one probability column per model; text_col is a string."""
     every = np.unique(np.concatenate([m.known for m in models]))
     kinds = [f.dataType.simpleString() for f in docs.schema.fields]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in portions(batch, batch.schema.get_field_index("__text")):
+            for part, texts in portions(batch, batch.schema.get_field_index(text_col)):
                 owner, feature = matching(as_bytes(texts), every)
                 found = np.zeros((len(texts), 0))
                 for m in models:
@@ -209,8 +209,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("q
     names = [f"p_{c}" for c in categories]
     new = [*names, "toxic", "__text"]
     kept = [c for c in docs.columns if c not in new] if whole else [id_col]
-    scored = score(docs.select(*kept, F.col(text_col).cast("string").alias("__text")), models, names)
-    return scored.drop("__text").withColumn("toxic", F.col(names[-1]) >= threshold)
+    if text_col in kept and dict(docs.dtypes)[text_col] == "string":
+        scored = score(docs.select(*kept), text_col, models, names)
+    else:
+        scored = score(docs.select(*kept, F.col(text_col).cast("string").alias("__text")), "__text", models, names).drop("__text")
+    return scored.withColumn("toxic", F.col(names[-1]) >= threshold)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
