@@ -72,6 +72,16 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until df has no such column."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in df.columns}:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that every bit of a key depends on every bit of the input."""
     x = x + U64(0x9E3779B97F4A7C15)

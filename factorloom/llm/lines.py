@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small, table
+from .common import checkpoint, fresh, small, table
 
 SEGMENT = 32
 #: Characters of a line, at least, of which one may be edited: a share of 5 %. Shorter lines would lose list marks and numbers.
@@ -114,14 +114,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = groups.join(later, "h", "left").where("copies > 1 OR later")
     dropped = small(checkpoint(dropped.select("h", "g", "n", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "later")))
     gone = narrow.join(dropped, ["h", "g", "n"]).where("later OR id <> first_id OR pos <> first_pos")
-    gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
+    own_id, own_gone = fresh(docs, "__id", "__gone")
+    gone = gone.groupBy(F.col("id").alias(own_id)).agg(F.collect_set("pos").alias(own_gone))
     split = F.split(text_col, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(split, i))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), own_gone)
+    text = F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(split, i))))
     return (
-        docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-        .withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: text})
-        .drop("__id", "__gone")
+        docs.join(gone, F.col(id_col) == F.col(own_id), "left")
+        .withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long"), "n_dropped": F.coalesce(F.size(own_gone), F.lit(0)).cast("long"), text_col: text})
+        .drop(own_id, own_gone)
     )
 
 

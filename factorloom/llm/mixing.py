@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, table
+from .common import WORD, checkpoint, fresh, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -106,12 +106,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     docs = docs.drop(*[c for c in docs.columns if c in added and c not in (id_col, text_col, source_col)])
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = checkpoint(docs.select(F.col(source_col).alias("source"), size.alias("size"), id_hash(id_col).alias("hash")))
-    plan = thresholds(sized, weights, share, most).withColumnRenamed("source", "__source")
+    source, base, bound = fresh(docs, "__source", "__base", "__bound")
+    plan = thresholds(sized, weights, share, most).select(F.col("source").alias(source), "source_size", "target", F.col("base").alias(base), F.col("bound").alias(bound))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("size", size)
-    copies = F.col("base") + F.when(id_hash(id_col) < F.col("bound"), 1).otherwise(0)
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("__source", "base", "bound")
+    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col(source))).withColumn("size", size)
+    copies = F.col(base) + F.when(id_hash(id_col) < F.col(bound), 1).otherwise(0)
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop(source, base, bound)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

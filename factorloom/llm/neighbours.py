@@ -241,7 +241,7 @@ def descend(graph: DataFrame, unit: DataFrame, links: DataFrame, link: float, fl
             two = graph.select("a", F.col("b").alias("m")).join(graph.select(F.col("a").alias("m"), "b"), "m").where("a < b").select("a", "b").distinct()
             two = two.join(graph.select("a", "b"), ["a", "b"], "left_anti")
             new = told_apart(two.withColumn("s", F.lit(0.0)), of).where("NOT same").select("a", "b")
-            new = checkpoint(similarities(new, unit, floor).withColumn("same", F.lit(False)))
+            new = checkpoint(similarities(new, unit, floor).select("a", "b", F.lit(False).alias("same"), "s"))
             if not new.limit(1).count():
                 break
             links = links.union(new.where(F.col("s") >= link).select("a", "b"))

@@ -118,6 +118,48 @@ def test_near_dedup_links_leaves_of_a_star_with_what_is_not_near_its_centre(spar
     assert all(got[100 * f + i] == want[100 * f + i] for f in joined for i in range(5))
 
 
+def family(rng, shape, members, tag):
+    """Texts of 220 words that are linked as a chain, a tree or a dense tree: each member is an edited copy of an earlier one."""
+    texts = [["%s%d" % (rng.choice("abcdefgh"), rng.randrange(5000)) for _ in range(220)]]
+    for k in range(1, members):
+        before = {"chain": k - 1, "tree": rng.randrange(k), "dense": max(0, k - 1 - rng.randrange(4))}[shape]
+        copy = list(texts[before])
+        for at in rng.sample(range(220), 8 if shape != "dense" else 3):
+            copy[at] = f"{tag}x{k}x{at}"
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def test_near_dedup_joins_chains_and_trees_like_all_pairs(spark):
+    rng = random.Random(14)
+    texts = [t for n, shape in enumerate(("chain", "tree", "dense", "chain")) for t in family(rng, shape, 60, f"f{n}")]
+    ids = rng.sample(range(10_000), len(texts))
+    rows = list(zip(ids, texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(table(spark, rows), words=2).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
+def test_near_dedup_finds_links_between_members_of_mixed_buckets(spark):
+    """One band of one row: large buckets of several families, whose members meet by their sets in small blocks."""
+    rng = random.Random(15)
+    rows = [(1000 * n + k, t) for n in range(3) for k, t in enumerate(family(rng, "tree", 25, f"g{n}"))]
+    shared = " ".join("common%d" % k for k in range(150))
+    rows = [(i, shared + " " + t) for i, t in rows]
+    block, minhash.BLOCK = minhash.BLOCK, 4000
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_dedup(table(spark, rows), words=2, bands=30, rows=1).collect()}
+    finally:
+        minhash.BLOCK = block
+    assert got == {i: c for i, (_, c) in brute_components(rows, 2, 80).items()}
+
+
+def test_near_dedup_takes_rows_of_one_id_as_one_vertex(spark):
+    rows = [(5, "a b c d e f"), (5, "u v w x y z"), (7, "a b c d e f"), (3, "u v w x y z"), (9, "q q q")]
+    df = spark.createDataFrame([(i, t, True, 1) for i, t in rows], "doc_id long, text string, kept boolean, component_id int")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_dedup(df, words=2).collect())
+    assert got == [(3, 5, 3, True), (5, 5, 3, False), (5, 5, 3, False), (7, 5, 3, False), (9, 1, 9, True)]
+
+
 def test_near_dedup_of_nothing_and_null_ids(spark):
     assert minhash.near_dedup(table(spark, []).limit(0)).count() == 0
     got = minhash.near_dedup(spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c")], "doc_id long, text string")).collect()
@@ -172,6 +214,15 @@ def test_line_dedup_matches_all_pairs(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_with_other_bounds(spark):
+    rows = [(1, "abcd\nx"), (2, "abcx\ny"), (3, "abcd")]
+    short = {r.doc_id: r.text for r in lines.line_dedup(table(spark, rows), per_edit=4).collect()}
+    none = {r.doc_id: r.text for r in lines.line_dedup(table(spark, rows), edits=0).collect()}
+    assert short == {1: "abcd\nx", 2: "y", 3: ""} and none == {1: "abcd\nx", 2: "abcx\ny", 3: ""}
+    twice = lines.line_dedup(table(spark, [(1, "a line of its own"), (1, "a line of its own"), (2, "a line of its own")])).collect()
+    assert sorted((r.doc_id, r.text) for r in twice)[-1] == (2, "")
+
+
 def test_line_dedup_leaves_clean_documents_alone(spark):
     rows = [(1, "first line of one\r\n\nand more"), (2, "another text\nfirst line of one\r"), (None, "first line of one\r")]
     df = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, n_dropped int")
