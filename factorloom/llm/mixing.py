@@ -22,8 +22,8 @@ BROADCAST_SOURCES = 50_000
 
 def id_hash(column: str | Column) -> Column:
     """The first 60 bits of the md5 of the id as text; a null id counts as empty text."""
-    text = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-    return F.conv(F.substring(F.md5(text.cast("string")), 1, BITS // 4), 16, 10).cast("long")
+    text = F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:

@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import pytest
 
@@ -73,7 +75,7 @@ def test_reliabilities_trust_the_labelers_that_agree():
 
 def brute_ppm(texts, order):
     trie = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
-    coded = [lm.START * order + b" ".join((t or "").encode().lower().split()) + lm.END for t in texts]
+    coded = [lm.START * order + (t or "").encode().lower() + lm.END for t in texts]
     for i, s in enumerate(coded):
         if zlib.crc32(str(i).encode()) % 5 != 1:
             for p in range(order, len(s)):
@@ -120,6 +122,16 @@ def test_language_model_of_nothing(spark):
     assert lm.lm_scores(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_language_model_of_repeated_rows_null_ids_and_other_columns(spark):
+    rows = [(None, "one two", 1.0), (3, "one two", 2.0), (3, "one two", 2.0), (3, "Three", 3.0)]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, score double")).collect()
+    assert len(got) == 4 and [r.held_out for r in got if r.doc_id is None] == [zlib.crc32(b"") % 5 == 1]
+    same = [(r.n_tokens, r.score) for r in got if r.n_tokens == 3]
+    assert len(same) == 3 and len(set(same)) == 1
+    long = lm.lm_scores(docs(spark, ["word " * 200_000, "word"])).collect()
+    assert {r.n_tokens for r in long} == {200_001, 2}
+
+
 def test_toxicity_finds_marked_texts_and_leaves_clean_ones_alone(spark):
     rng = random.Random(8)
     plain = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
@@ -143,6 +155,57 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.toxicity(docs(spark, ["a"]).limit(0), none).count() == 0
 
 
+def test_toxicity_told_by_held_out_texts(spark):
+    """Texts that the models were not fitted on: the chain has to be right in nine of ten, the words alone tell."""
+    rng = random.Random(18)
+    plain = ["".join(rng.choice("klmnopqrst") for _ in range(5)) for _ in range(300)]
+    rows = []
+    for i in range(1500):
+        toxic = rng.random() < 0.3
+        rows.append((i, " ".join([rng.choice(plain) for _ in range(30)] + [rng.choice(["dreck", "mist", "abschaum"])] * toxic), int(toxic), int(rng.random() < 0.5)))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(i, q, t) for i, _, t, q in rows if i % 3], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.toxicity(df, known).collect()}
+    held = [r for r in rows if r[0] % 3 == 0]
+    assert sum(got[i] == bool(t) for i, _, t, _ in held) >= 0.9 * len(held)
+
+
+def test_toxicity_with_repeated_rows_conflicting_labels_and_a_bound(spark):
+    rows = [(i, "good words here" if i % 2 else "bad scum here") for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:10] + [(None, "bad scum here")], "doc_id long, text string")
+    labels = [(i, 1, int(i % 2 == 0)) for i in range(60)] + [(i, 1, 0) for i in range(0, 60, 4)] + [(None, 1, 1), (1, None, 1)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [sorted((r.doc_id or -1, r.toxic, round(r.p_toxic, 9)) for r in toxicity.toxicity(df, k, sample=40).collect()) for k in (known, known.repartition(7))]
+    assert got[0] == got[1] and len(got[0]) == 71 and all(t == (i < 0 or i % 2 == 0) for i, t, _ in got[0])
+
+
+def test_pieces_and_personal_data_of_repeated_rows_and_other_columns(spark):
+    rows = [(1, "mail a@b.com", 7), (1, "mail a@b.com", 7), (None, "mail a@b.com", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int").selectExpr("*", "1 AS n_tokens", "2 AS ids", "3 AS id", "4 AS found", "5 AS base_email")
+    assert [(r.n_email, r.spans) for r in pii.personal_data(df).collect()] == [(1, "email:5:12")] * 3
+    assert len({(r.n_tokens, r.ids_sha256) for r in pieces.encode_decode(df, pieces.model_path()).collect()}) == 1
+
+
+def test_personal_data_of_texts_with_very_many_matches(spark):
+    texts = ["+49 30 1234567 " * 30_000, "é a@b.com, " * 1000]
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert got[0].n_phone == 30_000 and got[1].n_email == 1000
+    for i, kind in ((0, "phone"), (1, "email")):
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(texts[i]) if k == kind).encode()).hexdigest()
+
+
+def test_personal_data_finds_addresses_and_cards_in_other_dress(spark):
+    texts = ["login from 10[.]20[.]30[.]40 today", "visa card 4111.1111.1111.1111 to pay", "visa card 4111.1111.1111.1112 to pay", *["host 8.8.8.8, card 4111 1111 1111 1111"] * 30]
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert (got[0], got[1], got[2]) == ("ip:11:28", "card:10:29", "")
+
+
+def test_mixing_takes_rows_of_one_id_alike(spark):
+    rows = [(7, "a b c", "x")] * 3 + [(i, "w " * (i % 9), "y") for i in range(300)] + [(None, "a", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 304 and len({r.copies for r in got if r.doc_id == 7 and r.source == "x"}) == 1
+
+
 def test_mixing_comes_near_its_targets(spark):
     rng = random.Random(9)
     rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(60))), rng.choice(["a", "b", "b", "b", None, "c"])) for i in range(2000)]
@@ -182,6 +245,82 @@ four <b>fi</b>ve.<p>Long enough to be told apart.<ul><li>a<li>b</ul><script>var
 BARE = "<body><div class='x-17'><p>Text of a page without an article element, in a plain container.</p></div><div class='related'><p>More of it</p></div>"
 
 
+def plain_blocks(page, skip):
+    """The text blocks of a well-formed page by Python's own parser, without the elements that skip names."""
+    blocks, stack, text = [], [], []
+
+    class Walk(HTMLParser):
+        def flush(self):
+            words = " ".join("".join(text).split())
+            if words and not any(stack):
+                blocks.append(words)
+            text.clear()
+
+        def handle_starttag(self, tag, attributes):
+            if tag == "br":
+                text.append(" ")
+                return
+            if tag not in ("b", "a", "i"):
+                self.flush()
+            stack.append(skip(tag, dict(attributes)))
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i"):
+                self.flush()
+            stack.pop()
+
+        def handle_data(self, data):
+            text.append(data)
+
+    Walk().feed(page)
+    return "\n".join(blocks)
+
+
+def made_page(rng, words):
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    inline = lambda n: f"{text(n)} <b>{text(2)}</b>{rng.choice([' ', '<br>', '&nbsp;', '&#33;'])}{text(n)} &amp; {text(1)}"
+    body = "".join(rng.choice([f"<p>{inline(12)}</p>", f"<ul><li>{inline(4)}</li><li>{text(3)}</li></ul>", f"<h2>{text(3)}</h2>", f"<blockquote><p>{inline(9)}</p></blockquote>", f'<div class="ad-tech"><p>{inline(6)}</p></div>']) for _ in range(8))
+    around = [f"<nav><ul><li><a>{text(2)}</a></li></ul></nav>", f"<aside><p>{text(9)}</p></aside>", f'<div class="ad"><p>{text(20)}</p></div>', f'<div class="cookie-notice"><p>{text(9)}</p></div>', f'<section id="comments"><p>{text(60)}</p></section>']
+    inside = [f'<div class="share-buttons"><p>{text(3)}</p></div>', f"<form><p>{text(5)}</p></form>", f"<script>var x = 1;</script><style>p</style>"]
+    rng.shuffle(around)
+    return f"<html><body>{''.join(around[:2])}<article><h1>{text(4)}</h1>{body}{rng.choice(inside)}{body[:0]}</article>{''.join(around[2:])}<footer><p>{text(4)}</p></footer></body></html>"
+
+
+def test_html_main_text_matches_a_plain_walk(spark):
+    rng = random.Random(19)
+    words = "alpha beta gamma delta épsilon zeta eta theta".split()
+    rows = [(i, f"http://h{i % 7}.example/{i}", made_page(rng, words)) for i in range(140)]
+    skip = lambda tag, a: tag in ("nav", "aside", "form", "script", "style", "footer") or a.get("class") in ("ad", "cookie-notice", "share-buttons") or a.get("id") == "comments"
+    df = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS text", "3 AS paths")
+    got = html.extract_main_text(df).collect()
+    assert len(got) == 143
+    for r in got:
+        assert r.text == plain_blocks(rows[r.page_id][2], skip) and r.n_chars == len(r.text)
+
+
+def test_html_hosts_with_equal_votes_and_other_templates(spark):
+    left, right = (f"<body><div class='{c}'><p>{c} text that is long enough to be the article of its page.</p></div><p>x</p></body>" for c in ("one", "two"))
+    rows = [(i, "http://h.example", left if i % 2 else right) for i in range(6)] + [(9, "http://h.example", "<body><main><p>Another template, in a main element.</p></main></body>")]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(got[i].startswith("one" if i % 2 else "two") for i in range(6)) and got[9].startswith("Another")
+
+
+def test_html_hostile_pages_take_linear_time():
+    pages = ["<a " * 350_000, "<div>" * 200_000 + "deep", "<div>" * 100_000 + "</p>" * 100_000, "<a x=\"" * 150_000, "<b><div>" + "<i>" * 90_000 + "</b>" * 90_000, "<!--" * 250_000, "<" * 1_000_000, "<ul><li>" * 120_000, "<article>" + "<div>t " * 140_000]
+    for page in pages:
+        began = time.time()
+        read = html.Page(page)
+        if (best := read.best()) is not None:
+            read.under(best)
+        assert time.time() - began < 10
+
+
+def test_html_keeps_what_an_article_says_about_ads(spark):
+    page = '<body><article><h1>T</h1><div class="ad-tech"><p>On ads</p></div><div class="ad-slot">buy</div><p>End of it</p></article></body>'
+    read = html.Page(page)
+    assert read.under(read.best()) == "T\nOn ads\nEnd of it"
+
+
 def test_html_main_text(spark):
     rows = [(i, f"http://Host.example/{i}", PAGE) for i in range(5)] + [(10, "http://b.example", BARE), (11, None, None), (12, "x", ""), (13, "http://b.example/2", "<p>a &lt; b"), (14, "", "<" * 2000)]
     got = {r.page_id: r for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
