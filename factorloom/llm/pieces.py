@@ -22,7 +22,7 @@ from .common import table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that a Python worker keeps at hand, twice: those it met lately, and those it met before.
-CACHE = 100_000
+CACHE = 200_000
 
 
 class PieceModel:
