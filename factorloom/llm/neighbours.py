@@ -162,21 +162,13 @@ def leaf_neighbours(leaves: DataFrame, k: int, floor: float, link: float) -> Dat
     return found.withColumn("s", F.nanvl("s", F.lit(None).cast("double")))
 
 
-def block_edges(left: DataFrame, right: DataFrame | None, link: float) -> DataFrame:
-    """(a, b): edges with the components of all links between left and right (id, vec), or within left; all pairs in blocks."""
-    whole = right is None
-    right = left if whole else right
+def all_pairs(unit: DataFrame, link: float) -> DataFrame:
+    """(a, b): edges with the components of all links of unit (id, vec); every vector meets every other one, in blocks."""
     strip = F.least(F.lit(STRIP), F.greatest(F.lit(BLOCK), F.ceil(F.count("*") / 8.0)))
-    m, n = (frame.groupBy(F.length("vec").alias("bytes")).agg(F.ceil(F.count("*") / strip).cast("int").alias(c)) for frame, c in ((left, "m"), (right, "n")))
-    parts = checkpoint(m.join(n, "bytes"))
-
-    def dealt(frame: DataFrame, mine: str, block: str, other: str, others: str) -> DataFrame:
-        own = frame.withColumn("bytes", F.length("vec")).join(F.broadcast(parts), "bytes").withColumn(block, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
-        return own.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(*(F.col(c).alias(c) for c in ("bytes", "i", "j", "id", "vec")))
-
-    x, y = dealt(left, "m", "i", "j", "n"), dealt(right, "n", "j", "i", "m")
-    if whole:
-        x, y = x.where("i <= j"), y.where("i <= j")
+    parts = checkpoint(unit.groupBy(F.length("vec").alias("bytes")).agg(F.ceil(F.count("*") / strip).cast("int").alias("strips")))
+    own = unit.withColumn("bytes", F.length("vec")).join(F.broadcast(parts), "bytes").withColumn("own", F.pmod(F.xxhash64("id"), F.col("strips")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
+    side = lambda i, j: own.select(*(F.col(k).alias(n) for n, k in zip(("bytes", "i", "j", "id", "vec"), ("bytes", i, j, "id", "vec")))).where("i <= j")
 
     def apply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -190,7 +182,7 @@ def block_edges(left: DataFrame, right: DataFrame | None, link: float) -> DataFr
         return pd.DataFrame({"a": first, "b": second})
 
     keys = ["bytes", "i", "j"]
-    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(apply, "a long, b long").where("a <> b")
+    return side("own", "other").groupBy(*keys).cogroup(side("other", "own").groupBy(*keys)).applyInPandas(apply, "a long, b long").where("a <> b")
 
 
 def shortened(graph: DataFrame, sizes: DataFrame | None, k: int) -> DataFrame:
@@ -345,7 +337,7 @@ def searched(unit: DataFrame, n: int, link: float) -> DataFrame:
         total, seen = audit(unit, graph.select(F.col("a").alias("id")).distinct(), of, link, max(AUDIT, int(np.ceil(np.sqrt(n)))))
         if seen >= RECALL * total:
             return of
-    return components(block_edges(unit, None, link))
+    return components(all_pairs(unit, link))
 
 
 def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", link: float = LINK) -> DataFrame:
