@@ -55,7 +55,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path, cleanup = f"{shared_folder(spark)}/{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
+    before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
         df.write.parquet(path)
