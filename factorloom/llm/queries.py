@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, html, lines, lm, minhash, mixing, neighbours, pieces, pii, toxicity
+from . import exact, html, lines, lm, minhash, mixing, neighbours, pieces, pii, sharding, toxicity, trie, whitening
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op3_line_dedup": lines.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }
