@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import symbol_key
 from factorloom.operators.panel import keep_first, keep_last
+from factorloom.sources import written
 
 
 def membership_join(prices: DataFrame, members: DataFrame, flag: str = "is_sp500") -> DataFrame:
@@ -62,23 +63,42 @@ def membership_panel(sessions: DataFrame, events: DataFrame) -> DataFrame:
 
     The latest snapshot (historical or current) on or before the first session seeds the set; a later snapshot replaces
     it; on one day the snapshot comes first, then removals, then additions; other events of the seed's day are ignored.
-    Events turn into intervals per ticker, and sessions fall into them.
+
+    A ticker's own events tell its state up to its next event, but no longer than to the next snapshot: had it been in
+    that, this would be an event of its own. So a spell ends at the earlier of the two, and no snapshot has to meet
+    the tickers that are missing from it. A calendar of the days of sessions and events (thousands, whatever the log's
+    size) turns days into session numbers; a spell is a run of these, and each number finds its day by an equal join.
     """
     events = events.withColumn("action", F.when(F.col("action") == "current", "historical").otherwise(F.col("action")))
-    first = sessions.agg(F.min("date").alias("first"))
-    seed = events.where("action = 'historical'").crossJoin(F.broadcast(first)).where("date <= first").agg(F.max("date").alias("seed"))
-    if seed.first()["seed"] is None:
+    calendar = membership_calendar(sessions, events)
+    seed = calendar.where("seeds").agg(F.max("date").alias("seed")).first()["seed"]
+    if seed is None:
         raise ValueError("no membership snapshot on or before the first session")
-    live = events.crossJoin(F.broadcast(seed)).where("date > seed OR (date = seed AND action = 'historical')").select("date", "ticker", "action")
-    snapshots = live.where("action = 'historical'").select("date").distinct()
-    absent = events.select("ticker").distinct().crossJoin(F.broadcast(snapshots)).select("date", "ticker", F.lit("absent").alias("action"))
+    live = events.where((F.col("date") > seed) | ((F.col("date") == seed) & (F.col("action") == "historical")))
     has = lambda a: F.max(F.col("action") == a)
-    status = live.unionByName(absent).groupBy("date", "ticker").agg((has("added") | (~has("removed") & has("historical"))).alias("member"))
-    span = Window.partitionBy("ticker").orderBy("date")
-    spans = status.select("ticker", "member", F.col("date").alias("start"), F.lead("date").over(span).alias("stop")).where("member")
-    days = sessions.select("date")
-    inside = (F.col("date") >= F.col("start")) & (F.col("stop").isNull() | (F.col("date") < F.col("stop")))
-    return spans.join(F.broadcast(days), inside).select("date", "ticker")
+    status = live.groupBy("ticker", "date").agg((has("added") | (~has("removed") & has("historical"))).alias("member"))
+    status = status.join(F.broadcast(calendar.select("date", "from_session", "replaced_at")), "date")
+    own = Window.partitionBy("ticker").orderBy("date")
+    spells = status.withColumn("to_session", F.least(F.lead("from_session").over(own), "replaced_at")).where("member AND from_session < to_session")
+    numbers = F.explode(F.sequence("from_session", F.col("to_session") - 1)).alias("session")
+    numbered = calendar.where("session IS NOT NULL").select("date", "session")
+    return spells.select("ticker", numbers).join(F.broadcast(numbered), "session").select("date", "ticker")
+
+
+def membership_calendar(sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per day of sessions or events: its session number, the first one on or after it (their number if there is
+    none), that of the next snapshot after it, and whether it is a snapshot on or before the first session."""
+    days = sessions.select("date", F.lit(True).alias("open"), F.lit(False).alias("snapshot"))
+    days = days.union(events.select("date", F.lit(False), F.col("action") == "historical")).where("date IS NOT NULL")
+    days = days.groupBy("date").agg(F.max("open").alias("open"), F.max("snapshot").alias("snapshot"))
+    whole, later = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("date")
+    count = F.count_if("open").over(whole)
+    number = F.count_if("open").over(earlier)
+    days = days.withColumns({"session": F.when(F.col("open"), number - 1), "from_session": F.when(F.col("open"), number - 1).otherwise(number), "__n": count})
+    replaced = F.max(F.when(F.col("snapshot"), F.struct(-F.unix_date("date"), F.col("from_session").alias("s")))).over(later.rowsBetween(Window.unboundedPreceding, -1))
+    seeds = F.col("snapshot") & ((F.col("from_session") == 0) & (F.col("__n") > 0))
+    return written(days.select("date", "session", "from_session", F.coalesce(replaced["s"], F.col("__n")).alias("replaced_at"), seeds.alias("seeds")))
 
 
 def annotate_instruments(ranking: DataFrame, instruments: DataFrame, positions: DataFrame) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions import dot
 from factorloom.operators.joins import asof_backward, series_asof
 from factorloom.operators.metrics import active_log_return
 from factorloom.operators.panel import sessions
+from factorloom.sources import written
 
-#: More candidates than this are not broadcast.
-BROADCAST_CANDIDATES = 100_000
+#: Candidates of a block; bytes of all blocks up to which they are broadcast; bytes of packed rows of a task, about; scores that are held at a time.
+BLOCK, BROADCAST_BYTES, TASK_BYTES, SCORES_AT_ONCE = 512, 32 << 20, 32 << 20, 1 << 20
 
 
 def normalised_candidates(long: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -53,25 +57,114 @@ def build_periods(ranked: DataFrame, prices: DataFrame, benchmark: DataFrame, fe
     return rows.select("period", "start", "stop", "ticker", values.alias("features"), (F.col("exit") / F.col("entry") - 1).alias("forward_return"), "benchmark_return")
 
 
-def evaluate(periods: DataFrame, candidates: DataFrame, top_n: int, width: int) -> DataFrame:
-    """(candidate_id, period, strategy_return): mean forward return of the top names under each candidate's weights.
+def packed_periods(periods: DataFrame) -> DataFrame:
+    """(period, returns, features): a row per period, its names in the order of their tickers, features one name after the other."""
+    names = F.sort_array(F.collect_list(F.struct("ticker", "forward_return", "features")))
+    rows = periods.groupBy("period").agg(names.alias("names"))
+    features = F.flatten(F.transform("names", lambda n: n["features"]))
+    return rows.select("period", F.transform("names", lambda n: n["forward_return"]).alias("returns"), features.alias("features"))
 
-    Every candidate has to meet every period. A period's names are one array (as long as the universe), so that scores,
-    order and mean are worked out inside a row and no (candidate, period, name) is ever shuffled. The candidates are
-    sent around if their counted number allows that. The dot product is unrolled into ``width`` multiplications; ties
-    go by ticker.
+
+def packed_candidates(candidates: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(block, ids, weights): about ``size`` candidates a row, weights one candidate after the other."""
+    blocks = max(1, math.ceil(candidates.count() / size))
+    rows = candidates.groupBy(F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("candidate_id", "weights"))).alias("c"))
+    return rows.select("block", F.transform("c", lambda c: c["candidate_id"]).alias("ids"), F.flatten(F.transform("c", lambda c: c["weights"])).alias("weights"))
+
+
+def scores_of(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The product (candidates x names), summed in the order of the features: no fused steps, so that equal scores stay equal."""
+    out = np.zeros((len(weights), len(features)))
+    for i in range(features.shape[1]):
+        out += weights[:, i : i + 1] * features[:, i]
+    return out
+
+
+def top_means(scores: np.ndarray, returns: np.ndarray, n: int) -> np.ndarray:
+    """The mean return of each row's n best scores; of scores that are equal at the cut, the first columns count.
+
+    A partial selection finds the cut; only rows with more equal scores there than places look at their order.
+    """
+    n = min(n, scores.shape[1])
+    cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n, None]
+    taken = scores >= cut
+    for i in np.flatnonzero(np.count_nonzero(taken, axis=1) > n):
+        above = scores[i] > cut[i]
+        equal = np.flatnonzero(taken[i] & ~above)
+        taken[i] = above
+        taken[i, equal[: n - np.count_nonzero(above)]] = True
+    return taken @ returns / n
+
+
+def over_blocks(periods: DataFrame, candidates: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What reduce makes of the scores (candidates x names) and returns of each period and block of candidates.
+
+    Gives (period, block, an array of a number per candidate for each of names), and the blocks. Every block has to meet
+    every period: (period, block) rows of packed numbers are dealt to tasks, so neither names nor candidates are ever
+    multiplied out as rows. Blocks are broadcast where their counted bytes are few, else joined by a shuffle; the tasks
+    are so many that each holds about ``TASK_BYTES`` of packed rows, and a task scores some candidates at a time.
     """
-    names = periods.groupBy("period").agg(F.collect_list(F.struct("ticker", "forward_return", "features")).alias("names"))
-    few = candidates.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
-    every = names.crossJoin(F.broadcast(candidates) if few else candidates)
+    packed, blocks = written(packed_periods(periods)), written(packed_candidates(candidates))
+    most = packed.agg(F.count("*").alias("n"), F.max(F.size("features") + F.size("returns")).alias("numbers")).first()
+    size = blocks.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("weights") + F.size("ids")), F.lit(0)).alias("numbers")).first()
+    few = size["n"] * size["numbers"] * 8 <= BROADCAST_BYTES
+    row_bytes = 8 * ((most["numbers"] or 0) + size["numbers"])
+    tasks = max(4 * periods.sparkSession.sparkContext.defaultParallelism, most["n"] * size["n"] * row_bytes // TASK_BYTES + 1)
+    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(size["n"], 1) - 1).cast("long"))))
+    own = blocks.select("block", "weights")
+    pairs = pairs.repartition(tasks).join(F.broadcast(own), "block") if few else pairs.join(own, "block").repartition(tasks)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for period, block, returns, features, weights in zip(*(batch.column(c) for c in ("period", "block", "returns", "features", "weights"))):
+                r = returns.values.to_numpy()
+                f = features.values.to_numpy().reshape(len(r), -1)
+                w = weights.values.to_numpy().reshape(-1, f.shape[1])
+                step = max(1, SCORES_AT_ONCE // len(r))
+                parts = [reduce(scores_of(f, w[i : i + step]), r) for i in range(0, len(w), step)]
+                found.append((period.as_py(), block.as_py(), *(np.concatenate(x) for x in zip(*parts))))
+            columns = list(zip(*found)) or [[]] * (2 + len(names))
+            types = [pa.int64(), pa.int64(), *[pa.list_(pa.float64())] * len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["period", "block", *names])
+
+    schema = ", ".join(["period long, block long", *(f"{n} array<double>" for n in names)])
+    return pairs.select("period", "block", "returns", "features", "weights").mapInArrow(work, schema), blocks
+
+
+def evaluate(periods: DataFrame, candidates: DataFrame, top_n: int) -> DataFrame:
+    """(candidate_id, returns): one array per candidate, the mean forward return of its top names in each period.
+
+    The periods stand in their order, all of them for every candidate. Ties go by ticker.
+    """
+    found, blocks = over_blocks(periods, candidates, lambda scores, returns: [top_means(scores, returns, top_n)], ["r"])
+    rows = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("period", "r"))).alias("rows"))
+    each = rows.select("block", F.transform("rows", lambda x: x["r"]).alias("r")).join(blocks.select("block", "ids"), "block").select("ids", "r")
+    kind = dict(candidates.dtypes)["candidate_id"]
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, r in zip(batch.column("ids"), batch.column("r")):
+                matrix = r.values.flatten().to_numpy().reshape(len(r), -1).T
+                lists = pa.ListArray.from_arrays(np.arange(0, matrix.size + 1, len(r), dtype=np.int32), np.ascontiguousarray(matrix).ravel())
+                yield pa.RecordBatch.from_arrays([ids.values, lists], names=["candidate_id", "returns"])
+
+    return each.mapInArrow(turned, f"candidate_id {kind}, returns array<double>")
+
 
-    def scored(n: Column) -> Column:
-        score = sum((n["features"][i] * F.col("weights")[i] for i in range(1, width)), n["features"][0] * F.col("weights")[0])
-        return F.struct((-score).alias("s"), n["ticker"].alias("ticker"), n["forward_return"].alias("r"))
+def by_period(returns: DataFrame, spans: DataFrame) -> DataFrame:
+    """(candidate_id, period, strategy_return): the arrays of ``evaluate`` as rows."""
+    order = spans.agg(F.sort_array(F.collect_list("period")).alias("__periods"))
+    each = returns.crossJoin(F.broadcast(order)).select("candidate_id", F.explode(F.arrays_zip(F.col("__periods").alias("period"), F.col("returns").alias("r"))).alias("x"))
+    return each.select("candidate_id", "x.period", F.col("x.r").alias("strategy_return"))
 
-    top = F.slice(F.array_sort(F.transform("names", scored)), 1, top_n)
-    mean = F.aggregate(top, F.lit(0.0), lambda total, n: total + n["r"]) / F.size(top)
-    return every.select("candidate_id", "period", mean.alias("strategy_return"))
+
+def score_summary(periods: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(candidate_id, mean_score, best_score) over all names of all periods."""
+    found, blocks = over_blocks(periods, candidates, lambda scores, _: [scores.sum(axis=1), scores.max(axis=1)], ["total", "best"])
+    each = found.join(blocks.select("block", "ids"), "block").select(F.explode(F.arrays_zip("ids", "total", "best")).alias("c"))
+    n = periods.count()
+    return each.groupBy(F.col("c.ids").alias("candidate_id")).agg((F.sum("c.total") / n).alias("mean_score"), F.max("c.best").alias("best_score"))
 
 
 def split_periods(periods: DataFrame, audit_years: int) -> DataFrame:
@@ -90,20 +183,39 @@ def split_is_usable(spans: DataFrame, development: int = 12, audit: int = 3) ->
 
 
 def candidate_metrics(returns: DataFrame, spans: DataFrame) -> DataFrame:
-    """Robust score and its parts per candidate, on development; the same means on the audit."""
-    rows = returns.join(F.broadcast(spans.where("part <> 'purged'")), "period").withColumn("active", active_log_return(F.col("strategy_return"), F.col("benchmark_return")))
-    rows = rows.withColumn("fold", F.ntile(4).over(Window.partitionBy("candidate_id", "part").orderBy("start")))
-    folds = rows.where("part = 'development'").groupBy("candidate_id", "fold").agg(F.avg("active").alias("m")).groupBy("candidate_id").agg(F.stddev_pop("m").alias("fold_std"))
-
-    def part(name: str, prefix: str) -> DataFrame:
-        return rows.where(F.col("part") == name).groupBy("candidate_id").agg(
-            F.avg("active").alias(f"{prefix}_mean_active"), F.percentile("active", F.lit(0.25)).alias(f"{prefix}_active_q25"),
-            (F.count_if(F.col("active") > 0) / F.count("*")).alias(f"{prefix}_outperformance_rate"), F.avg("strategy_return").alias(f"{prefix}_strategy_mean"),
-        )
-
-    out = part("development", "development").join(folds, "candidate_id").join(part("audit", "audit"), "candidate_id", "left")
+    """Robust score and its parts per candidate, on development; the same means on the audit.
+
+    Everything comes from the candidate's own array of period returns (see ``evaluate``) next to one row with the
+    benchmark and the part of every period: nothing is shuffled.
+    """
+    timeline = spans.agg(F.sort_array(F.collect_list(F.struct("period", "part", "benchmark_return"))).alias("__line"))
+    both = lambda r, t: F.struct(t["part"].alias("part"), r.alias("r"), active_log_return(r, t["benchmark_return"]).alias("a"))
+    rows = returns.crossJoin(F.broadcast(timeline)).withColumn("__all", F.zip_with("returns", "__line", both))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    mean = lambda values: F.try_divide(total(values), F.size(values))
+    of_part = lambda part: F.filter("__all", lambda x: x["part"] == part)
+    for name in ("development", "audit"):
+        rows = rows.withColumn(f"__{name}", of_part(name))
+        rows = rows.withColumn(f"__{name}_a", F.transform(f"__{name}", lambda x: x["a"])).withColumn(f"__{name}_sorted", F.sort_array(f"__{name}_a"))
+        own, values = F.col(f"__{name}_a"), F.col(f"__{name}_sorted")
+        place = 0.25 * (F.size(own) - 1)
+        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+        quantile = F.when(low == high, F.get(values, low)).otherwise(F.get(values, low) * (high - place) + F.get(values, high) * (place - low))
+        rows = rows.withColumns({
+            f"{name}_mean_active": mean(own), f"{name}_active_q25": F.when(F.size(own) > 0, quantile),
+            f"{name}_outperformance_rate": F.try_divide(F.size(F.filter(own, lambda a: a > 0)).cast("double"), F.size(own)),
+            f"{name}_strategy_mean": mean(F.transform(f"__{name}", lambda x: x["r"])),
+        })
+    #: four folds in the order of time, the first ones a period longer where the number is not a multiple of four
+    own, n = F.col("__development_a"), F.size("__development_a")
+    length = lambda k: F.floor(n / 4).cast("int") + (n % 4 > k).cast("int")
+    start = lambda k: F.floor(n / 4).cast("int") * k + F.least(n % 4, F.lit(k)) + 1
+    folds = F.filter(F.array(*[mean(F.slice(own, start(k), length(k))) for k in range(4)]), lambda m: m.isNotNull())
+    rows = rows.where(n > 0).withColumn("__folds", folds).withColumn("__level", mean(F.col("__folds")))
+    rows = rows.withColumn("fold_std", F.sqrt(mean(F.transform("__folds", lambda m: (m - F.col("__level")) * (m - F.col("__level"))))))
     robust = F.col("development_mean_active") + 0.35 * F.col("development_active_q25") + 0.01 * (F.col("development_outperformance_rate") - 0.5) - 0.35 * F.col("fold_std")
-    return out.withColumn("robust_score", robust)
+    out = rows.withColumn("robust_score", robust)
+    return out.select("candidate_id", *[c for c in out.columns if c not in ("candidate_id", "returns") and not c.startswith("__")])
 
 
 def leaderboard(metrics: DataFrame) -> DataFrame:

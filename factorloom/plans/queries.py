@@ -12,8 +12,9 @@ from factorloom.operators import backtest, features, joins, metrics, panel, tuni
 from factorloom.plans import dataset, selectors, strategies
 from factorloom.plans.catalog import RELATIONS, query
 from factorloom.plans.fixtures import Tables
+from factorloom.plans.store import PanelStore
 from factorloom.plans.relations import ANCHOR, CAPITAL, FEE, GATES, HOLD, MIN_PRICE, MIN_VOLUME, SLIP, TOP, TUNE_HOLD, TUNE_TOP, TUNED, curve_of, metrics_of, percent_rank
-from factorloom.sources import archive_counts, filter_archive, read_table, recent_slice, require, rewritten, write_csv, write_panel, write_summary
+from factorloom.sources import archive_counts, filter_archive, new_path, read_table, recent_slice, require, rewritten, write_csv, write_panel, write_summary, written
 
 PRICE = selectors.PriceConfig(min_price=MIN_PRICE, min_median_dollar_volume_60d=MIN_VOLUME)
 COMPOSITE = selectors.CompositeConfig(min_price=MIN_PRICE, min_median_dollar_volume_60d=MIN_VOLUME)
@@ -68,8 +69,9 @@ def periods(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = periods(t)
-    return tuning.evaluate(rows, candidates(t), TUNE_TOP, len(TUNED)), tuning.split_periods(rows, 2)
+    """Period returns per candidate and the split periods; the rows of periods are worked out once."""
+    rows = written(periods(t))
+    return tuning.evaluate(rows, candidates(t), TUNE_TOP), tuning.split_periods(rows, 2)
 
 
 # Scans and cleaning.
@@ -296,8 +298,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("j13_candidate_scores", "#candidate_id ~mean_score ~best_score", "SELECT candidate_id, avg(score) AS mean_score, max(score) AS best_score FROM period_scores GROUP BY candidate_id")
 def _(t: Tables) -> DataFrame:
-    every = periods(t).crossJoin(F.broadcast(candidates(t))).withColumn("score", dot("features", "weights"))
-    return every.groupBy("candidate_id").agg(F.avg("score").alias("mean_score"), F.max("score").alias("best_score"))
+    return tuning.score_summary(written(periods(t)), candidates(t))
 
 
 NAMES = ["AF", "NF", "NO", "RF"]
@@ -394,13 +395,34 @@ def _(t: Tables) -> DataFrame:
     return selectors.rank_composite(full_panel(t), COMPOSITE)
 
 
-@query("a14_comparison", METRICS + " ~risk_on_sharpe ~risk_off_sharpe", """SELECT m.*, s.risk_on_sharpe, s.risk_off_sharpe FROM all_metrics AS m JOIN (SELECT strategy, coalesce(max(x) FILTER (risk_on), 0) AS risk_on_sharpe, coalesce(max(x) FILTER (NOT risk_on), 0) AS risk_off_sharpe FROM
-    (SELECT c.strategy, coalesce(r.risk_on_for_open, false) AS risk_on, CASE WHEN stddev_pop(c.daily_return) > 0 THEN avg(c.daily_return) / stddev_pop(c.daily_return) * sqrt(252) ELSE 0 END AS x FROM curves AS c LEFT JOIN regimes AS r ON r.date = c.date GROUP BY ALL) AS a GROUP BY strategy) AS s ON s.strategy = m.strategy""")
+FULL = "strategy !final_equity ~total_return_pct ~cagr_pct ~annual_volatility_pct ~sharpe_ratio ~max_drawdown_pct ~benchmark_cagr_pct ~excess_cagr_pct"
+RECENT = " ".join(f"~recent_{c[1:]}" for c in FULL.split()[2:])
+STATES = "~risk_on_sharpe ~risk_off_sharpe ~risk_on_cagr_pct ~risk_off_cagr_pct"
+
+
+def comparison_of(name: str, equity: str) -> str:
+    """The twin of a comparison of the curves in a relation, with relations <name>_..."""
+    edge = f"(SELECT CAST(max(date) - INTERVAL 2 YEAR AS DATE) FROM {equity})"
+    growth = "SELECT coalesce(CASE WHEN count(*) > 1 THEN (pow(arg_max(c, date) / arg_min(c, date), 1 / greatest((count(*) - 1) / 252e0, 1 / 252e0)) - 1) * 100 END, 0) AS b"
+    RELATIONS[f"{name}_curves"] = curve_of(equity)
+    RELATIONS[f"{name}_metrics"] = metrics_of(f"{name}_curves")
+    RELATIONS[f"{name}_recent"] = f"SELECT strategy, date, equity / first_value(equity) OVER (PARTITION BY strategy ORDER BY date) AS equity FROM {equity} WHERE date >= {edge}"
+    RELATIONS[f"{name}_recent_curves"] = curve_of(f"{name}_recent")
+    RELATIONS[f"{name}_recent_metrics"] = metrics_of(f"{name}_recent_curves", 1)
+    RELATIONS[f"{name}_bench"] = f"SELECT d.date, last_value(x.close IGNORE NULLS) OVER (ORDER BY d.date) AS c FROM (SELECT DISTINCT date FROM {equity}) AS d LEFT JOIN bench_px AS x ON x.date = d.date"
+    RELATIONS[f"{name}_growth"] = f"{growth} FROM {name}_bench WHERE c IS NOT NULL"
+    RELATIONS[f"{name}_recent_growth"] = f"{growth} FROM {name}_bench WHERE c IS NOT NULL AND date >= {edge}"
+    RELATIONS[f"{name}_states"] = f"""SELECT strategy, coalesce(max(x) FILTER (risk_on), 0) AS risk_on_sharpe, coalesce(max(x) FILTER (NOT risk_on), 0) AS risk_off_sharpe, coalesce(max(g) FILTER (risk_on), 0) AS risk_on_cagr_pct, coalesce(max(g) FILTER (NOT risk_on), 0) AS risk_off_cagr_pct FROM
+        (SELECT c.strategy, coalesce(r.risk_on_for_open, false) AS risk_on, CASE WHEN stddev_pop(c.daily_return) > 0 THEN avg(c.daily_return) / stddev_pop(c.daily_return) * sqrt(252) ELSE 0 END AS x, (pow(exp(sum(ln(1 + c.daily_return))), 252e0 / count(*)) - 1) * 100 AS g
+         FROM {name}_curves AS c LEFT JOIN regimes AS r ON r.date = c.date GROUP BY ALL) AS a GROUP BY strategy"""
+    recent = ", ".join("n.b AS recent_benchmark_cagr_pct" if c == "~recent_benchmark_cagr_pct" else "r.cagr_pct - n.b AS recent_excess_cagr_pct" if c == "~recent_excess_cagr_pct" else f"r.{c[8:]} AS {c[1:]}" for c in RECENT.split())
+    return f"""SELECT m.*, g.b AS benchmark_cagr_pct, m.cagr_pct - g.b AS excess_cagr_pct, {recent}, s.* EXCLUDE (strategy) FROM {name}_metrics AS m
+        JOIN {name}_recent_metrics AS r ON r.strategy = m.strategy JOIN {name}_states AS s ON s.strategy = m.strategy CROSS JOIN (SELECT * FROM {name}_growth) AS g CROSS JOIN (SELECT * FROM {name}_recent_growth) AS n"""
+
+
+@query("a14_comparison", f"{FULL} {RECENT} {STATES}", comparison_of("e", "equity"))
 def _(t: Tables) -> DataFrame:
-    regime = metrics.market_regime(t.bench_px).select("date", F.col("risk_on_for_open").alias("risk_on"))
-    by = metrics.conditional_metrics(t.equity, regime)
-    wide = by.groupBy("strategy").agg(F.max(F.when(F.col("risk_on"), F.col("sharpe_ratio"))).alias("risk_on_sharpe"), F.max(F.when(~F.col("risk_on"), F.col("sharpe_ratio"))).alias("risk_off_sharpe"))
-    return metrics.equity_metrics(t.equity, CAPITAL).join(wide, "strategy")
+    return strategies.comparison(t.equity, t.bench_px, metrics.market_regime(t.bench_px), CAPITAL)
 
 
 @query("a15_cash_share", "strategy ~average_cash_pct ~ending_cash_pct", "SELECT strategy, avg(cash_pct) AS average_cash_pct, arg_max(cash_pct, date) AS ending_cash_pct FROM hold_equity GROUP BY strategy")
@@ -519,7 +541,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("t4_top_per_period", "#period #candidate_id ~strategy_return", "SELECT * FROM period_returns")
 def _(t: Tables) -> DataFrame:
-    return scored(t)[0]
+    return tuning.by_period(*scored(t))
 
 
 @query("t5_winner", "#candidate_id ~robust_score", "SELECT * FROM candidate_scores ORDER BY round(robust_score, 9) DESC, candidate_id LIMIT 1")
@@ -542,19 +564,36 @@ def _(t: Tables) -> DataFrame:
 ON = "coalesce(r.momentum_12m_ex_1m_rank, 0.5) * 0.35e0 + coalesce(r.momentum_6m_rank, 0.5) * 0.25e0 + coalesce(r.momentum_3m_rank, 0.5) * 0.15e0 + coalesce(r.quality_rank, 0.5) * 0.1e0 + coalesce(r.financial_strength_rank, 0.5) * 0.05e0 + coalesce(r.value_rank, 0.5) * 0.05e0 + coalesce(r.liquidity_rank, 0.5) * 0.05e0"
 OFF = "coalesce(r.quality_rank, 0.5) * 0.25e0 + coalesce(r.financial_strength_rank, 0.5) * 0.25e0 + coalesce(r.downside_risk_rank, 0.5) * 0.2e0 + coalesce(r.value_rank, 0.5) * 0.15e0 + coalesce(r.liquidity_rank, 0.5) * 0.1e0 + coalesce(r.momentum_12m_ex_1m_rank, 0.5) * 0.05e0"
 ADAPTIVE = f"SELECT r.*, coalesce(g.risk_on_for_open, false) AS rs, {ON} AS on_score, {OFF} AS off_score FROM p_ranked AS r LEFT JOIN regimes AS g ON g.date = r.date"
-#: The strategies in terms of the twin: method, parameter, sessions of a period.
+#: The strategies in terms of the twin, as name: method, parameter, sessions of a period.
 METHODS = {
-    "baseline_6m": ("composite", 0.0, 126), "monthly_composite": ("composite", 0.0, 21), "momentum_12_1": ("momentum", 0.0, 21), "trend_filter": ("trend", 0.0, 21),
-    **{f"mean_reversion_rsi{k}": ("mean_reversion", float(k), 21) for k in (30, 35, 40)}, **{f"rank_persistence_{k}": ("rank_persistence", float(k), 21) for k in (30, 50, 75)},
-    **{f"risk_overlay_{k}pct": ("risk_overlay", k / 100, 126) for k in (15, 20, 25)}, **{f"regime_adaptive_{k}pct": ("regime_adaptive", k / 100, 21) for k in (40, 65, 100)},
+    "baseline_6m": ("composite", 0.0, 126),
+    "monthly_composite": ("composite", 0.0, 21),
+    "momentum_12_1": ("momentum", 0.0, 21),
+    "trend_filter": ("trend", 0.0, 21),
+    "mean_reversion_rsi30": ("mean_reversion", 30.0, 21),
+    "mean_reversion_rsi35": ("mean_reversion", 35.0, 21),
+    "mean_reversion_rsi40": ("mean_reversion", 40.0, 21),
+    "rank_persistence_30": ("rank_persistence", 30.0, 21),
+    "rank_persistence_50": ("rank_persistence", 50.0, 21),
+    "rank_persistence_75": ("rank_persistence", 75.0, 21),
+    "risk_overlay_15pct": ("risk_overlay", 0.15, 126),
+    "risk_overlay_20pct": ("risk_overlay", 0.20, 126),
+    "risk_overlay_25pct": ("risk_overlay", 0.25, 126),
+    "regime_adaptive_40pct": ("regime_adaptive", 0.40, 21),
+    "regime_adaptive_65pct": ("regime_adaptive", 0.65, 21),
+    "regime_adaptive_100pct": ("regime_adaptive", 1.00, 21),
     "performance_adaptive_252d": ("performance_adaptive", 252.0, 21),
 }
 COMPARED = tuple(s for s in strategies.STRATEGIES if s.every == 21 and s.stay is None and not s.among)
 
 
-def variant_input(t: Tables) -> DataFrame:
-    rows = selectors.adaptive_scores(selectors.rank_composite(full_panel(t), COMPOSITE))
-    return rows.join(features.rsi(t.bars, name="rsi14_decision").select("ticker", "date", "rsi14_decision"), ["ticker", "date"], "left")
+def variant_input(t: Tables, dates: DataFrame | None = None) -> DataFrame:
+    """Ranks and RSI of all dates, or of the given ones: features and RSI see all bars, ranks and the join only these."""
+    rows = selectors.adaptive_scores(selectors.rank_composite(full_panel(t), COMPOSITE, dates))
+    rsi = features.rsi(t.bars, name="rsi14_decision").select("ticker", "date", "rsi14_decision")
+    if dates is not None:
+        rsi = rsi.join(F.broadcast(dates), "date", "left_semi")
+    return rows.join(rsi, ["ticker", "date"], "left")
 
 
 VARIANT_ROWS = ", ".join(f"('{s.name}', '{METHODS[s.name][0]}', {METHODS[s.name][1]}e0)" for s in COMPARED)
@@ -717,23 +756,15 @@ RELATIONS["v_choices"] = """SELECT date, strategy FROM (SELECT strategy, date, p
 RELATIONS["a_orders"] = "SELECT 'performance_adaptive_252d' AS strategy, o.* EXCLUDE (strategy) FROM v_orders AS o JOIN v_choices AS c ON c.date = o.start AND o.strategy = CASE c.strategy WHEN 'baseline_6m' THEN 'monthly_composite' ELSE c.strategy END"
 curves_of("a_orders", "a", "SELECT strategy, every FROM v_list WHERE method = 'performance_adaptive'")
 RELATIONS["s_equity"] = "SELECT * FROM v_equity UNION ALL SELECT * FROM a_equity"
-RELATIONS["s_curves"] = curve_of("s_equity")
-RELATIONS["s_recent"] = "SELECT strategy, date, equity / first_value(equity) OVER (PARTITION BY strategy ORDER BY date) AS equity FROM s_equity WHERE date >= (SELECT CAST(max(date) - INTERVAL 2 YEAR AS DATE) FROM days)"
-RELATIONS["s_recent_curves"] = curve_of("s_recent")
-RELATIONS["s_metrics"] = metrics_of("s_curves")
-RELATIONS["s_recent_metrics"] = metrics_of("s_recent_curves", 1)
-RELATIONS["s_states"] = """SELECT strategy, coalesce(max(x) FILTER (risk_on), 0) AS risk_on_sharpe, coalesce(max(x) FILTER (NOT risk_on), 0) AS risk_off_sharpe FROM
-    (SELECT c.strategy, coalesce(r.risk_on_for_open, false) AS risk_on, CASE WHEN stddev_pop(c.daily_return) > 0 THEN avg(c.daily_return) / stddev_pop(c.daily_return) * sqrt(252) ELSE 0 END AS x FROM s_curves AS c LEFT JOIN regimes AS r ON r.date = c.date GROUP BY ALL) AS a GROUP BY strategy"""
-FULL = "strategy !final_equity ~total_return_pct ~cagr_pct ~annual_volatility_pct ~sharpe_ratio ~max_drawdown_pct"
-RECENT = " ".join(f"~recent_{c}" for c in ("total_return_pct", "cagr_pct", "annual_volatility_pct", "sharpe_ratio", "max_drawdown_pct"))
 
 
 def compared(t: Tables) -> dict[str, DataFrame]:
-    return strategies.compare(variant_input(t), metrics.market_regime(t.bench_px), prices(t), strategies.STRATEGIES, TOP, SLIP, FEE, CAPITAL)
+    px = prices(t)
+    days = strategies.decision_days(px, strategies.STRATEGIES)
+    return strategies.compare(variant_input(t, days), metrics.market_regime(t.bench_px), t.bench_px, px, strategies.STRATEGIES, TOP, SLIP, FEE, CAPITAL)
 
 
-@query("p7_compare", f"{FULL} {RECENT} ~risk_on_sharpe ~risk_off_sharpe", f"""SELECT m.*, {', '.join(f'r.{c[8:]} AS {c[1:]}' for c in RECENT.split())}, s.risk_on_sharpe, s.risk_off_sharpe
-    FROM s_metrics AS m JOIN s_recent_metrics AS r ON r.strategy = m.strategy JOIN s_states AS s ON s.strategy = m.strategy""")
+@query("p7_compare", f"{FULL} {RECENT} {STATES}", comparison_of("s", "s_equity"))
 def _(t: Tables) -> DataFrame:
     return compared(t)["comparison"]
 
@@ -750,7 +781,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("p9_evaluate", "#candidate_id #n_periods ~mean_return", "SELECT candidate_id, count(*) AS n_periods, avg(strategy_return) AS mean_return FROM period_returns GROUP BY candidate_id")
 def _(t: Tables) -> DataFrame:
-    return scored(t)[0].groupBy("candidate_id").agg(F.count("*").alias("n_periods"), F.avg("strategy_return").alias("mean_return"))
+    returns = scored(t)[0]
+    return returns.select("candidate_id", F.size("returns").alias("n_periods"), (F.aggregate("returns", F.lit(0.0), lambda a, b: a + b) / F.size("returns")).alias("mean_return"))
 
 
 @query("p10_purged_split", "#development #audit #purged usable", "SELECT count(*) FILTER (part = 'development') AS development, count(*) FILTER (part = 'audit') AS audit, count(*) FILTER (part = 'purged') AS purged, count(*) FILTER (part = 'development') >= 12 AND count(*) FILTER (part = 'audit') >= 3 AS usable FROM parts")
@@ -779,6 +811,13 @@ def _(t: Tables) -> DataFrame:
     return dataset.refresh(t.bars.where("date < DATE '1998-06-01'"), fresh, seeded(t))
 
 
+@query("p13_incremental", "ticker date ~close #history_days ~momentum_12m_ex_1m ~ma_200d ~downside_volatility_90d ~drawdown_252d ~median_dollar_volume_60d ~decision_close #decision_history_days ~decision_momentum_6m", "SELECT * FROM feat WHERE date >= DATE '1998-06-01'")
+def _(t: Tables) -> DataFrame:
+    store = PanelStore(t.spark, new_path(t.spark))
+    store.build(t.bars.where("date < DATE '1998-06-20'").withColumn("close", F.when(F.col("date") >= F.lit("1998-06-01").cast("date"), 1.0).otherwise(F.col("close"))))
+    return store.refresh(t.bars.where("date >= DATE '1998-06-01'"))
+
+
 @query("p14_equal_notional", "ticker date ~target_value ~quantity ^estimated_spend valid", f"""SELECT ticker, date, target_value, q AS quantity, q * close * 1.25e0 AS estimated_spend, q > 0 AS valid FROM
     (SELECT ticker, date, close, target_value, coalesce(floor(target_value / 1.25e0 / close * 1e4) / 1e4, 0) AS q FROM (SELECT ticker, date, close, 9500e0 / count(*) OVER (PARTITION BY date) AS target_value FROM price_ranked WHERE selection_rank <= {TOP}) AS a) AS b""")
 def _(t: Tables) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.operators.backtest import cohorts, daily_equity, picks, positions, rank_hysteresis, sold_at_stops, trailing_stops
-from factorloom.operators.metrics import conditional_metrics, equity_metrics, strategy_choices
+from factorloom.operators.joins import align_to_calendar
+from factorloom.operators.metrics import conditional_metrics, metrics_against, strategy_choices
 from factorloom.operators.panel import sessions
 from factorloom.sources import written
 
@@ -143,15 +144,19 @@ def choice_log(choices: DataFrame, sessions: DataFrame, lookback: int = LOOKBACK
     return choices.join(F.broadcast(days), "date").select("date", "selected_strategy", F.lit(lookback).alias("lookback_days"), "selection_sharpe")
 
 
-def compare(ranked: DataFrame, regime: DataFrame, prices: DataFrame, strategies: tuple[Strategy, ...], top_n: int, slippage: float, commission: float, initial: float, recent_years: int = 2) -> dict[str, DataFrame]:
+def decision_days(prices: DataFrame, strategies: tuple[Strategy, ...]) -> DataFrame:
+    """(date): the rebalance days of all strategies; no other day has to be ranked."""
+    starts = [cohorts(prices, every).select(F.col("start").alias("date")) for every in sorted({s.every for s in strategies})]
+    return reduce(DataFrame.union, starts).distinct()
+
+
+def compare(ranked: DataFrame, regime: DataFrame, benchmark: DataFrame, prices: DataFrame, strategies: tuple[Strategy, ...], top_n: int, slippage: float, commission: float, initial: float, recent_years: int = 2) -> dict[str, DataFrame]:
     """Daily equity of all strategies, their comparison, and the choices of those that choose.
 
-    The comparison has the metrics of the whole time and of the last years (recent_...), and the Sharpe ratios of
-    risk-on and risk-off days. ranked is worked out once, and only its rebalance days are kept; so are the curves, one
+    ranked is worked out once, and only its rebalance days (see ``decision_days``) are kept; so are the curves, one
     row per strategy and session, on which the curves of those that choose rest.
     """
-    starts = [cohorts(prices, every).select(F.col("start").alias("date")) for every in sorted({s.every for s in strategies})]
-    ranked = written(ranked.join(F.broadcast(reduce(DataFrame.union, starts).distinct()), "date", "left_semi").select(*NEEDED))
+    ranked = written(ranked.join(F.broadcast(decision_days(prices, strategies)), "date", "left_semi").select(*NEEDED))
     equity, choices = None, None
     for every in sorted({s.every for s in strategies}):
         own = tuple(s for s in strategies if s.every == every and not s.among)
@@ -170,22 +175,32 @@ def compare(ranked: DataFrame, regime: DataFrame, prices: DataFrame, strategies:
         orders = orderings(days, regime, tuple(known[n] for n in s.among if n not in same))
         held = positions(picks(chosen_orders(orders, choices, s, same), plan, top_n), prices, slippage, drop_then_weigh=False)
         equity = equity.unionByName(daily_equity(written(held), prices, plan, commission, initial, [s.name]))
-    states = conditional_metrics(equity, regime.select("date", F.col("risk_on_for_open").alias("risk_on")))
-    by_state = states.groupBy("strategy").agg(
-        F.max(F.when(F.col("risk_on"), F.col("sharpe_ratio"))).alias("risk_on_sharpe"), F.max(F.when(~F.col("risk_on"), F.col("sharpe_ratio"))).alias("risk_off_sharpe")
-    )
-    recent = recent_metrics(equity, prices, recent_years)
-    return {"equity": equity, "comparison": equity_metrics(equity, initial).join(recent, "strategy").join(by_state, "strategy"), "choices": choices}
+    table = comparison(equity, benchmark, regime, initial, recent_years)
+    return {"equity": equity, "comparison": table, "choices": choices}
+
 
+def comparison(equity: DataFrame, benchmark: DataFrame, regime: DataFrame, initial: float, recent_years: int = 2) -> DataFrame:
+    """One row per curve (strategy, date, equity), the best recent Sharpe ratio first, the smaller recent drawdown of equal ones.
 
-def recent_metrics(equity: DataFrame, prices: DataFrame, years: int) -> DataFrame:
-    """The metrics of the last years before the last session, as recent_<metric>; the curve starts at its first recent value."""
-    edge = prices.agg(F.add_months(F.max("date"), -12 * years).alias("__edge"))
-    rows = equity.crossJoin(F.broadcast(edge)).where("date >= __edge")
+    Metrics of the whole time and, as recent_<metric>, of the last years before the last day, where a curve starts at its
+    first value; growth of the benchmark (date, close), carried forward over the days of all curves, and the excess over it;
+    growth and Sharpe ratio of days that are risk-on and risk-off at the open.
+    """
+    days = equity.select("date").distinct()
+    series = written(align_to_calendar(days, benchmark.select("date", "close"), ["close"]))
+    edge = F.broadcast(days.agg(F.add_months(F.max("date"), -12 * recent_years).alias("__edge")))
+    since = lambda df: df.crossJoin(edge).where("date >= __edge").drop("__edge")
     start = F.first("equity").over(Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rebased = rows.withColumn("equity", F.col("equity") / start).select("strategy", "date", "equity")
-    found = equity_metrics(rebased, 1.0)
-    return found.select("strategy", *[F.col(c).alias(f"recent_{c}") for c in found.columns if c != "strategy"])
+    rebased = since(equity).select("strategy", "date", (F.col("equity") / start).alias("equity"))
+    recent = metrics_against(rebased, since(series), 1.0)
+    recent = recent.select("strategy", *[F.col(c).alias(f"recent_{c}") for c in recent.columns if c != "strategy"])
+    states = conditional_metrics(equity, regime.select("date", F.col("risk_on_for_open").alias("risk_on")))
+    when = lambda on, c: F.max(F.when(F.col("risk_on") == on, F.col(c)))
+    by_state = states.groupBy("strategy").agg(
+        when(True, "sharpe_ratio").alias("risk_on_sharpe"), when(False, "sharpe_ratio").alias("risk_off_sharpe"), when(True, "cagr_pct").alias("risk_on_cagr_pct"), when(False, "cagr_pct").alias("risk_off_cagr_pct")
+    )
+    table = metrics_against(equity, series, initial).join(recent, "strategy").join(by_state, "strategy")
+    return table.orderBy(F.desc("recent_sharpe_ratio"), "recent_max_drawdown_pct", "strategy")
 
 
 def stopped_positions(ranked: DataFrame, prices: DataFrame, holding_days: int, top_n: int, slippage: float, stop: float) -> DataFrame:

@@ -65,15 +65,19 @@ def written(df: DataFrame) -> DataFrame:
 
 def rewritten(df: DataFrame, write: Callable[[str], None], read: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """What a sink has written to a new path in the shared folder, read again (as Parquet, with df's schema)."""
-    spark = df.sparkSession
+    path = new_path(df.sparkSession)
+    write(path)
+    return read(path) if read else df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used yet."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    write(path)
-    return read(path) if read else spark.read.schema(df.schema).parquet(path)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def write_csv(df: DataFrame, path: str) -> None:

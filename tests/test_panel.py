@@ -1,11 +1,13 @@
 """Scenarios of the panel operators on small frames, and registered queries against their DuckDB twins."""
 
 import datetime as dt
+import glob
 import json
 import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from factorloom import sources
 from factorloom.functions import average_percent_rank, clip, lenient_date, lenient_double, mean_of_present, symbol, symbol_key
 from factorloom.operators import backtest, features, joins, metrics, panel, tuning
 from factorloom.plans import dataset, selectors, strategies
+from factorloom.plans.store import PanelStore
 
 DAYS = pd.bdate_range("2023-01-02", periods=320)
 
@@ -49,7 +52,7 @@ def test_configs_refuse_what_cannot_be():
         with pytest.raises(ValueError):
             selectors.CompositeConfig(**bad)
     double = selectors.CompositeConfig(weights={k: 2 * v for k, v in selectors.COMPOSITE_WEIGHTS.items()})
-    assert double.normalised_weights == pytest.approx(selectors.CompositeConfig().normalised_weights)
+    assert selectors.shares(double.weights) == pytest.approx(selectors.shares(selectors.CompositeConfig().weights))
 
 
 def test_members_and_liquidity_decide_who_is_ranked(spark):
@@ -297,7 +300,102 @@ def test_orderings_refuse_strategies_that_choose_among_others(spark):
 def test_scoring_candidates_shuffles_no_triples(spark, tmp_path):
     periods = spark.createDataFrame([(p, f"T{k}", [k / 9.0, p / 3.0], float(k)) for p in range(3) for k in range(9)], "period int, ticker string, features array<double>, forward_return double")
     candidates = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 1.0])], "candidate_id int, weights array<double>")
-    out = tuning.evaluate(periods, candidates, 2, 2)
-    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
-    got = {(r.candidate_id, r.period): r.strategy_return for r in out.collect()}
+    out = tuning.evaluate(periods, candidates, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.replace("SortAggregate", "") and "Cartesian" not in plan
+    spans = periods.select("period").distinct()
+    got = {(r.candidate_id, r.period): r.strategy_return for r in tuning.by_period(out, spans).collect()}
     assert got == {(c, p): v for p in range(3) for c, v in ((1, 7.5), (2, 0.5), (3, 0.5))}
+
+
+def test_top_means_take_the_first_of_equal_scores_at_the_cut():
+    rng = np.random.default_rng(4)
+    returns = rng.standard_normal(30)
+    scores = rng.integers(0, 6, (200, 30)) / 2.0
+    for n in (1, 4, 30, 40):
+        want = [returns[np.argsort(-row, kind="stable")[:n]].mean() for row in scores]
+        assert np.allclose(tuning.top_means(scores, returns, n), want)
+
+
+def test_candidate_metrics_of_arrays_match_numpy(spark):
+    rng = np.random.default_rng(9)
+    start = dt.date(2020, 1, 1)
+    parts = ["development"] * 14 + ["purged"] * 2 + ["audit"] * 5
+    spans = spark.createDataFrame([(i, start + dt.timedelta(days=i), start, float(b), p) for i, (p, b) in enumerate(zip(parts, rng.normal(0, 0.1, 21)))], "period long, start date, stop date, benchmark_return double, part string")
+    bench = np.array([r.benchmark_return for r in spans.orderBy("period").collect()])
+    values = {c: rng.normal(0.05, 0.2, 21) for c in range(6)}
+    values[5][3] = -1.5
+    returns = spark.createDataFrame([(c, v.tolist()) for c, v in values.items()], "candidate_id int, returns array<double>")
+    got = {r.candidate_id: r for r in tuning.candidate_metrics(returns, spans).collect()}
+    for c, v in values.items():
+        active = np.log1p(np.maximum(v, -0.999)) - np.log1p(bench)
+        dev, audit = active[:14], active[16:]
+        spread = np.std([f.mean() for f in np.array_split(dev, 4)])
+        robust = dev.mean() + 0.35 * np.quantile(dev, 0.25) + 0.01 * ((dev > 0).mean() - 0.5) - 0.35 * spread
+        want = (dev.mean(), np.quantile(dev, 0.25), (dev > 0).mean(), v[:14].mean(), spread, robust, audit.mean(), np.quantile(audit, 0.25), (audit > 0).mean(), v[16:].mean())
+        names = "development_mean_active development_active_q25 development_outperformance_rate development_strategy_mean fold_std robust_score audit_mean_active audit_active_q25 audit_outperformance_rate audit_strategy_mean"
+        assert np.allclose([got[c][n] for n in names.split()], want)
+    few = tuning.candidate_metrics(returns.withColumn("returns", F.slice("returns", 1, 2)), spans.where("period < 2")).first()
+    assert few.fold_std is not None and few.audit_mean_active is None and few.audit_active_q25 is None
+
+
+def bars_of(spark, tickers, days, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = [(t, d.date(), float(c), float(c * 10), float(m)) for t in tickers for d, c, m in zip(days, rng.uniform(5, 50, len(days)), rng.uniform(1, 9, len(days)))]
+    return spark.createDataFrame(rows, "ticker string, date date, close double, dollar_volume double, market_cap double")
+
+
+def same_features(got, want):
+    columns = sorted(set(want.columns))
+    assert sorted(got.columns) == columns
+    round_ = lambda df: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df.select(*columns).collect())
+    assert round_(got) == round_(want)
+
+
+def test_a_refreshed_store_equals_a_rebuilt_panel_and_rewrites_only_the_new_year(spark, tmp_path):
+    days = pd.bdate_range("2021-06-01", periods=420)
+    bars = bars_of(spark, ["A", "B", "C"], days)
+    cut = days[400].date()
+    store = PanelStore(spark, str(tmp_path / "store"))
+    store.build(bars.where(F.col("date") <= days[405].date()).withColumn("close", F.when(F.col("date") >= cut, 99.0).otherwise(F.col("close"))))
+    files = {y: sorted(glob.glob(f"{tmp_path}/store/bars/year={y}/*.parquet")) for y in (2021, 2022, 2023)}
+    assert store.tail().count() == 3 * 300
+    late = bars_of(spark, ["D"], days[410:], seed=2)
+    got = store.refresh(bars.where(F.col("date") >= cut).unionByName(late), spark.createDataFrame([("A",), ("D",)], "ticker string"))
+    want = selectors.prepare_features(bars.unionByName(late)).where(F.col("date") >= cut)
+    want = want.withColumn("is_sp500", F.col("ticker").isin("A", "D") & (F.col("date") == days[-1].date()))
+    same_features(got, want)
+    assert {y: sorted(glob.glob(f"{tmp_path}/store/bars/year={y}/*.parquet")) for y in (2021, 2022)} == {y: files[y] for y in (2021, 2022)}
+    assert sorted(store.bars().drop("market_cap_rank").collect()) == sorted(bars.unionByName(late).collect())
+    more = bars_of(spark, ["A", "B", "C", "D"], pd.bdate_range(days[-1] + pd.Timedelta(days=1), periods=3), seed=3)
+    same_features(store.refresh(more), selectors.prepare_features(bars.unionByName(late).unionByName(more)).where(F.col("date") > days[-1].date()))
+
+
+def test_a_store_reads_the_history_of_tickers_whose_new_bars_reach_behind_the_tail(spark, tmp_path):
+    days = pd.bdate_range("2020-01-01", periods=700)
+    bars = bars_of(spark, ["A", "B"], days)
+    store = PanelStore(spark, str(tmp_path / "store"))
+    store.build(bars.where("date <> DATE '2021-03-01'"))
+    got = store.refresh(bars.where("date = DATE '2021-03-01' AND ticker = 'A'"))
+    want = selectors.prepare_features(bars.where("ticker = 'A' OR date <> DATE '2021-03-01'")).where("ticker = 'A' AND date >= DATE '2021-03-01'")
+    same_features(got, want)
+    assert store.refresh(bars.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="priced_ok"):
+        gates = {"smallest": 1, "largest": 5, "priced": 2, "as_of": "2022-09-01", "stale_days": 3}
+        store.refresh(bars.where("date = DATE '2022-09-06' AND ticker = 'A'"), spark.createDataFrame([("A",), ("B",)], "ticker string"), gates)
+
+
+def test_a_ticker_that_a_later_snapshot_lacks_leaves_without_meeting_it(spark):
+    sessions = spark.createDataFrame([(d.date(),) for d in pd.bdate_range("2023-01-02", periods=8)], "date date")
+    log = [("2022-12-30", "A", "historical"), ("2022-12-30", "B", "current"), ("2023-01-04", "B", "historical"), ("2023-01-04", "C", "added"), ("2023-01-04", "D", "removed"),
+           ("2023-01-05", "C", "removed"), ("2023-01-05", "A", "added"), ("2023-01-07", "D", "added"), ("2023-01-11", "E", "historical"), ("2030-01-01", "Z", "added")]
+    events = spark.createDataFrame(log, "date string, ticker string, action string").withColumn("date", F.to_date("date"))
+    out = joins.membership_panel(sessions, events)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.ticker, []).append(r.date.day)
+    assert {t: sorted(d) for t, d in got.items()} == {"A": [2, 3, 5, 6, 9, 10], "B": [2, 3, 4, 5, 6, 9, 10], "C": [4], "D": [9, 10], "E": [11]}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError, match="no membership snapshot"):
+        joins.membership_panel(sessions, events.where("date > DATE '2023-01-02'"))
