@@ -353,14 +353,14 @@ def same_features(got, want):
 
 
 def test_a_refreshed_store_equals_a_rebuilt_panel_and_rewrites_only_the_new_year(spark, tmp_path):
-    days = pd.bdate_range("2021-06-01", periods=420)
+    days = pd.bdate_range("2021-06-01", periods=440)
     bars = bars_of(spark, ["A", "B", "C"], days)
-    cut = days[400].date()
+    cut = days[420].date()
     store = PanelStore(spark, str(tmp_path / "store"))
-    store.build(bars.where(F.col("date") <= days[405].date()).withColumn("close", F.when(F.col("date") >= cut, 99.0).otherwise(F.col("close"))))
+    store.build(bars.where(F.col("date") <= days[425].date()).withColumn("close", F.when(F.col("date") >= cut, 99.0).otherwise(F.col("close"))))
     files = {y: sorted(glob.glob(f"{tmp_path}/store/bars/year={y}/*.parquet")) for y in (2021, 2022, 2023)}
     assert store.tail().count() == 3 * 300
-    late = bars_of(spark, ["D"], days[410:], seed=2)
+    late = bars_of(spark, ["D"], days[430:], seed=2)
     got = store.refresh(bars.where(F.col("date") >= cut).unionByName(late), spark.createDataFrame([("A",), ("D",)], "ticker string"))
     want = selectors.prepare_features(bars.unionByName(late)).where(F.col("date") >= cut)
     want = want.withColumn("is_sp500", F.col("ticker").isin("A", "D") & (F.col("date") == days[-1].date()))
