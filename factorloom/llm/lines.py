@@ -26,8 +26,9 @@ def half(length: Column) -> Column:
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    lines = docs.where("id IS NOT NULL").select("id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(SOLID)).select("id", "pos", "line", F.xxhash64("line").alias("h"))
+    """(id, t, pos, line, h): the lines of documents (id, t, text) that are not blank."""
+    lines = docs.where("id IS NOT NULL").select("id", "t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.where(F.col("line").rlike(SOLID)).select("id", "t", "pos", "line", F.xxhash64("line").alias("h"))
 
 
 def _half_keys(per_edit: int) -> Column:
@@ -91,16 +92,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at \\n. Blank lines always stay and are no copies of each other. The edit bound is
     one edit in a line of ``per_edit`` characters or more (any length with 1), none in shorter ones, and none at all with edits=0. A null text stays null with 0 lines. Documents with a
-    null id keep all lines and are nobody's earlier copy; rows that repeat an id count as one document. A document
-    whose lines all stand earlier keeps its row, with an empty text.
+    null id keep all lines and are nobody's earlier copy. Rows that repeat an id count as one document: the same line at
+    the same place of several of its texts is one line, which stays or goes in all of them; what one text loses, another
+    one with other lines does not. A document whose lines all stand earlier keeps its row, with an empty text.
     """
     if edits not in (0, 1):
         raise ValueError("edits is 0 or 1")
     docs = docs.drop(*[c for c in ("n_lines", "n_dropped") if c not in (id_col, text_col)])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     lines = _exploded(texts)
     keys = _half_keys(per_edit) if edits else F.array().cast("array<bigint>")
-    narrow = checkpoint(lines.select("id", "pos", "h", F.hash("line").alias("g"), F.length("line").alias("n"), keys.alias("keys")))
+    narrow = checkpoint(lines.select("id", "t", "pos", "h", F.hash("line").alias("g"), F.length("line").alias("n"), keys.alias("keys")))
     shared = narrow.select("h", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"))
     shared = small(checkpoint(shared.where("x <> y").select("key")))
     near = narrow.select("h", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h").distinct()
@@ -114,15 +116,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = groups.join(later, "h", "left").where("copies > 1 OR later")
     dropped = small(checkpoint(dropped.select("h", "g", "n", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "later")))
     gone = narrow.join(dropped, ["h", "g", "n"]).where("later OR id <> first_id OR pos <> first_pos")
-    own_id, own_gone = fresh(docs, "__id", "__gone")
-    gone = gone.groupBy(F.col("id").alias(own_id)).agg(F.collect_set("pos").alias(own_gone))
+    own_id, own_text, own_gone = fresh(docs, "__id", "__text", "__gone")
+    gone = gone.groupBy(F.col("id").alias(own_id), F.col("t").alias(own_text)).agg(F.collect_set("pos").alias(own_gone))
     split = F.split(text_col, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), own_gone)
     text = F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(split, i))))
     return (
-        docs.join(gone, F.col(id_col) == F.col(own_id), "left")
+        docs.join(gone, (F.col(id_col) == F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_text)), "left")
         .withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long"), "n_dropped": F.coalesce(F.size(own_gone), F.lit(0)).cast("long"), text_col: text})
-        .drop(own_id, own_gone)
+        .drop(own_id, own_text, own_gone)
     )
 
 

@@ -229,3 +229,11 @@ def test_line_dedup_leaves_clean_documents_alone(spark):
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.line_dedup(df).collect()}
     assert got == {1: (rows[0][1], 3, 0), 2: ("another text", 2, 1), None: ("first line of one\r", 1, 0)}
     assert lines.line_dedup(df.limit(0)).count() == 0
+
+
+def test_line_dedup_of_several_texts_under_one_id_loses_no_line(spark):
+    rows = [(0, "a dup line that stands in both of them"), (1, "first text of one\na dup line that stands in both of them"), (1, "second text of one\nA UNIQUE LINE THAT IS NOWHERE ELSE"), (2, "first text of one")]
+    got = lines.line_dedup(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == [
+        (0, "a dup line that stands in both of them", 0), (1, "first text of one", 1), (1, "second text of one\nA UNIQUE LINE THAT IS NOWHERE ELSE", 0), (2, "", 1)
+    ]
