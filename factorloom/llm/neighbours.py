@@ -345,19 +345,26 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     Vectors are linked when their cosine in double precision is at least ``link``. n_links counts the other rows that
     a vector is linked with. Vectors that are null, empty, zero or hold a null or a value that is not finite link with
-    nothing, vectors of different length not with each other. A null id gets component_id null and is kept. Rows
-    that repeat an id with one vector count as one vertex (and each as a link of the others). Empty tables give no rows.
+    nothing, vectors of different length not with each other. A null id gets component_id null and is kept. Each row is a
+    vector of its own: rows that repeat a vector are links of each other, under one id or several, and different vectors
+    under one id have links and a component each. Empty tables give no rows.
     """
     read = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     parsed = checkpoint(vectors(read).withColumn("d", F.xxhash64("vec")).withColumn("e", F.hash("vec")))
     valid = parsed.where("vec IS NOT NULL AND id IS NOT NULL")
     classes = checkpoint(valid.groupBy("d", "e").agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
-    unit = valid.join(classes, ["d", "e"]).where("id = lead").dropDuplicates(["id"]).select("id", "vec", "copies")
+    #: the vertex of a distinct vector: its smallest id, or a hash where this id already stands for another vector
+    first = classes.groupBy("lead").agg(F.min(F.struct("d", "e")).alias("first"))
+    own = F.when(F.struct("d", "e") == F.col("first"), F.col("lead")).otherwise(F.xxhash64("lead", "d", "e"))
+    classes = checkpoint(classes.join(first, "lead").select("d", "e", "lead", "copies", own.alias("vertex")))
+    unit = valid.join(classes, ["d", "e"]).where("id = lead").dropDuplicates(["vertex"]).select(F.col("vertex").alias("id"), "vec", "copies")
     unit = checkpoint(unit)
     of = checkpoint(searched(unit.select("id", "vec"), unit.count(), link))
     inner = counted_links(unit, of, link)
-    known = classes.join(of.withColumnRenamed("id", "lead"), "lead", "left").join(inner.withColumnRenamed("id", "lead"), "lead", "left")
-    known = known.select("d", "e", F.coalesce("component_id", "lead").alias("c"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    found = classes.join(of.withColumnRenamed("id", "vertex"), "vertex", "left").join(inner.withColumnRenamed("id", "vertex"), "vertex", "left")
+    found = checkpoint(found.withColumn("root", F.coalesce("component_id", "vertex")))
+    least = found.groupBy("root").agg(F.min("lead").alias("c"))
+    known = found.join(least, "root").select("d", "e", "c", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n"))
     bad = F.col("vec").isNull() | F.col("id").isNull()
     out = parsed.withColumn("bad", bad).join(known, ["d", "e"], "left")
     return out.select(

@@ -258,3 +258,17 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert ids["minhash_near_dedup"] == clean - {300, 301}
     assert ids["mixing"] <= clean and ids["sentencepiece"] == ids["mixing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_different_vectors_under_one_id_have_links_of_their_own(spark):
+    def near(axis, other):
+        v = [0.0] * 6
+        v[axis], v[other] = 1.0, 0.1
+        return v
+
+    rows = [(1, near(0, 2)), (1, near(3, 4)), (2, near(0, 1)), (3, near(3, 5)), (4, near(0, 5)), (4, near(3, 1)), (1, near(0, 2))]
+    for order in (rows, rows[::-1]):
+        got = neighbours.embedding_dedup(spark.createDataFrame(order, "vec_id long, embedding array<double>")).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted(
+            [(1, 3, 1, True), (1, 3, 1, True), (1, 2, 1, True), (2, 3, 1, False), (3, 2, 1, False), (4, 3, 1, False), (4, 2, 1, False)]
+        )
