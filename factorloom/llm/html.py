@@ -22,11 +22,19 @@ from .common import checkpoint, table
 #: A path needs this share of its host's votes; so a host has ten paths at most.
 SHARE = 0.1
 BROADCAST_HOSTS = 100_000
+#: Readings of a page at most, to find what is marked by mistake.
+SPARED = 4
 
-#: One step of the scanner. Nothing is tried again from a later place: what is not closed reaches to the end of the page.
+#: Tags of blocks that no drawing, choice or frame holds; where one of these is not closed, it ends before such a tag.
+ENDS = "address|article|aside|blockquote|body|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|tr|ul"
+#: One step of the scanner. Nothing is tried again from a later place: what is not closed reaches to the end of the page, or
+#: to the next block.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?:svg|math)\b[^>]*+(?<=/)>"
-    r"|<(script|style|noscript|template|svg|math|iframe|textarea|select|object|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<svg\b[^>]*+(?<=/)>"
+    r"|<(script|style|noscript|template|textarea|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/>]).*?(?:</svg\s*>|(?=</?(?:" + ENDS + r")[\s/>])|\Z)"
+    r"|<select(?=[\s/>]).*?(?:</select\s*>|(?=</?(?:" + ENDS + r")[\s/>])|\Z)"
+    r"|<iframe(?=[\s/>]).*?(?:</iframe\s*>|(?=</?(?:" + ENDS + r")[\s/>])|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(>|\Z)",
     re.S | re.I,
 )
@@ -43,16 +51,24 @@ OUTSIDE = frozenset("aside button dialog footer form head menu nav".split())
 AGAINST = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "footer form gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promos "
-    "promotion recommended related reply replies responses rss share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar "
+    "promotion recommended related reply replies respond responses rss share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar "
     "topbar widget widgets".split()
 )
 FOR = frozenset("article articlebody body content entry main page post story text".split())
 ROLES = frozenset("banner complementary contentinfo dialog form menu menubar navigation search alert".split())
-#: Words that say nothing about whose part it is; inside an article, a class is against it only if it has no other words.
+#: Words that say nothing about whose part it is; a class is against the article only if it has no other words.
 NEUTRAL = frozenset(
-    "area bar block bottom box button buttons container content form group inline inner item items left link links list main mobile post posts right section "
-    "signup site slot small text title top unit wrap wrapper".split()
+    "area articles bar block bottom box button buttons center column container content desktop discussion first fixed float floating form global group inline inner item items last left link "
+    "links list main mobile more news page panel post posts primary reader readers right row secondary section signup site slot small sticky stories sub text thread threads title top unit user "
+    "users wp wrap wrapper".split()
 )
+#: Marks that a theme also gives to what lies around the whole page: they do not hold against an article within, nor
+#: against most of the page's text.
+AROUND = frozenset("ad ads banner footer form header masthead menu modal nav navbar navigation notice popup sidebar toolbar topbar widget widgets".split())
+#: Marks that inside an article name a part of it.
+PARTS = frozenset("banner header masthead".split())
+#: Elements of lists, which an article beats however short it is.
+LISTS = frozenset("dd dl li ol table tbody td tr ul".split())
 CLOSED_BY_ITSELF = {"li": {"ul", "ol", "menu"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
 
@@ -61,19 +77,23 @@ def words_of(name: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
 
 
-def against(names: list[list[str]], inside: bool) -> bool:
-    """Whether one of the classes marks what is no part of the article. Inside one, all words of the class have to."""
-    if not inside:
-        return any(not AGAINST.isdisjoint(words) for words in names)
-    return any(not AGAINST.isdisjoint(words) and all(w in AGAINST or w in NEUTRAL for w in words) for words in names)
+def marks_of(names: list[list[str]], inside: bool) -> set[str]:
+    """The words by which classes say that this is no part of the article: those of classes that have no words but marks and neutral ones."""
+    found: set[str] = set()
+    for words in names:
+        own = [w for w in words if w in AGAINST and not (inside and w in PARTS)]
+        if own and all(w in AGAINST or w in NEUTRAL for w in words):
+            found.update(own)
+    return found
 
 
 class Element:
     """An open tag. key tells its generalised path: that of the container around it, its tag and its classes."""
 
-    __slots__ = ("tag", "key", "outside", "good", "semantic", "up", "depth", "own")
+    __slots__ = ("tag", "key", "barred", "around", "good", "semantic", "up", "depth", "own")
 
-    def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
+    def __init__(self, tag: str, attributes: str, parent: Element | None, number: int, spared: frozenset[int]) -> None:
+        """number: the element's place among all of the page; spared: those whose marks do not count."""
         self.tag, self.own = tag, 0
         names, words, role, hidden = [], [], "", False
         if attributes:
@@ -89,9 +109,17 @@ class Element:
                     hidden = True
         inside = parent is not None and parent.semantic
         self.good = any(not FOR.isdisjoint(w) for w in words)
-        out = hidden or tag in OUTSIDE or role in ROLES or (tag not in ("html", "body", "article", "main") and against(words, inside))
+        marks = marks_of(words, inside) if tag not in ("html", "body", "article", "main") and number not in spared else set()
+        around = bool(marks) and marks <= AROUND and tag not in OUTSIDE
+        out = hidden or tag in OUTSIDE or role in ROLES or (bool(marks) and not around)
         out = out or (tag == "article" and any(w in ("comment", "comments", "reply") for own in words for w in own)) or (tag == "header" and not inside)
-        self.outside = out or (parent is not None and parent.outside)
+        #: outside for good, or the number of the outermost element that is outside by marks of what lies around a page
+        self.barred = out or (parent is not None and parent.barred)
+        self.around = 0 if parent is None else parent.around
+        if tag in ("article", "main") or role == "main":
+            self.around = 0
+        elif around and not self.around:
+            self.around = number
         self.semantic = tag in ("article", "main") or role == "main" or inside
         #: the container that its text belongs to, as a place in Page.containers
         self.up = parent.up if parent else -1
@@ -99,13 +127,31 @@ class Element:
         own = tag + "".join(("" if n[:1] == "#" else ".") + n for n in sorted(set(names)) if n not in ("", "#"))
         self.key = hashlib.blake2b(own.encode(errors="replace"), key=parent.key if parent else b"", digest_size=8).digest()
 
+    @property
+    def outside(self) -> bool:
+        return self.barred or self.around > 0
+
 
 class Page:
     """The blocks of a page in order, (container, text, characters of it in links), and its containers, outer ones first."""
 
     def __init__(self, source: str) -> None:
+        """What is marked as lying around the page, but holds most of its text outside of links, counts as not marked."""
+        spared: frozenset[int] = frozenset()
+        for _ in range(SPARED):
+            weights = self._read(source, spared)
+            kept = sum(len(words) - linked for _, words, linked in self.blocks)
+            most = max(weights, key=weights.get, default=0)
+            if not most or 2 * weights[most] <= kept + sum(weights.values()):
+                break
+            spared |= {most}
+
+    def _read(self, source: str, spared: frozenset[int]) -> dict[int, int]:
+        """Read the page; the characters outside of links below each element that is outside by marks of what lies around."""
         self.blocks: list[tuple[int, str, int]] = []
-        root = Element("#", "", None)
+        weights: dict[int, int] = {}
+        number = 0
+        root = Element("#", "", None, 0, spared)
         root.up = 0
         #: (element, place of the container around it)
         self.containers: list[tuple[Element, int]] = [(root, -1)]
@@ -121,6 +167,8 @@ class Page:
                 words = " ".join(html.unescape("".join(text)).split())
                 if words and not stack[-1].outside:
                     self.blocks.append((stack[-1].up, words, min(linked, len(words))))
+                elif words and not stack[-1].barred:
+                    weights[stack[-1].around] = weights.get(stack[-1].around, 0) + len(words) - min(linked, len(words))
                 text.clear()
             linked = 0
 
@@ -172,7 +220,8 @@ class Page:
                         close(k)
                 if tag in ("body", "html") and places.get(tag):
                     continue
-            element = Element(tag, m.group(4), stack[-1])
+            number += 1
+            element = Element(tag, m.group(4), stack[-1], number, spared)
             places.setdefault(tag, []).append(len(stack))
             if tag in BLOCK:
                 blocks.append(len(stack))
@@ -183,16 +232,21 @@ class Page:
         if at < len(source):
             text.append(source[at:])
         flush()
+        return weights
 
     def best(self) -> bytes | None:
-        """The key of the container with the most text outside of links; text counts less the deeper it lies, but fully in an article."""
+        """The key of the container with the most text outside of links; text counts less the deeper it lies, but fully in an article.
+
+        On a page with text in an article, lists outside of it do not count, however long.
+        """
+        article = any(self.containers[owner][0].semantic for owner, _, _ in self.blocks)
         worth = [0.0] * len(self.containers)
         for owner, words, linked in self.blocks:
             worth[owner] += len(words) - linked
         scores: dict[bytes, list] = {}
         for k in range(len(self.containers) - 1, -1, -1):
             e, up = self.containers[k]
-            if not worth[k]:
+            if not worth[k] or (article and e.tag in LISTS and not e.semantic):
                 continue
             entry = scores.setdefault(e.key, [0.0, -e.depth, e.key])
             entry[0] += worth[k] * (1.3 if e.tag in ("article", "main") else 1.15 if e.good and e.tag != "body" else 1.0)
@@ -251,15 +305,16 @@ def winning_paths(counted: DataFrame, share: float = SHARE) -> DataFrame:
     return chosen.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
     """One row per row of pages: id, url, text, n_chars.
 
     text is the article of the page: character references decoded, white space inside a block turned into one space,
     blocks in page order joined by \\n. A null, empty or article-less page has an empty text. Pages without a host
-    vote together. Rows may repeat; other columns are not read; an empty table gives no rows.
+    vote together; a path needs ``share`` of its host's votes, and pages of rarer templates give their own best
+    container. Rows may repeat; other columns are not read; an empty table gives no rows.
     """
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    winners = checkpoint(winning_paths(votes(read.select("host", "html"))))
+    winners = checkpoint(winning_paths(votes(read.select("host", "html")), share))
     if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
     kinds = dict(read.dtypes)

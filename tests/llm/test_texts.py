@@ -329,3 +329,40 @@ def test_html_main_text(spark):
     assert (got[11].text, got[11].n_chars, got[12].text, got[13].text) == ("", 0, "", "a < b")
     assert got[0].n_chars == len(got[0].text) and got[0].url == rows[0][1]
     assert html.extract_main_text(spark.createDataFrame(rows[:1], "page_id long, url string, html string").limit(0)).count() == 0
+
+
+PROSE = "<h1>The title</h1><p>" + "Words of the article, and more of them. " * 8 + "</p>"
+KEPT = "The title\n" + ("Words of the article, and more of them. " * 8).strip()
+MARKED = {
+    "theme classes": f'<body><div class="site-content has-sidebar"><article>{PROSE}</article></div></body>',
+    "no sidebar": f'<div class="container no-sidebar"><article>{PROSE}</article></div>',
+    "with sidebar": f'<div class="layout with-sidebar"><article>{PROSE}</article><div class="sidebar"><p>Aside</p></div></div>',
+    "id with bar": f'<div id="page" class="has-footer-bar"><article>{PROSE}</article></div>',
+    "marked around an article": f'<div class="sidebar-right"><article>{PROSE}</article></div>',
+    "marked around most text": f'<div class="header-top"><div class="text">{PROSE}</div></div><p>x</p>',
+    "comments inside": f'<article>{PROSE}<section class="user-comments"><p>I disagree with it all.</p></section><div class="comment-thread"><p>So do I, really.</p></div></article>',
+    "comment articles": f'<article>{PROSE}</article><div class="comments"><article><p>A long comment. </p></article></div>',
+    "title in a part": f'<article><div class="post-header">{PROSE[: PROSE.index("<p>")]}</div>{PROSE[PROSE.index("<p>") :]}</article>',
+    "unclosed drawing": f'<article><svg viewBox="0 0 1 1"><path d="M0">{PROSE}</article>',
+    "unclosed choice": f'<article><select><option>one<option>two{PROSE}</article>',
+    "unclosed frame": f'<article><iframe src="x">{PROSE}</article>',
+    "unclosed object": f'<article><object data="x">{PROSE}</article>',
+    "closed ones": f'<article><svg><text>drawn</text></svg><select><option>one</select><iframe src="x">no frames</iframe>{PROSE}</article>',
+    "menus of links": f'<div class="main-menu">{"<a href=x>a place to go</a> " * 90}</div><article>{PROSE}</article>',
+}
+
+
+def test_html_keeps_articles_below_marked_wrappers_and_after_unclosed_elements(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/a", source) for i, source in enumerate(MARKED.values())], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_main_text(pages).collect()}
+    assert {name: got[i] for i, name in enumerate(MARKED)} == {name: KEPT for name in MARKED}
+
+
+def test_html_keeps_formulas_and_fallbacks_and_prefers_a_short_article_to_a_list(spark):
+    rows = [
+        (0, "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><object data='x'>A chart of it.</object></article>"),
+        (1, "<article><p>Short.</p></article><ul>" + "<li>an item of a list</li>" * 60 + "</ul>"),
+    ]
+    pages = spark.createDataFrame([(i, None, source) for i, source in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_main_text(pages, share=0.9).collect()}
+    assert got == {0: "Let x=2 hold.\nA chart of it.", 1: "Short."}
