@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from factorloom.functions import average_percent_rank, clip, ratio
+from factorloom.operators.rolling import Rolling, rolling
 
-DECISION_COLUMNS = (
-    "close history_days momentum_12m_ex_1m momentum_6m momentum_3m trend_quality price_vs_200d_ma volatility_30d "
-    "downside_volatility_90d drawdown_252d median_dollar_volume_60d market_cap market_cap_rank"
-).split()
+#: Rows of a date that a task ranks at once, at most.
+LARGEST_DATE = 500_000
 
 
 def by_ticker():
@@ -37,29 +41,52 @@ def momentum(df: DataFrame) -> DataFrame:
     return df.withColumns({"momentum_12m_ex_1m": change("close", 252, 21), "momentum_6m": change("close", 126), "momentum_3m": change("close", 63)})
 
 
+#: What is worked out over long frames (see ``rolling``); ``__return`` and ``__loss`` come from ``returns``.
+TREND = (Rolling("ma_50d", "close", "mean", 50), Rolling("ma_200d", "close", "mean", 200))
+RISK = (Rolling("volatility_30d", "__return", "deviation", 30), Rolling("downside_volatility_90d", "__loss", "deviation", 90), Rolling("__high_252d", "close", "maximum", 252))
+LIQUIDITY = (Rolling("median_dollar_volume_60d", "dollar_volume", "quantile", 60),)
+
+
+def returns(df: DataFrame) -> DataFrame:
+    """Daily returns and losses. A ticker's first return is unknown, but counts as no loss."""
+    df = df.withColumn("__return", change("close", 1))
+    return df.withColumn("__loss", F.when(F.col("__return") < 0, F.col("__return")).otherwise(0.0))
+
+
+def trend_of(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Distances from the moving averages, from columns by this prefix."""
+    price, middle = ratio(f"{prefix}close", f"{prefix}ma_200d") - 1, ratio(f"{prefix}ma_50d", f"{prefix}ma_200d") - 1
+    df = df.withColumns({f"{prefix}price_vs_200d_ma": price, f"{prefix}ma_50d_vs_200d": middle})
+    quality = clip(F.col(f"{prefix}price_vs_200d_ma"), -0.25, 0.25) + clip(F.col(f"{prefix}ma_50d_vs_200d"), -0.15, 0.15)
+    return df.withColumn(f"{prefix}trend_quality", quality)
+
+
+def drawdown_of(df: DataFrame, prefix: str = "") -> DataFrame:
+    return df.withColumn(f"{prefix}drawdown_252d", ratio(f"{prefix}close", f"{prefix}__high_252d") - 1).drop(f"{prefix}__high_252d")
+
+
 def trend(df: DataFrame) -> DataFrame:
-    close = F.col("close")
-    df = df.withColumns({f"ma_{n}d": trailing(F.avg, close, n) for n in (50, 200)})
-    df = df.withColumns({"price_vs_200d_ma": ratio("close", "ma_200d") - 1, "ma_50d_vs_200d": ratio("ma_50d", "ma_200d") - 1})
-    return df.withColumn("trend_quality", clip(F.col("price_vs_200d_ma"), -0.25, 0.25) + clip(F.col("ma_50d_vs_200d"), -0.15, 0.15))
+    return trend_of(rolling(df, TREND))
 
 
 def risk(df: DataFrame) -> DataFrame:
-    """Sample volatilities of daily returns. A ticker's first return is unknown, but counts as no loss."""
-    df = df.withColumn("__return", change("close", 1))
-    loss = F.when(F.col("__return") < 0, F.col("__return")).otherwise(0.0)
-    return (
-        df.withColumn("volatility_30d", trailing(F.stddev_samp, F.col("__return"), 30))
-        .withColumn("__loss", loss)
-        .withColumn("downside_volatility_90d", trailing(F.stddev_samp, F.col("__loss"), 90))
-        .withColumn("drawdown_252d", ratio(F.col("close"), trailing(F.max, F.col("close"), 252)) - 1)
-        .drop("__return", "__loss")
-    )
+    """Sample volatilities of daily returns and of losses, and the distance from the highest close of 252 days."""
+    return drawdown_of(rolling(returns(df), RISK)).drop("__return", "__loss")
 
 
 def liquidity(df: DataFrame) -> DataFrame:
     """The exact rolling median of 60 days of traded value."""
-    return df.withColumn("median_dollar_volume_60d", trailing(lambda c: F.percentile(c, F.lit(0.5)), F.col("dollar_volume"), 60))
+    return rolling(df, LIQUIDITY)
+
+
+def price_features(df: DataFrame, lag_days: int, more: Sequence[str] = ()) -> DataFrame:
+    """All features and their decision_ twins, and those of ``more`` columns: windows and rolling frames in one pass by ticker."""
+    df = momentum(history_days(df))
+    early = [c for c in ("close", "history_days", "momentum_12m_ex_1m", "momentum_6m", "momentum_3m", "market_cap", "market_cap_rank", *more)]
+    df = rolling(returns(decision_lag(df, early, lag_days)), [*TREND, *RISK, *LIQUIDITY], lag=lag_days, lagged="decision_")
+    for prefix in ("", "decision_"):
+        df = drawdown_of(trend_of(df, prefix), prefix)
+    return df.drop("__return", "__loss", "decision_ma_50d", "decision_ma_200d", "decision_ma_50d_vs_200d")
 
 
 def market_cap_rank(df: DataFrame) -> DataFrame:
@@ -92,9 +119,61 @@ def rsi(df: DataFrame, lag_days: int = 1, period: int = 14, name: str = "decisio
     return df.withColumn(name, lagged).drop("__delta", "__gain", "__loss", "__rsi")
 
 
-def percent_ranks(df: DataFrame, ranks: dict[str, tuple[str, bool]]) -> DataFrame:
-    """name -> (column, higher is better): averaged percent ranks per date."""
-    return df.withColumns({name: average_percent_rank(column, "date", up) for name, (column, up) in ranks.items()})
+def averaged_ranks(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Average rank over the number of values within runs of equal group numbers (0, 1, ...); NaN for NaN."""
+    order = np.lexsort((values, group))
+    v, g = values[order], group[order]
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+    starts = np.flatnonzero(new)
+    tie = np.cumsum(new) - 1
+    base = np.searchsorted(group, g)
+    count = np.bincount(group, weights=~np.isnan(values))[g]
+    first, last = starts[tie] - base + 1, np.append(starts[1:], len(v))[tie] - base
+    out = np.empty(len(v))
+    out[order] = np.where(np.isnan(v), np.nan, (first + last) / 2 / np.maximum(count, 1))
+    return out
+
+
+def percent_ranks(df: DataFrame, ranks: dict[str, tuple[str, bool]], largest: int = LARGEST_DATE) -> DataFrame:
+    """name -> (column, higher is better): averaged percent ranks per date.
+
+    All columns are ranked in one pass over rows that are dealt and sorted by date once; a task holds one date and a batch.
+    Where a date has more than ``largest`` rows, each rank is a window instead, which can spill. df is read twice, once
+    to count: it should be a table.
+    """
+    most = df.groupBy("date").count().agg(F.max("count")).first()[0] or 0
+    if most > largest:
+        return df.withColumns({name: average_percent_rank(column, "date", up) for name, (column, up) in ranks.items()})
+    names = df.columns
+    read = df.withColumns({f"__rank_{i}": (F.col(c) if up else -F.col(c)).cast("double") for i, (c, up) in enumerate(ranks.values())})
+    schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields] + [StructField(n, DoubleType()) for n in ranks])
+
+    def ranked(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        days = rows.column("date").cast(pa.int32()).to_numpy()
+        group = np.cumsum(np.concatenate(([0], days[1:] != days[:-1])))
+        found = [averaged_ranks(rows.column(f"__rank_{i}").to_numpy(), group) for i in range(len(ranks))]
+        columns = [rows.column(n) for n in names] + [pa.chunked_array([pa.array(x, mask=np.isnan(x))]) for x in found]
+        yield from pa.table(columns, names=[*names, *ranks]).to_batches()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            days = batch.column("date").cast(pa.int32()).to_numpy()
+            before = held[-1].column("date").cast(pa.int32())[-1].as_py() if held else days[0]
+            changes = np.flatnonzero(np.concatenate(([days[0] != before], days[1:] != days[:-1])))
+            if len(changes):
+                done = [*held, batch.slice(0, changes[-1])]
+                yield from ranked(pa.Table.from_batches([b for b in done if b.num_rows]))
+                held = [batch.slice(changes[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield from ranked(pa.Table.from_batches(held))
+
+    return read.repartition("date").sortWithinPartitions("date").mapInArrow(work, schema)
 
 
 def selection_rank(df: DataFrame, score: str = "selection_score", ties: str = "ticker") -> DataFrame:
@@ -102,6 +181,11 @@ def selection_rank(df: DataFrame, score: str = "selection_score", ties: str = "t
     return df.withColumn("selection_rank", F.row_number().over(order))
 
 
+def output_order(df: DataFrame) -> DataFrame:
+    """The order in which rankings are saved: by date, rank, ticker."""
+    return df.orderBy("date", "selection_rank", "ticker")
+
+
 def top_per_date(df: DataFrame, n: int, rank: str = "selection_rank") -> DataFrame:
     return df.where(F.col(rank) <= n)
 

@@ -17,6 +17,15 @@ def membership_join(prices: DataFrame, members: DataFrame, flag: str = "is_sp500
     return prices.join(members, ["date", "ticker"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def valuation_join(prices: DataFrame, valuations: DataFrame) -> DataFrame:
+    """prices with the valuations of the same ticker and day; NULL where there are none, and a row for each where there are several.
+
+    Columns that prices have already keep their values.
+    """
+    keys = ["ticker", "date"]
+    return prices.join(valuations.drop(*[c for c in valuations.columns if c in prices.columns and c not in keys]), keys, "left")
+
+
 def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, right_on: str, tolerance_days: int | None = None) -> DataFrame:
     """left with the columns of the latest right row on or before its day, per key: one shuffle, one sort.
 
@@ -37,11 +46,38 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     return rows.select("__left.*", *[F.col(f"__last.{c}").cast(kinds[c]).alias(c) for c in carried if c not in left.columns])
 
 
-def point_in_time_fundamentals(prices: DataFrame, filings: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """The latest filing on or before each price day; of one ticker's filings of a day, the last by ``order``."""
+def asof_backward_split(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, right_on: str, bucket_days: int = 64, tolerance_days: int | None = None) -> DataFrame:
+    """``asof_backward`` for keys that may hold most rows: a key is dealt by buckets of days, so that no key is one task.
+
+    First each (key, bucket) gives its last right row, aggregated before it is shuffled; over these few rows, the last one of
+    all earlier buckets is carried into each bucket that has left rows. There it stands before all other rows, and the
+    join is local to the bucket. Days have to be dates.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / bucket_days)
+    carried = [c for c in right.columns if c not in by]
+    keyed = right.withColumn("__bucket", bucket(right_on))
+    ends = keyed.groupBy(*by, "__bucket").agg(F.max_by(F.struct(*carried), F.col(right_on)).alias("__fact"))
+    wanted = left.select(*by, bucket(on).alias("__bucket")).distinct().withColumn("__wanted", F.lit(True))
+    both = ends.join(wanted, [*by, "__bucket"], "full")
+    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    brought = both.withColumn("__brought", F.last("__fact", ignorenulls=True).over(earlier)).where("__wanted AND __brought IS NOT NULL")
+    #: a fact of an earlier bucket keeps its own day, which sorts it before all of the bucket
+    facts = keyed.unionByName(brought.select(*by, "__bucket", "__brought.*"))
+    out = asof_backward(left.withColumn("__bucket", bucket(on)), facts, [*by, "__bucket"], on, right_on, tolerance_days)
+    return out.drop("__bucket")
+
+
+def point_in_time_fundamentals(prices: DataFrame, filings: DataFrame, order: Sequence[str] = (), bucket_days: int | None = None) -> DataFrame:
+    """The latest filing on or before each price day; of one ticker's filings of a day, the last by ``order``.
+
+    With ``bucket_days`` a ticker is dealt by buckets of days (see ``asof_backward_split``), for tables in which few tickers
+    hold most rows.
+    """
     facts = filings.withColumnRenamed("date", "fundamental_date")
     if order:
         facts = keep_last(facts, ["ticker", "fundamental_date"], order)
+    if bucket_days is not None:
+        return asof_backward_split(prices, facts, ["ticker"], "date", "fundamental_date", bucket_days)
     return asof_backward(prices, facts, ["ticker"], "date", "fundamental_date")
 
 
@@ -101,11 +137,16 @@ def membership_calendar(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return written(days.select("date", "session", "from_session", F.coalesce(replaced["s"], F.col("__n")).alias("replaced_at"), seeds.alias("seeds")))
 
 
+def held_quantities(positions: DataFrame) -> DataFrame:
+    """(key, quantity): positions (broker_ticker, quantity) added up by symbol key."""
+    return positions.groupBy(symbol_key("broker_ticker").alias("key")).agg(F.sum("quantity").alias("quantity"))
+
+
 def annotate_instruments(ranking: DataFrame, instruments: DataFrame, positions: DataFrame) -> DataFrame:
     """ranking with the broker's ticker (dollar stocks, first per key) and held quantity per symbol key."""
     tradable = instruments.where("type = 'STOCK' AND currency_code = 'USD'").withColumn("key", symbol_key("short_name"))
     tradable = keep_first(tradable, ["key"], ["broker_ticker"]).select("key", "broker_ticker")
-    held = positions.groupBy(symbol_key("broker_ticker").alias("key")).agg(F.sum("quantity").alias("held_quantity"))
+    held = held_quantities(positions).withColumnRenamed("quantity", "held_quantity")
     out = ranking.withColumn("key", symbol_key("ticker")).join(tradable, "key", "left").join(held, "key", "left")
     return out.withColumns({"held_quantity": F.coalesce("held_quantity", F.lit(0.0)), "tradable": F.col("broker_ticker").isNotNull()}).withColumn("held", F.col("held_quantity") > 0)
 

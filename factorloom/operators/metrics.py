@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import clip, ratio
 from factorloom.operators.joins import align_to_calendar, series_asof
+from factorloom.operators.rolling import Rolling, rolling
 
 YEAR = 252
 
@@ -98,17 +99,17 @@ def market_regime(benchmark: DataFrame) -> DataFrame:
     """SMA200, 63-session return and volatility of a series, its trailing limit, risk_on and the flag known at the open."""
     order = Window.partitionBy("series_id").orderBy("date")
 
-    def over(aggregate, value, n, least=None):
+    def over(aggregate, value, n):
         frame = order.rowsBetween(1 - n, 0)
-        return F.when(F.count(value).over(frame) >= (least or n), aggregate(value).over(frame))
+        return F.when(F.count(value).over(frame) == n, aggregate(value).over(frame))
 
     close = F.col("close")
     df = benchmark.withColumn("__return", ratio(close, F.lag(close).over(order)) - 1)
     df = df.withColumns(
         {"sma200": over(F.avg, close, 200), "return_63d": ratio(close, F.lag(close, 63).over(order)) - 1, "volatility_63d": over(F.stddev_samp, F.col("__return"), 63) * math.sqrt(YEAR)}
     )
-    df = df.withColumn("__limit", over(lambda c: F.percentile(c, F.lit(0.75)), F.col("volatility_63d"), 756, 252))
-    df = df.withColumn("volatility_limit", F.lag("__limit").over(order))
+    limit = Rolling("__limit", "volatility_63d", "quantile", 756, least=252, at=0.75)
+    df = rolling(df, [limit], by="series_id", lag=1, lagged="__known").withColumnRenamed("__known__limit", "volatility_limit")
     calm = (close > F.col("sma200")) & (F.col("return_63d") > 0) & (F.col("volatility_63d") <= F.col("volatility_limit"))
     df = df.withColumn("risk_on", F.coalesce(calm, F.lit(False)))
     df = df.withColumn("risk_on_for_open", F.coalesce(F.lag("risk_on").over(order), F.lit(False)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,35 @@ def symbols(df: DataFrame, column: str = "ticker") -> DataFrame:
     return df.select(symbol(column).alias(column)).where(F.col(column) != "").distinct()
 
 
+def within(df: DataFrame, names: DataFrame, column: str = "ticker") -> DataFrame:
+    """The rows whose symbol, normalised, is one of names; the symbols stay as they are."""
+    known = symbols(names, column).withColumnRenamed(column, "__name")
+    return df.join(known, symbol(column) == F.col("__name"), "left_semi")
+
+
+def outside(df: DataFrame, names: DataFrame, column: str = "ticker") -> DataFrame:
+    """The rows whose symbol, normalised, is none of names. A NULL symbol is none of any, also where names hold NULL."""
+    known = symbols(names, column).withColumnRenamed(column, "__name")
+    return df.join(known, symbol(column) == F.col("__name"), "left_anti")
+
+
+def stacked(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of all frames by column name; a column that a frame lacks is NULL in its rows. No frame is an error."""
+    if not frames:
+        raise ValueError("nothing to stack")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def days_of(frames: Sequence[DataFrame]) -> DataFrame:
+    """(date): the distinct days of all frames."""
+    return reduce(DataFrame.union, [f.select("date") for f in frames]).distinct()
+
+
+def newcomers(df: DataFrame, known: DataFrame, column: str = "ticker") -> DataFrame:
+    """The distinct symbols of df that known does not have: those whose history has still to be read."""
+    return symbols(df, column).exceptAll(symbols(known, column))
+
+
 def execution_prices(df: DataFrame, mark_falls_back: bool = False) -> DataFrame:
     """execution_open (adjusted) and mark_close; with mark_falls_back the raw close stands in for a missing adjusted one.
 

@@ -14,7 +14,7 @@ from factorloom.plans.catalog import RELATIONS, query
 from factorloom.plans.fixtures import Tables
 from factorloom.plans.store import PanelStore
 from factorloom.plans.relations import ANCHOR, CAPITAL, FEE, GATES, HOLD, MIN_PRICE, MIN_VOLUME, SLIP, TOP, TUNE_HOLD, TUNE_TOP, TUNED, curve_of, metrics_of, percent_rank
-from factorloom.sources import archive_counts, filter_archive, new_path, read_table, recent_slice, require, rewritten, write_csv, write_panel, write_summary, written
+from factorloom.sources import archive_counts, filter_archive, new_path, read_table, recent_slice, require, rewritten, write_csv, write_panel, write_panel_by_ticker, write_summary, written
 
 PRICE = selectors.PriceConfig(min_price=MIN_PRICE, min_median_dollar_volume_60d=MIN_VOLUME)
 COMPOSITE = selectors.CompositeConfig(min_price=MIN_PRICE, min_median_dollar_volume_60d=MIN_VOLUME)
@@ -105,6 +105,13 @@ def _(t: Tables) -> DataFrame:
     return recent_slice(t.bars, seeded(t), "1997-01-01", "2000-12-31")
 
 
+@query("s4_pushed_archive", "ticker date ~close", "SELECT * FROM bars WHERE date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND ticker IN (SELECT ticker FROM seeded)")
+def _(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    stored = write_panel_by_ticker(t.bars, f"panel_{path.rsplit('/', 1)[-1]}", path)
+    return filter_archive(stored, seeded(t), "1995-01-01", "1996-12-31", normalised=True)
+
+
 @query("n1_lenient_dates", "day #n", "SELECT CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) END AS day, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     text = F.when(F.col("l_linenumber") % 2 == 0, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("not a day")
@@ -227,12 +234,22 @@ def _(t: Tables) -> DataFrame:
 
 @query("j2_valuation_join", "ticker date ~pe ~ps", "SELECT b.ticker, b.date, v.pe, v.ps FROM bars AS b LEFT JOIN valuations AS v ON v.ticker = b.ticker AND v.date = b.date")
 def _(t: Tables) -> DataFrame:
-    return t.bars.join(t.valuations, ["ticker", "date"], "left")
+    return joins.valuation_join(t.bars, t.valuations)
+
 
+J3_SPEC = "ticker date fundamental_date ~roe ~fcf"
+J3_SQL = "SELECT b.ticker, b.date, f.fundamental_date, f.roe, f.fcf FROM bars AS b ASOF LEFT JOIN filings_once AS f ON b.ticker = f.ticker AND b.date >= f.fundamental_date"
+FILING_ORDER = ("fcf", "roe", "divyield", "de", "currentratio")
 
-@query("j3_asof_filings", "ticker date fundamental_date ~roe ~fcf", "SELECT b.ticker, b.date, f.fundamental_date, f.roe, f.fcf FROM bars AS b ASOF LEFT JOIN filings_once AS f ON b.ticker = f.ticker AND b.date >= f.fundamental_date")
+
+@query("j3_asof_filings", J3_SPEC, J3_SQL)
 def _(t: Tables) -> DataFrame:
-    return joins.point_in_time_fundamentals(t.bars, t.filings, [F.desc(c) for c in ("fcf", "roe", "divyield", "de", "currentratio")])
+    return joins.point_in_time_fundamentals(t.bars, t.filings, [F.desc(c) for c in FILING_ORDER])
+
+
+@query("j3_asof_split", J3_SPEC, J3_SQL)
+def _(t: Tables) -> DataFrame:
+    return joins.point_in_time_fundamentals(t.bars, t.filings, [F.desc(c) for c in FILING_ORDER], bucket_days=64)
 
 
 @query("j4_asof_tolerance", "date ~bench", "SELECT * FROM bench_asof")
@@ -264,6 +281,13 @@ def _(t: Tables) -> DataFrame:
     return ranked(t).join(events, ["date", "ticker"], "left")
 
 
+def holdings(t: Tables) -> DataFrame:
+    name = F.col("s_suppkey").cast("string")
+    one = t.supplier.where("s_acctbal > 0").select(F.concat(F.lit("s"), name, F.lit("_US_EQ")).alias("broker_ticker"), F.col("s_acctbal").cast("double").alias("quantity"))
+    two = t.supplier.where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), name).alias("broker_ticker"), F.lit(1.0).alias("quantity"))
+    return panel.stacked([one, two])
+
+
 POSITIONS = "SELECT concat('s', CAST(s_suppkey AS VARCHAR), '_US_EQ') AS broker_ticker, s_acctbal AS quantity FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT concat('S', CAST(s_suppkey AS VARCHAR)), 1e0 FROM supplier WHERE s_suppkey % 2 = 0"
 
 
@@ -271,10 +295,7 @@ POSITIONS = "SELECT concat('s', CAST(s_suppkey AS VARCHAR), '_US_EQ') AS broker_
     LEFT JOIN (SELECT upper(short_name) AS k, min(broker_ticker) AS broker_ticker FROM instruments WHERE type = 'STOCK' AND currency_code = 'USD' GROUP BY ALL) AS i ON i.k = u.ticker
     LEFT JOIN (SELECT upper(split_part(broker_ticker, '_', 1)) AS k, sum(quantity) AS q FROM ({POSITIONS}) AS p GROUP BY ALL) AS h ON h.k = u.ticker""")
 def _(t: Tables) -> DataFrame:
-    name = F.col("s_suppkey").cast("string")
-    one = t.supplier.where("s_acctbal > 0").select(F.concat(F.lit("s"), name, F.lit("_US_EQ")).alias("broker_ticker"), F.col("s_acctbal").cast("double").alias("quantity"))
-    two = t.supplier.where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), name).alias("broker_ticker"), F.lit(1.0).alias("quantity"))
-    return joins.annotate_instruments(t.bars.select("ticker").distinct(), t.instruments, one.unionByName(two))
+    return joins.annotate_instruments(t.bars.select("ticker").distinct(), t.instruments, holdings(t))
 
 
 KEYS = "SELECT DISTINCT broker_ticker, isin, unnest([regexp_replace(upper(split_part(broker_ticker, '_', 1)), '[^A-Z0-9]', '', 'g'), regexp_replace(upper(short_name), '[^A-Z0-9]', '', 'g')]) AS key FROM instruments"
@@ -288,12 +309,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("j11_semi_join", "ticker date", "SELECT ticker, date FROM bars WHERE ticker IN (SELECT ticker FROM seeded)")
 def _(t: Tables) -> DataFrame:
-    return t.bars.join(seeded(t), "ticker", "left_semi")
+    return panel.within(t.bars, seeded(t))
 
 
 @query("j12_anti_join", "ticker date", "SELECT ticker, date FROM bars WHERE ticker NOT IN (SELECT ticker FROM seeded)")
 def _(t: Tables) -> DataFrame:
-    return t.bars.join(seeded(t), "ticker", "left_anti")
+    return panel.outside(t.bars, seeded(t))
 
 
 @query("j13_candidate_scores", "#candidate_id ~mean_score ~best_score", "SELECT candidate_id, avg(score) AS mean_score, max(score) AS best_score FROM period_scores GROUP BY candidate_id")
@@ -327,10 +348,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("a4_holdings", "key ~quantity", f"SELECT upper(split_part(broker_ticker, '_', 1)) AS key, sum(quantity) AS quantity FROM ({POSITIONS}) AS p GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    name = F.col("s_suppkey").cast("string")
-    one = t.supplier.where("s_acctbal > 0").select(F.concat(F.lit("s"), name, F.lit("_US_EQ")).alias("b"), F.col("s_acctbal").cast("double").alias("quantity"))
-    both = one.unionByName(t.supplier.where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), name).alias("b"), F.lit(1.0).alias("quantity")))
-    return both.groupBy(symbol_key("b").alias("key")).agg(F.sum("quantity").alias("quantity"))
+    return joins.held_quantities(holdings(t))
 
 
 METRICS = "strategy ~final_equity ~total_return_pct ~cagr_pct ~annual_volatility_pct ~sharpe_ratio ~max_drawdown_pct"
@@ -444,7 +462,8 @@ _feature("w6_downside_volatility", "ticker date ~downside_volatility_90d", lambd
 _feature("w7_drawdown", "ticker date ~drawdown_252d", lambda t: features.risk(t.bars))
 _feature("w8_rolling_median", "ticker date ~median_dollar_volume_60d", lambda t: features.liquidity(t.bars))
 _feature("w10_decision_lag", "ticker date ~decision_close #decision_history_days ~decision_momentum_6m ~decision_trend_quality ~decision_median_dollar_volume_60d")
-_feature("p1_prepare_features", "ticker date #history_days ~momentum_6m ~trend_quality ~volatility_30d ~drawdown_252d ~decision_close ~decision_momentum_12m_ex_1m ~decision_downside_volatility_90d")
+P1_SPEC = "ticker date #history_days ~momentum_6m ~trend_quality ~volatility_30d ~drawdown_252d ~decision_close ~decision_momentum_12m_ex_1m ~decision_downside_volatility_90d"
+_feature("p1_prepare_features", P1_SPEC)
 
 
 @query("w9_market_cap_rank", "ticker date #market_cap_rank", "SELECT ticker, date, market_cap_rank FROM pfeat")
@@ -536,7 +555,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("t3_output_order", RANKED, "SELECT * FROM price_ranked")
 def _(t: Tables) -> DataFrame:
-    return ranked(t).orderBy("date", "selection_rank", "ticker")
+    return features.output_order(ranked(t))
 
 
 @query("t4_top_per_period", "#period #candidate_id ~strategy_return", "SELECT * FROM period_returns")
@@ -611,23 +630,22 @@ def _(t: Tables) -> DataFrame:
 # Sets.
 @query("u1_union", "date ticker", "SELECT date, ticker FROM index_events UNION ALL SELECT date, ticker FROM index_events WHERE action = 'added'")
 def _(t: Tables) -> DataFrame:
-    return t.index_events.unionByName(t.index_events.where("action = 'added'"))
+    return panel.stacked([t.index_events, t.index_events.where("action = 'added'")])
 
 
 @query("u2_union_missing_columns", "ticker date ~close ~pe", "SELECT ticker, date, close, CAST(NULL AS DOUBLE) AS pe FROM bars UNION ALL SELECT ticker, date, NULL, pe FROM valuations")
 def _(t: Tables) -> DataFrame:
-    return t.bars.select("ticker", "date", "close").unionByName(t.valuations.select("ticker", "date", "pe"), allowMissingColumns=True)
+    return panel.stacked([t.bars.select("ticker", "date", "close"), t.valuations.select("ticker", "date", "pe")])
 
 
 @query("u3_date_union", "date", f"SELECT date FROM numbered WHERE session % {HOLD} = 0 UNION SELECT date FROM numbered WHERE session % {ANCHOR} = 0 UNION SELECT max(date) FROM days")
 def _(t: Tables) -> DataFrame:
-    every = [panel.sessions(t.bars, HOLD).select("date"), panel.sessions(t.bars, ANCHOR).select("date"), t.bars.agg(F.max("date").alias("date"))]
-    return every[0].union(every[1]).union(every[2]).distinct()
+    return panel.days_of([panel.sessions(t.bars, HOLD), panel.sessions(t.bars, ANCHOR), t.bars.agg(F.max("date").alias("date"))])
 
 
 @query("u4_set_difference", "ticker", "SELECT DISTINCT ticker FROM bars EXCEPT SELECT ticker FROM seeded")
 def _(t: Tables) -> DataFrame:
-    return t.bars.select("ticker").distinct().exceptAll(seeded(t))
+    return panel.newcomers(t.bars, seeded(t))
 
 
 # Scalar functions.
@@ -657,6 +675,13 @@ def _(t: Tables) -> DataFrame:
 
 
 # Composites.
+@query("p1_bucketed_panel", P1_SPEC, "SELECT * FROM feat")
+def _(t: Tables) -> DataFrame:
+    path = new_path(t.spark)
+    stored = write_panel_by_ticker(features.market_cap_rank(t.bars), f"panel_{path.rsplit('/', 1)[-1]}", path)
+    return selectors.prepare_features(stored, clean_already=True)
+
+
 @query("p2_rank_stocks", RANKED + " ~momentum_6m_rank ~trend_quality_rank ~downside_risk_rank ~liquidity_rank", "SELECT * FROM price_ranked")
 def _(t: Tables) -> DataFrame:
     return ranked(t)
@@ -764,6 +789,22 @@ def compared(t: Tables) -> dict[str, DataFrame]:
     return strategies.compare(variant_input(t, days), metrics.market_regime(t.bench_px), t.bench_px, px, strategies.STRATEGIES, TOP, SLIP, FEE, CAPITAL)
 
 
+#: A ranking by momentum alone, as a function of the days to rank.
+RELATIONS["m_orders"] = f"""SELECT 'hold' AS strategy, p.every, p.cohort, p.start, p.stop, e.ticker, 1e0 AS exposure, row_number() OVER (PARTITION BY p.cohort ORDER BY e.decision_momentum_6m DESC NULLS LAST, e.ticker) AS place
+    FROM price_eligible AS e JOIN v_plan AS p ON p.start = e.date AND p.every = {HOLD}"""
+curves_of("m_orders", "m", f"SELECT 'hold' AS strategy, {HOLD} AS every")
+
+
+@query("p6_pluggable_ranking", "strategy date !equity", "SELECT strategy, date, equity FROM m_equity WHERE date IN (SELECT g.date FROM m_grid AS g JOIN (SELECT DISTINCT cohort FROM m_held) AS h ON h.cohort = g.cohort)")
+def _(t: Tables) -> DataFrame:
+    def by_momentum(dates: DataFrame) -> DataFrame:
+        members = selectors.universe(selectors.prepare_features(t.bars), seeded(t), False, 0)
+        rows = selectors.eligible(members, PRICE).join(F.broadcast(dates), "date", "left_semi")
+        return features.selection_rank(rows.withColumn("selection_score", F.col("decision_momentum_6m")))
+
+    return backtest.hold_backtest(by_momentum, prices(t), HOLD, TOP, SLIP, FEE, CAPITAL, drop_then_weigh=False)["equity"]
+
+
 @query("p7_compare", f"{FULL} {RECENT} {STATES}", comparison_of("s", "s_equity"))
 def _(t: Tables) -> DataFrame:
     return compared(t)["comparison"]

@@ -13,6 +13,12 @@ from pyspark.sql.types import StructType
 from factorloom.functions import symbol
 
 
+#: Paths in the shared folder that this process has written to.
+_WRITTEN: list[str] = []
+#: Tickers that are named in a scan's filter at most; buckets of a panel table.
+PUSHED_TICKERS, BUCKETS = 2_000, 64
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df, or KeyError naming the columns it lacks; a check of the schema, not a job."""
     if missing := sorted(set(columns) - set(df.columns)):
@@ -35,13 +41,21 @@ def read_panel(spark: SparkSession, path: str, required: Sequence[str], optional
     return df.select(*required, *[c for c in optional if c in df.columns and c not in required])
 
 
-def filter_archive(df: DataFrame, universe: DataFrame, start: str, end: str, dimension: str | None = None) -> DataFrame:
-    """Rows of the universe's tickers between two days (and of one dimension): the predicates reach the scan."""
+def filter_archive(df: DataFrame, universe: DataFrame, start: str, end: str, dimension: str | None = None, normalised: bool = False) -> DataFrame:
+    """Rows of the universe's tickers between two days (and of one dimension).
+
+    The days and the dimension reach the scan. Where the archive's tickers are ``normalised`` already, as
+    ``write_panel_by_ticker`` writes them, so do the tickers: as a list, if a count shows that they are at most
+    ``PUSHED_TICKERS``, else as a join on the stored column.
+    """
     kept = df.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     if dimension is not None:
         kept = kept.where(F.col("dimension") == dimension)
     names = universe.select(symbol("ticker").alias("ticker")).where("ticker <> ''").distinct()
-    return kept.withColumn("ticker", symbol("ticker")).join(names, "ticker", "left_semi")
+    if not normalised:
+        return kept.withColumn("ticker", symbol("ticker")).join(names, "ticker", "left_semi")
+    few = [r["ticker"] for r in names.limit(PUSHED_TICKERS + 1).collect()]
+    return kept.where(F.col("ticker").isin(few)) if len(few) <= PUSHED_TICKERS else kept.join(names, "ticker", "left_semi")
 
 
 def archive_counts(df: DataFrame, kept: DataFrame) -> DataFrame:
@@ -77,7 +91,21 @@ def new_path(spark: SparkSession) -> str:
         if named is None and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Delete what ``written``, ``rewritten`` and ``new_path`` have put into the shared folder so far; the number of paths.
+
+    To be called once their results have been saved: frames that read them can't be worked out any more.
+    """
+    gone = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -90,6 +118,16 @@ def write_panel(df: DataFrame, path: str) -> None:
     df.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def write_panel_by_ticker(df: DataFrame, table: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """A panel table that is bucketed and sorted by normalised tickers, under a path; the table, read again.
+
+    Windows by ticker and joins on it need no shuffle over it, and files skip tickers that a filter does not name.
+    """
+    rows = df.withColumn("ticker", symbol("ticker")).repartition(buckets, "ticker")
+    rows.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "ticker").sortBy("ticker", "date").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     """A one-row summary as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -399,3 +399,61 @@ def test_a_ticker_that_a_later_snapshot_lacks_leaves_without_meeting_it(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     with pytest.raises(ValueError, match="no membership snapshot"):
         joins.membership_panel(sessions, events.where("date > DATE '2023-01-02'"))
+
+
+def test_asof_join_of_a_hot_key_by_buckets_equals_the_plain_one_and_spreads(spark):
+    rng = np.random.default_rng(8)
+    day = lambda n: (dt.date(2020, 1, 1) + dt.timedelta(days=int(n)))
+    left = [("HOT" if rng.random() < 0.5 else f"T{rng.integers(40)}", day(rng.integers(0, 1500)), i) for i in range(4000)] + [(None, day(3), -1), ("HOT", None, -2)]
+    right = {(t, day(rng.integers(0, 1500))): i for i, t in enumerate(["HOT"] * 30 + ["T1"] * 5 + ["T2"])}
+    left = spark.createDataFrame(left, "ticker string, date date, row int")
+    right = spark.createDataFrame([(t, d, float(i) if i % 3 else None) for (t, d), i in right.items()], "ticker string, filed date, value double")
+    plain = joins.asof_backward(left, right, ["ticker"], "date", "filed")
+    split = joins.asof_backward_split(left, right, ["ticker"], "date", "filed", bucket_days=30)
+    order = lambda df: sorted(map(str, df.select("ticker", "date", "row", "filed", "value").collect()))
+    assert order(split) == order(plain)
+    near = joins.asof_backward_split(left, right, ["ticker"], "date", "filed", 30, tolerance_days=40)
+    assert order(near) == order(joins.asof_backward(left, right, ["ticker"], "date", "filed", 40))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [r["count"] for r in split.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(tasks) < 2 * sorted(tasks)[len(tasks) // 2]
+
+
+def test_features_of_a_bucketed_panel_are_not_shuffled_and_tickers_reach_its_scan(spark, tmp_path):
+    bars = features.market_cap_rank(bars_of(spark, ["a ", "B.AX", "c"], pd.bdate_range("2022-01-03", periods=280)))
+    stored = sources.write_panel_by_ticker(bars, "bucketed_panel", str(tmp_path / "panel"), buckets=4)
+    got = selectors.prepare_features(stored, clean_already=True)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    same_features(got, selectors.prepare_features(bars))
+    universe = spark.createDataFrame([(" a",), ("",), ("b",)], "ticker string")
+    kept = sources.filter_archive(stored, universe, "2022-02-01", "2022-12-31", normalised=True)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and " IN (" in plan.split("PartitionFilters")[0] and "DataFilters: [isnotnull(date" in plan
+    assert {r.ticker for r in kept.collect()} == {"A", "B"} == {r.ticker for r in sources.filter_archive(bars, universe, "2022-02-01", "2022-12-31").collect()}
+    spark.sql("DROP TABLE bucketed_panel")
+
+
+def test_sets_of_rows_and_symbols(spark):
+    bars = spark.createDataFrame([(" a", 1), ("B.AX", 2), ("c", 3), (None, 4)], "ticker string, n int")
+    names = spark.createDataFrame([("A",), ("b",), (None,)], "ticker string")
+    assert sorted(r.n for r in panel.within(bars, names).collect()) == [1, 2]
+    assert sorted(r.n for r in panel.outside(bars, names).collect()) == [3, 4]
+    assert [r.ticker for r in panel.newcomers(bars, names).collect()] == ["C"]
+    both = panel.stacked([bars, names.withColumn("extra", F.lit("x"))]).collect()
+    assert len(both) == 7 and {(r.n, r.extra) for r in both if r.extra} == {(None, "x")}
+    with pytest.raises(ValueError):
+        panel.stacked([])
+    prices = spark.createDataFrame([("A", 1, 5.0), ("B", 1, 6.0)], "ticker string, date int, close double")
+    values = spark.createDataFrame([("A", 1, 9.0, 0.5), ("A", 1, 9.0, 0.7)], "ticker string, date int, close double, pe double")
+    assert sorted((r.ticker, r.close, r.pe or 0.0) for r in joins.valuation_join(prices, values).collect()) == [("A", 5.0, 0.5), ("A", 5.0, 0.7), ("B", 6.0, 0.0)]
+
+
+def test_written_tables_go_when_they_are_discarded(spark):
+    df = sources.written(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    assert sources.discard_written(spark) > 0 and not os.path.exists(path)
+    assert sources.discard_written(spark) == 0
