@@ -6,13 +6,11 @@ next stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm import lines, minhash, mixing, pieces, toxicity
-from factorloom.llm.common import WORD, shared_folder, table
+from factorloom.llm.common import WORD, new_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -73,9 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the shared folder and read again."""
-    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline-")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

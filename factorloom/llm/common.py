@@ -20,6 +20,8 @@ from pyspark.sql.types import BooleanType, DateType, NumericType
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 U64 = np.uint64
+#: Paths in the shared folder that this process has written to.
+_WRITTEN: list[str] = []
 #: Tables of keys of up to this many bytes are broadcast, larger ones are joined with a shuffle.
 BROADCAST_BYTES = 4_000_000
 #: Edges that one task joins at the end of a search for components, at most.
@@ -46,6 +48,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_path(spark: SparkSession, name: str = "") -> str:
+    """A path in the shared folder that nothing has used yet."""
+    path = f"{shared_folder(spark)}/{name}{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Delete all that this process has put into the shared folder so far; the number of paths.
+
+    To be called once results have been saved: frames that read these tables can't be worked out any more.
+    """
+    gone = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: df as a table that is written to the shared folder and read again.
 
@@ -54,7 +75,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     shuffle files behind it are of no more use and go, instead of waiting for the driver's garbage collector.
     """
     spark = df.sparkSession
-    path, cleanup = f"{shared_folder(spark)}/{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, cleanup = new_path(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
