@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(rows, pa.binary()), *(part.column(2 + i).cast(pa.int32()) for i in range(len(categories)))], ["id", "places", *categories])
 
     schema = "id string, places binary, " + ", ".join(f"`{c}` int" for c in categories)
-    found = part.mapInArrow(present, schema).toArrow().sort_by("id")
+    found = part.mapInArrow(present, schema).toArrow().sort_by([("id", "ascending"), ("places", "ascending"), *((c, "ascending") for c in categories)])
     n = found.num_rows
     places = found.column("places").to_pylist()
     owner = np.repeat(np.arange(n), [len(p) // 2 for p in places])
