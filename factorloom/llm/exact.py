@@ -2,7 +2,8 @@
 
 Misra-Gries summaries of the digests, one per partition and merged by a sum, name the few digests that can be
 frequent. Their exact counts and winners (at most ``counters`` rows) are broadcast, so that the rows of large
-groups never shuffle; all other digests shuffle in small groups.
+groups never shuffle. The winners of all other groups are aggregated before they are shuffled and joined to their rows,
+so that no group is gathered in a task.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, checkpoint, table
@@ -70,9 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("digest", F.col("best.id").alias("keep_id"), "group_size")
     )
     large = digests.join(F.broadcast(heavy), "digest")
-    own = Window.partitionBy("digest")
-    small = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
-        "digest", "id", "n", F.min(order).over(own)["id"].alias("keep_id"), F.count("*").over(own).alias("group_size")
+    rest = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    several = rest.groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    several = checkpoint(several.select("digest", F.col("best.id").alias("lead"), "group_size"))
+    copy = F.col("group_size").isNotNull()
+    small = rest.join(several, "digest", "left").select(
+        "digest", "id", "n", F.when(copy, F.col("lead")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")
     )
     return large.select("digest", "id", "n", "keep_id", "group_size").union(small).select(
         F.col("id").alias(id_col),

@@ -237,3 +237,9 @@ def test_line_dedup_of_several_texts_under_one_id_loses_no_line(spark):
     assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == [
         (0, "a dup line that stands in both of them", 0), (1, "first text of one", 1), (1, "second text of one\nA UNIQUE LINE THAT IS NOWHERE ELSE", 0), (2, "", 1)
     ]
+
+
+def test_exact_dedup_minds_no_columns_named_like_its_own(spark):
+    df = spark.createDataFrame([(1, "a b", 9, "x", "y"), (2, "ab", 8, "x", "y"), (3, "c", 7, "x", "y")], "doc_id long, text string, n long, digest string, keep_id string")
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(df).collect())
+    assert got == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
