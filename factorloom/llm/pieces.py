@@ -201,10 +201,13 @@ class PieceModel:
 
 
 def readable(data: bytes) -> str:
-    try:
-        return data.decode()
-    except UnicodeDecodeError as e:
-        return data[: e.start].decode() + "�" + readable(data[e.start + 1 :])
+    parts, at = [], 0
+    while True:
+        try:
+            return "".join(parts) + data[at:].decode()
+        except UnicodeDecodeError as e:
+            parts += [data[at : at + e.start].decode(), "\ufffd"]
+            at += e.start + 1
 
 
 _models: dict[str, PieceModel] = {}

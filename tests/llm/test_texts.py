@@ -366,3 +366,8 @@ def test_html_keeps_formulas_and_fallbacks_and_prefers_a_short_article_to_a_list
     pages = spark.createDataFrame([(i, None, source) for i, source in rows], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.extract_main_text(pages, share=0.9).collect()}
     assert got == {0: "Let x=2 hold.\nA chart of it.", 1: "Short."}
+
+
+def test_thousands_of_bytes_that_are_no_utf8_decode():
+    assert pieces.readable(b"a" + b"\xff" * 5000 + "é".encode() + b"\xe9") == "a" + "\ufffd" * 5000 + "é" + "\ufffd"
+
