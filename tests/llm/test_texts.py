@@ -9,6 +9,7 @@ import time
 import zlib
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 
 from factorloom.llm import html, lm, mixing, pieces, pii, toxicity
@@ -371,3 +372,64 @@ def test_html_keeps_formulas_and_fallbacks_and_prefers_a_short_article_to_a_list
 def test_thousands_of_bytes_that_are_no_utf8_decode():
     assert pieces.readable(b"a" + b"\xff" * 5000 + "é".encode() + b"\xe9") == "a" + "\ufffd" * 5000 + "é" + "\ufffd"
 
+
+
+def plain_chain(texts, labels, folds=3):
+    """The chain over dense 0/1 matrices: {id: probabilities}, from {id: text} and {id: (0 or 1, ...)}."""
+
+    def parts(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
+        return set(words) | {(k, w[:k], len(w) > k) for w in words for k in toxicity.PREFIXES}
+
+    ids = sorted(labels, key=str)
+    have = {i: parts(t) for i, t in texts.items()}
+    n, fold = len(ids), np.random.default_rng(0).permutation(len(ids)) % folds
+
+    def gain(feature, y):
+        k, m = sum(y[j] for j, i in enumerate(ids) if feature in have[i]), sum(feature in have[i] for i in ids)
+        part = lambda a, share: a * math.log((a + 0.5) / (m * share + 0.5)) if a > 0 else 0.0
+        return part(k, sum(y) / n) + part(m - k, 1 - sum(y) / n)
+
+    def fitted(x, y):
+        rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
+        theta = np.zeros(x.shape[1] + 1)
+        theta[-1] = math.log(rate / (1 - rate))
+        one, two = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, 301):
+            error = 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1]))) - y
+            slope = np.append(x.T @ error, error.sum()) / len(y)
+            slope[:-1] += 2e-5 * theta[:-1]
+            one, two = 0.9 * one + 0.1 * slope, 0.99 * two + 0.01 * slope**2
+            theta -= 0.1 * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
+        return lambda z: 1 / (1 + np.exp(-(z @ theta[:-1] + theta[-1])))
+
+    every, earlier, found = sorted(set().union(*have.values()), key=str), np.zeros((n, 0)), np.zeros((len(texts), 0))
+    for c in range(len(labels[ids[0]])):
+        y = np.array([labels[i][c] for i in ids], dtype=float)
+        chosen = [f for f in every if gain(f, y.tolist()) >= toxicity.LEAST_GAIN]
+        own = np.array([[f in have[i] for f in chosen] for i in ids], dtype=float)
+        x = np.hstack((own, earlier))
+        outside = np.zeros(n)
+        for k in range(folds):
+            outside[fold == k] = fitted(x[fold != k], y[fold != k])(x[fold == k])
+        whole = np.hstack((np.array([[f in have[i] for f in chosen] for i in texts], dtype=float), found))
+        found = np.column_stack((found, fitted(x, y)(whole)))
+        earlier = np.column_stack((earlier, outside))
+    return dict(zip(texts, found))
+
+
+def test_the_chain_equals_one_over_dense_matrices(spark):
+    rng = random.Random(7)
+    plain = ["house", "garden", "weather", "reading", "houses", "Music!", "café"]
+    texts, labels = {}, {}
+    for i in range(150):
+        good, bad = rng.random() < 0.5, rng.random() < 0.35
+        words = [rng.choice(plain) for _ in range(12)] + ["careful", "sourced"] * good + ["idiots", "scum"] * (bad and rng.random() < 0.9) + ["moron"] * (bad and not good)
+        rng.shuffle(words)
+        texts[i], labels[i] = " ".join(words), (int(good), int(bad))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([(i, *labels[i]) for i in range(110)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.p_quality, r.p_toxic) for r in toxicity.toxicity(df, known).collect()}
+    want = plain_chain(texts, {i: labels[i] for i in range(110)})
+    assert all(np.allclose(got[i], want[i], atol=1e-6) for i in texts)
+    assert sum((got[i][1] >= 0.5) == bool(labels[i][1]) for i in range(110, 150)) >= 34
