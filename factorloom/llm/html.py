@@ -62,9 +62,10 @@ NEUTRAL = frozenset(
     "links list main mobile more news page panel post posts primary reader readers right row secondary section signup site slot small sticky stories sub text thread threads title top unit user "
     "users wp wrap wrapper".split()
 )
-#: Marks that a theme also gives to what lies around the whole page: they do not hold against an article within, nor
-#: against most of the page's text.
+#: Marks that a theme also gives to what lies around the whole page: they do not hold against an article within.
 AROUND = frozenset("ad ads banner footer form header masthead menu modal nav navbar navigation notice popup sidebar toolbar topbar widget widgets".split())
+#: Those of them that say where something lies, not what it is.
+PLACES = frozenset("banner footer form header masthead nav navbar sidebar toolbar topbar".split())
 #: Marks that inside an article name a part of it.
 PARTS = frozenset("banner header masthead".split())
 #: Elements of lists, which an article beats however short it is.
@@ -113,13 +114,14 @@ class Element:
         around = bool(marks) and marks <= AROUND and tag not in OUTSIDE
         out = hidden or tag in OUTSIDE or role in ROLES or (bool(marks) and not around)
         out = out or (tag == "article" and any(w in ("comment", "comments", "reply") for own in words for w in own)) or (tag == "header" and not inside)
-        #: outside for good, or the number of the outermost element that is outside by marks of what lies around a page
+        #: outside for good, or the number of the outermost element that is outside by marks of what lies around a page (negative
+        #: if it is so whatever it holds)
         self.barred = out or (parent is not None and parent.barred)
         self.around = 0 if parent is None else parent.around
         if tag in ("article", "main") or role == "main":
             self.around = 0
         elif around and not self.around:
-            self.around = number
+            self.around = number if marks <= PLACES else -number
         self.semantic = tag in ("article", "main") or role == "main" or inside
         #: the container that its text belongs to, as a place in Page.containers
         self.up = parent.up if parent else -1
@@ -129,20 +131,20 @@ class Element:
 
     @property
     def outside(self) -> bool:
-        return self.barred or self.around > 0
+        return self.barred or self.around != 0
 
 
 class Page:
     """The blocks of a page in order, (container, text, characters of it in links), and its containers, outer ones first."""
 
     def __init__(self, source: str) -> None:
-        """What is marked as lying around the page, but holds most of its text outside of links, counts as not marked."""
+        """Where there is no text in an article, what is marked by its place but holds most of the text outside of links counts as not marked."""
         spared: frozenset[int] = frozenset()
         for _ in range(SPARED):
             weights = self._read(source, spared)
             kept = sum(len(words) - linked for _, words, linked in self.blocks)
             most = max(weights, key=weights.get, default=0)
-            if not most or 2 * weights[most] <= kept + sum(weights.values()):
+            if not most or any(self.containers[owner][0].semantic for owner, _, _ in self.blocks) or 2 * weights[most] <= kept + sum(weights.values()):
                 break
             spared |= {most}
 
@@ -167,7 +169,7 @@ class Page:
                 words = " ".join(html.unescape("".join(text)).split())
                 if words and not stack[-1].outside:
                     self.blocks.append((stack[-1].up, words, min(linked, len(words))))
-                elif words and not stack[-1].barred:
+                elif words and not stack[-1].barred and stack[-1].around > 0:
                     weights[stack[-1].around] = weights.get(stack[-1].around, 0) + len(words) - min(linked, len(words))
                 text.clear()
             linked = 0

@@ -137,7 +137,7 @@ def test_whitening_matches_a_dense_solver(spark, d, n):
 
 def test_whitening_iterates_to_double_precision_in_many_dimensions(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, (rng.standard_normal(300) * np.linspace(0.5, 2, 300)).astype(np.float32).tolist()) for i in range(700)]
+    rows = [(i, (rng.standard_normal(160) * np.linspace(0.5, 2, 160)).astype(np.float32).tolist()) for i in range(400)]
     vectors, d = whitening.whole_numbers(vectors_of(spark, rows), "vec_id", "embedding")
     fitted = whitening.fit(vectors, d, 5)
     x = np.array([r.x for r in vectors.collect()], dtype=float)

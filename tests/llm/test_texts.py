@@ -349,6 +349,7 @@ MARKED = {
     "unclosed frame": f'<article><iframe src="x">{PROSE}</article>',
     "unclosed object": f'<article><object data="x">{PROSE}</article>',
     "closed ones": f'<article><svg><text>drawn</text></svg><select><option>one</select><iframe src="x">no frames</iframe>{PROSE}</article>',
+    "advert before a short article": f'<div class="ad">{"Buy this now, and that. " * 40}</div><article>{PROSE}</article>',
     "menus of links": f'<div class="main-menu">{"<a href=x>a place to go</a> " * 90}</div><article>{PROSE}</article>',
 }
 
