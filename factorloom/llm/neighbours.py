@@ -34,8 +34,8 @@ LIST, LARGEST = 10, 80
 ROUNDS, AUDIT, RECALL = 6, 128, 0.995
 #: More batches of trees that may follow a short audit.
 MORE = 3
-#: Vectors that are compared at a time.
-BLOCK = 1024
+#: Vectors that are compared at a time, and that are read at a time.
+BLOCK, AT_ONCE = 1024, 2000
 #: Vectors of one block, at most, where all vectors are compared, or all of one component.
 STRIP = 32768
 
@@ -91,9 +91,7 @@ def tree_leaves(unit: DataFrame, rows: int, trees: range, leaf: int) -> DataFram
     depth = _depth(rows, leaf)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             ids = batch.column(0).to_numpy()
             by_size: dict[int, list[int]] = {}
             blobs = batch.column(1).to_pylist()
@@ -108,6 +106,8 @@ def tree_leaves(unit: DataFrame, rows: int, trees: range, leaf: int) -> DataFram
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), t, dtype=np.int32)), pa.array(code * 65536 + x.shape[1]), pa.array(own), pa.array([blobs[i] for i in at], pa.binary())], ["tree", "leaf", "id", "vec"]
                     )
+        #: a worker waits for its next task without the buffers of this one
+        pa.default_memory_pool().release_unused()
 
     found = checkpoint(unit.mapInArrow(apply, "tree int, leaf long, id long, vec binary"))
     sizes = found.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2.0 * leaf)).alias("parts")).where("parts > 1")
@@ -199,7 +199,7 @@ def similarities(pairs: DataFrame, unit: DataFrame, floor: float) -> DataFrame:
     """pairs (a, b) with their cosine s >= floor."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             same = np.array([len(x) == len(y) for x, y in zip(left, right)], dtype=bool)
             s = np.array([np.frombuffer(x) @ np.frombuffer(y) if ok else -2.0 for x, y, ok in zip(left, right, same)], dtype=np.float64)
