@@ -6,6 +6,7 @@ UTF-8 bytes of a text.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -181,6 +182,13 @@ def slices(texts: list, limit: int = CHARS_AT_ONCE):
         yield start, len(texts)
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker waits for its next task without the buffers of this one."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch of ROWS_AT_ONCE rows and about CHARS_AT_ONCE characters, each with the texts of a column (null as empty)."""
     for at in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -188,8 +196,7 @@ def portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatc
         texts = [t or "" for t in part.column(column).to_pylist()]
         for a, b in slices(texts):
             yield part.slice(a, b - a), texts[a:b]
-    #: a worker waits for its next task without the buffers of this one
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, checkpoint, components, portions, small, splitmix, table
+from .common import U64, WordHasher, checkpoint, components, portions, release, small, splitmix, table
 
 BANDS, ROWS = 40, 6
 #: Bytes of the sets of a bucket's members that meet as many others in one task, about.
@@ -143,6 +143,7 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+        release()
 
     edges = small(edges)
     left = sets.join(edges, F.col("id") == F.col("a")).select("a", "b", F.col("set").alias("x"))

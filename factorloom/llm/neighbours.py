@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, small, table
+from .common import checkpoint, components, release, small, table
 
 LINK = 0.9
 #: Trees that are worked on at a time, and vectors of a leaf.
@@ -55,6 +55,7 @@ def vectors(rows: DataFrame) -> DataFrame:
                 else:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "vec"])
+        release()
 
     return rows.mapInArrow(apply, "id long, vec binary")
 
@@ -106,8 +107,7 @@ def tree_leaves(unit: DataFrame, rows: int, trees: range, leaf: int) -> DataFram
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), t, dtype=np.int32)), pa.array(code * 65536 + x.shape[1]), pa.array(own), pa.array([blobs[i] for i in at], pa.binary())], ["tree", "leaf", "id", "vec"]
                     )
-        #: a worker waits for its next task without the buffers of this one
-        pa.default_memory_pool().release_unused()
+        release()
 
     found = checkpoint(unit.mapInArrow(apply, "tree int, leaf long, id long, vec binary"))
     sizes = found.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2.0 * leaf)).alias("parts")).where("parts > 1")
@@ -204,6 +204,7 @@ def similarities(pairs: DataFrame, unit: DataFrame, floor: float) -> DataFrame:
             same = np.array([len(x) == len(y) for x, y in zip(left, right)], dtype=bool)
             s = np.array([np.frombuffer(x) @ np.frombuffer(y) if ok else -2.0 for x, y, ok in zip(left, right, same)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["a", "b", "s"])
+        release()
 
     pairs = small(checkpoint(pairs))
     x = unit.join(pairs, F.col("id") == F.col("a")).select("a", "b", F.col("vec").alias("x"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -246,6 +246,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     rows.append(row + [[int(i) for i in ids.split(b",")] if ids else [], readable(data)] if whole else row)
                 columns = [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kept))]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if whole else 4]
     kept = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: len(names) - 1]
