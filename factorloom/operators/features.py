@@ -79,13 +79,29 @@ def liquidity(df: DataFrame) -> DataFrame:
     return rolling(df, LIQUIDITY)
 
 
-def price_features(df: DataFrame, lag_days: int, more: Sequence[str] = ()) -> DataFrame:
-    """All features and their decision_ twins, and those of ``more`` columns: windows and rolling frames in one pass by ticker."""
-    df = momentum(history_days(df))
-    early = [c for c in ("close", "history_days", "momentum_12m_ex_1m", "momentum_6m", "momentum_3m", "market_cap", "market_cap_rank", *more)]
-    df = rolling(returns(decision_lag(df, early, lag_days)), [*TREND, *RISK, *LIQUIDITY], lag=lag_days, lagged="decision_")
-    for prefix in ("", "decision_"):
-        df = drawdown_of(trend_of(df, prefix), prefix)
+#: The features that come from each group of long frames.
+FROM_FRAMES = (
+    (TREND, ("ma_50d", "ma_200d", "price_vs_200d_ma", "ma_50d_vs_200d", "trend_quality")), (RISK[:1], ("volatility_30d",)),
+    (RISK[1:2], ("downside_volatility_90d",)), (RISK[2:], ("drawdown_252d",)), (LIQUIDITY, ("median_dollar_volume_60d",)),
+)
+
+
+def price_features(df: DataFrame, lag_days: int, more: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """All features and their decision_ twins, and those of ``more`` columns: windows and rolling frames in one pass by ticker.
+
+    With ``keep`` only the columns that these need are worked out and handed through the kernel of the rolling frames.
+    """
+    wanted = lambda prefix, names: keep is None or any(f"{prefix}{n}" in keep for n in names)
+    early = [c for c in ("close", "history_days", "momentum_12m_ex_1m", "momentum_6m", "momentum_3m", "market_cap", "market_cap_rank", *more) if c == "close" or wanted("decision_", [c])]
+    df = decision_lag(momentum(history_days(df)), early, lag_days)
+    specs = [s for own, names in FROM_FRAMES if wanted("", names) or wanted("decision_", names) for s in own]
+    current = any(wanted("", names) for _, names in FROM_FRAMES)
+    if specs:
+        passed = None if keep is None else ["ticker", "date", "close", "decision_close", *keep]
+        df = rolling(returns(df), specs, lag=lag_days, lagged="decision_", keep=passed, current=current)
+    for prefix in ("", "decision_") if current else ("decision_",):
+        df = trend_of(df, prefix) if f"{prefix}ma_200d" in df.columns else df
+        df = drawdown_of(df, prefix) if f"{prefix}__high_252d" in df.columns else df
     return df.drop("__return", "__loss", "decision_ma_50d", "decision_ma_200d", "decision_ma_50d_vs_200d")
 
 

@@ -35,7 +35,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     carried = [c for c in right.columns if c not in by]
     kinds = dict(right.dtypes)
     facts = right.select(*by, F.col(right_on).alias("__on"), F.struct(*carried).alias("__right"), F.lit(0).alias("__side"))
-    events = left.select(*by, F.col(on).alias("__on"), F.lit(None).cast(facts.schema["__right"].dataType).alias("__right"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"))
+    events = left.select(*by, F.col(on).alias("__on"), F.lit(None).cast(facts.schema["__right"].dataType).alias("__right"), F.lit(1).alias("__side"), F.struct(*[c for c in left.columns if c not in by], F.lit(1).alias("__row")).alias("__left"))
     facts = facts.withColumn("__left", F.lit(None).cast(events.schema["__left"].dataType))
     upto = Window.partitionBy(*by).orderBy("__on", "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = facts.unionByName(events).withColumn("__last", F.last("__right", ignorenulls=True).over(upto)).where("__side = 1")
@@ -43,7 +43,9 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     if tolerance_days is not None:
         match = F.when(F.datediff(F.col("__on"), F.col(f"__last.{right_on}")) <= tolerance_days, match)
     rows = both.withColumn("__last", match)
-    return rows.select("__left.*", *[F.col(f"__last.{c}").cast(kinds[c]).alias(c) for c in carried if c not in left.columns])
+    #: the keys stay columns of their own, so that rows are still known to be dealt by them
+    own = [F.col(c) if c in by else F.col(f"__left.{c}") for c in left.columns]
+    return rows.select(*own, *[F.col(f"__last.{c}").cast(kinds[c]).alias(c) for c in carried if c not in left.columns])
 
 
 def asof_backward_split(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, right_on: str, bucket_days: int = 64, tolerance_days: int | None = None) -> DataFrame:
@@ -105,6 +107,26 @@ def membership_panel(sessions: DataFrame, events: DataFrame) -> DataFrame:
     the tickers that are missing from it. A calendar of the days of sessions and events (thousands, whatever the log's
     size) turns days into session numbers; a spell is a run of these, and each number finds its day by an equal join.
     """
+    spells, calendar = membership_spells(sessions, events)
+    numbers = F.explode(F.sequence("from_session", F.col("to_session") - 1)).alias("session")
+    numbered = calendar.where("session IS NOT NULL").select("date", "session")
+    return spells.select("ticker", numbers).join(F.broadcast(numbered), "session").select("date", "ticker")
+
+
+def membership_flags(prices: DataFrame, events: DataFrame, flag: str = "is_sp500") -> DataFrame:
+    """prices with whether the ticker is a member on the day, as ``membership_join`` with the whole ``membership_panel`` of their days.
+
+    Each row meets the last spell of its ticker that has begun: no member has to have a row on a day without a price.
+    """
+    spells, calendar = membership_spells(prices.select("date").distinct(), events)
+    day = lambda name, number: F.broadcast(calendar.where("session IS NOT NULL").select(F.col("date").alias(name), F.col("session").alias(number)))
+    spells = spells.withColumn("__end", F.col("to_session") - 1).join(day("__first_day", "from_session"), "from_session").join(day("__last_day", "__end"), "__end")
+    out = asof_backward(prices, spells.select("ticker", "__first_day", "__last_day"), ["ticker"], "date", "__first_day")
+    return out.withColumn(flag, F.coalesce(F.col("date") <= F.col("__last_day"), F.lit(False))).drop("__first_day", "__last_day")
+
+
+def membership_spells(sessions: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ticker, from_session, to_session) of every spell, the last session excluded, and the calendar (see ``membership_panel``)."""
     events = events.withColumn("action", F.when(F.col("action") == "current", "historical").otherwise(F.col("action")))
     calendar = membership_calendar(sessions, events)
     seed = calendar.where("seeds").agg(F.max("date").alias("seed")).first()["seed"]
@@ -116,9 +138,7 @@ def membership_panel(sessions: DataFrame, events: DataFrame) -> DataFrame:
     status = status.join(F.broadcast(calendar.select("date", "from_session", "replaced_at")), "date")
     own = Window.partitionBy("ticker").orderBy("date")
     spells = status.withColumn("to_session", F.least(F.lead("from_session").over(own), "replaced_at")).where("member AND from_session < to_session")
-    numbers = F.explode(F.sequence("from_session", F.col("to_session") - 1)).alias("session")
-    numbered = calendar.where("session IS NOT NULL").select("date", "session")
-    return spells.select("ticker", numbers).join(F.broadcast(numbered), "session").select("date", "ticker")
+    return spells.select("ticker", "from_session", "to_session"), calendar
 
 
 def membership_calendar(sessions: DataFrame, events: DataFrame) -> DataFrame:

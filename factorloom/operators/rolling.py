@@ -94,19 +94,20 @@ def aggregated(spec: Rolling, values: np.ndarray) -> np.ndarray:
     return {"mean": means, "deviation": deviations, "maximum": maxima}[spec.kind](values, spec.rows, least)
 
 
-def rolling(df: DataFrame, specs: Sequence[Rolling], by: str = "ticker", order: str = "date", lag: int = 0, lagged: str | None = None) -> DataFrame:
+def rolling(df: DataFrame, specs: Sequence[Rolling], by: str = "ticker", order: str = "date", lag: int = 0, lagged: str | None = None, keep: Sequence[str] | None = None, current: bool = True) -> DataFrame:
     """df with a column per spec and, if ``lagged`` is given, one named with this prefix that is ``lag`` rows of the key older.
 
     The rows of a key are numbered by a window, which also deals and sorts them; the numbers tell where a key begins. So
-    a frame that is already dealt by the key is not dealt again.
+    a frame that is already dealt by the key is not dealt again. With ``keep`` only these columns of df are handed on, and
+    without ``current`` only the older ones are worked out into columns: every column costs its way through the kernel.
     """
-    numbered = df.withColumn("__rolling_place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    names = [c for c in df.columns if keep is None or c in keep]
     inputs = list(dict.fromkeys(s.column for s in specs))
-    numbered = numbered.withColumns({f"__rolling_{i}": F.col(c).cast("double") for i, c in enumerate(inputs)})
-    names = df.columns
+    numbered = df.withColumn("__rolling_place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    numbered = numbered.select(*names, "__rolling_place", *[F.col(c).cast("double").alias(f"__rolling_{i}") for i, c in enumerate(inputs)])
     kept = max(s.rows for s in specs) - 1 + lag
-    new = [s.name for s in specs] + ([f"{lagged}{s.name}" for s in specs] if lagged is not None else [])
-    schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields] + [StructField(n, DoubleType()) for n in new])
+    new = ([s.name for s in specs] if current else []) + ([f"{lagged}{s.name}" for s in specs] if lagged is not None else [])
+    schema = StructType([StructField(f.name, f.dataType, True) for f in df.select(*names).schema.fields] + [StructField(n, DoubleType()) for n in new])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = [np.zeros(0)] * len(inputs)
@@ -123,10 +124,11 @@ def rolling(df: DataFrame, specs: Sequence[Rolling], by: str = "ticker", order:
                 whole = [np.concatenate((c, v[a:b])) for c, v in zip(carried, values)]
                 for k, s in enumerate(specs):
                     out = aggregated(s, whole[inputs.index(s.column)])
-                    parts[k].append(out[len(out) - (b - a) :])
+                    if current:
+                        parts[k].append(out[len(out) - (b - a) :])
                     if lagged is not None:
                         older = np.concatenate((np.full(lag, np.nan), out))[: len(out)]
-                        parts[len(specs) + k].append(older[len(out) - (b - a) :])
+                        parts[len(specs) * current + k].append(older[len(out) - (b - a) :])
                 carried = [w[max(0, len(w) - kept) :] for w in whole]
             found = [np.concatenate(p) for p in parts]
             columns = [batch.column(n) for n in names] + [pa.array(x, mask=np.isnan(x)) for x in found]

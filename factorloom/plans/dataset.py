@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from factorloom.functions import lenient_date, lenient_double, symbol
 from factorloom.operators.features import market_cap_rank
-from factorloom.operators.joins import membership_join, membership_panel, point_in_time_fundamentals, valuation_join
+from factorloom.operators.joins import membership_flags, point_in_time_fundamentals, valuation_join
 from factorloom.operators.panel import drop_missing, finite_frame, keep_last
 
 #: Source names of valuations and filings, and the panel's names.
@@ -26,8 +26,7 @@ def rename_valuations(valuations: DataFrame) -> DataFrame:
 def build_panel(prices: DataFrame, valuations: DataFrame, filings: DataFrame, events: DataFrame) -> DataFrame:
     """One row per priced ticker and day with what was known then; no day sees a later filing."""
     prices = prices.withColumn("dollar_volume", F.col("close") * F.col("volume"))
-    members = membership_panel(prices.select("date").distinct(), events).withColumn("is_sp500", F.lit(True))
-    panel = valuation_join(membership_join(prices, members), rename_valuations(valuations))
+    panel = membership_flags(valuation_join(prices, rename_valuations(valuations)), events)
     panel = point_in_time_fundamentals(panel, filings.withColumnsRenamed(FILING_NAMES))
     return finite_frame(market_cap_rank(panel))
 

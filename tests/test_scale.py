@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.operators import tuning
+from factorloom.operators import features, joins, rolling, tuning
+from factorloom.plans import selectors
+from tests.test_panel import bars_of
 
 
 def scored_by_hand(names, weights, n):
@@ -52,3 +54,58 @@ def test_candidates_of_equal_weights_are_scored_once(spark):
     candidates = spark.range(2000).select(F.col("id").alias("candidate_id"), F.array(*[((F.col("id") + k) % 3).cast("double") for k in range(3)]).alias("weights"))
     blocks = tuning.packed_weights(tuning.distinct_weights(candidates)).collect()
     assert sum(len(b.weights) for b in blocks) == 9
+
+
+def test_kept_columns_equal_those_of_all(spark):
+    import pandas as pd
+
+    days = pd.bdate_range("2020-01-01", periods=320)
+    bars = bars_of(spark, [f"T{k}" for k in range(6)], days).withColumns({"is_sp500": F.lit(True), "pe": F.col("close") - 20, "fcf": F.col("close") * 3, "roe": F.col("dollar_volume")})
+    gates = dict(min_price=0.0, min_median_dollar_volume_60d=0.0, min_price_vs_200d_ma=-1.0, max_volatility_percentile=1.0)
+    names = spark.createDataFrame([(f"T{k}",) for k in range(6)], "ticker string")
+    exact = lambda df, c: sorted(map(str, df.select(*c).collect()))
+    some = ["date", "ticker", "momentum_6m_rank", "selection_score", "selection_rank"]
+    config = selectors.PriceConfig(**gates)
+    whole = selectors.rank_stocks(bars, names, config=config)
+    got = selectors.rank_stocks(bars, names, config=config, keep=["momentum_6m_rank"])
+    assert sorted(got.columns) == sorted(some) and exact(got, some) == exact(whole, some)
+    last = whole.agg(F.max("date").alias("date"))
+    assert exact(selectors.rank_stocks(bars, names, config=config, keep=["momentum_6m_rank"], ranking_dates=last), some) == exact(features.latest_ranking(whole), some)
+    some = ["date", "ticker", "quality_rank", "value_rank", "fcf_yield_rank", "shareholder_yield_rank", "selection_score", "selection_rank"]
+    config = selectors.CompositeConfig(**gates, rsi_threshold=60.0)
+    whole = selectors.rank_composite(bars, config)
+    got = selectors.rank_composite(bars, config, keep=some[2:6], clean_already=True)
+    assert exact(got, some) == exact(whole, some) and len(got.columns) == 9
+    sized = selectors.prepare_features(bars, keep=["decision_market_cap_rank"])
+    assert sized.columns == ["date", "ticker", "decision_market_cap_rank"] and "MapInArrow" not in sized._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_kept_columns_go_through_the_rolling_kernel(spark):
+    df = spark.createDataFrame([("A", k, float(k), "x") for k in range(5)], "ticker string, date int, x double, other string")
+    out = rolling.rolling(df, [rolling.Rolling("m", "x", "mean", 2)], lag=1, lagged="old_", keep=["ticker", "date"], current=False)
+    assert out.columns == ["ticker", "date", "old_m"]
+    assert [r.old_m for r in out.orderBy("date").collect()] == [None, None, 0.5, 1.5, 2.5]
+
+
+def test_rows_of_an_asof_join_are_dealt_by_its_keys(spark):
+    left = spark.createDataFrame([("A", 3, 1.0), ("A", 1, 2.0), ("B", 2, 3.0)], "ticker string, date int, x double")
+    right = spark.createDataFrame([("A", 2, 7.0)], "ticker string, day int, y double")
+    out = joins.asof_backward(left, right, ["ticker"], "date", "day")
+    assert out.columns == ["ticker", "date", "x", "day", "y"]
+    assert sorted(map(tuple, out.collect())) == [("A", 1, 2.0, None, None), ("A", 3, 1.0, 2, 7.0), ("B", 2, 3.0, None, None)]
+    plan = features.history_days(out)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_flags_from_spells_equal_the_whole_membership_panel(spark):
+    day = lambda k: f"2020-01-{k:02d}"
+    rng = np.random.default_rng(8)
+    prices = spark.createDataFrame([(t, day(k)) for t in "ABCDE" for k in range(2, 29, 3) if rng.random() < 0.7], "ticker string, date string").select("ticker", F.to_date("date").alias("date"))
+    log = [(t, day(1), "historical") for t in "ABC"] + [(t, day(16), "historical") for t in "BD"]
+    log += [("A", day(6), "removed"), ("A", day(7), "added"), ("E", day(9), "added"), ("C", day(4), "removed"), ("B", day(22), "removed"), ("B", day(24), "added")]
+    events = spark.createDataFrame(log, "ticker string, date string, action string").select("ticker", F.to_date("date").alias("date"), "action")
+    panel = joins.membership_panel(prices.select("date").distinct(), events).withColumn("is_sp500", F.lit(True))
+    want = sorted(map(tuple, joins.membership_join(prices, panel).select("ticker", "date", "is_sp500").collect()))
+    got = joins.membership_flags(prices, events)
+    assert sorted(map(tuple, got.select("ticker", "date", "is_sp500").collect())) == want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
