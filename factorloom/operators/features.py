@@ -86,10 +86,11 @@ FROM_FRAMES = (
 )
 
 
-def price_features(df: DataFrame, lag_days: int, more: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+def price_features(df: DataFrame, lag_days: int, more: Sequence[str] = (), keep: Sequence[str] | None = None, only: Column | None = None) -> DataFrame:
     """All features and their decision_ twins, and those of ``more`` columns: windows and rolling frames in one pass by ticker.
 
-    With ``keep`` only the columns that these need are worked out and handed through the kernel of the rolling frames.
+    With ``keep`` only the columns that these need are worked out and handed through the kernel of the rolling frames, and
+    with ``only`` no more than the rows for which it is true come out of it, though all of them are seen.
     """
     wanted = lambda prefix, names: keep is None or any(f"{prefix}{n}" in keep for n in names)
     early = [c for c in ("close", "history_days", "momentum_12m_ex_1m", "momentum_6m", "momentum_3m", "market_cap", "market_cap_rank", *more) if c == "close" or wanted("decision_", [c])]
@@ -98,7 +99,9 @@ def price_features(df: DataFrame, lag_days: int, more: Sequence[str] = (), keep:
     current = any(wanted("", names) for _, names in FROM_FRAMES)
     if specs:
         passed = None if keep is None else ["ticker", "date", "close", "decision_close", *keep]
-        df = rolling(returns(df), specs, lag=lag_days, lagged="decision_", keep=passed, current=current)
+        df = rolling(returns(df), specs, lag=lag_days, lagged="decision_", keep=passed, current=current, only=only)
+    elif only is not None:
+        df = df.where(only)
     for prefix in ("", "decision_") if current else ("decision_",):
         df = trend_of(df, prefix) if f"{prefix}ma_200d" in df.columns else df
         df = drawdown_of(df, prefix) if f"{prefix}__high_252d" in df.columns else df

@@ -13,10 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+#: Rows of a frame that is sorted as a whole for a quantile, at most; frames that are sorted at once.
+SHORT, FRAMES_AT_ONCE = 64, 4096
+
 
 @dataclass(frozen=True)
 class Rolling:
@@ -71,8 +74,27 @@ def maxima(values: np.ndarray, n: int, least: int) -> np.ndarray:
     return np.where(count >= max(least, 1), np.where(behind < n, so_far[behind - 1], np.maximum(to_come[first], so_far[behind - 1])), np.nan)
 
 
+def short_quantiles(values: np.ndarray, n: int, least: int, at: float) -> np.ndarray:
+    """``quantiles`` of short frames, which are sorted ``FRAMES_AT_ONCE`` at a time; missing values stand last."""
+    padded = np.concatenate((np.full(n - 1, np.nan), values))
+    frames, out = np.lib.stride_tricks.sliding_window_view(padded, n), np.empty(len(values))
+    for a in range(0, len(values), FRAMES_AT_ONCE):
+        runs = np.sort(frames[a : a + FRAMES_AT_ONCE], axis=1)
+        count = n - np.count_nonzero(np.isnan(runs), axis=1)
+        place = at * np.maximum(count - 1, 0)
+        low = place.astype(np.int64)
+        row = np.arange(len(runs))
+        below, above = runs[row, low], runs[row, np.minimum(low + 1, n - 1)]
+        with np.errstate(invalid="ignore"):
+            between = below * (low + 1 - place) + above * (place - low)
+        out[a : a + FRAMES_AT_ONCE] = np.where(count < max(least, 1), np.nan, np.where(place == low, below, between))
+    return out
+
+
 def quantiles(values: np.ndarray, n: int, least: int, at: float) -> np.ndarray:
-    """Interpolated quantiles; a value enters and leaves the sorted run of its frame once."""
+    """Interpolated quantiles; a value enters and leaves the sorted run of its frame once. Short frames are sorted as a whole."""
+    if n <= SHORT:
+        return short_quantiles(values, n, least, at)
     run: list[float] = []
     items, out = values.tolist(), [np.nan] * len(values)
     for i, x in enumerate(items):
@@ -94,17 +116,20 @@ def aggregated(spec: Rolling, values: np.ndarray) -> np.ndarray:
     return {"mean": means, "deviation": deviations, "maximum": maxima}[spec.kind](values, spec.rows, least)
 
 
-def rolling(df: DataFrame, specs: Sequence[Rolling], by: str = "ticker", order: str = "date", lag: int = 0, lagged: str | None = None, keep: Sequence[str] | None = None, current: bool = True) -> DataFrame:
+def rolling(df: DataFrame, specs: Sequence[Rolling], by: str = "ticker", order: str = "date", lag: int = 0, lagged: str | None = None, keep: Sequence[str] | None = None, current: bool = True, only: Column | None = None) -> DataFrame:
     """df with a column per spec and, if ``lagged`` is given, one named with this prefix that is ``lag`` rows of the key older.
 
     The rows of a key are numbered by a window, which also deals and sorts them; the numbers tell where a key begins. So
     a frame that is already dealt by the key is not dealt again. With ``keep`` only these columns of df are handed on, and
     without ``current`` only the older ones are worked out into columns: every column costs its way through the kernel.
+    With ``only`` frames see all rows, but no more than the rows for which it is true come out.
     """
     names = [c for c in df.columns if keep is None or c in keep]
     inputs = list(dict.fromkeys(s.column for s in specs))
     numbered = df.withColumn("__rolling_place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    numbered = numbered.select(*names, "__rolling_place", *[F.col(c).cast("double").alias(f"__rolling_{i}") for i, c in enumerate(inputs)])
+    narrowed = only is not None
+    chosen = [] if only is None else [F.coalesce(only, F.lit(False)).alias("__rolling_only")]
+    numbered = numbered.select(*names, *chosen, "__rolling_place", *[F.col(c).cast("double").alias(f"__rolling_{i}") for i, c in enumerate(inputs)])
     kept = max(s.rows for s in specs) - 1 + lag
     new = ([s.name for s in specs] if current else []) + ([f"{lagged}{s.name}" for s in specs] if lagged is not None else [])
     schema = StructType([StructField(f.name, f.dataType, True) for f in df.select(*names).schema.fields] + [StructField(n, DoubleType()) for n in new])
@@ -131,7 +156,12 @@ def rolling(df: DataFrame, specs: Sequence[Rolling], by: str = "ticker", order:
                         parts[len(specs) * current + k].append(older[len(out) - (b - a) :])
                 carried = [w[max(0, len(w) - kept) :] for w in whole]
             found = [np.concatenate(p) for p in parts]
-            columns = [batch.column(n) for n in names] + [pa.array(x, mask=np.isnan(x)) for x in found]
+            columns = [batch.column(n) for n in names]
+            if narrowed:
+                wanted = batch.column("__rolling_only")
+                columns = [c.filter(wanted) for c in columns]
+                found = [x[wanted.to_numpy(zero_copy_only=False)] for x in found]
+            columns += [pa.array(x, mask=np.isnan(x)) for x in found]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
     return numbered.mapInArrow(work, schema)

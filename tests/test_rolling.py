@@ -5,6 +5,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from factorloom.operators import features
 from factorloom.operators import rolling as R
@@ -82,3 +83,24 @@ def test_ranks_of_all_columns_in_one_pass_equal_windows(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted(map(tuple, features.percent_ranks(df, ranks, largest=3).collect()))
     assert features.percent_ranks(df.limit(0), ranks).count() == 0
+
+
+def test_only_wanted_rows_leave_the_kernel_though_frames_see_all(spark):
+    rows = [(t, d, None if (d + len(t)) % 7 == 0 else float((d * 37 + len(t)) % 11), d % 5 == 0 if d % 3 else None) for t in ("A", "BB", "CCC") for d in range(150)]
+    df = spark.createDataFrame(rows, "ticker string, date int, x double, wanted boolean")
+    specs = [R.Rolling("mean", "x", "mean", 20, 5), R.Rolling("middle", "x", "quantile", 60, 1), R.Rolling("top", "x", "maximum", 30, 1)]
+    whole = R.rolling(df, specs, lag=1, lagged="old_").where("wanted")
+    few = R.rolling(df, specs, lag=1, lagged="old_", only=F.col("wanted"))
+    assert sorted(map(str, few.collect())) == sorted(map(str, whole.collect())) and few.count() == 60
+
+
+def test_short_frames_give_the_quantiles_of_the_sorted_run():
+    rng = np.random.default_rng(3)
+    for n, least, at, gaps in ((60, 60, 0.5, 0.0), (60, 3, 0.25, 0.4), (1, 1, 0.5, 0.2), (64, 0, 0.9, 0.95), (7, 7, 1.0, 0.1)):
+        values = np.round(rng.random(500) * 1e4, 2)
+        values[rng.random(500) < gaps] = np.nan
+        found = R.short_quantiles(values, n, least, at)
+        frames = [values[max(0, i + 1 - n) : i + 1] for i in range(500)]
+        known = [f[~np.isnan(f)] for f in frames]
+        want = [np.quantile(k, at) if len(k) >= max(least, 1) else np.nan for k in known]
+        assert np.allclose(found, want, rtol=1e-12, equal_nan=True)

@@ -1,6 +1,7 @@
 """Shapes that grow with the tables: what is scored, ranked and carried along."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,25 @@ def test_flags_from_spells_equal_the_whole_membership_panel(spark):
     got = joins.membership_flags(prices, events)
     assert sorted(map(tuple, got.select("ticker", "date", "is_sp500").collect())) == want
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_periods_look_at_the_last_bars_before_stops_only(spark):
+    rng = np.random.default_rng(4)
+    day = lambda k: f"2020-01-{k:02d}"
+    bars = spark.createDataFrame([(t, day(k), float(k)) for t in "ABCDE" for k in range(1, 29) if rng.random() < 0.3], "ticker string, date string, close double").withColumn("date", F.to_date("date"))
+    days = spark.createDataFrame([(day(k),) for k in range(1, 29)], "date string").select(F.to_date("date").alias("date"))
+    stops = days.where("day(date) IN (5, 12, 13, 25)")
+    last = tuning.last_before(bars, days, stops)
+    names = bars.select("ticker").distinct().crossJoin(stops.withColumnRenamed("date", "stop"))
+    joined = lambda right: sorted(map(str, joins.asof_backward(names, right.withColumnRenamed("date", "last"), ["ticker"], "stop", "last").select("ticker", "stop", "last", "close").collect()))
+    assert joined(last) == joined(bars)
+    assert last.count() <= 5 * 4 and last.count() < bars.count()
+
+
+def test_features_of_asked_days_see_all_rows_but_only_these_are_ranked(spark):
+    bars = bars_of(spark, ["A", "B"], pd.bdate_range("2020-01-01", periods=300))
+    asked = bars.select("date").distinct().orderBy(F.desc("date")).limit(3)
+    keep = ["decision_close", "decision_history_days", "decision_drawdown_252d", "decision_median_dollar_volume_60d"]
+    found = selectors.prepare_features(bars, keep=keep, dates=asked)
+    want = selectors.prepare_features(bars, keep=keep).join(asked, "date", "left_semi")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
