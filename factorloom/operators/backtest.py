@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators.joins import asof_backward
 from factorloom.operators.panel import sessions
+from factorloom.sources import written
 
 
 def cohorts(prices: DataFrame, holding_days: int) -> DataFrame:
@@ -36,8 +37,10 @@ def positions(chosen: DataFrame, prices: DataFrame, slippage: float, drop_then_w
     """One row per held name: entry, exit price, day and action, weight of the cohort.
 
     Names without a bar on the start day are not bought. Weights share equally what is bought (drop_then_weigh) or what
-    was aimed at, times the exposure.
+    was aimed at, times the exposure. What is chosen is written once: it is little next to the prices, of which only the
+    chosen tickers' are carried forward.
     """
+    chosen = written(chosen)
     px = prices.select("ticker", "date", "execution_open", "mark_close")
     bought = chosen.join(px.select("ticker", F.col("date").alias("start"), F.col("execution_open").alias("__open")), ["ticker", "start"])
     bought = bought.withColumn("entry", F.col("__open") * (1 + slippage)).drop("__open")
@@ -48,6 +51,7 @@ def positions(chosen: DataFrame, prices: DataFrame, slippage: float, drop_then_w
     #: the last mark before the stop; the bar of the start day is one at least
     bought = bought.withColumn("__until", F.coalesce(F.date_sub("stop", 1), F.lit("9999-12-31").cast("date")))
     marks = px.select("ticker", F.col("date").alias("last_mark_date"), F.col("mark_close").alias("last_mark"))
+    marks = marks.join(chosen.select("ticker").distinct(), "ticker", "left_semi")
     bought = asof_backward(bought, marks, ["ticker"], "__until", "last_mark_date")
     keys = ["strategy", "cohort", "ticker"]
     sold = F.col("__exit").isNotNull()
