@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, checkpoint, slices, table
+from .common import U64, WordHasher, checkpoint, release, slices, table
 
 ORDER = 5
 BLOCK_CHARS = 20_000_000
 #: Characters that are worked on at a time.
-SLICE = 2_000_000
+SLICE = 500_000
+#: Keys that a task holds before it joins equal ones: of a block, and for the counts, which are handed on from FULL distinct ones.
+HELD, COUNTED, FULL = 1_000_000, 4_000_000, 3_000_000
 LEAST_BLOCKS = 12
 #: UTF-8 has neither of these bytes: what stands before a text, and its end.
 START, END = b"\xfe", b"\xff"
@@ -86,13 +88,14 @@ def count(docs: DataFrame) -> DataFrame:
                     for kind, keyed in KINDS:
                         keys, n = np.unique(keyed(own[a:b])[0], return_counts=True)
                         kept[kind].append((keys, n if learn else np.zeros(len(n), dtype=np.int64)))
-                        if sum(len(k) for k, _ in kept[kind]) > 4_000_000:
+                        if sum(len(k) for k, _ in kept[kind]) > COUNTED:
                             kept[kind] = [_tally(kept[kind])]
-                            if len(kept[kind][0][0]) > 3_000_000:
+                            if len(kept[kind][0][0]) > FULL:
                                 yield rows(kind)
         for kind in kept:
             if kept[kind]:
                 yield rows(kind)
+        release()
 
     found = docs.mapInArrow(apply, "kind int, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -153,13 +156,15 @@ def _block_keys(docs: DataFrame) -> DataFrame:
                     for kind, keyed in KINDS:
                         parts = found.setdefault((int(block), kind), [])
                         parts.append(np.unique(keyed(own[a:b])[0]))
-                        if sum(map(len, parts)) > 4_000_000:
+                        if sum(map(len, parts)) > max(HELD, 2 * len(parts[0])):
                             parts[:] = [np.unique(np.concatenate(parts))]
-        for (block, kind), parts in found.items():
+        while found:
+            (block, kind), parts = found.popitem()
             keys = np.unique(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), block, dtype=np.int32)), pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64))], ["block", "kind", "key"]
             )
+        release()
 
     return docs.mapInArrow(apply, "block int, kind int, key long")
 
@@ -213,6 +218,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     columns[1].append(np.add.reduceat(found[which][2][at][codes].astype(np.int64), starts))
                     columns[2].append(sums)
         n, k, base_, ppm = (np.concatenate(c) for c in columns)
+        del found
+        release()
         return pa.table(
             {"id": own.column("id"), "held_out": own.column("held_out"), "n_tokens": n.astype(np.int64), "n_known": k, "train_tokens": np.full(len(texts), total, dtype=np.int64), "base_score": base_, "score": ppm}
         )
