@@ -116,13 +116,16 @@ def membership_panel(sessions: DataFrame, events: DataFrame) -> DataFrame:
 def membership_flags(prices: DataFrame, events: DataFrame, flag: str = "is_sp500") -> DataFrame:
     """prices with whether the ticker is a member on the day, as ``membership_join`` with the whole ``membership_panel`` of their days.
 
-    Each row meets the last spell of its ticker that has begun: no member has to have a row on a day without a price.
+    Each row meets its ticker's spells, of which there are as many as changes, in one row: no member has to have a row on a
+    day without a price, and prices are not united with anything.
     """
     spells, calendar = membership_spells(prices.select("date").distinct(), events)
     day = lambda name, number: F.broadcast(calendar.where("session IS NOT NULL").select(F.col("date").alias(name), F.col("session").alias(number)))
     spells = spells.withColumn("__end", F.col("to_session") - 1).join(day("__first_day", "from_session"), "from_session").join(day("__last_day", "__end"), "__end")
-    out = asof_backward(prices, spells.select("ticker", "__first_day", "__last_day"), ["ticker"], "date", "__first_day")
-    return out.withColumn(flag, F.coalesce(F.col("date") <= F.col("__last_day"), F.lit(False))).drop("__first_day", "__last_day")
+    own = spells.groupBy("ticker").agg(F.collect_list(F.struct("__first_day", "__last_day")).alias("__spells"))
+    out = prices.join(own, "ticker", "left").select(*prices.columns, "__spells")
+    inside = F.exists("__spells", lambda s: F.col("date").between(s["__first_day"], s["__last_day"]))
+    return out.withColumn(flag, F.coalesce(inside, F.lit(False))).drop("__spells")
 
 
 def membership_spells(sessions: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

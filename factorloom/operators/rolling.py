@@ -19,6 +19,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Rows of a frame that is sorted as a whole for a quantile, at most; frames that are sorted at once.
 SHORT, FRAMES_AT_ONCE = 64, 4096
+#: Rows of a key that wait for the rest of it, about, before they are worked out apart.
+WAITING = 100_000
 
 
 @dataclass(frozen=True)
@@ -116,6 +118,28 @@ def aggregated(spec: Rolling, values: np.ndarray) -> np.ndarray:
     return {"mean": means, "deviation": deviations, "maximum": maxima}[spec.kind](values, spec.rows, least)
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where a key begins, unless it has more than ``WAITING`` rows: sums start where they are cut, and equal keys must stay equal to the last bit."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p for p in parts if p.num_rows]
+        if parts:
+            yield from parts if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("__rolling_place").to_numpy() == 1)
+        cut = starts[-1] if len(starts) else 0
+        if len(starts):
+            yield from joined([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+        if sum(h.num_rows for h in held) > WAITING:
+            yield from joined(held)
+            held = []
+    yield from joined(held)
+
+
 def rolling(df: DataFrame, specs: Sequence[Rolling], by: str = "ticker", order: str = "date", lag: int = 0, lagged: str | None = None, keep: Sequence[str] | None = None, current: bool = True, only: Column | None = None) -> DataFrame:
     """df with a column per spec and, if ``lagged`` is given, one named with this prefix that is ``lag`` rows of the key older.
 
@@ -136,9 +160,7 @@ def rolling(df: DataFrame, specs: Sequence[Rolling], by: str = "ticker", order:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = [np.zeros(0)] * len(inputs)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in whole_keys(batches):
             values = [batch.column(f"__rolling_{i}").to_numpy(zero_copy_only=False) for i in range(len(inputs))]
             starts = np.flatnonzero(batch.column("__rolling_place").to_numpy() == 1).tolist()
             bounds = [*([] if starts[:1] == [0] else [0]), *starts, batch.num_rows]

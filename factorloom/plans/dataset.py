@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from factorloom.functions import lenient_date, lenient_double, symbol
 from factorloom.operators.features import market_cap_rank
-from factorloom.operators.joins import membership_flags, point_in_time_fundamentals, valuation_join
+from factorloom.operators.joins import asof_backward, membership_flags, point_in_time_fundamentals, valuation_join
 from factorloom.operators.panel import drop_missing, finite_frame, keep_last
 
 #: Source names of valuations and filings, and the panel's names.
@@ -31,6 +31,24 @@ def build_panel(prices: DataFrame, valuations: DataFrame, filings: DataFrame, ev
     return finite_frame(market_cap_rank(panel))
 
 
+def priced_members(prices: DataFrame, events: DataFrame) -> DataFrame:
+    """(ticker, date, close, dollar_volume, is_sp500) of every priced row: what features and gates need of ``build_panel``."""
+    prices = prices.select("ticker", "date", "close", (F.col("close") * F.col("volume")).alias("dollar_volume"))
+    return drop_missing(finite_frame(membership_flags(prices, events)), ["date", "ticker", "close"])
+
+
+def known_facts(rows: DataFrame, valuations: DataFrame, filings: DataFrame, on: str = "decision_day") -> DataFrame:
+    """rows with the valuations of the day ``on`` and the latest filing on or before it, as decision_<name>.
+
+    These are the lagged columns of ``build_panel`` for rows that carry the session before theirs: only they are joined.
+    """
+    values = finite_frame(rename_valuations(valuations)).withColumnRenamed("date", on)
+    facts = finite_frame(filings.withColumnsRenamed(FILING_NAMES)).withColumnRenamed("date", "fundamental_date")
+    decided = lambda df, keys: df.withColumnsRenamed({c: f"decision_{c}" for c in df.columns if c not in keys})
+    rows = rows.join(decided(values, ("ticker", on)), ["ticker", on], "left")
+    return asof_backward(rows, decided(facts, ("ticker",)), ["ticker"], on, "decision_fundamental_date")
+
+
 def refresh(local: DataFrame, fresh: DataFrame, members: DataFrame) -> DataFrame:
     """local united with new bars: per (ticker, date) the newer source wins; members are flagged on the last day only."""
     both = local.withColumn("__source", F.lit(0)).unionByName(fresh.withColumn("__source", F.lit(1)), allowMissingColumns=True)

@@ -104,3 +104,17 @@ def test_short_frames_give_the_quantiles_of_the_sorted_run():
         known = [f[~np.isnan(f)] for f in frames]
         want = [np.quantile(k, at) if len(k) >= max(least, 1) else np.nan for k in known]
         assert np.allclose(found, want, rtol=1e-12, equal_nan=True)
+
+
+def test_equal_keys_stay_equal_wherever_batches_end(spark):
+    rng = np.random.default_rng(11)
+    close = np.exp(np.cumsum(rng.normal(0, 0.02, 250))).tolist()
+    rows = spark.createDataFrame([(f"T{k:02d}", d, c) for k in range(12) for d, c in enumerate(close)], "ticker string, date int, close double")
+    rows = rows.withColumn("r", F.col("close") * 1.7 - 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = R.rolling(rows, [R.Rolling("m", "close", "mean", 50), R.Rolling("s", "r", "deviation", 30)])
+        assert got.count() == rows.count()
+        assert got.groupBy("date").agg(F.countDistinct("m", "s").alias("n")).where("n > 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

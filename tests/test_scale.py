@@ -149,3 +149,21 @@ def test_last_bars_before_stops_are_found_without_a_sort(spark):
     last = tuning.last_before(bars, days, days.where("dayofmonth(date) % 10 = 0"))
     assert last.columns == bars.columns
     assert "SortAggregate" not in last._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fundamentals_that_come_late_are_those_of_the_whole_panel(spark):
+    t = queries.with_bars(Tables(spark, "/root/testdata/sf0.01"))
+    keep = ["size_rank", "quality_rank", "value_rank", "shareholder_yield_rank", "fcf_yield_rank", "decision_rsi14"]
+    got = queries.composite(t, keep)
+    rows = queries.panel.drop_missing(queries.full_panel(t), ["date", "ticker", "close"])
+    whole = selectors.rank_composite(rows, queries.COMPOSITE, None, keep, clean_already=True)
+    assert got.columns == whole.columns and got.count() > 0
+    assert got.exceptAll(whole).count() == whole.exceptAll(got).count() == 0
+
+
+def test_a_panel_without_sizes_is_not_sorted_for_their_ranks(spark):
+    bars = bars_of(spark, ["A"], pd.bdate_range("2022-01-03", periods=3)).select("ticker", "date", "close")
+    got = features.market_cap_rank(bars)
+    assert got.where("market_cap_rank IS NULL").count() == 3
+    assert dict(got.dtypes)["market_cap_rank"] == "int"
+    assert "Window" not in got._jdf.queryExecution().analyzed().toString()
