@@ -434,3 +434,17 @@ def test_the_chain_equals_one_over_dense_matrices(spark):
     want = plain_chain(texts, {i: labels[i] for i in range(110)})
     assert all(np.allclose(got[i], want[i], atol=1e-6) for i in texts)
     assert sum((got[i][1] >= 0.5) == bool(labels[i][1]) for i in range(110, 150)) >= 34
+
+
+def test_distinct_keys_are_sorted_and_quickly_found():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 62, 400_000).astype(np.uint64)
+    keys = np.concatenate((keys, keys[:200_000]))
+    assert (lm.distinct(keys) == np.array(sorted(set(keys.tolist())), dtype=np.uint64)).all()
+    assert len(lm.distinct(keys[:0])) == 0
+    took = []
+    for find in (lm.distinct, np.unique):
+        began = time.perf_counter()
+        find(keys)
+        took.append(time.perf_counter() - began)
+    assert took[0] < took[1] or took[0] < 0.1
