@@ -111,7 +111,8 @@ def price_features(df: DataFrame, lag_days: int, more: Sequence[str] = (), keep:
 def market_cap_rank(df: DataFrame) -> DataFrame:
     """Dense rank per date, largest first; NULL for a NULL size; kept where the panel has one."""
     if "market_cap" not in df.columns:
-        df = df.withColumn("market_cap", F.lit(None).cast("double"))
+        #: no size, no rank: rows need not meet
+        df = df.withColumns({c: F.lit(None).cast(kind) for c, kind in (("market_cap", "double"), ("market_cap_rank", "int")) if c not in df.columns})
     if "market_cap_rank" in df.columns:
         return df
     order = Window.partitionBy("date").orderBy(F.col("market_cap").desc_nulls_last())

@@ -8,6 +8,8 @@ history.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +47,13 @@ class PanelStore:
         rows = bars.withColumn("year", F.year("date")).repartitionByRange("year", "ticker").sortWithinPartitions("year", "ticker", "date")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(self.bars_path)
 
-    def refresh(self, fresh: DataFrame, members: DataFrame | None = None, gates: dict | None = None) -> DataFrame:
+    def refresh(self, fresh: DataFrame, members: DataFrame | None = None, gates: dict | None = None, keep: Sequence[str] | None = None) -> DataFrame:
         """Merge new bars, one row per (ticker, date), which win over stored ones; features of the days they change.
 
         Returns the rows of the refreshed tickers from their first new bar on. With members, is_sp500 is true for those on
         the last day only. gates are arguments of ``quality_gates`` (without df and universe): ValueError names those that
-        the members fail, before anything is written. Bars that are equal to stored ones change nothing.
+        the members fail, before anything is written. Bars that are equal to stored ones change nothing. With ``keep`` the
+        result has date, ticker and these columns, and nothing else is worked out for it; the store holds everything.
         """
         fresh = written(fresh)
         if gates is not None:
@@ -59,7 +62,7 @@ class PanelStore:
                 raise ValueError(f"the new bars fail: {', '.join(failed)}")
         years = sorted(r["year"] for r in fresh.select(F.year("date").alias("year")).distinct().collect())
         if not years:
-            return prepare_features(self.tail().limit(0).drop("__place"))
+            return prepare_features(self.tail().limit(0).drop("__place"), keep=keep)
         stored = self.spark.read.parquet(self.bars_path)
         since = stored.where(F.col("year") >= years[0]).drop("year", "market_cap_rank")
         both = since.withColumn("__source", F.lit(0)).unionByName(fresh.withColumn("__source", F.lit(1)), allowMissingColumns=True)
@@ -84,9 +87,10 @@ class PanelStore:
         count = F.max("__place").over(own)
         kept = state.withColumn("__n", count).where(F.col("__place") > F.col("__n") - LOOK_BACK - SLACK).drop("__n", "__first")
         written(rest.unionByName(kept, allowMissingColumns=True)).write.mode("overwrite").parquet(self.tail_path)
-        features = prepare_features(state)
+        counted = ("history_days", "decision_history_days", "__first", "__place")
+        features = prepare_features(state, keep=None if keep is None else [*keep, *counted], only=F.col("date") >= F.col("__first"))
         features = features.withColumns({"history_days": F.col("__place"), "decision_history_days": F.when(F.col("decision_history_days").isNotNull(), F.col("__place") - 1)})
-        out = features.where(F.col("date") >= F.col("__first")).drop("__first", "__place")
+        out = features.drop("__first", "__place") if keep is None else features.select("date", "ticker", *keep)
         if members is None:
             return out
         last = merged.agg(F.max("date").alias("__last"))

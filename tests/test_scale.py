@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factorloom.operators import features, joins, rolling, tuning
 from factorloom.plans import queries, selectors
 from factorloom.plans.fixtures import Tables
+from factorloom.plans.store import PanelStore
 from tests.test_panel import bars_of
 
 
@@ -167,3 +168,16 @@ def test_a_panel_without_sizes_is_not_sorted_for_their_ranks(spark):
     assert got.where("market_cap_rank IS NULL").count() == 3
     assert dict(got.dtypes)["market_cap_rank"] == "int"
     assert "Window" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_refresh_works_out_kept_columns_only(spark, tmp_path):
+    bars = bars_of(spark, ["A", "B"], pd.bdate_range("2021-06-01", periods=320))
+    keep = ["close", "history_days", "ma_200d", "decision_history_days", "decision_momentum_6m"]
+    found = []
+    for own in (None, keep):
+        store = PanelStore(spark, str(tmp_path / f"store{own is None}"))
+        store.build(bars.where("date < DATE '2022-06-01'"))
+        found.append(store.refresh(bars.where("date >= DATE '2022-05-20'"), **({"keep": own} if own else {})))
+    assert found[1].columns == ["date", "ticker", *keep]
+    whole = found[0].select(*found[1].columns)
+    assert found[1].count() > 0 and whole.exceptAll(found[1]).count() == found[1].exceptAll(whole).count() == 0
