@@ -23,8 +23,9 @@ ORDER = 5
 BLOCK_CHARS = 20_000_000
 #: Characters that are worked on at a time.
 SLICE = 500_000
-#: Keys that a task holds before it joins equal ones: of a block, and for the counts, which are handed on from FULL distinct ones.
-HELD, COUNTED, FULL = 1_000_000, 4_000_000, 3_000_000
+#: Keys that a task holds before it joins equal ones: of a block, and for the counts, which are handed on from FULL distinct ones (Spark adds
+#: them up before they are shuffled); rows of a batch that is handed on.
+HELD, COUNTED, FULL, HANDED = 1_000_000, 1_000_000, 750_000, 250_000
 LEAST_BLOCKS = 12
 #: UTF-8 has neither of these bytes: what stands before a text, and its end.
 START, END = b"\xfe", b"\xff"
@@ -74,16 +75,22 @@ def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[starts], np.add.reduceat(n[order], starts)
 
 
+def handed(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The columns as batches of HANDED rows: the JVM holds a batch outside its heap."""
+    for a in range(0, len(next(iter(columns.values()))), HANDED):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + HANDED]) for c in columns.values()], list(columns))
+
+
 def count(docs: DataFrame) -> DataFrame:
     """(kind, key, n) from (text, held_out): n counts the texts that are not held out; keys of the others are there with 0."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {ENTRY: [], TOKEN: []}
 
-        def rows(kind: int) -> pa.RecordBatch:
+        def rows(kind: int) -> Iterator[pa.RecordBatch]:
             keys, n = _tally(kept[kind])
             kept[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+            return handed({"kind": np.full(len(keys), kind, dtype=np.int32), "key": keys.view(np.int64), "n": n})
 
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
@@ -97,10 +104,10 @@ def count(docs: DataFrame) -> DataFrame:
                         if sum(len(k) for k, _ in kept[kind]) > COUNTED:
                             kept[kind] = [_tally(kept[kind])]
                             if len(kept[kind][0][0]) > FULL:
-                                yield rows(kind)
+                                yield from rows(kind)
         for kind in kept:
             if kept[kind]:
-                yield rows(kind)
+                yield from rows(kind)
         release()
 
     found = docs.mapInArrow(apply, "kind int, key long, n long")
@@ -167,9 +174,7 @@ def _block_keys(docs: DataFrame) -> DataFrame:
         while found:
             (block, kind), parts = found.popitem()
             keys = distinct(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), block, dtype=np.int32)), pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64))], ["block", "kind", "key"]
-            )
+            yield from handed({"block": np.full(len(keys), block, dtype=np.int32), "kind": np.full(len(keys), kind, dtype=np.int32), "key": keys.view(np.int64)})
         release()
 
     return docs.mapInArrow(apply, "block int, kind int, key long")
@@ -207,7 +212,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for which in (ENTRY, TOKEN):
             mine = np.flatnonzero(kind == which)
             mine = mine[np.argsort(keys[mine])]
-            found[which] = keys[mine], value[mine], known[mine]
+            found[which] = keys[mine], value[mine], known[mine] if which == TOKEN else None
+        del kind, keys, value, known, mine
         texts = own.column("text").to_pylist()
         columns: list[list] = [[], [], [], []]
         for a, b in slices([t or "" for t in texts], SLICE):

@@ -448,3 +448,12 @@ def test_distinct_keys_are_sorted_and_quickly_found():
         find(keys)
         took.append(time.perf_counter() - began)
     assert took[0] < took[1] or took[0] < 0.1
+
+
+def test_counts_are_handed_on_in_small_batches():
+    keys = np.arange(3 * lm.HANDED + 5, dtype=np.int64)
+    batches = list(lm.handed({"key": keys, "n": keys % 7}))
+    assert max(b.num_rows for b in batches) == lm.HANDED and len(batches) == 4
+    assert (np.concatenate([b.column("key").to_numpy() for b in batches]) == keys).all() and batches[0].schema.names == ["key", "n"]
+    #: a tally of what a task holds stays far below its share of an executor
+    assert 16 * lm.COUNTED <= 20_000_000
