@@ -33,15 +33,20 @@ def picks(ranked: DataFrame, plan: DataFrame, top_n: int) -> DataFrame:
     return top.withColumn("targets", targets).join(F.broadcast(plan), "start")
 
 
+def of_names(prices: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of prices whose tickers are among those of names, written: however many names are priced, few are held."""
+    return written(prices.join(names.select("ticker").distinct(), "ticker", "left_semi"))
+
+
 def positions(chosen: DataFrame, prices: DataFrame, slippage: float, drop_then_weigh: bool = True) -> DataFrame:
     """One row per held name: entry, exit price, day and action, weight of the cohort.
 
     Names without a bar on the start day are not bought. Weights share equally what is bought (drop_then_weigh) or what
     was aimed at, times the exposure. What is chosen is written once: it is little next to the prices, of which only the
-    chosen tickers' are carried forward.
+    chosen tickers' are joined.
     """
     chosen = written(chosen)
-    px = prices.select("ticker", "date", "execution_open", "mark_close")
+    px = of_names(prices.select("ticker", "date", "execution_open", "mark_close"), chosen)
     bought = chosen.join(px.select("ticker", F.col("date").alias("start"), F.col("execution_open").alias("__open")), ["ticker", "start"])
     bought = bought.withColumn("entry", F.col("__open") * (1 + slippage)).drop("__open")
     held = F.count("*").over(Window.partitionBy("strategy", "cohort")) if drop_then_weigh else F.col("targets")
@@ -51,7 +56,6 @@ def positions(chosen: DataFrame, prices: DataFrame, slippage: float, drop_then_w
     #: the last mark before the stop; the bar of the start day is one at least
     bought = bought.withColumn("__until", F.coalesce(F.date_sub("stop", 1), F.lit("9999-12-31").cast("date")))
     marks = px.select("ticker", F.col("date").alias("last_mark_date"), F.col("mark_close").alias("last_mark"))
-    marks = marks.join(chosen.select("ticker").distinct(), "ticker", "left_semi")
     bought = asof_backward(bought, marks, ["ticker"], "__until", "last_mark_date")
     keys = ["strategy", "cohort", "ticker"]
     sold = F.col("__exit").isNotNull()
@@ -88,14 +92,17 @@ def calendar(prices: DataFrame, spans: DataFrame) -> DataFrame:
     return prices.select("date").distinct().join(F.broadcast(spans), inside).select("date", "cohort")
 
 
-def daily_equity(held: DataFrame, prices: DataFrame, plan: DataFrame, commission: float, initial: float, names: Sequence[str] = ()) -> DataFrame:
+def daily_equity(held: DataFrame, prices: DataFrame, plan: DataFrame, commission: float, initial: float, names: Sequence[str] = (), days: DataFrame | None = None) -> DataFrame:
     """(strategy, date, equity): marks carried forward inside a cohort; what is sold early stays as cash until the next rebalance.
 
-    held is read once: each cohort's factor travels with its days, and the running product adds it on first days. With
-    names, these strategies have a row for every session; where they hold nothing, all is cash.
+    held is read twice, for its tickers, of which alone prices are joined, and for the curve: each cohort's factor travels with its days, and the
+    running product adds it on first days. It should be a table. With names, these strategies have a row for every session; where they hold
+    nothing, all is cash. ``days`` are the sessions (date) where they are known.
     """
+    days = prices if days is None else days
+    marks = prices.select("ticker", "date", "mark_close").join(held.select("ticker").distinct(), "ticker", "left_semi")
     held = held.withColumn("__factor", 1 + _gains(commission).over(Window.partitionBy("strategy", "cohort")))
-    rows = held.join(F.broadcast(calendar(prices, plan)), "cohort").join(prices.select("ticker", "date", "mark_close"), ["ticker", "date"], "left")
+    rows = held.join(F.broadcast(calendar(days, plan)), "cohort").join(marks, ["ticker", "date"], "left")
     upto = Window.partitionBy("strategy", "cohort", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.last("mark_close", ignorenulls=True).over(upto)
     #: sold at the open, or by force at the last close
@@ -105,7 +112,7 @@ def daily_equity(held: DataFrame, prices: DataFrame, plan: DataFrame, commission
     rows = rows.withColumn("__gain", gain(F.col("weight"), value, F.col("entry"), commission))
     daily = rows.groupBy("strategy", "cohort", "start", "date", "__factor").agg((1 + F.sum("__gain")).alias("growth"), F.sum("weight").alias("invested"))
     if names:
-        every = calendar(prices, plan).join(F.broadcast(plan.select("cohort", "start")), "cohort").withColumn("strategy", F.explode(F.array(*map(F.lit, names))))
+        every = calendar(days, plan).join(F.broadcast(plan.select("cohort", "start")), "cohort").withColumn("strategy", F.explode(F.array(*map(F.lit, names))))
         daily = every.join(daily.drop("start"), ["strategy", "cohort", "date"], "left").na.fill({"__factor": 1.0, "growth": 1.0, "invested": 0.0})
     first = F.when(F.col("date") == F.col("start"), F.log("__factor")).otherwise(0.0)
     before = F.sum(first).over(Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - F.log("__factor")
@@ -136,11 +143,12 @@ def hold_backtest(
 
     ranked is a ranking, or a function that makes one for the rebalance days (date), so that no other day is ranked.
     """
-    plan = cohorts(prices, holding_days)
+    days = written(prices.select("date").distinct())
+    plan = cohorts(days, holding_days)
     if callable(ranked):
         ranked = ranked(plan.select(F.col("start").alias("date")))
-    held = positions(picks(ranked, plan, top_n), prices, slippage, drop_then_weigh)
-    return {"positions": held, "equity": daily_equity(held, prices, plan, commission, initial), "trades": ledger(held, commission), "rebalances": rebalances(held)}
+    held = written(positions(picks(ranked, plan, top_n), prices, slippage, drop_then_weigh))
+    return {"positions": held, "equity": daily_equity(held, prices, plan, commission, initial, days=days), "trades": ledger(held, commission), "rebalances": rebalances(held)}
 
 
 def trailing_stops(held: DataFrame, prices: DataFrame, stop: float | str) -> DataFrame:
@@ -150,7 +158,8 @@ def trailing_stops(held: DataFrame, prices: DataFrame, stop: float | str) -> Dat
     """
     share = F.col(stop) if isinstance(stop, str) else F.lit(stop)
     spans = held.select("cohort", "start", "stop").distinct()
-    px = prices.join(F.broadcast(calendar(prices, spans)), "date").select("ticker", "date", "close", "cohort")
+    own = prices.join(held.where(share.isNotNull()).select("ticker").distinct(), "ticker", "left_semi")
+    px = own.join(F.broadcast(calendar(prices, spans)), "date").select("ticker", "date", "close", "cohort")
     keys = ["strategy", "cohort", "ticker"]
     order = Window.partitionBy(*keys).orderBy("date")
     peak = F.max("close").over(order.rowsBetween(Window.unboundedPreceding, -1))
