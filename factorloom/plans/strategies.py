@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.operators.backtest import cohorts, daily_equity, picks, positions, rank_hysteresis, sold_at_stops, trailing_stops
+from factorloom.operators.backtest import cohorts, daily_equity, of_names, picks, positions, rank_hysteresis, sold_at_stops, trailing_stops
 from factorloom.operators.joins import align_to_calendar
 from factorloom.operators.metrics import conditional_metrics, metrics_against, strategy_choices
 from factorloom.operators.panel import sessions
@@ -80,14 +81,9 @@ def orderings(ranked: DataFrame, regime: DataFrame, strategies: tuple[Strategy,
         raise ValueError(f"no order of their own: {', '.join(choosing)}")
     flags = regime.select("date", F.coalesce("risk_on_for_open", F.lit(False)).alias("__flag"))
     rows = ranked.join(F.broadcast(flags), "date", "left").withColumn("__on", F.coalesce("__flag", F.lit(False)))
-    own = [F.struct(F.lit(s.name).alias("strategy"), F.expr(s.keep).alias("keep"), F.expr(s.order).cast("double").alias("key"), F.expr(s.share).alias("exposure")) for s in strategies if s.stay is None]
+    own = [s for s in strategies if s.stay is None]
     wanted = [(s.name, s.stay) for s in strategies if s.stay is not None]
-    parts = []
-    if own:
-        each = rows.select("date", "ticker", "selection_score", F.explode(F.array(*own)).alias("s")).where("s.keep")
-        order = Window.partitionBy("strategy", "date").orderBy(F.col("key").desc_nulls_last(), F.desc("selection_score"), "ticker")
-        each = each.select("date", "ticker", "selection_score", "s.strategy", "s.key", "s.exposure")
-        parts.append(each.select("strategy", "date", "ticker", F.row_number().over(order).alias("selection_rank"), "exposure"))
+    parts = [own_orders(rows, own)] if own else []
     for name, stay in wanted:
         parts.append(persistent(ranked, stay, top_n).select(F.lit(name).alias("strategy"), "date", "ticker", "selection_rank", F.lit(1.0).alias("exposure")))
     out = parts[0]
@@ -96,6 +92,25 @@ def orderings(ranked: DataFrame, regime: DataFrame, strategies: tuple[Strategy,
     return out
 
 
+def own_orders(rows: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
+    """``orderings`` of strategies that keep no names by their rank; rows tell whether their day is risk-on (__on).
+
+    Rows are dealt by date once and sorted once for each order that differs; a rank is the number of rows that a strategy
+    keeps up to a row. So they are multiplied by the strategies only after that, and not shuffled or sorted any more.
+    """
+    ranks: dict[str, Column] = {}
+    keys = {order: f"__key_{i}" for i, order in enumerate(dict.fromkeys(s.order for s in strategies))}
+    rows = rows.withColumns({key: F.expr(order).cast("double") for order, key in keys.items()})
+    for s in strategies:
+        #: the order of the ranking itself, which rows that come from it have already
+        first = [] if s.order == "selection_score" else [F.col(keys[s.order]).desc_nulls_last()]
+        upto = Window.partitionBy("date").orderBy(*first, F.col("selection_score").desc_nulls_last(), F.asc("ticker")).rowsBetween(Window.unboundedPreceding, 0)
+        ranks[s.name] = F.count_if(F.expr(s.keep)).over(upto).cast("int")
+    rows = rows.withColumns({f"__rank_{i}": rank for i, rank in enumerate(ranks.values())})
+    each = [F.struct(F.lit(s.name).alias("strategy"), F.expr(s.keep).alias("keep"), F.col(f"__rank_{i}").alias("selection_rank"), F.expr(s.share).alias("exposure")) for i, s in enumerate(strategies)]
+    return rows.select("date", "ticker", F.explode(F.array(*each)).alias("s")).where("s.keep").select("s.strategy", "date", "ticker", "s.selection_rank", "s.exposure")
+
+
 def persistent(ranked: DataFrame, stay: int, enter: int) -> DataFrame:
     """(date, ticker, selection_rank): names in by rank ``enter`` that stay up to rank ``stay``; those that were in before come first."""
     held = rank_hysteresis(ranked, enter, stay).join(ranked.select("date", "ticker", F.col("selection_rank").alias("__rank")), ["date", "ticker"])
@@ -108,12 +123,14 @@ def persistent(ranked: DataFrame, stay: int, enter: int) -> DataFrame:
     return held.select("date", "ticker", F.row_number().over(order).alias("selection_rank"))
 
 
-def held_names(ranked: DataFrame, regime: DataFrame, prices: DataFrame, strategies: tuple[Strategy, ...], top_n: int, slippage: float) -> DataFrame:
+def held_names(ranked: DataFrame, regime: DataFrame, prices: DataFrame, days: DataFrame, strategies: tuple[Strategy, ...], top_n: int, slippage: float) -> DataFrame:
     """Positions of strategies of one rebalance period, stops carried out; targets weigh before names without a bar are dropped."""
-    plan = cohorts(prices, strategies[0].every)
+    plan = cohorts(days, strategies[0].every)
     chosen = ranked.join(F.broadcast(plan.select(F.col("start").alias("date"))), "date", "left_semi")
-    held = positions(picks(orderings(chosen, regime, strategies, top_n), plan, top_n), prices, slippage, drop_then_weigh=False)
-    return stopped(held, prices, strategies, slippage)
+    chosen = written(picks(orderings(chosen, regime, strategies, top_n), plan, top_n))
+    own = of_names(prices, chosen)
+    held = positions(chosen, own, slippage, drop_then_weigh=False)
+    return stopped(written(held), own, strategies, slippage)
 
 
 def stopped(held: DataFrame, prices: DataFrame, strategies: tuple[Strategy, ...], slippage: float) -> DataFrame:
@@ -146,6 +163,7 @@ def choice_log(choices: DataFrame, sessions: DataFrame, lookback: int = LOOKBACK
 
 def decision_days(prices: DataFrame, strategies: tuple[Strategy, ...]) -> DataFrame:
     """(date): the rebalance days of all strategies; no other day has to be ranked."""
+    prices = written(prices.select("date").distinct())
     starts = [cohorts(prices, every).select(F.col("start").alias("date")) for every in sorted({s.every for s in strategies})]
     return reduce(DataFrame.union, starts).distinct()
 
@@ -153,32 +171,57 @@ def decision_days(prices: DataFrame, strategies: tuple[Strategy, ...]) -> DataFr
 def compare(ranked: DataFrame, regime: DataFrame, benchmark: DataFrame, prices: DataFrame, strategies: tuple[Strategy, ...], top_n: int, slippage: float, commission: float, initial: float, recent_years: int = 2) -> dict[str, DataFrame]:
     """Daily equity of all strategies, their comparison, and the choices of those that choose.
 
-    ranked is worked out once, and only its rebalance days (see ``decision_days``) are kept; so are the curves, one
-    row per strategy and session, on which the curves of those that choose rest.
+    Everything that several parts read is written once: the rebalance days of ranked (see ``decision_days``), the sessions, and the curves, one
+    row per strategy and session, on which the curves of those that choose rest. Of all prices only those of held names are read more than once.
     """
-    ranked = written(ranked.join(F.broadcast(decision_days(prices, strategies)), "date", "left_semi").select(*NEEDED))
-    equity, choices = None, None
-    for every in sorted({s.every for s in strategies}):
-        own = tuple(s for s in strategies if s.every == every and not s.among)
-        if own:
-            held = written(held_names(ranked, regime, prices, own, top_n, slippage))
-            curves = daily_equity(held, prices, cohorts(prices, every), commission, initial, [s.name for s in own])
-            equity = curves if equity is None else equity.unionByName(curves)
-    equity = written(equity)
+    regime, benchmark = written(regime.select("date", "risk_on_for_open")), written(benchmark.select("date", "close"))
+    ranked, days = decided(ranked, prices, strategies)
+    equity, choices = own_curves(ranked, regime, prices, days, strategies, top_n, slippage, commission, initial), None
     for s in (s for s in strategies if s.among):
         known = {other.name: other for other in strategies}
-        choices = written(strategy_choices(equity.where(F.col("strategy").isin(*s.among)), list(s.among), LOOKBACK))
+        choices = choices_of(equity, s)
         #: a strategy of another period has the orders of one of this period that differs in nothing else
         same = {n: m for n in s.among for m in s.among if known[n].every != s.every and replace(known[n], name=m, every=s.every) == known[m]}
-        plan = cohorts(prices, s.every)
-        days = ranked.join(F.broadcast(plan.select(F.col("start").alias("date"))), "date", "left_semi")
-        orders = orderings(days, regime, tuple(known[n] for n in s.among if n not in same))
-        held = positions(picks(chosen_orders(orders, choices, s, same), plan, top_n), prices, slippage, drop_then_weigh=False)
-        equity = equity.unionByName(daily_equity(written(held), prices, plan, commission, initial, [s.name]))
+        plan = cohorts(days, s.every)
+        asked = ranked.join(F.broadcast(plan.select(F.col("start").alias("date"))), "date", "left_semi")
+        orders = orderings(asked, regime, tuple(known[n] for n in s.among if n not in same))
+        held = written(positions(picks(chosen_orders(orders, choices, s, same), plan, top_n), prices, slippage, drop_then_weigh=False))
+        equity = written(equity.unionByName(daily_equity(held, prices, plan, commission, initial, [s.name], days)))
     table = comparison(equity, benchmark, regime, initial, recent_years)
     return {"equity": equity, "comparison": table, "choices": choices}
 
 
+def decided(ranked: DataFrame, prices: DataFrame, strategies: tuple[Strategy, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rebalance days of ranked, and (date) of all sessions, both written."""
+    days = written(prices.select("date").distinct())
+    return written(ranked.join(F.broadcast(decision_days(days, strategies)), "date", "left_semi").select(*NEEDED)), days
+
+
+def own_curves(ranked: DataFrame, regime: DataFrame, prices: DataFrame, days: DataFrame, strategies: tuple[Strategy, ...], top_n: int, slippage: float, commission: float, initial: float) -> DataFrame:
+    """Daily equity of the strategies that don't choose among others, written; days are all sessions of prices."""
+    equity = None
+    for every in sorted({s.every for s in strategies}):
+        own = tuple(s for s in strategies if s.every == every and not s.among)
+        if own:
+            held = written(held_names(ranked, regime, prices, days, own, top_n, slippage))
+            curves = daily_equity(held, prices, cohorts(days, every), commission, initial, [s.name for s in own], days)
+            equity = curves if equity is None else equity.unionByName(curves)
+    return written(equity)
+
+
+def choices_of(equity: DataFrame, strategy: Strategy) -> DataFrame:
+    """What a strategy that chooses among others chooses on each day, from their curves; written."""
+    return written(strategy_choices(equity.where(F.col("strategy").isin(*strategy.among)), list(strategy.among), LOOKBACK))
+
+
+def switches(ranked: DataFrame, regime: DataFrame, prices: DataFrame, strategies: tuple[Strategy, ...], top_n: int, slippage: float, commission: float, initial: float) -> DataFrame:
+    """The choices of ``compare`` alone: only the strategies that the last one that chooses looks at get curves, itself it needs none."""
+    s = [s for s in strategies if s.among][-1]
+    among = tuple(other for other in strategies if other.name in s.among)
+    ranked, days = decided(ranked, prices, among)
+    return choices_of(own_curves(ranked, written(regime.select("date", "risk_on_for_open")), prices, days, among, top_n, slippage, commission, initial), s)
+
+
 def comparison(equity: DataFrame, benchmark: DataFrame, regime: DataFrame, initial: float, recent_years: int = 2) -> DataFrame:
     """One row per curve (strategy, date, equity), the best recent Sharpe ratio first, the smaller recent drawdown of equal ones.
 
