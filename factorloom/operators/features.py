@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from factorloom.functions import average_percent_rank, clip, ratio
 from factorloom.operators.rolling import Rolling, rolling
+from factorloom.sources import written
 
 #: Rows of a date that a task ranks at once, at most.
 LARGEST_DATE = 500_000
@@ -217,6 +218,12 @@ def latest_shortlist(ranked: DataFrame, limit: int = 25) -> DataFrame:
     return rows.orderBy("selection_rank").limit(limit)
 
 
+def latest_of(rank: Callable[[DataFrame | None], DataFrame], days: DataFrame, recent: int = 21) -> DataFrame:
+    """``latest_ranking`` of a function that ranks given days (date), or all for None: only the last days are ranked, all of them where none of these has a row."""
+    found = written(rank(days.select("date").distinct().orderBy(F.desc("date")).limit(recent)))
+    return latest_ranking(found if found.limit(1).count() else written(rank(None)))
+
+
 def latest_ranking(ranked: DataFrame) -> DataFrame:
     last = ranked.agg(F.max("date").alias("__last"))
     return ranked.join(F.broadcast(last), F.col("date") == F.col("__last")).drop("__last")

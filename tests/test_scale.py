@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.operators import features, joins, rolling, tuning
-from factorloom.plans import queries, selectors
+from factorloom.operators import backtest, features, joins, rolling, tuning
+from factorloom.plans import queries, selectors, strategies
 from factorloom.plans.fixtures import Tables
 from factorloom.plans.store import PanelStore
 from tests.test_panel import bars_of
@@ -195,3 +195,64 @@ def test_candidates_are_dealt_by_the_results_they_get(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", with_adaption)
     assert sorted(tuple(r.returns) for r in dealt.collect()) == sorted((float(k % 3), 2.0) for k in range(300))
+
+
+def test_rows_are_not_multiplied_by_strategies_before_they_are_dealt(spark):
+    rng = np.random.default_rng(11)
+    rows = [(pd.Timestamp("2024-01-01") + pd.Timedelta(days=int(d)), f"T{k:02d}", float(rng.integers(0, 5)), None if k == 3 else float(rng.integers(0, 4)), float(rng.normal()), float(rng.integers(20, 50)), float(rng.random()), float(rng.random())) for d in range(4) for k in range(20)]
+    names = ["date", "ticker", "selection_score", "decision_momentum_12m_ex_1m", "decision_price_vs_200d_ma", "rsi14_decision", "adaptive_risk_on_score", "adaptive_risk_off_score"]
+    ranked = spark.createDataFrame(pd.DataFrame(rows, columns=names)).withColumn("date", F.to_date("date")).withColumn("selection_rank", F.lit(0)).withColumn("decision_momentum_12m_ex_1m", F.nullif(F.col("decision_momentum_12m_ex_1m"), F.lit(float("nan"))))
+    regime = spark.createDataFrame([("2024-01-02", True), ("2024-01-03", False)], "date string, risk_on_for_open boolean").withColumn("date", F.to_date("date"))
+    own = tuple(s for s in strategies.STRATEGIES if s.stay is None and not s.among)
+    out = strategies.orderings(ranked, regime, own)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" in plan.split("Exchange hashpartitioning")[0]
+    got = {s: [] for s in {x.name for x in own}}
+    for r in out.orderBy("strategy", "date", "selection_rank").collect():
+        got[r.strategy].append((str(r.date), r.ticker, r.selection_rank, r.exposure))
+    for s in own:
+        want = []
+        for day in sorted({str(r[0].date()) for r in rows}):
+            on = day == "2024-01-02"
+            kept = []
+            for r in (dict(zip(names, r)) for r in rows if str(r[0].date()) == day):
+                if s.name == "trend_filter" and not (on and r["decision_price_vs_200d_ma"] > 0) or s.name.startswith("mean_reversion") and not r["rsi14_decision"] <= float(s.name[-2:]):
+                    continue
+                key = r["decision_momentum_12m_ex_1m"] if s.name == "momentum_12_1" else r["adaptive_risk_on_score" if on else "adaptive_risk_off_score"] if s.name.startswith("regime") else r["selection_score"]
+                kept.append((key is None or pd.isna(key), 0 if key is None or pd.isna(key) else -key, -r["selection_score"], r["ticker"]))
+            share = float(s.name[16:-3].strip("_")) / 100 if s.name.startswith("regime") and not on else 1.0
+            want += [(day, k[3], i + 1, share) for i, k in enumerate(sorted(kept))]
+        assert got[s.name] == want, s.name
+
+
+def test_only_the_last_days_are_ranked_unless_none_has_a_row(spark):
+    days = spark.sql("SELECT date_add(DATE '2024-01-01', CAST(id AS INT)) AS date FROM range(60)")
+    asked = []
+
+    def rank(last):
+        """Rows up to a day, of the asked days."""
+
+        def own(dates):
+            asked.append(None if dates is None else dates.count())
+            rows = days.where(F.col("date") <= last).withColumn("ticker", F.lit("A"))
+            return rows if dates is None else rows.join(dates, "date", "left_semi")
+
+        return own
+
+    assert [str(r.date) for r in features.latest_of(rank("2024-02-25"), days).collect()] == ["2024-02-25"] and asked == [21]
+    assert [str(r.date) for r in features.latest_of(rank("2024-01-05"), days).collect()] == ["2024-01-05"] and asked == [21, 21, None]
+
+
+def test_a_backtest_joins_prices_of_held_names_only(spark):
+    days = spark.sql("SELECT date_add(DATE '2024-01-01', CAST(d.id AS INT)) AS date, concat('T', t.id) AS ticker, 10e0 + d.id * (t.id + 1) AS close FROM range(8) d CROSS JOIN range(50) t")
+    prices = days.withColumns({"execution_open": F.col("close"), "mark_close": F.col("close")})
+    ranked = prices.where("ticker IN ('T1', 'T2')").select("date", "ticker", (F.ascii(F.substring("ticker", 2, 1)) - 48).alias("selection_rank"))
+    chosen = backtest.picks(ranked, backtest.cohorts(prices, 4), 1)
+    assert {r.ticker for r in backtest.of_names(prices, chosen).collect()} == {"T1"}
+    read = []
+    original, backtest.written = backtest.written, lambda df: read.append(original(df)) or read[-1]
+    try:
+        backtest.hold_backtest(ranked, prices, 4, 1, 0.0, 0.0, 100.0)["equity"].collect()
+    finally:
+        backtest.written = original
+    assert all(x.select("ticker").distinct().count() == 1 for x in read if "ticker" in x.columns) and any("execution_open" in x.columns for x in read)
